@@ -67,7 +67,7 @@ def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS_PER_
     lines = docs.select("doc_id", "_host", "_text", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("_lines"))
     hashed = lines.withColumn("_h", F.transform("_lines", lambda x: F.struct(F.substring(F.md5(normalised(x)), 1, 16).alias("h"), _word_count(x).alias("n"))))
     least = F.slice(F.array_sort(F.array_distinct(F.transform("_h", lambda x: x["h"]))), 1, 2)
-    hashed = hashed.withColumn("_least", least)
+    hashed = staged(hashed.select("doc_id", "_host", "_text", "_h", least.alias("_least")), "line-hashes")
     family = lambda h: F.when((F.get("_least", F.lit(0)) == h) & (F.size("_least") > 1), F.get("_least", F.lit(1))).otherwise(F.get("_least", F.lit(0)))
     pairs = hashed.select("_host", F.explode(F.array_distinct(F.transform("_h", lambda x: F.struct(x["h"].alias("h"), family(x["h"]).alias("f"))))).alias("p"))
     seen = pairs.select("_host", F.col("p.h").alias("h"), F.col("p.f").alias("f")).distinct()
