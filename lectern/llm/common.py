@@ -82,13 +82,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    inverse = pow(int(_BASE), -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up, down = np.full(n + 1, _BASE), np.full(n + 1, np.uint64(inverse))
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """Powers of the base and of its inverse modulo 2**64, kept for the next batch."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(n, 1 << 20) + 1
+        with np.errstate(over="ignore"):
+            up, down = np.full(size, _BASE), np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+            up[0] = down[0] = 1
+            _POWERS[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS[0], _POWERS[1]
 
 
 class Words:
@@ -118,7 +123,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         with np.errstate(over="ignore"):
             up, down = _powers(len(data))
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODE[self.data] * up[:-1], dtype=np.uint64)))
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODE[self.data] * up[: len(data)], dtype=np.uint64)))
             self.down = down
             self.hashes = self.spans(self.begin, self.end)
 
@@ -147,7 +152,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(doc)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def slices(batches, column: str, most: int = 8_000_000):
+def slices(batches, column: str, most: int = 1_000_000):
     """Arrow batches cut so that each has about `most` bytes of text at most (one text at least)."""
     import pyarrow.compute as pc
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, mixing, packing, quality, secrets, toxicity
+from . import ann, html_extract, line_dedup, lm, mixing, ngram_join, packing, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "taken_tokens")
 
@@ -32,6 +36,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents")).drop("_text")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -40,5 +52,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_mixing, op4_toxicity, op5_nearest_neighbours, op6_quality_rules, op9_secret_scans, op10_packing)}
-SQL = {"op3_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op9_secret_scans": secrets.SQL}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_mixing, op4_toxicity, op5_nearest_neighbours, op6_quality_rules, op7_ngram_jaccard_join, op8_lm_scoring, op9_secret_scans, op10_packing)}
+SQL = {"op2_line_dedup": line_dedup.SQL, "op3_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op9_secret_scans": secrets.SQL}

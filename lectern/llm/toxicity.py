@@ -10,10 +10,10 @@ from .common import Words, mix, slices, staged
 
 #: Bounds of the rows that the classifier is fitted on. Counts of documents and all scores cover every row.
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 12_000
-BITS, FEATURES, MIN_ROWS = 20, 1_000, 8
+BITS, FEATURES, MIN_ROWS = 20, 1_000, 20
 #: Word prefixes of so many bytes are features beside whole words.
 PREFIXES = (4, 5, 6, 7)
-STEPS, RATE, DECAY, THRESHOLD = 400, 0.1, 1e-3, 0.3
+STEPS, RATE, DECAY, THRESHOLD = 400, 0.1, 3e-3, 0.3
 DEFAULT_PRIOR = 0.1
 
 
@@ -114,8 +114,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "pmod(crc32(cas
     share = min(1.0, MAX_UNLABELLED / max(1, docs.count()))
     pool = docs.filter(~F.col("held_out")).join(F.broadcast(ids.withColumn("positive", F.lit(True))), "doc_id", "left")
     pool = pool.withColumn("positive", F.coalesce("positive", F.lit(False)))
-    pool = pool.filter(F.col("positive") | (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)))
-    pool = staged(pool.select("text", "positive"), "sample")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)
+    # A confirmed row that is drawn is unlabelled text as well, so that the prior holds for the unlabelled rows.
+    roles = F.array_compact(F.array(F.when(F.col("positive"), F.lit(True)), F.when(drawn, F.lit(False))))
+    pool = staged(pool.select("text", F.explode(roles).alias("positive")), "sample")
     n_p, n_u = pool.agg(F.sum(F.col("positive").cast("int")), F.sum((~F.col("positive")).cast("int"))).first()
 
     weights = np.zeros(0, np.float32)
