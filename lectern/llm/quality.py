@@ -78,7 +78,8 @@ def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS_PER_
     gone = rows.join(known, ["k", "z", "h"], "left").groupBy("doc_id", "_text").agg(F.sum(F.when(F.col("hit"), F.col("e.n")).otherwise(0)).alias("_gone"), F.sum((F.col("pos") == 0).cast("int")).alias("_copies"))
     gone = gone.filter(F.col("_gone") > 0).select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), (F.col("_gone") / F.col("_copies")).cast("long").alias("n_boilerplate_words"))
 
-    base = base_counts(docs).drop("text")
+    # Staged, as a later filter on a verdict would else be computed by walking the text anew at every use of a part.
+    base = staged(base_counts(docs).drop("text"), "base-counts")
     joined = base.join(gone, base["doc_id"].eqNullSafe(gone["_d"]) & (base["_text"] == gone["_t"]), "left")
     left = F.col("n_words") - F.coalesce("n_boilerplate_words", F.lit(0))
     depleted = (left < MIN_LEFT_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words"))
