@@ -1,8 +1 @@
 """Training-data operators. Nothing outside this subpackage imports it."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Task functions travel by value, so that executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
