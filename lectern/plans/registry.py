@@ -1,4 +1,383 @@
 """Queries over the given tables, by name, with the SQL that must return the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import entities, extract, fields, index, links, stats, wiki
+from ..sources.io import nested_postings
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+SITE = "thther.example.com"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d, *more):
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text", F.col("source").alias("crawl_group"), *more)
+
+
+def _asked(spark, d):
+    """One query for each benchmark item: its first three tokens."""
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens("text"), 1, 3), " ").alias("text"))
+
+
+def _fixed(spark, d, text="the of worthless trash", mode="or"):
+    """The stated query, over a row of the tables."""
+    words = f" {mode} ".join(text.split()) if mode == "and" else text
+    return _t(spark, d, "region").agg(F.min("r_regionkey").cast("long").alias("query_id")).withColumn("text", F.lit(words))
+
+
+TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?')"
+BLANK_SQL = T.BLANK
+INDEX = f"""
+tok AS (SELECT doc_id AS document_id, unnest({TOK}) AS term FROM documents),
+post AS (SELECT document_id, term, count(*)::INT AS tf FROM tok GROUP BY ALL),
+lex AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+n AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT document_id, term, tf, df, 1 + ln(tf) AS tw, ln(n / df) AS ic, ln((n + 1) / (df + 1)) + 1 AS ism FROM post JOIN lex USING (term), n),
+norm AS (SELECT document_id, sum(tf)::BIGINT AS token_count, sqrt(sum(pow(tw * ic, 2))) AS norm_classic, sqrt(sum(pow(tw * ism, 2))) AS norm_smooth FROM w GROUP BY document_id)"""
+STOP = "'" + "','".join(T.STOPWORDS) + "'"
+ASKED = f"asked AS (SELECT item_id AS query_id, list_aggregate({TOK}[1:3], 'string_agg', ' ') AS text FROM benchmark)"
+
+
+def _search_sql(asked: str, method: str = "classic", k: int = 10, out: str | None = None) -> str:
+    i, norm = ("ic", "norm_classic") if method == "classic" else ("ism", "norm_smooth")
+    return f"""WITH {INDEX}, {asked},
+pq AS (SELECT query_id, CASE WHEN regexp_matches(lower(trim(text)), '\\s+and\\s+') AND NOT regexp_matches(lower(trim(text)), '\\s+or\\s+') THEN 'and' ELSE 'or' END AS mode,
+  list_filter({TOK.replace("lower(text)", "regexp_replace(lower(trim(text)), '\\s+(?:and|or)\\s+', ' ', 'g')")}, lambda x: x NOT IN ({STOP})) AS t FROM asked),
+qt AS (SELECT query_id, mode, len(list_distinct(t)) AS nt, unnest(t) AS term FROM pq),
+qc AS (SELECT query_id, mode, nt, term, count(*)::INT AS qtf FROM qt GROUP BY ALL),
+qw AS (SELECT qc.*, df, (1 + ln(qtf)) * {"ln(n / df)" if method == "classic" else "(ln((n + 1) / (df + 1)) + 1)"} AS qw FROM qc JOIN lex USING (term), n),
+qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY query_id),
+dot AS (SELECT query_id, mode, nt, document_id, sum(qw * tw * {i}) AS dot, count(*) AS m, string_agg(qw.term, ' ' ORDER BY qw.term) AS matched_terms FROM qw JOIN w USING (term) GROUP BY ALL HAVING mode = 'or' OR count(*) = nt),
+sc AS (SELECT *, round(dot / (qnorm * {norm}), 6) AS score FROM dot JOIN qn USING (query_id) JOIN norm USING (document_id) WHERE {norm} > 0 AND qnorm > 0),
+rk AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id)::INT AS rank, document_id, score, count(*) OVER (PARTITION BY query_id) AS total_hits, matched_terms FROM sc WHERE score > 0),
+hits AS (SELECT * FROM rk WHERE rank <= {k})
+""" + (out or "SELECT * FROM hits")
+
+
+def _fixed_sql(text: str) -> str:
+    return f"asked AS (SELECT min(r_regionkey)::BIGINT AS query_id, '{text}' AS text FROM region)"
+
+
+# ---- corpus and index
+
+@query(f"SELECT source AS crawl_group, count(*) AS documents, sum(w)::BIGINT AS words, round(avg(w), 4) AS avg_words FROM (SELECT source, len(list_filter(regexp_split_to_array(text, '{BLANK_SQL}'), lambda x: x <> '')) AS w FROM documents) GROUP BY source")
+def group_word_stats(spark, d):
+    return stats.group_stats(_docs(spark, d))
+
+
+@query(f"SELECT count(*) AS documents, sum(n)::BIGINT AS tokens, round(avg(n), 2) AS avg_tokens, min(n)::INT AS min_tokens, max(n)::INT AS max_tokens, sum(c)::BIGINT AS characters FROM (SELECT len({TOK}) AS n, length(text) AS c FROM documents)")
+def corpus_token_stats(spark, d):
+    return stats.token_stats(_docs(spark, d))
+
+
+@query(f"WITH {INDEX} SELECT * FROM post")
+def term_doc_tf(spark, d):
+    return index.postings(_docs(spark, d))
+
+
+@query(f"WITH {INDEX} SELECT * FROM lex")
+def lexicon_df(spark, d):
+    return index.lexicon(index.postings(_docs(spark, d)))
+
+
+@query(f"WITH {INDEX} SELECT document_id, token_count, round(norm_classic, 6) AS norm_classic, round(norm_smooth, 6) AS norm_smooth FROM norm")
+def doc_norms(spark, d):
+    n = index.build(_docs(spark, d)).norms
+    return n.select("document_id", "token_count", F.round("norm_classic", 6).alias("norm_classic"), F.round("norm_smooth", 6).alias("norm_smooth"))
+
+
+@query(f"WITH {INDEX} SELECT (SELECT n FROM n) AS document_count, (SELECT count(*) FROM lex) AS vocabulary_size, count(*) AS posting_count, sum(tf)::BIGINT AS total_tokens, round(sum(tf) / (SELECT n FROM n), 2) AS average_document_tokens FROM post")
+def index_stats(spark, d):
+    return index.stats(index.build(_docs(spark, d)))
+
+
+@query(f"WITH {INDEX} SELECT term, count(*) AS df, string_agg(document_id || ':' || tf, ' ' ORDER BY document_id) AS postings FROM post GROUP BY term")
+def postings_nested(spark, d):
+    n = nested_postings(index.postings(_docs(spark, d)))
+    return n.select("term", "df", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["document_id"].cast("string"), p["tf"].cast("string"))), " ").alias("postings"))
+
+
+@query(_search_sql(_fixed_sql("the of worthless trash")))
+def search_or_classic(spark, d):
+    return index.search(index.build(_docs(spark, d)), _fixed(spark, d))
+
+
+@query(_search_sql(_fixed_sql("worthless and trash")))
+def search_and_classic(spark, d):
+    return index.search(index.build(_docs(spark, d)), _fixed(spark, d, "worthless trash", "and"))
+
+
+@query(_search_sql(_fixed_sql("the of worthless trash"), "smooth"))
+def search_or_smooth(spark, d):
+    return index.search(index.build(_docs(spark, d)), _fixed(spark, d), "smooth")
+
+
+@query(_search_sql(ASKED))
+def batch_search(spark, d):
+    return index.search(index.build(_docs(spark, d)), _asked(spark, d))
+
+
+@query(_search_sql(ASKED, out="""SELECT query_id, hits.document_id, term, qtf, coalesce(tf, 0) AS dtf, qw.df, round(1 + ln(qtf), 6) AS qtf_weight, round(CASE WHEN tf > 0 THEN 1 + ln(tf) ELSE 0 END, 6) AS dtf_weight,
+  round(ln(n / qw.df), 6) AS idf_classic, round((1 + ln(qtf)) * ln(n / qw.df) * (CASE WHEN tf > 0 THEN 1 + ln(tf) ELSE 0 END) * ln(n / qw.df), 6) AS contribution_classic,
+  round(ln((n + 1) / (qw.df + 1)) + 1, 6) AS idf_smooth, round((1 + ln(qtf)) * (ln((n + 1) / (qw.df + 1)) + 1) * (CASE WHEN tf > 0 THEN 1 + ln(tf) ELSE 0 END) * (ln((n + 1) / (qw.df + 1)) + 1), 6) AS contribution_smooth
+  FROM hits JOIN qw USING (query_id) LEFT JOIN post USING (document_id, term), n"""))
+def explain_hits(spark, d):
+    i, q = index.build(_docs(spark, d)), _asked(spark, d)
+    return index.explain(i, q, index.search(i, q))
+
+
+@query(f"SELECT doc_id AS document_id, substr(trim(regexp_replace(text, '{BLANK_SQL}', ' ', 'g')), 1, 320) AS preview, substr(sha256(source || '/' || doc_id), 1, 24) AS sha_id, sha256(text) AS text_hash, length(text)::INT AS text_length FROM documents")
+def preview_text(spark, d):
+    return _docs(spark, d).select("document_id", T.preview("text").alias("preview"), T.document_id(F.concat_ws("/", "crawl_group", F.col("document_id").cast("string"))).alias("sha_id"), F.sha2("text", 256).alias("text_hash"), F.length("text").alias("text_length"))
+
+
+@query()
+def hit_snippets(spark, d):
+    i, q = index.build(_docs(spark, d)), _asked(spark, d)
+    hits = index.search(i, q)
+    return _docs(spark, d).join(F.broadcast(hits), "document_id").select("query_id", "rank", "document_id", T.snippet("text", F.split("matched_terms", " ")).alias("snippet"))  # k rows a query
+
+
+# ---- fields
+
+FIELD = r"""
+fd AS (SELECT doc_id AS document_id, lang, n_chars, split_part(text, chr(10), 1) AS title, text FROM documents),
+ft AS (SELECT document_id, lang, n_chars, field, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT document_id, lang, n_chars, 'title' AS field, regexp_extract_all(lower(title), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?') AS t FROM fd
+  UNION ALL SELECT document_id, lang, n_chars, 'text', regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?') FROM fd))"""
+
+
+def _bm25_sql(terms: str, where: str = "true", need: bool = False) -> str:
+    return f"""WITH {FIELD}, f AS (SELECT * FROM ft WHERE {where}), {terms},
+ln AS (SELECT field, document_id, count(*) AS len FROM f GROUP BY ALL), fs AS (SELECT field, count(*) AS n, avg(len) AS al FROM ln GROUP BY field),
+h AS (SELECT query_id, base, boost, term, field, document_id, count(*) AS f FROM f JOIN qt USING (term) GROUP BY ALL),
+df AS (SELECT field, term, count(DISTINCT document_id) AS df FROM f GROUP BY ALL),
+p AS (SELECT *, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * f / (f + 1.2 * (1 - 0.75 + 0.75 * len / al)) AS part FROM h JOIN fs USING (field) JOIN df USING (field, term) JOIN ln USING (field, document_id)),
+s AS (SELECT query_id, document_id, round(sum(part), 6) AS score FROM p GROUP BY ALL {"HAVING count(DISTINCT base) = (SELECT count(DISTINCT base) FROM qt)" if need else ""})
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id)::INT AS rank, document_id, score FROM s) WHERE rank <= 10"""
+
+
+def _qt_sql(asked: str) -> str:
+    return f"{asked}, qt AS (SELECT query_id, term, term AS base, count(*)::DOUBLE AS boost FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS term FROM asked) WHERE term NOT IN ({STOP}) GROUP BY ALL)"
+
+
+def _fields(spark, d, keep=None):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "lang", "n_chars", F.substring_index("text", "\n", 1).alias("title"), "text")
+    return fields.field_tokens(docs.filter(keep) if keep else docs, ["title", "text"])
+
+
+@query(_bm25_sql(_qt_sql(ASKED)))
+def field_bool_or(spark, d):
+    return fields.boolean(_fields(spark, d), _asked(spark, d))
+
+
+@query(_bm25_sql(_qt_sql(_fixed_sql("worthless trash")), need=True))
+def field_bool_and(spark, d):
+    return fields.boolean(_fields(spark, d), _fixed(spark, d, "worthless trash"), "and")
+
+
+@query(_bm25_sql(_qt_sql(ASKED), "lang = 'en' AND n_chars BETWEEN 500 AND 3000"))
+def field_filtered(spark, d):
+    return fields.boolean(_fields(spark, d, "lang = 'en' and n_chars between 500 and 3000"), _asked(spark, d))
+
+
+@query(f"WITH {FIELD}, {ASKED}, q AS (SELECT query_id, w, len(w) AS n FROM (SELECT query_id, regexp_extract_all(lower(text), '[A-Za-z0-9]+') AS w FROM asked)), o AS (SELECT query_id, n, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS off FROM q), r AS (SELECT query_id, n, document_id, field, pos - off AS start FROM ft JOIN o USING (term) GROUP BY ALL HAVING count(DISTINCT off) = n) SELECT query_id, document_id, field, count(*) AS hits FROM r GROUP BY ALL")
+def phrase_search(spark, d):
+    return fields.phrase(_fields(spark, d), _asked(spark, d))
+
+
+@query(f"WITH {FIELD}, v AS (SELECT DISTINCT term FROM ft) SELECT 0::BIGINT AS query_id, 'trsh' AS base, term, 1 - levenshtein('trsh', term)::DOUBLE / least(4, length(term)) AS boost FROM v WHERE levenshtein('trsh', term) <= 1")
+def fuzzy_terms(spark, d):
+    return fields.fuzzy_terms(_fields(spark, d), _fixed(spark, d, "trsh"))
+
+
+@query()
+def fuzzy_search(spark, d):
+    return fields.fuzzy(_fields(spark, d), _fixed(spark, d, "wrothless pathetik"), 2)
+
+
+@query()
+def overlap_at_k(spark, d):
+    i, q = index.build(_docs(spark, d)), _asked(spark, d)
+    return fields.overlap(index.search(i, q), fields.boolean(_fields(spark, d), q), 10)
+
+
+# ---- entities and wiki
+
+WIKI = r"""
+w0 AS (SELECT doc_id AS page_id, list_aggregate(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?')[1:3], 'string_agg', '_') AS title, length(text)::INT AS text_length, len(string_split(text, chr(10)))::INT AS section_count, (doc_id % 50)::INT AS reference_count FROM documents),
+wp AS (SELECT a.*, lower(trim(replace(a.title, '_', ' '))) AS join_key, CASE WHEN (a.page_id % 7 = 0 AND a.page_id > 0) OR (a.page_id % 21 = 1 AND a.page_id > 1) THEN b.title WHEN a.page_id % 14 = 2 THEN 'No_Such_Page' END AS redirect FROM w0 a LEFT JOIN w0 b ON b.page_id = a.page_id - 1),
+ent AS (SELECT 'place' AS entity_type, join_key FROM wp WHERE page_id % 2 = 0 UNION ALL SELECT 'naves_entity', join_key FROM wp WHERE page_id % 5 = 0 UNION ALL SELECT 'book', lower(c_mktsegment) FROM customer),
+ue AS (SELECT DISTINCT entity_type, join_key FROM ent WHERE length(join_key) > 0),
+dm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY join_key ORDER BY redirect IS NOT NULL, page_id) AS rn FROM wp) WHERE rn = 1),
+am AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY join_key ORDER BY page_id) AS rn FROM wp WHERE redirect IS NULL) WHERE rn = 1),
+lk AS (SELECT entity_type, ue.join_key, dm.page_id AS matched_page_id, dm.title AS matched_title, dm.redirect AS redirect_title, coalesce(am.page_id, dm.page_id) AS final_page_id, coalesce(am.title, dm.title) AS final_title,
+  coalesce(am.text_length, dm.text_length) AS text_length, coalesce(am.section_count, dm.section_count) AS section_count, coalesce(am.reference_count, dm.reference_count) AS reference_count, dm.page_id IS NOT NULL AS matched, dm.redirect IS NOT NULL AND am.page_id IS NOT NULL AS redirect_resolved
+  FROM ue LEFT JOIN dm USING (join_key) LEFT JOIN am ON am.join_key = lower(trim(replace(dm.redirect, '_', ' '))))"""
+
+
+def _wiki(spark, d):
+    docs = _t(spark, d, "documents")
+    p = docs.select(F.col("doc_id").alias("page_id"), F.array_join(F.slice(T.tokens("text"), 1, 3), "_").alias("title"), F.length("text").alias("text_length"), F.size(F.split("text", "\n")).alias("section_count"), (F.col("doc_id") % 50).cast("int").alias("reference_count"))
+    p = p.withColumn("title", F.when(F.col("title") != "", F.col("title")))
+    i = F.col("page_id")
+    before = p.select((F.col("page_id") + 1).alias("page_id"), F.col("title").alias("t"))
+    redirect = F.when(((i % 7 == 0) & (i > 0)) | ((i % 21 == 1) & (i > 1)), F.col("t")).when(i % 14 == 2, "No_Such_Page")
+    return p.join(before, "page_id", "left").withColumn("redirect", redirect).drop("t").withColumn("join_key", T.join_key("title"))
+
+
+def _entities(spark, d):
+    w = _wiki(spark, d)
+    kind = lambda k, c: F.struct(F.lit(k).alias("entity_type"), c.alias("join_key"))
+    a = w.select(F.explode(F.array_compact(F.array(F.when(F.col("page_id") % 2 == 0, kind("place", F.col("join_key"))), F.when(F.col("page_id") % 5 == 0, kind("naves_entity", F.col("join_key")))))).alias("e")).select("e.*")
+    return a.unionByName(_t(spark, d, "customer").select(F.lit("book").alias("entity_type"), T.join_key("c_mktsegment").alias("join_key")))
+
+
+def _links(spark, d):
+    return entities.link(_entities(spark, d), _wiki(spark, d))
+
+
+@query("SELECT 'part' AS kind, p_partkey AS id, lower(trim(replace(p_name, '_', ' '))) AS join_key FROM part UNION ALL SELECT 'supplier', s_suppkey, lower(trim(replace(s_name, '_', ' '))) FROM supplier UNION ALL SELECT 'nation', n_nationkey, lower(trim(replace(n_name, '_', ' '))) FROM nation")
+def join_keys(spark, d):
+    pick = lambda t, i, n: _t(spark, d, t).select(F.lit(t).alias("kind"), F.col(i).cast("long").alias("id"), T.join_key(n).alias("join_key"))
+    return pick("part", "p_partkey", "p_name").unionByName(pick("supplier", "s_suppkey", "s_name")).unionByName(pick("nation", "n_nationkey", "n_name"))
+
+
+@query(f"WITH {WIKI} SELECT entity_type, count(*) AS entities, count(DISTINCT join_key) AS unique_entities FROM ent WHERE length(join_key) > 0 GROUP BY entity_type")
+def entity_counts(spark, d):
+    return _entities(spark, d).filter(F.length("join_key") > 0).groupBy("entity_type").agg(F.count("*").alias("entities"), F.countDistinct("join_key").alias("unique_entities"))
+
+
+@query(f"WITH {WIKI} SELECT * FROM ue")
+def unique_entities(spark, d):
+    return entities.unique_entities(_entities(spark, d))
+
+
+@query(f"WITH {WIKI} SELECT * FROM lk")
+def wiki_link(spark, d):
+    return _links(spark, d)
+
+
+@query(f"WITH {WIKI} SELECT entity_type, count(*) AS total, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS unmatched, count(*) FILTER (redirect_resolved) AS redirects_resolved, round(100.0 * count(*) FILTER (matched) / count(*), 2) AS match_rate FROM lk GROUP BY entity_type")
+def wiki_match_stats(spark, d):
+    return entities.match_stats(_links(spark, d))
+
+
+@query(f"WITH {WIKI} SELECT count(*) AS total, count(*) FILTER (matched) AS matched, count(*) FILTER (redirect_resolved) AS redirects_resolved, count(DISTINCT final_page_id) FILTER (matched) AS distinct_pages FROM lk")
+def wiki_match_totals(spark, d):
+    return entities.match_totals(_links(spark, d))
+
+
+@query(f"WITH {WIKI} SELECT round(avg(text_length), 4) AS avg_text_length, round(avg(section_count), 4) AS avg_section_count, round(avg(reference_count), 4) AS avg_reference_count FROM lk WHERE matched")
+def wiki_attr_stats(spark, d):
+    return entities.attribute_stats(_links(spark, d))
+
+
+EN = "en AS (SELECT w.page_id AS document_id, source AS crawl_group, CASE WHEN w.page_id % 2 = 0 THEN 'place' WHEN w.page_id % 5 = 0 THEN 'naves_entity' END AS entity_type, w.join_key, final_page_id AS wiki_page_id, final_title AS wiki_title, lk.reference_count AS wiki_reference_count FROM wp w JOIN documents ON doc_id = w.page_id LEFT JOIN lk ON matched AND lk.join_key = w.join_key AND lk.entity_type = CASE WHEN w.page_id % 2 = 0 THEN 'place' WHEN w.page_id % 5 = 0 THEN 'naves_entity' END)"
+
+
+@query(f"WITH {WIKI}, {EN} SELECT * FROM en")
+def enriched_documents(spark, d):
+    kind = F.when(F.col("document_id") % 2 == 0, "place").when(F.col("document_id") % 5 == 0, "naves_entity")
+    title = F.array_join(F.slice(T.tokens("text"), 1, 3), "_")
+    docs = _docs(spark, d).withColumn("entity_type", kind).withColumn("join_key", T.join_key(F.when(title != "", title)))
+    return entities.enrich(docs, _links(spark, d))
+
+
+@query(f"WITH {WIKI}, {EN} SELECT crawl_group, count(*) AS documents, count(wiki_title) AS enriched, round(100.0 * count(wiki_title) / count(*), 2) AS wiki_rate FROM en GROUP BY crawl_group")
+def enrichment_rate(spark, d):
+    return entities.enrichment_rate(enriched_documents(spark, d))
+
+
+@query(f"WITH {WIKI} SELECT count(*) AS pages, count(*) FILTER (redirect IS NULL) AS articles, count(redirect) AS redirects, round(avg(text_length) FILTER (redirect IS NULL), 4) AS avg_text_length, round(avg(section_count) FILTER (redirect IS NULL), 4) AS avg_section_count FROM wp")
+def wiki_profile(spark, d):
+    return wiki.profile(_wiki(spark, d), ["text_length", "section_count"])
+
+
+@query(f"WITH {WIKI} SELECT page_id, title, text_length FROM wp WHERE redirect IS NULL ORDER BY text_length DESC, page_id LIMIT 10")
+def wiki_top_text(spark, d):
+    return wiki.top_articles(_wiki(spark, d), "text_length")
+
+
+@query(f"WITH {WIKI} SELECT page_id, title, reference_count FROM wp WHERE redirect IS NULL ORDER BY reference_count DESC, page_id LIMIT 10")
+def wiki_top_refs(spark, d):
+    return wiki.top_articles(_wiki(spark, d), "reference_count")
+
+
+@query()
+def wiki_parse(spark, d):
+    """The documents as a dump of pages with markup, parsed."""
+    head = "<page><title>Doc %d</title><ns>0</ns><id>%d</id><revision><id>1</id><text>'''%s''' [[Category:%s]] == A == {{Infobox x|y}} <ref>z</ref> %s</text></revision></page>"
+    i = F.col("document_id")
+    return wiki.parse(_docs(spark, d).select(F.format_string(head, i, i, F.lit("b"), "crawl_group", F.regexp_replace("text", "[&<>]", " ")).alias("page")))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('[[' || source || '|' || lang || ']] ' || text, '\[\[([^|\]]+)\|([^\]]+)\]\]', '\2', 'g'), '''{2,5}', '', 'g'), '<[^>]+>', ' ', 'g'), '" + T.BLANK + "', ' ', 'g')) AS clean FROM documents")
+def clean_wikitext(spark, d):
+    t = _t(spark, d, "documents")
+    return t.select("doc_id", T.clean_wikitext(F.concat(F.lit("[["), "source", F.lit("|"), "lang", F.lit("]] "), "text")).alias("clean"))
+
+
+# ---- pages
+
+URLS = "u AS (SELECT page_id, 'https://' || lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) || regexp_replace(coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/'), '/{2,}', '/', 'g') AS url FROM pages)"
+
+
+@query(f"WITH {URLS} SELECT * FROM u")
+def url_canonical(spark, d):
+    return _t(spark, d, "pages").select("page_id", U.canonical(F.col("url"), F.col("url")).alias("url"))
+
+
+HREFS = """h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, unnest(x) AS href, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM pages)),
+lr AS (SELECT page_id, min(pos)::INT AS pos, 'https://' || lower(regexp_extract(root, '//(.*)$', 1)) || href AS url FROM h GROUP BY page_id, root, href),
+la AS (SELECT page_id, pos, url, 'ignored' AS kind, 'external_domain' AS reason, regexp_extract(url, '^https://([^/]+)', 1) AS category FROM lr)"""
+
+
+@query(f"WITH {HREFS} SELECT * FROM la")
+def link_rows(spark, d):
+    return links.link_rows(_t(spark, d, "pages"), "www.example.invalid")
+
+
+@query(f"WITH {HREFS} SELECT category, reason, count(DISTINCT url) AS urls FROM la GROUP BY ALL")
+def ignored_summary(spark, d):
+    return links.ignored_summary(links.link_rows(_t(spark, d, "pages"), "www.example.invalid"))
+
+
+@query()
+def frontier_next(spark, d):
+    """Pages' links read as commentary links of the site, less the URLs already crawled."""
+    p = _t(spark, d, "pages")
+    made = p.withColumn("html", F.regexp_replace("html", 'href="/[^"]*"', F.lit('href="/atlas/a.htm"'))).withColumn("html", F.concat("html", F.lit('<a href="/john/3-'), (F.col("page_id") % 40).cast("string"), F.lit('.htm">')))
+    made = made.withColumn("url", F.lit(f"https://{SITE}/"))
+    return links.next_frontier(links.link_rows(made, SITE), p.select(U.canonical(F.col("url"), F.col("url")).alias("url")), SITE)
+
+
+@query()
+def extract_documents(spark, d):
+    """Pages read as atlas pages of the site: the article under the section's marker."""
+    p = _t(spark, d, "pages")
+    made = p.select(F.concat(F.lit(f"https://{SITE}/atlas/p"), "page_id", F.lit(".htm")).alias("url"), F.regexp_replace("html", "<article>", "<article><p>Encyclopedia</p>").alias("html"))
+    return extract.extract_documents(made, SITE)
+
+
+@query()
+def extraction_summary(spark, d):
+    return extract.summary(extract_documents(spark, d))
