@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, small_side, staged, texts
+from .common import small_side, staged, texts
 
 #: Edits up to which two lines are the same, and the length (code points) from which lines take part.
 EDITS, MIN_CHARS = 2, 32
@@ -84,34 +84,44 @@ def edit_distance(edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), start, step, lambda s: s["dist"])
 
 
+#: Letters whose counts bound the distance from below: an edit changes them by two in all at most.
+LETTERS = "enrtiasoul"
+
+
+def letter_counts(column: str) -> Column:
+    return F.array(*[F.length(column) - F.length(F.replace(F.col(column), F.lit(c), F.lit(""))) for c in LETTERS])
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version (hash of the text), pos, line (trimmed), key and len of each line that takes part."""
-    out = docs.select("doc_id", F.md5("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    out = out.withColumn("line", F.btrim("line", F.lit(SPACE))).withColumn("len", F.length("line")).filter(F.col("len") >= MIN_CHARS)
+    """doc_id, version (hash of the text), pos, line, key and len of each line that takes part."""
+    out = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    out = out.withColumn("len", F.length("line")).filter(F.col("len") >= MIN_CHARS)
     return out.withColumn("key", F.xxhash64("line"))
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, version and the positions of the lines of docs (doc_id, text) that repeat an earlier line.
 
-    Lines are trimmed and told by a 64-bit hash. Each distinct line of MIN_CHARS or more has a first occurrence, by
+    Lines are told by a 64-bit hash. Each distinct line of MIN_CHARS or more has a first occurrence, by
     (doc_id, version, pos). A line goes if it is not that first one, or if a distinct line within `edits` edits has
-    an earlier first occurrence. Candidates share a segment at a fitting place; they are verified on their texts.
+    an earlier first occurrence. Candidates share a segment at a fitting place and have nearly the same letter
+    counts; they are verified on their texts.
     """
     lines = _lines(docs)
+    here = F.struct("doc_id", "version", "pos")
     narrow = staged(lines.select("doc_id", "version", "pos", "key"), "line-keys")
-    firsts = narrow.groupBy("key").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"), F.count("*").alias("n"))
-    repeated = staged(firsts.filter("n > 1").select("key"), "repeated")
-    side = small_side(repeated, KEYS)
-    once = lines.select("line", "len", "key").join(side, "key", "left_anti")
-    twice = lines.select("line", "len", "key").join(side, "key", "left_semi").dropDuplicates(["key"])
-    distinct = once.unionByName(twice)
-    index = distinct.select("key", F.explode(F.array(*indexed(edits))).alias("h"))
-    probe = distinct.select(F.col("key").alias("other"), F.explode(F.array_distinct(F.array_compact(F.array(*probes(edits))))).alias("h"))
-    pairs = staged(index.join(probe, "h").filter("key <> other").select("key", "other").distinct(), "line-pairs")
+    firsts = narrow.groupBy("key").agg(F.min(here).alias("first"), F.count("*").alias("n"))
+    side = small_side(staged(firsts.filter("n > 1").select("key", "first"), "repeated"), KEYS)
+    distinct = lines.join(side, "key", "left").filter(F.col("first").isNull() | (F.col("first") == here)).select("key", "line", "len", letter_counts("line").alias("letters"))
+    distinct = staged(distinct, "lines")
+    index = distinct.select("key", "letters", F.explode(F.array(*indexed(edits))).alias("h"))
+    probe = distinct.select(F.col("key").alias("other"), F.col("letters").alias("others"), F.explode(F.array(*probes(edits))).alias("h")).filter("h is not null")
+    apart = sum((F.abs(F.get("letters", F.lit(i)) - F.get("others", F.lit(i))) for i in range(1, len(LETTERS))), F.abs(F.get("letters", F.lit(0)) - F.get("others", F.lit(0))))
+    met = index.join(probe, (index["h"] == probe["h"]) & (F.col("key") != F.col("other")) & (apart <= 2 * edits))
+    pairs = staged(met.select("key", "other").distinct(), "line-pairs")
 
     wanted = staged(pairs.select("key").union(pairs.select("other")).distinct(), "pair-keys")
-    found = staged(lines.select("key", "line").join(small_side(wanted, KEYS), "key", "left_semi").dropDuplicates(["key"]), "pair-lines")
+    found = staged(distinct.select("key", "line").join(small_side(wanted, KEYS), "key", "left_semi").dropDuplicates(["key"]), "pair-lines")
     both = pairs.join(found.toDF("key", "a"), "key").join(found.toDF("other", "b"), "other").filter("length(a) <= length(b)")
     both = both.withColumn("_m", F.length("a")).withColumn("_n", F.length("b")).withColumn("_x", F.split("a", "")).withColumn("_y", F.split("b", ""))
     both = staged(both.select("key", "other", "_m", "_n", "_x", "_y"), "line-candidates")  # else the split moves into the walk over it
@@ -123,7 +133,6 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     first_of = firsts.filter("n > 1").select("key", "first")
     verdict = first_of.join(late.withColumn("late", F.lit(True)), "key", "full").select("key", "first", F.coalesce("late", F.lit(False)).alias("late"))
     verdict = small_side(staged(verdict, "line-verdicts"), KEYS)
-    here = F.struct("doc_id", "version", "pos")
     gone = narrow.join(verdict, "key").filter(F.col("late") | (here != F.col("first")))
     return gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("gone"))
 
@@ -137,7 +146,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     docs = texts(docs)
     gone = repeated_lines(docs.select("doc_id", "text"), edits).select(F.col("doc_id").alias("_d"), "version", "gone")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]) & (F.md5(docs["text"]) == gone["version"]), "left")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]) & (F.xxhash64(docs["text"]) == gone["version"]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return joined.withColumns(
         {"text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept), "n_lines": F.size(F.split("text", "\n")).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
@@ -147,7 +156,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 def sql(table: str = "documents") -> str:
     return f"""
 d AS (SELECT doc_id, md5(coalesce(text, '')) AS version, coalesce(text, '') AS t FROM {table}),
-l AS (SELECT doc_id, version, i AS pos, ls[i] AS raw, trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT *, string_split(t, chr(10)) AS ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d)),
+l AS (SELECT doc_id, version, i AS pos, ls[i] AS raw, ls[i] AS line FROM (SELECT *, string_split(t, chr(10)) AS ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d)),
 f AS (SELECT line, min((doc_id, version, pos)) AS first FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line),
 part AS (SELECT line, first, n, k, 1 + n * k // {EDITS + 1} AS s, n * (k + 1) // {EDITS + 1} - n * k // {EDITS + 1} AS z FROM (SELECT *, length(line) AS n, unnest(range({EDITS + 1})) AS k FROM f)),
 own AS (SELECT line, first, n, k, substr(line, s, z) AS g FROM part),

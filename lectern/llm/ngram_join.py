@@ -57,7 +57,7 @@ def _prefixes(size: int, percent: int):
         for batch in slices(batches, "text"):
             h, doc, n = _unique(batch.column("text"), size)
             ends = np.concatenate(([0], np.cumsum(n)))
-            length = np.minimum(n, prefix_length(n, percent) * 3 // 2 + 8)
+            length = np.minimum(n, prefix_length(n, percent) * 5 // 4 + 4)
             mine = np.arange(len(h)) - ends[doc] < length[doc]
             cut = np.concatenate(([0], np.cumsum(length)))
             wide = [pa.array(_key(v, e), pa.binary()) for v, e in ((h, ends), (h[mine], cut))]
@@ -108,7 +108,7 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     Sets hold 64-bit hashes of shingles. Rows with equal sets are one node, and nodes with the same extended prefix
     and size one group, which enters the index once. The order of shingles is by hash, heavy ones last; a prefix in
-    this order is read off the extended prefix (half as long again as a prefix) where enough of that is not heavy.
+    this order is read off the extended prefix (a quarter longer than a prefix) where enough of that is not heavy.
     Groups that meet under a light shingle (fewer than HEAVY groups do) give all pairs of fitting size. Groups with
     mostly heavy shingles are matched by hash order instead: under each of their shingles, every group is verified
     against one pivot, then against a second one outside the first one's component; what is still in several
@@ -128,13 +128,13 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     sets = staged(nodes.join(heads, ["n", "head"]).select("node", "n", "set", "first_id", F.when(F.col("c") <= GROUP, F.col("g")).otherwise(F.col("node")).alias("group")), "groups")
 
     p = F.expr(f"n - int(({percent} * n + 99) div 100) + 1")
-    entries = live.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = live.select("row", F.posexplode("prefix").alias("pos", "token"))
     often = entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    common = entries.join(often, "token").join(sets.select(F.col("group").alias("row")).distinct(), "row", "left_semi")
+    common = staged(entries.join(often, "token"), "common").join(sets.filter("group = node").select(F.col("group").alias("row"), "n"), "row")
     heavy = F.col("df") >= HEAVY
     behind = common.filter(heavy).groupBy("row").agg(F.collect_list("pos").alias("heavy"))  # within one prefix
     common = common.join(behind, "row", "left").withColumn("p", p).withColumn("heavy", F.coalesce("heavy", F.expr("cast(array() as array<int>)")))
-    light_left = F.least("n", F.expr("p * 3 div 2 + 8")) - F.size("heavy")
+    light_left = F.least("n", F.expr("p * 5 div 4 + 4")) - F.size("heavy")
     common = common.withColumn("dense", light_left < F.col("p")).withColumn("at", F.col("pos") - F.size(F.filter("heavy", lambda x: x < F.col("pos"))))
     by_rank = ~F.col("dense") & ~heavy & (F.col("at") < F.col("p"))
     common = staged(common.select("row", "n", "token", "dense", by_rank.alias("light"), (F.col("pos") < F.col("p")).alias("low")).filter("light or low"), "entries")
