@@ -85,11 +85,25 @@ def edit_distance(edits: int) -> Column:
 
 
 #: Letters whose counts bound the distance from below: an edit changes them by two in all at most.
-LETTERS = "enrtiasoul"
+LETTERS = "enrtiaso"
 
 
 def letter_counts(column: str) -> Column:
-    return F.array(*[F.length(column) - F.length(F.replace(F.col(column), F.lit(c), F.lit(""))) for c in LETTERS])
+    """Counts of LETTERS modulo 256, a byte each, in one long."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        count = (F.length(column) - F.length(F.replace(F.col(column), F.lit(c), F.lit("")))).cast("long")
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(255), 8 * i))
+    return out
+
+
+def letters_apart(a: str, b: str) -> Column:
+    """Sum of the differences of two letter counts, each the shorter way around modulo 256."""
+    out = F.lit(0)
+    for i in range(len(LETTERS)):
+        one, two = (F.shiftrightunsigned(F.col(c), 8 * i).bitwiseAND(255) for c in (a, b))
+        out = out + F.least(F.abs(one - two), 256 - F.abs(one - two))
+    return out
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -116,7 +130,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     distinct = staged(distinct, "lines")
     index = distinct.select("key", "letters", F.explode(F.array(*indexed(edits))).alias("h"))
     probe = distinct.select(F.col("key").alias("other"), F.col("letters").alias("others"), F.explode(F.array(*probes(edits))).alias("h")).filter("h is not null")
-    apart = sum((F.abs(F.get("letters", F.lit(i)) - F.get("others", F.lit(i))) for i in range(1, len(LETTERS))), F.abs(F.get("letters", F.lit(0)) - F.get("others", F.lit(0))))
+    apart = letters_apart("letters", "others")
     met = index.join(probe, (index["h"] == probe["h"]) & (F.col("key") != F.col("other")) & (apart <= 2 * edits))
     pairs = staged(met.select("key", "other").distinct(), "line-pairs")
 

@@ -141,8 +141,12 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     lists = common.filter("light").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("n", "row"))).alias("l")).filter(F.size("l") > 1)  # below HEAVY rows each
     fits = lambda a, b: 100 * a >= percent * b
-    tails = F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, F.size("l")), lambda y: fits(x["n"], y["n"])), lambda y: F.struct(x["row"].alias("x"), y["row"].alias("y"))))
-    pairs = lists.select(F.explode(F.flatten(tails)).alias("e")).select("e.x", "e.y").distinct()
+    tails = F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, F.size("l")), lambda y: fits(x["n"], y["n"])), lambda y: F.struct(x["row"].alias("x"), y["row"].alias("y"), x["n"].alias("n"), y["n"].alias("m"))))
+    pairs = lists.select(F.explode(F.flatten(tails)).alias("e")).groupBy("e.x", "e.y", "e.n", "e.m").agg(F.count("*").alias("c"))
+    # Of the set whose prefix ends first, all shared shingles up to there are counted; the rest of it bounds what may follow.
+    behind_prefix = lambda v: f"int(({percent} * {v} + 99) div 100) - 1"
+    enough = f"{100 + percent} * (c + greatest({behind_prefix('n')}, {behind_prefix('m')})) >= {percent} * (n + m)"
+    pairs = pairs.filter(enough).select("x", "y")
 
     dense = common.filter("low").join(common.filter("dense and low").select("token").distinct(), "token", "left_semi").select("token", "row", "n", "dense")
     dense = staged(dense, "dense-lists")
