@@ -13,45 +13,34 @@ EDITS, MIN_CHARS = 2, 32
 KEYS = 500_000
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of the i-th (from 0) of edits + 1 segments of a line; the last ones are longer by one."""
-    k = edits + 1
-    size, longer = F.floor(length / k).cast("int"), F.pmod(length, F.lit(k)).cast("int")
-    first_long = F.lit(k) - longer
-    return size * i + F.greatest(F.lit(i) - first_long, F.lit(0)) + 1, size + (F.lit(i) >= first_long).cast("int")
-
-
-def indexed(edits: int) -> list[Column]:
-    """Hashes of a line's own segments with its length and their numbers."""
-    out = []
-    for i in range(edits + 1):
-        start, size = segment(F.col("len"), i, edits)
-        out.append(F.xxhash64("len", F.lit(i), F.substring("line", start, size)))
-    return out
-
-
-def probes(edits: int) -> list[Column]:
-    """Hashes of the substrings at which a line may hold a segment of a line as long or up to `edits` shorter.
+def segments(edits: int) -> list[tuple[int, int, int]]:
+    """(shorter by, segment, move) of each substring at which a line may hold a segment of a line as long or shorter.
 
     For segment i of a line shorter by d, the start may move by at most i edits from the left, and by at most
     edits - i from the right end; only starts that fit both are probed (multi-match-aware selection).
     """
-    out = []
-    for d in range(edits + 1):
-        other = F.col("len") - d
-        for i in range(edits + 1):
-            start, size = segment(other, i, edits)
-            for move in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                at = start + move
-                out.append(F.when((at >= 1) & (at + size - 1 <= F.col("len")), F.xxhash64(other.cast("int"), F.lit(i), F.substring("line", at, size))))
-    return out
+    return [(d, i, m) for d in range(edits + 1) for i in range(edits + 1) for m in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
+
+
+def substring_hashes(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """key, letters and h of each line (key, line, len, letters) at each place (shorter by, segment, move).
+
+    Segment i of n characters reaches from n * i / (edits + 1) to n * (i + 1) / (edits + 1), rounded down; h is of
+    the length n, i and the text there. The places are exploded first, so that one small expression hashes them all.
+    """
+    place = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(m).alias("m")) for d, i, m in places))
+    out = lines.select("key", "letters", "line", "len", F.explode(place).alias("p")).select("key", "letters", "line", "len", (F.col("len") - F.col("p.d")).alias("n"), "p.i", "p.m")
+    edge = lambda i: f"cast((n * {i}) div {edits + 1} as int)"
+    out = out.withColumn("at", F.expr(f"{edge('i')} + 1 + m")).withColumn("size", F.expr(f"{edge('(i + 1)')} - {edge('i')}"))
+    return out.filter("at >= 1 and at + size - 1 <= len").select("key", "letters", F.xxhash64("n", "i", F.expr("substring(line, at, size)")).alias("h"))
 
 
 def edit_distance(edits: int) -> Column:
     """Distance of the character arrays _x and _y of sizes _m <= _n, or more than `edits`: bit-parallel in a band.
 
     Bits of a small word stand for the 2 * edits + 1 rows around the diagonal and move down one row with each
-    character of b. The distance is first followed along the band's lower diagonal, then along the last row.
+    character of b. The distance is first followed along the band's lower diagonal, then along the last row. Beyond
+    3 * edits it stays as it is: from there the band can't come back to `edits`.
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
@@ -78,7 +67,7 @@ def edit_distance(edits: int) -> Column:
             return F.struct(up.cast("int").alias("up"), down.bitwiseAND(plus).cast("int").alias("down"), far.cast("int").alias("dist"))
 
         zero = lambda hits: ((hits.bitwiseAND(s["up"]) + s["up"]).bitwiseXOR(s["up"])).bitwiseOR(hits).bitwiseOR(s["down"]).bitwiseAND(full)
-        return let(let(let(F.get("_y", i), matched), zero), moved_on)
+        return F.when(s["dist"] > 3 * edits, s).otherwise(let(let(let(F.get("_y", i), matched), zero), moved_on))
 
     start = F.struct(F.lit((full >> edits) << edits).cast("int").alias("up"), F.lit(0).cast("int").alias("down"), F.lit(edits).cast("int").alias("dist"))
     return F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), start, step, lambda s: s["dist"])
@@ -124,12 +113,12 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     lines = _lines(docs)
     here = F.struct("doc_id", "version", "pos")
     narrow = staged(lines.select("doc_id", "version", "pos", "key"), "line-keys")
-    firsts = narrow.groupBy("key").agg(F.min(here).alias("first"), F.count("*").alias("n"))
-    side = small_side(staged(firsts.filter("n > 1").select("key", "first"), "repeated"), KEYS)
+    firsts = staged(narrow.groupBy("key").agg(F.min(here).alias("first"), F.count("*").alias("n")), "firsts")
+    side = small_side(firsts.filter("n > 1").select("key", "first"), KEYS)
     distinct = lines.join(side, "key", "left").filter(F.col("first").isNull() | (F.col("first") == here)).select("key", "line", "len", letter_counts("line").alias("letters"))
     distinct = staged(distinct, "lines")
-    index = distinct.select("key", "letters", F.explode(F.array(*indexed(edits))).alias("h"))
-    probe = distinct.select(F.col("key").alias("other"), F.col("letters").alias("others"), F.explode(F.array(*probes(edits))).alias("h")).filter("h is not null")
+    index = substring_hashes(distinct, [(0, i, 0) for i in range(edits + 1)], edits)
+    probe = substring_hashes(distinct, segments(edits), edits).toDF("other", "others", "h")
     apart = letters_apart("letters", "others")
     met = index.join(probe, (index["h"] == probe["h"]) & (F.col("key") != F.col("other")) & (apart <= 2 * edits))
     pairs = staged(met.select("key", "other").distinct(), "line-pairs")
