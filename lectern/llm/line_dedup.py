@@ -75,12 +75,14 @@ def edit_distance(edits: int) -> Column:
 
 #: Letters whose counts bound the distance from below: an edit changes them by two in all at most.
 LETTERS = "enrtiaso"
+#: Further letters, counted only in the lines of candidate pairs.
+MORE_LETTERS = "lduchmpg"
 
 
-def letter_counts(column: str) -> Column:
-    """Counts of LETTERS modulo 256, a byte each, in one long."""
+def letter_counts(column: str, letters: str = LETTERS) -> Column:
+    """Counts of eight letters modulo 256, a byte each, in one long."""
     out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
+    for i, c in enumerate(letters):
         count = (F.length(column) - F.length(F.replace(F.col(column), F.lit(c), F.lit("")))).cast("long")
         out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(255), 8 * i))
     return out
@@ -125,7 +127,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     wanted = staged(pairs.select("key").union(pairs.select("other")).distinct(), "pair-keys")
     found = staged(distinct.select("key", "line").join(small_side(wanted, KEYS), "key", "left_semi").dropDuplicates(["key"]), "pair-lines")
-    both = pairs.join(found.toDF("key", "a"), "key").join(found.toDF("other", "b"), "other").filter("length(a) <= length(b)")
+    both = pairs.join(found.toDF("key", "a"), "key").join(found.toDF("other", "b"), "other").filter("length(a) < length(b) or length(a) = length(b) and key < other")
+    both = both.withColumn("_l", letter_counts("a", MORE_LETTERS)).withColumn("_k", letter_counts("b", MORE_LETTERS)).filter(letters_apart("_l", "_k") <= 2 * edits)
     both = both.withColumn("_m", F.length("a")).withColumn("_n", F.length("b")).withColumn("_x", F.split("a", "")).withColumn("_y", F.split("b", ""))
     both = staged(both.select("key", "other", "_m", "_n", "_x", "_y"), "line-candidates")  # else the split moves into the walk over it
     similar = both.withColumn("dist", edit_distance(edits)).filter(F.col("dist") <= edits).select("key", "other").distinct()
