@@ -14,6 +14,10 @@ SHINGLE, PERCENT = 4, 85
 HEAVY = 32
 #: Documents of one prefix and size are one group while they hold at most so many distinct sets.
 GROUP = 8
+#: Counters of a sketch: the shingles of a set by the low bits of their hashes, each count up to 255.
+BINS = 128
+#: Pairs that one task verifies against a copy of their common set.
+STAR = 64
 #: Rows up to which the ids of candidates are broadcast to pick their texts; beyond that the texts are shuffled.
 CANDIDATES = 400_000
 
@@ -49,7 +53,7 @@ def prefix_length(n, percent: int):
 
 
 def _prefixes(size: int, percent: int):
-    """Task function: per row the number of shingles, a 128-bit hash of the set, one of its extended prefix, and that prefix."""
+    """Task function: per row the number of shingles, a 128-bit hash of the set, its sketch, a hash of the extended prefix, and that prefix."""
 
     def run(batches):
         import pyarrow as pa
@@ -61,39 +65,81 @@ def _prefixes(size: int, percent: int):
             mine = np.arange(len(h)) - ends[doc] < length[doc]
             cut = np.concatenate(([0], np.cumsum(length)))
             wide = [pa.array(_key(v, e), pa.binary()) for v, e in ((h, ends), (h[mine], cut))]
+            counts = np.minimum(np.bincount(doc * BINS + (h & (BINS - 1)), minlength=len(n) * BINS), 255).astype(np.uint8).reshape(len(n), BINS)
+            sketch = pa.array([c.tobytes() for c in counts], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n.astype(np.int32)), *wide, pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h[mine]))], names=["doc_id", "n", "set", "head", "prefix"]
+                [batch.column("doc_id"), pa.array(n.astype(np.int32)), *wide, sketch, pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h[mine]))], names=["doc_id", "n", "set", "head", "sketch", "prefix"]
             )
 
     return run
 
 
-def _sets(size: int):
-    """Task function: the whole sets, for the rows whose text has the set of the node."""
+def _counts(column) -> np.ndarray:
+    """The sketches of a binary column, a row each."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, BINS).astype(np.int16)
+
+
+def _distances(batches):
+    """Task function: the distance of two sketches, which their sets differ by at least."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if len(batch):
+            d = np.abs(_counts(batch.column("a")) - _counts(batch.column("b"))).sum(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), batch.column("t"), pa.array(d)], names=["x", "y", "t", "d"])
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """x, y, d (distance of the sketches) of pairs of sets, and whether they may link.
+
+    Sets of t shingles in all that reach `percent` differ by t * (100 - percent) / (100 + percent) shingles at most.
+    """
+    a, b = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(v)) for k, v in (("x", "a"), ("y", "b")))
+    both = pairs.join(a, "x").join(b, "y").select("x", "y", (F.col("nx") + F.col("ny")).alias("t"), "a", "b")
+    both = both.mapInArrow(_distances, "x long, y long, t int, d long")
+    return both.select("x", "y", "d", F.expr(f"{100 + percent} * d <= {100 - percent} * t").alias("near"))
+
+
+def _compared(size: int, percent: int):
+    """Task function: the links of each set with the common one (main), which comes first of its star and salt."""
 
     def run(batches):
         import pyarrow as pa
 
+        star, sets = None, []
         for batch in slices(batches, "text"):
             h, _, n = _unique(batch.column("text"), size)
             ends = np.concatenate(([0], np.cumsum(n)))
-            same = pa.array([a == b for a, b in zip(_key(h, ends), batch.column("set").to_pylist(), strict=True)])
-            made = pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h))], names=["node", "shingles"])
-            yield made.filter(same)
+            x, y = [], []
+            rows = zip(_key(h, ends), *(batch.column(c).to_pylist() for c in ("set", "x", "salt", "node", "main")), strict=True)
+            for i, (key, expected, center, salt, node, main) in enumerate(rows):
+                if key != expected:  # another text of the doc_id
+                    continue
+                mine = h[ends[i] : ends[i + 1]]
+                if main:
+                    star, sets = (center, salt), mine
+                elif star == (center, salt):
+                    at = np.minimum(np.searchsorted(sets, mine), len(sets) - 1)
+                    common = int((sets[at] == mine).sum())
+                    if 100 * common >= percent * (len(sets) + len(mine) - common):
+                        x.append(center)
+                        y.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
-    """x, y, far (Jaccard distance) of candidate pairs, and whether they link, from their whole sets."""
-    needed = staged(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(sets.select("node", "first_id", "set"), "node"), "needed")
-    chosen = docs.join(small_side(needed.select("node", F.col("first_id").alias("doc_id"), "set"), CANDIDATES), "doc_id")
-    # A doc_id may stand at several texts, and a text at several rows.
-    whole = chosen.select("node", "set", "text").mapInArrow(_sets(size), "node long, shingles array<long>").dropDuplicates(["node"])
-    whole = staged(whole, "sets")
-    joined = pairs.join(whole.toDF("x", "a"), "x").join(whole.toDF("y", "b"), "y")
-    both = joined.select("x", "y", (F.size("a") + F.size("b")).alias("t"), F.size(F.array_intersect("a", "b")).alias("i"))
-    return staged(both.select("x", "y", (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("far"), F.expr(f"100 * i >= {PERCENT} * (t - i)").alias("link")), "verified")
+def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (x, y) that link, from their whole texts. The text of y is sent to that of x, once for STAR pairs."""
+    pairs = staged(pairs.select("x", "y"), "pairs")
+    many = pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR).alias("many"))
+    dealt = pairs.join(many, "x").select("x", F.col("y").alias("node"), F.pmod(F.xxhash64("y"), F.col("many")).cast("int").alias("salt"))
+    roles = dealt.withColumn("main", F.lit(False)).union(dealt.select("x", F.col("x").alias("node"), "salt").distinct().withColumn("main", F.lit(True)))
+    roles = staged(roles.join(sets.select("node", "first_id", "set"), "node").select(F.col("first_id").alias("doc_id"), "set", "x", "salt", "node", "main"), "roles")
+    sent = docs.join(small_side(roles, CANDIDATES), "doc_id").select("x", "salt", "main", "node", "set", "text")
+    sent = sent.repartition("x", "salt").sortWithinPartitions("x", "salt", F.desc("main"))
+    return staged(sent.mapInArrow(_compared(size, percent), "x long, y long").distinct(), "links")
 
 
 def _expanded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -109,28 +155,30 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     Sets hold 64-bit hashes of shingles. Rows with equal sets are one node, and nodes with the same extended prefix
     and size one group, which enters the index once. The order of shingles is by hash, heavy ones last; a prefix in
     this order is read off the extended prefix (a quarter longer than a prefix) where enough of that is not heavy.
-    Groups that meet under a light shingle (fewer than HEAVY groups do) give all pairs of fitting size. Groups with
-    mostly heavy shingles are matched by hash order instead: under each of their shingles, every group is verified
-    against one pivot, then against a second one outside the first one's component; what is still in several
-    components is paired only where the distances to the pivot allow a link (Jaccard distance is a metric). No link
-    between components is missed, and none within one is needed. Groups are then expanded and verified on whole sets.
+    Groups that meet under a light shingle (fewer than HEAVY groups do) give all pairs of fitting size, and are
+    expanded to their nodes. Nodes with mostly heavy shingles are matched by hash order instead: each is paired with
+    one pivot under each of its shingles. Pairs whose sketches differ too much to link are left out. Each node is
+    verified with its nearest partner first, then what is left between different components. Lists of heavy shingles
+    that still hold several components are paired where the distances of sketches to the pivot allow a link. No link
+    between components is missed, and none within one is needed.
 
     Null texts, texts without words and rows with a null doc_id link to nothing (component_id is the row's own
     doc_id). Repeated rows are all returned; a doc_id with several texts stands in several nodes.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    first = staged(docs.mapInArrow(_prefixes(size, percent), f"doc_id {kind}, n int, set binary, head binary, prefix array<long>").withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    first = staged(docs.mapInArrow(_prefixes(size, percent), f"doc_id {kind}, n int, set binary, head binary, sketch binary, prefix array<long>").withColumn("row", F.monotonically_increasing_id()), "prefixes")
     live = first.filter("n > 0 and doc_id is not null")
-    nodes = live.groupBy("set", "n", "head").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"))
-    nodes = staged(nodes, "nodes")
+    nodes = staged(live.groupBy("set", "n", "head").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "nodes")
     heads = nodes.groupBy("n", "head").agg(F.min("node").alias("g"), F.count("*").alias("c"))
-    sets = staged(nodes.join(heads, ["n", "head"]).select("node", "n", "set", "first_id", F.when(F.col("c") <= GROUP, F.col("g")).otherwise(F.col("node")).alias("group")), "groups")
+    grouped = nodes.join(heads, ["n", "head"]).select("node", "n", "set", "first_id", F.when(F.col("c") <= GROUP, F.col("g")).otherwise(F.col("node")).alias("group"))
+    sets = staged(grouped.join(live.select(F.col("row").alias("node"), "sketch"), "node"), "groups")
 
     p = F.expr(f"n - int(({percent} * n + 99) div 100) + 1")
-    entries = live.select("row", F.posexplode("prefix").alias("pos", "token"))
+    index = sets.filter("group = node").select(F.col("group").alias("row"))
+    entries = live.join(index, "row").select("row", "n", F.posexplode("prefix").alias("pos", "token"))
     often = entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    common = staged(entries.join(often, "token"), "common").join(sets.filter("group = node").select(F.col("group").alias("row"), "n"), "row")
+    common = staged(entries.join(often, "token"), "common")
     heavy = F.col("df") >= HEAVY
     behind = common.filter(heavy).groupBy("row").agg(F.collect_list("pos").alias("heavy"))  # within one prefix
     common = common.join(behind, "row", "left").withColumn("p", p).withColumn("heavy", F.coalesce("heavy", F.expr("cast(array() as array<int>)")))
@@ -148,47 +196,49 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     enough = f"{100 + percent} * (c + greatest({behind_prefix('n')}, {behind_prefix('m')})) >= {percent} * (n + m)"
     pairs = pairs.filter(enough).select("x", "y")
 
-    dense = common.filter("low").join(common.filter("dense and low").select("token").distinct(), "token", "left_semi").select("token", "row", "n", "dense")
-    dense = staged(dense, "dense-lists")
-    pivot = dense.groupBy("token").agg(F.min_by(F.struct("row", "n"), F.struct("n", "row")).alias("o")).select("token", F.col("o.row").alias("pivot"))
-    star = dense.join(pivot, "token").filter("row <> pivot").select(F.least("row", "pivot").alias("x"), F.greatest("row", "pivot").alias("y")).distinct()
-
+    dense = common.filter("low").join(common.filter("dense and low").select("token").distinct(), "token", "left_semi").select("token", F.col("row").alias("group"), "dense")
+    dense = staged(dense.join(sets.select("group", "node", "n"), "group").select("token", "node", "n", "dense"), "dense-lists")
+    pivot = dense.groupBy("token").agg(F.min_by("node", F.struct("n", "node")).alias("pivot"))
+    star = dense.join(pivot, "token").filter("node <> pivot").select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
     inside = sets.filter("group <> node").select(F.col("group").alias("x"), F.col("group").alias("y")).distinct()
-    known = _verified(staged(_expanded(pairs.union(star).union(inside).distinct(), sets), "pairs"), docs, sets, size)
-    links = known.filter("link").select("x", "y")
-    labels = components(links)
+    tried = staged(_measured(_expanded(pairs.union(inside), sets).union(star).distinct(), sets, percent), "measured")
 
-    # Lists that still hold several components.
-    def with_labels(entries: DataFrame, labels: DataFrame) -> DataFrame:
-        return entries.join(labels.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    near = tried.filter("near")
+    partner = near.select("x", "y", "d").union(near.select("y", "x", "d")).groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))
+    links = _linked(partner.select(F.col("y").alias("x"), F.col("x").alias("y")), docs, sets, size, percent)
+    labels = staged(components(links), "labels")
+
+    def between(pairs: DataFrame) -> DataFrame:
+        """Pairs of different components."""
+        for k in ("x", "y"):
+            pairs = pairs.join(labels.toDF(k, f"c{k}"), k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k))
+        return pairs.filter("cx <> cy").select("x", "y")
 
-    def open_lists(entries: DataFrame) -> DataFrame:
-        several = entries.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max(F.col("dense").cast("int")).alias("d")).filter("a <> b and d = 1").select("token")
-        return entries.join(several, "token", "left_semi")
+    done = partner.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    links = links.union(_linked(between(near).join(done, ["x", "y"], "left_anti"), docs, sets, size, percent))
+    labels = staged(components(links), "labels")
 
-    left = staged(open_lists(with_labels(dense, labels)), "open-lists")
+    # Lists that still hold several components.
+    marked = dense.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = marked.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("dense").alias("any")).filter("a <> b and any").select("token")
+    left = staged(marked.join(several, "token", "left_semi").join(pivot, "token"), "open-lists")
     if left.limit(1).count():
-        marked = left.join(pivot, "token")
-        outside = marked.join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("pc")), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot")).filter("component <> pc")
-        second = outside.groupBy("token").agg(F.min_by("row", F.struct("n", "row")).alias("second"))
-        star = left.join(second, "token").filter("row <> second").select(F.least("row", "second").alias("x"), F.greatest("row", "second").alias("y")).distinct()
-        more = _verified(staged(_expanded(star, sets).join(known, ["x", "y"], "left_anti"), "pairs"), docs, sets, size)
-        known = staged(known.union(more), "known")
-        labels = components(known.filter("link").select("x", "y"))
-        left = open_lists(with_labels(left.drop("component"), labels))
-        far = known.select("x", "y", "far").union(known.select("y", "x", "far"))
-        placed = left.join(pivot, "token").join(far.toDF("row", "pivot", "far"), ["row", "pivot"], "left")
-        reach = 1 - percent / 100
-        placed = placed.withColumn("far", F.when(F.col("row") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far"))).withColumn("band", F.floor(F.col("far") / reach).cast("int"))
-        placed = staged(placed.filter("far is not null").select("token", "row", "n", "dense", "component", "far", "band"), "placed")
+        far = tried.select("x", "y", "d").union(tried.select("y", "x", "d")).toDF("node", "pivot", "d")
+        placed = left.join(far, ["node", "pivot"], "left").withColumn("d", F.when(F.col("node") == F.col("pivot"), F.lit(0)).otherwise(F.col("d")))
+        # Sets that link are of one size class or of two adjacent ones; a step of a class and the next is what they may differ by.
+        ratio = 100 / percent
+        placed = placed.withColumn("class", F.floor(F.log("n") / F.log(F.lit(ratio)) + 1e-9).cast("int")).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+        step = F.ceil(2 * F.pow(F.lit(ratio), F.col("class") + 2) * (100 - percent) / (100 + percent)) + 1
+        placed = staged(placed.withColumn("step", step).select("token", "node", "n", "dense", "component", "class", "step", "d", F.floor(F.col("d") / F.col("step")).alias("band")), "placed")
         here = placed.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-        a, b = (t.toDF("token", "r" + s, "n" + s, "d" + s, "c" + s, "f" + s, "band") for t, s in ((placed, "1"), (here, "2")))
-        met = a.join(b, ["token", "band"]).filter(f"r1 <> r2 and c1 <> c2 and (d1 or d2) and 100 * least(n1, n2) >= {percent} * greatest(n1, n2) and abs(f1 - f2) <= {reach} + 1e-9")
-        rest = met.select(F.least("r1", "r2").alias("x"), F.greatest("r1", "r2").alias("y")).distinct()
-        last = _verified(staged(_expanded(rest, sets).join(known, ["x", "y"], "left_anti"), "pairs"), docs, sets, size)
-        labels = components(known.union(last).filter("link").select("x", "y"))
+        keys = ["token", "class", "band"]
+        a, b = (t.select(*keys, *(F.col(c).alias(c + s) for c in ("node", "n", "dense", "component", "d"))) for t, s in ((placed, "1"), (here, "2")))
+        apart = f"{100 + percent} * abs(d1 - d2) <= {100 - percent} * (n1 + n2) and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
+        met = a.join(b, keys).filter(f"component1 <> component2 and (dense1 or dense2) and {apart}")
+        rest = staged(met.select(F.least("node1", "node2").alias("x"), F.greatest("node1", "node2").alias("y")).distinct(), "rest").join(tried.select("x", "y"), ["x", "y"], "left_anti")
+        links = links.union(_linked(_measured(rest, sets, percent).filter("near"), docs, sets, size, percent))
+        labels = staged(components(links), "labels")
 
-    labels = staged(labels, "labels")
     named = sets.select("node", "set", "n", "first_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_set = named.join(least, "component").select("set", "n", "component_id")
