@@ -142,6 +142,38 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, perce
     return staged(sent.mapInArrow(_compared(size, percent), "x long, y long").distinct(), "links")
 
 
+def _whole(size: int):
+    """Task function: the whole sets, for the rows whose text has the set of the node."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            h, _, n = _unique(batch.column("text"), size)
+            ends = np.concatenate(([0], np.cumsum(n)))
+            same = pa.array([a == b for a, b in zip(_key(h, ends), batch.column("set").to_pylist(), strict=True)], pa.bool_())
+            made = pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h))], names=["node", "text_id", "shingles"])
+            yield made.filter(same)
+
+    return run
+
+
+def _rare_first(nodes: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """token, node and n: of each of the nodes a prefix of its whole set, in the order of counts among them, then of hashes.
+
+    Shingles of one set only come first and meet nothing, so that they are counted but not sent on.
+    """
+    wanted = staged(nodes.join(sets.select("node", F.col("first_id").alias("doc_id"), "set"), "node"), "open-sets")
+    chosen = docs.join(small_side(wanted, CANDIDATES), "doc_id").select("node", "set", "text", F.monotonically_increasing_id().alias("text_id"))
+    whole = staged(chosen.mapInArrow(_whole(size), "node long, text_id long, shingles array<long>"), "open-shingles")
+    one = whole.groupBy("node").agg(F.min("text_id").alias("text_id"))  # a text may stand at several rows
+    every = whole.join(one, ["node", "text_id"], "left_semi").select("node", F.explode("shingles").alias("token"))
+    shared = every.join(every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
+    lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("l")).join(sets.select("node", "n"), "node")
+    length = F.expr(f"greatest(n - int(({percent} * n + 99) div 100) + 1 - (n - size(l)), 0)")
+    return lists.select("node", "n", F.explode(F.slice("l", F.lit(1), length)).alias("e")).select("e.token", "node", "n")
+
+
 def _expanded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of sets from pairs of groups; a group is at most GROUP sets."""
     a, b = sets.select(F.col("group").alias("x"), F.col("node").alias("p")), sets.select(F.col("group").alias("y"), F.col("node").alias("q"))
@@ -158,9 +190,10 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     Groups that meet under a light shingle (fewer than HEAVY groups do) give all pairs of fitting size, and are
     expanded to their nodes. Nodes with mostly heavy shingles are matched by hash order instead: each is paired with
     one pivot under each of its shingles. Pairs whose sketches differ too much to link are left out. Each node is
-    verified with its nearest partner first, then what is left between different components. Lists of heavy shingles
-    that still hold several components are paired where the distances of sketches to the pivot allow a link. No link
-    between components is missed, and none within one is needed.
+    verified with its nearest partner first, then what is left between different components. The nodes of lists of
+    heavy shingles that still hold several components are matched anew, by prefixes of their whole sets with rare
+    shingles first: under a pivot each, then in pairs where the distances of sketches to the pivot allow a link. No
+    link between components is missed, and none within one is needed.
 
     Null texts, texts without words and rows with a null doc_id link to nothing (component_id is the row's own
     doc_id). Repeated rows are all returned; a doc_id with several texts stands in several nodes.
@@ -218,24 +251,33 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     links = links.union(_linked(between(near).join(done, ["x", "y"], "left_anti"), docs, sets, size, percent))
     labels = staged(components(links), "labels")
 
-    # Lists that still hold several components.
-    marked = dense.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = marked.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("dense").alias("any")).filter("a <> b and any").select("token")
-    left = staged(marked.join(several, "token", "left_semi").join(pivot, "token"), "open-lists")
+    def opened(entries: DataFrame, wanted: str = "true") -> DataFrame:
+        """Entries (token, node) of lists that still hold several components, with their component."""
+        marked = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = marked.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.expr(f"max({wanted})").alias("any")).filter("a <> b and any").select("token")
+        return marked.join(several, "token", "left_semi")
+
+    # Sets of lists that still hold several components: a prefix of all their shingles, rare ones among them first.
+    left = staged(opened(dense, "dense").select("node").distinct(), "open")
     if left.limit(1).count():
-        far = tried.select("x", "y", "d").union(tried.select("y", "x", "d")).toDF("node", "pivot", "d")
-        placed = left.join(far, ["node", "pivot"], "left").withColumn("d", F.when(F.col("node") == F.col("pivot"), F.lit(0)).otherwise(F.col("d")))
+        entries = staged(_rare_first(left, docs, sets, size, percent), "rare-first")
+        pivot = entries.groupBy("token").agg(F.min_by("node", F.struct("n", "node")).alias("pivot"))
+        entries = staged(opened(entries).drop("component").join(pivot, "token"), "open-lists")
+        star = staged(_measured(entries.filter("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), sets, percent), "star")
+        links = links.union(_linked(between(star.filter("near")), docs, sets, size, percent))
+        labels = staged(components(links), "labels")
+        placed = opened(entries).join(star.select(F.col("x").alias("pivot"), F.col("y").alias("node"), "d"), ["node", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
         # Sets that link are of one size class or of two adjacent ones; a step of a class and the next is what they may differ by.
         ratio = 100 / percent
         placed = placed.withColumn("class", F.floor(F.log("n") / F.log(F.lit(ratio)) + 1e-9).cast("int")).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
         step = F.ceil(2 * F.pow(F.lit(ratio), F.col("class") + 2) * (100 - percent) / (100 + percent)) + 1
-        placed = staged(placed.withColumn("step", step).select("token", "node", "n", "dense", "component", "class", "step", "d", F.floor(F.col("d") / F.col("step")).alias("band")), "placed")
+        placed = staged(placed.withColumn("band", F.floor(F.col("d") / step)).select("token", "node", "n", "component", "class", "d", "band"), "placed")
         here = placed.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
         keys = ["token", "class", "band"]
-        a, b = (t.select(*keys, *(F.col(c).alias(c + s) for c in ("node", "n", "dense", "component", "d"))) for t, s in ((placed, "1"), (here, "2")))
+        a, b = (t.select(*keys, *(F.col(c).alias(c + s) for c in ("node", "n", "component", "d"))) for t, s in ((placed, "1"), (here, "2")))
         apart = f"{100 + percent} * abs(d1 - d2) <= {100 - percent} * (n1 + n2) and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
-        met = a.join(b, keys).filter(f"component1 <> component2 and (dense1 or dense2) and {apart}")
-        rest = staged(met.select(F.least("node1", "node2").alias("x"), F.greatest("node1", "node2").alias("y")).distinct(), "rest").join(tried.select("x", "y"), ["x", "y"], "left_anti")
+        met = a.join(b, keys).filter(f"component1 <> component2 and {apart}")
+        rest = staged(met.select(F.least("node1", "node2").alias("x"), F.greatest("node1", "node2").alias("y")).distinct(), "rest")
         links = links.union(_linked(_measured(rest, sets, percent).filter("near"), docs, sets, size, percent))
         labels = staged(components(links), "labels")
 
