@@ -1,23 +1,30 @@
-"""Main text of web pages: page structure, and a suffix array of each host's pages that finds repeated boilerplate."""
+"""Main text of web pages: page structure, and the word runs that a host's pages repeat, in their main part and outside."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import _BASE, Words, mix, slices, small_side, staged
 
 #: Words of a repeated run at least, and distinct pages of a host that must have it.
 RUN, MIN_PAGES = 5, 3
+#: Words of a repeated run in a main part at least: common phrases of prose are shorter.
+MAIN_RUN = 8
+#: Bits of the table of repeated anchors, a power of two; a false hit there costs time and changes nothing.
+ANCHOR_BITS = 1 << 27
+#: Pages with repeated runs up to which these are broadcast; beyond that the join shuffles.
+PAGES = 50_000
 
 # Elements by role, and names in class, id or role that mark boilerplate.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "math", "textarea", "title"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "figure"}
+DROPPED = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "dialog", "menu"}
 BLOCKS = {
     "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
-    "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td",
+    "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td",
     "tfoot", "th", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -27,15 +34,18 @@ MARKS = {
     "notices", "pagination", "popup", "promo", "promotion", "related", "replies", "reply", "share", "sharing", "sidebar", "signup", "skip",
     "social", "sponsor", "sponsored", "subscribe", "widget",
 }
+#: In a main part, names on these mark nothing: they hold its own text.
+OWN = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figure", "figcaption", "main"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, own: bool) -> bool:
+    """Whether a name marks boilerplate. own: of a main part, where an id is an anchor that a title gave."""
     if "=" not in attributes:
         return False
-    return any(not MARKS.isdisjoint(_SPLIT.split("".join(m).lower())) for m in _NAMES.findall(attributes))
+    return any(not MARKS.isdisjoint(_SPLIT.split("".join(m[1:]).lower())) for m in _NAMES.findall(attributes) if not (own and m[0].lower() == "id"))
 
 
 def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
@@ -89,7 +99,8 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
                 is_dropped, is_main = any(x[1] for x in stack), any(x[2] for x in stack)
         if name in VOID or found[3].rstrip().endswith("/") or name in ("html", "body"):
             continue
-        bad = name in DROPPED or _marked(found[3])
+        own = is_main or name in ("article", "main")
+        bad = name in DROPPED or not (own and name in OWN) and _marked(found[3], own)
         begins_main = name in ("article", "main") and not bad
         if bad and not block:
             close_block()
@@ -102,7 +113,7 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
 
 
 def _parse(run: int):
-    """Task function: main text, loose blocks, and the suffixes of the page's stream outside its main part, cut at `run` words."""
+    """Task function: main text, blocks outside it, and the suffixes of the page's stream outside its main part, cut at `run` words."""
 
     def task(batches):
         import hashlib
@@ -110,23 +121,138 @@ def _parse(run: int):
         import pyarrow as pa
 
         for batch in batches:
-            rows = {"text": [], "loose": [], "suffixes": []}
+            rows = {"text": [], "outside": [], "suffixes": []}
             for page in batch.column("html").to_pylist():
                 main, dropped, loose = blocks(page or "")
                 stream = [w for b in (dropped + loose if main else loose + dropped) for w in b.split()]
                 keys = {int.from_bytes(hashlib.blake2b("\0".join(stream[i : i + run]).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for i in range(len(stream) - run + 1)}
                 rows["text"].append("\n".join(main) if main else None)
-                rows["loose"].append([] if main else loose)
+                rows["outside"].append(dropped + loose if main else loose)
                 rows["suffixes"].append(sorted(keys))
             strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(rows["text"], pa.string()), pa.array(rows["loose"], strings), pa.array(rows["suffixes"], pa.list_(pa.int64()))],
-                names=["page_id", "url", "host", "text", "loose", "suffixes"],
+                [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(rows["text"], pa.string()), pa.array(rows["outside"], strings), pa.array(rows["suffixes"], pa.list_(pa.int64()))],
+                names=["page_id", "url", "host", "text", "outside", "suffixes"],
             )
 
     return task
 
 
+def _windows(words: Words, host: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the n words from each word on, with its text's host in it, and whether the text has that many."""
+    m = max(len(words.hashes) - n + 1, 0)
+    h = host[words.doc[:m]]
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            h = mix(h * _BASE + words.hashes[i : i + m])
+    return h, words.doc[:m] == words.doc[n - 1 : n - 1 + m]
+
+
+def _anchored(main, outside, host, run: int, long: int):
+    """Page, hash and anchor of each run of `long` words of the pages' main parts and of what stands outside.
+
+    The anchor is the least hash of the runs of `run` words in it, so equal long runs have equal anchors.
+    """
+    import pyarrow as pa
+
+    words = Words(pa.array([t for a, b in zip(main, outside, strict=True) for t in (a or "", "\n".join(b or ()))], pa.string()))
+    host = np.repeat(np.asarray(host, np.int64).view(np.uint64), 2)
+    whole, ok = _windows(words, host, long)
+    short, _ = _windows(words, host, run)
+    anchor = np.minimum.reduce([short[k : k + len(whole)] for k in range(long - run + 1)]) if len(whole) else whole
+    return words.doc[: len(whole)][ok] // 2, whole[ok].view(np.int64), anchor[ok].view(np.int64)
+
+
+def _keys(rows: np.ndarray, keys: np.ndarray, n: int):
+    """The distinct keys of each of n rows as an Arrow list."""
+    import pyarrow as pa
+
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
+    rows, keys = rows[first], keys[first]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), pa.array(keys, pa.int64()))
+
+
+def _anchors(run: int, long: int):
+    """Task function: the distinct anchors of each page."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            row, _, anchor = _anchored(*(batch.column(c).to_pylist() for c in ("text", "outside", "hosted")), run, long)
+            yield pa.RecordBatch.from_arrays([_keys(row, anchor, len(batch))], names=["anchors"])
+
+    return task
+
+
+def _candidates(table, run: int, long: int):
+    """Task function: the distinct long runs of each page whose anchor is in the table."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            row, whole, anchor = _anchored(*(batch.column(c).to_pylist() for c in ("text", "outside", "hosted")), run, long)
+            bit = anchor & (ANCHOR_BITS - 1)
+            hit = (table.value[bit >> 6] >> (bit & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("version"), _keys(row[hit], whole[hit], len(batch))], names=["row", "version", "windows"])
+
+    return task
+
+
+def _cut(long: int):
+    """Task function: main texts without the words that repeated long runs cover."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            main = batch.column("text").to_pylist()
+            words = Words(pa.array(main, pa.string()))
+            host = np.asarray(batch.column("hosted").to_pylist(), np.int64).view(np.uint64)
+            whole, ok = _windows(words, host, long)
+            known = np.asarray(batch.column("repeated").flatten(), np.int64)
+            covered = np.zeros(len(words.hashes) + 1, np.int64)
+            at = np.flatnonzero(ok & np.isin(whole.view(np.int64), known))
+            np.add.at(covered, at, 1)
+            np.add.at(covered, at + long, -1)
+            keep, k, out = np.cumsum(covered) == 0, 0, []
+            for text in main:
+                lines = []
+                for line in text.split("\n"):
+                    own = line.split(" ")
+                    left = [w for w, stays in zip(own, keep[k : k + len(own)], strict=True) if stays]
+                    k += len(own)
+                    if left:
+                        lines.append(" ".join(left))
+                out.append("\n".join(lines))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    return task
+
+
+def _repeated_in_main(parsed: DataFrame, run: int, long: int, min_pages: int) -> DataFrame:
+    """row and the long runs of each page with a main part that `min_pages` pages of its host have, copies of a main text once.
+
+    First anchors are counted, then only the long runs at repeated anchors, so that few runs are dealt out.
+    """
+    spark = parsed.sparkSession
+    counted = parsed.mapInArrow(_anchors(run, long), "anchors array<long>").select(F.explode("anchors").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    bit = F.col("key").bitwiseAND(ANCHOR_BITS - 1)
+    bits = counted.filter(F.col("n") >= min_pages).groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits"))
+    found = bits.toArrow()  # at most ANCHOR_BITS / 64 rows
+    table = np.zeros(ANCHOR_BITS // 64, np.int64)
+    table[np.asarray(found.column("at"), np.int64)] = np.asarray(found.column("bits"), np.int64)
+    held = spark.sparkContext.broadcast(table)
+    windows = staged(parsed.mapInArrow(_candidates(held, run, long), "row long, version long, windows array<long>").filter(F.size("windows") > 0), "run-candidates")
+    pages = windows.select("version", F.explode("windows").alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n"))
+    repeated = pages.filter(F.col("n") >= min_pages).select("key")
+    return staged(windows.select("row", F.explode("windows").alias("key")).join(repeated, "key").groupBy("row").agg(F.collect_list("key").alias("repeated")), "repeated-runs")
+
+
 def _unique_runs(run: int):
     """Task function: loose blocks without the words that repeated runs cover."""
 
@@ -157,26 +283,35 @@ def _unique_runs(run: int):
 def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
     """Main text of each row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    Blocks inside article or main elements are the text; elements that structure or names mark as boilerplate are
-    left out. For all other text the host's suffix array decides: the word stream of each page outside its main
-    part gives its suffixes, ordered by their first `run` words; entries that agree there from `min_pages` distinct
-    pages are repeated substrings (longer ones are unions of these), and the words they cover go, so that a page
-    without such elements keeps its unique runs. Entries are grouped by host and key with partial counts, so that a
-    host with a third of all pages is no single task.
+    The text is that of the blocks inside article or main elements, or of all blocks of a page without such; what
+    structure or names mark as boilerplate is left out. Then the words go that a repeated run covers: in a main part
+    one of MAIN_RUN words or more that stands on `min_pages` pages of the host, in any part of theirs; on a page
+    without main part one of `run` words or more outside the main parts. These are the words that a suffix array
+    of the host's pages covers by entries which agree over so many words: a longer repeated substring is a union of
+    runs of just that length, so runs of that length are counted by 64-bit hash and no array is sorted. Words of
+    main parts are compared without ASCII case.
 
-    A null html gives an empty text; a null url is a host of its own; repeated rows are all returned, and rows with
-    equal page_id count as one page of a host. An empty table gives an empty one.
+    Runs are counted by host and key with partial counts, so that a host with a third of all pages is no single task.
+
+    A null html gives an empty text; a null url is a host of its own; repeated rows are all returned. Rows with
+    equal page_id count as one page of a host; for runs in main parts, rows with equal main text do, so that copies of an article
+    do not remove each other. An empty table gives an empty one.
     """
     id_kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1))
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    parsed = staged(source.mapInArrow(_parse(run), f"page_id {id_kind}, url string, host string, text string, loose array<string>, suffixes array<long>").withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
-    done = parsed.filter("text is not null").select("page_id", "url", "text")
+    parsed = staged(source.mapInArrow(_parse(run), f"page_id {id_kind}, url string, host string, text string, outside array<string>, suffixes array<long>").withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
+
+    hosted = parsed.select("row", "page_id", "url", "text", "outside", F.xxhash64("host").alias("hosted"), F.when(F.col("text").isNull(), F.xxhash64("page_id")).otherwise(F.xxhash64("text")).alias("version"))
+    found = small_side(_repeated_in_main(hosted, run, MAIN_RUN, min_pages), PAGES)
+    with_main = hosted.filter("text is not null").join(found, "row", "left")
+    done = with_main.filter("repeated is null").select("page_id", "url", "text")
+    cut = with_main.filter("repeated is not null").select("page_id", "url", "text", "hosted", "repeated").mapInArrow(_cut(MAIN_RUN), f"page_id {id_kind}, url string, text string")
 
-    open_pages = parsed.filter("text is null")
+    open_pages = parsed.filter("text is null").withColumnRenamed("outside", "loose")
     array = parsed.select("host", "page_id", F.explode("suffixes").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("pages"))
     repeated = array.filter(F.col("pages") >= min_pages).select("host", "key")
     own = open_pages.select("row", "host", F.explode("suffixes").alias("key")).join(repeated, ["host", "key"]).groupBy("row").agg(F.collect_list("key").alias("repeated"))
     rest = open_pages.select("row", "page_id", "url", "loose").join(own, "row", "left").select("page_id", "url", "loose", "repeated")
     rest = rest.mapInArrow(_unique_runs(run), f"page_id {id_kind}, url string, text string")
-    return done.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    return done.unionByName(cut).unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
