@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,10 +12,10 @@ from .common import staged
 
 #: Vectors that the centroids are fitted on, those aimed at in a list, and the most lists.
 SAMPLE, PER_LIST, MAX_LISTS = 20_000, 100, 1_000
-#: Most copies of a vector, and how much farther than the nearest centroid the others may be.
+#: Most copies of a vector with few lists (they grow with the lists), and how much farther than the nearest centroid the others may be.
 COPIES, COPY_RATIO = 4, 1.10
-#: Most lists that a query reads, and how much farther than the nearest centroid they may be.
-PROBES, PROBE_RATIO = 64, 1.35
+#: Most lists that a query reads with few lists, the share of them with many, and how much farther than the nearest centroid they may be.
+PROBES, PROBE_SHARE, PROBE_RATIO = 64, 0.2, 1.35
 #: Edges of a centroid in the graph, and the beam of its search.
 EDGES, BEAM = 24, 96
 #: Vectors of a posting list that one task holds at once.
@@ -91,21 +93,30 @@ def search_graph(x: np.ndarray, c: np.ndarray, links: np.ndarray, beam: int = BE
     return ids, np.sqrt(np.maximum(dist + (x * x).sum(1)[:, None], 0))
 
 
-def _lists(model, rows: np.ndarray, most: int, ratio: float, spread: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row and list of each choice. spread: leave out a list whose centroid is nearer to a chosen one than to the vector."""
+def copies(lists: int) -> int:
+    """Most copies of a vector with so many lists."""
+    return max(COPIES, round(math.log2(lists) / 2))
+
+
+def probes(lists: int) -> int:
+    """Most lists that a query reads of so many."""
+    return max(PROBES, math.ceil(PROBE_SHARE * lists))
+
+
+def _lists(model, rows: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and list of each choice: the nearest `most` lists within `ratio`. Where these are a good part of all, all distances are computed."""
     c, links = model
     owner, chosen = [], []
+    beam = max(BEAM, most + most // 2)
     for at in range(0, len(rows), 1024):
         x = rows[at : at + 1024]
-        ids, dist = search_graph(x, c, links)
-        ids, dist = ids[:, : most * (4 if spread else 1)], dist[:, : most * (4 if spread else 1)]
-        ok = np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-9)
-        if spread:
-            between = np.sqrt(np.maximum(((c[ids][:, :, None] - c[ids][:, None]) ** 2).sum(3), 0))
-            for j in range(1, ids.shape[1]):
-                ok[:, j] &= ~((between[:, :j, j] < dist[:, j : j + 1]) & ok[:, :j]).any(1)
-            ok &= ok.cumsum(1) <= most
-        r, k = np.nonzero(ok)
+        if 4 * beam >= len(c):
+            dist = np.sqrt(np.maximum((c * c).sum(1)[None] - 2 * x @ c.T + (x * x).sum(1)[:, None], 0))
+            ids = dist.argsort(1, kind="stable")[:, :most]
+            dist = np.take_along_axis(dist, ids, 1)
+        else:
+            ids, dist = (v[:, :most] for v in search_graph(x, c, links, beam))
+        r, k = np.nonzero(np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-9))
         owner.append(r + at)
         chosen.append(ids[r, k])
     return np.concatenate(owner), np.concatenate(chosen)
@@ -124,13 +135,13 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _assign(shared, most: int, ratio: float, spread: bool):
+def _assign(shared, most: int, ratio: float):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             if len(batch):
-                row, chosen = _lists(shared.value, _unit(_matrix(batch.column("embedding"))), most, ratio, spread)
+                row, chosen = _lists(shared.value, _unit(_matrix(batch.column("embedding"))), most, ratio)
                 picked = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.astype(np.int32)), *picked.columns], names=["list", *picked.schema.names])
 
@@ -166,7 +177,9 @@ def _best(k: int):
 def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5) -> DataFrame:
     """The k nearest rows found for each row of vectors (vec_id, embedding) that `queries` selects: query_id, rank, vec_id, score.
 
-    Centroids are fitted on at most SAMPLE vectors; every vector is in at least one list. Of equal vectors only the
+    Centroids are fitted on at most SAMPLE vectors. A vector is in its nearest list and in others nearly as near, and
+    a query reads the lists nearest to it; both numbers grow with the number of lists. A query that finds fewer than
+    k vectors there reads all lists. Of equal vectors only the
     k + 1 smallest ids are kept as postings: no other can be among the k nearest of any query. Lists are dealt
     in blocks of about BLOCK vectors, so that a crowded list is no single task.
 
@@ -193,12 +206,22 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5) ->
     first = Window.partitionBy("embedding").orderBy("vec_id")
     kept = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).drop("n")
     schema = "list int, vec_id long, embedding array<double>"
-    postings = staged(kept.mapInArrow(_assign(model, COPIES, COPY_RATIO, True), schema), "postings")
+    postings = staged(kept.mapInArrow(_assign(model, copies(len(c)), COPY_RATIO), schema), "postings")
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # at most MAX_LISTS rows
-    probes = rows.filter(queries).mapInArrow(_assign(model, PROBES, PROBE_RATIO, False), schema).join(F.broadcast(blocks), "list")
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = rows.filter(queries)
+    near = asked.mapInArrow(_assign(model, probes(len(c)), PROBE_RATIO), schema).join(F.broadcast(blocks), "list")
+    near = near.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     postings = postings.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
-    found = probes.groupBy("list", "block").cogroup(postings.groupBy("list", "block")).applyInPandas(_best(k), "query_id long, vec_id long, score double")
-    found = found.dropDuplicates(["query_id", "vec_id"])
+
+    def search(some: DataFrame) -> DataFrame:
+        return some.groupBy("list", "block").cogroup(postings.groupBy("list", "block")).applyInPandas(_best(k), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+
+    found = staged(search(near), "neighbours")
+    # Queries whose lists hold fewer than k others read all lists.
+    full = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = staged(asked.join(full, "vec_id", "left_anti"), "short-queries")
+    if not short.isEmpty():
+        every = blocks.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        found = found.unionByName(search(staged(short.crossJoin(F.broadcast(every)).select("list", "vec_id", "embedding", "block"), "short-probes"))).dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -180,6 +180,25 @@ def test_nearest_against_all_pairs(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_nearest_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_LIST", 10)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 48))
+    x[5990:] = 0
+    x[5990:5993, 0], x[5993:, 0] = 1e3 + np.arange(3), -1e3 - np.arange(7)
+    x[5990:] += rng.normal(size=(10, 48))
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id % 50 = 0 or vec_id >= 5990").collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits, asked = 0, [*range(0, 6000, 50), *range(5990, 6000)]
+    for q in asked:
+        s = u @ u[q]
+        s[q] = -9
+        mine = [r.vec_id for r in got if r.query_id == q]
+        assert len(mine) == 5
+        hits += len(set(mine) & set(np.argsort(-s)[:5].tolist()))
+    assert hits / (5 * len(asked)) >= 0.9
+
+
 def test_html(spark):
     page = """<html><head><title>no</title></head><body><nav><a>menu</a></nav><div class="cookie notice">no</div><article><h1>Title &amp; more</h1>
       <p>First   <b>bold</b> text<p>Second&nbsp;one</p><script>if (a < b) no()</script><ul><li>x<li>y</ul><div class="comments"><p>no</p></div></article><aside>no</aside><footer>no</footer>"""
