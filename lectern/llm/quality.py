@@ -55,9 +55,8 @@ def base_counts(df: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
     """Verdict of each row of docs (doc_id, text, host): base counts, words left outside boilerplate lines, and kept.
 
-    A line is told by the first 16 hex digits of the md5 of its normalised form. Documents that have it are counted
-    by host, copies once: a document counts under the least line hash among its *other* lines (its own, if it has
-    no other), which exact and near copies share and unrelated documents do not. Lines above max_docs are removed;
+    A line is told by the first 16 hex digits of the md5 of its normalised form. The distinct documents that have it
+    are counted by host; documents of equal text count once. Lines above max_docs are removed;
     a document with fewer than MIN_LEFT_WORDS words or MIN_LEFT_PERCENT of its words left is rejected.
 
     Nulls: a null text is empty, a null host is a host of its own, a null doc_id stays a row. Repeated rows are
@@ -66,11 +65,8 @@ def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS_PER_
     docs = texts(docs.select("doc_id", "text", F.col(host).alias("_host"))).withColumn("_text", F.md5("text"))
     lines = docs.select("doc_id", "_host", "_text", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("_lines"))
     hashed = lines.withColumn("_h", F.transform("_lines", lambda x: F.struct(F.substring(F.md5(normalised(x)), 1, 16).alias("h"), _word_count(x).alias("n"))))
-    least = F.slice(F.array_sort(F.array_distinct(F.transform("_h", lambda x: x["h"]))), 1, 2)
-    hashed = staged(hashed.select("doc_id", "_host", "_text", "_h", least.alias("_least")), "line-hashes")
-    family = lambda h: F.when((F.get("_least", F.lit(0)) == h) & (F.size("_least") > 1), F.get("_least", F.lit(1))).otherwise(F.get("_least", F.lit(0)))
-    pairs = hashed.select("_host", F.explode(F.array_distinct(F.transform("_h", lambda x: F.struct(x["h"].alias("h"), family(x["h"]).alias("f"))))).alias("p"))
-    seen = pairs.select("_host", F.col("p.h").alias("h"), F.col("p.f").alias("f")).distinct()
+    hashed = staged(hashed.select("doc_id", "_host", "_text", "_h"), "line-hashes")
+    seen = hashed.select("_host", F.xxhash64("_text").alias("v"), F.explode(F.array_distinct(F.transform("_h", lambda x: x["h"]))).alias("h")).distinct()
     frequent = staged(seen.groupBy("_host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs), "frequent-lines")
 
     known = small_side(frequent.select(F.coalesce("_host", F.lit("")).alias("k"), F.col("_host").isNull().alias("z"), "h", F.lit(True).alias("hit")))

@@ -60,6 +60,14 @@ def test_quality_depletes_only_boilerplate(spark):
     assert kept == {*range(30), *range(200, 240)}
 
 
+def test_quality_counts_documents_that_share_several_lines(spark):
+    rng = random.Random(6)
+    shared = [words(rng, 20) for _ in range(3)]
+    rows = [(i, "\n".join([*shared, words(rng, 30)]), "s") for i in range(25)] + [(100 + i, "\n".join([*shared, words(rng, 30)]), "t") for i in range(20)]
+    got = {r.doc_id: (r.kept, r.n_words_left) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {**{i: (False, 30) for i in range(25)}, **{100 + i: (True, 90) for i in range(20)}}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
