@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, staged, texts
+from .common import SPACE, small_side, staged, texts
 
-#: Edits up to which two lines are the same, and the length (code points) from which lines take part.
+#: Edits up to which two lines are the same, and the length (code points) from which lines take part in the edit join.
 EDITS, MIN_CHARS = 2, 32
 #: Rows up to which keys of repeated or similar lines are broadcast; beyond that the join shuffles.
 KEYS = 500_000
@@ -100,16 +100,17 @@ def letters_apart(a: str, b: str) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, version (hash of the text), pos, line, key and len of each line that takes part."""
     out = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    out = out.withColumn("len", F.length("line")).filter(F.col("len") >= MIN_CHARS)
+    out = out.filter(F.btrim("line", F.lit(SPACE)) != "").withColumn("len", F.length("line"))
     return out.withColumn("key", F.xxhash64("line"))
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, version and the positions of the lines of docs (doc_id, text) that repeat an earlier line.
 
-    Lines are told by a 64-bit hash. Each distinct line of MIN_CHARS or more has a first occurrence, by
-    (doc_id, version, pos). A line goes if it is not that first one, or if a distinct line within `edits` edits has
-    an earlier first occurrence. Candidates share a segment at a fitting place and have nearly the same letter
+    Lines are told by a 64-bit hash. Each distinct line that is not blank has a first occurrence, by
+    (doc_id, version, pos). A line goes if it is not that first one, at any length, or if a distinct line within
+    `edits` edits has an earlier first occurrence and both have MIN_CHARS or more (for other `edits`, in proportion):
+    a few edits make short lines that differ the same. Candidates share a segment at a fitting place and have nearly the same letter
     counts; they are verified on their texts.
     """
     lines = _lines(docs)
@@ -117,7 +118,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     narrow = staged(lines.select("doc_id", "version", "pos", "key"), "line-keys")
     firsts = staged(narrow.groupBy("key").agg(F.min(here).alias("first"), F.count("*").alias("n")), "firsts")
     side = small_side(firsts.filter("n > 1").select("key", "first"), KEYS)
-    distinct = lines.join(side, "key", "left").filter(F.col("first").isNull() | (F.col("first") == here)).select("key", "line", "len", letter_counts("line").alias("letters"))
+    distinct = lines.filter(F.col("len") >= MIN_CHARS * edits // EDITS).join(side, "key", "left").filter(F.col("first").isNull() | (F.col("first") == here)).select("key", "line", "len", letter_counts("line").alias("letters"))
     distinct = staged(distinct, "lines")
     index = substring_hashes(distinct, [(0, i, 0) for i in range(edits + 1)], edits)
     probe = substring_hashes(distinct, segments(edits), edits).toDF("other", "others", "h")
@@ -147,7 +148,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """Rows of docs without their repeated lines: their columns, and n_lines, n_removed.
 
     The kept lines of a text stay as they are and in order. A null text is empty; repeated rows are one text and get
-    the same result; a null doc_id comes before others; lines under MIN_CHARS are always kept; a text whose lines
+    the same result; a null doc_id comes before others; blank lines are always kept; a text whose lines
     all go becomes empty, and its row stays.
     """
     docs = texts(docs)

@@ -100,6 +100,12 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == want
 
 
+def test_line_dedup_removes_short_repeats(spark):
+    rows = [(1, "Released under the MIT License.\n\nabc\n\nabc"), (2, "Released under the MIT License.\nabd\n \nx"), (3, "x")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("Released under the MIT License.\n\nabc\n", 1), 2: ("abd\n \nx", 1), 3: ("", 1)}
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (5, 4), (9, 5), (9, 10), (7, 7)]
     got = {(r.node, r.component) for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
