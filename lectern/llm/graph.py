@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,13 +18,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (the least node reachable) of each node of edges (x, y: long)."""
+    """node, component (the least node reachable) of each node of edges (x, y: long). Fails where `rounds` do not do."""
     edges = staged(edges.select("x", "y").filter("x <> y").distinct(), "edges")
     last = None
     for _ in range(rounds):
-        edges = staged(_star(_star(edges, True), False), "edges")
+        before, edges = edges, staged(_star(_star(edges, True), False), "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40)))).first()
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return edges.select(F.col("x").alias("node"), F.col("y").alias("component")).union(edges.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct())

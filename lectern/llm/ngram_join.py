@@ -5,19 +5,17 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from .common import Words, mix, shingles, slices, small_side, staged
+from .common import Words, discard, mix, shingles, slices, small_side, staged
 from .graph import components
 
 SHINGLE, PERCENT = 4, 85
-#: A shingle in so many of the gathered prefixes is heavy and comes last in the order of shingles.
-HEAVY = 32
-#: Documents of one prefix and size are one group while they hold at most so many distinct sets.
-GROUP = 8
-#: Counters of a sketch: the shingles of a set by the low bits of their hashes, each count up to 255.
-BINS = 128
-#: Pairs that one task verifies against a copy of their common set.
-STAR = 64
+#: Share of all shingles, chosen by hash, from which the first step tells documents that can link to nothing.
+SHARE = 0.25
+#: Documents looked at for shingles that very many have, of those one must have a shingle, and shingles kept at most.
+#: These count as shared without being dealt out. The choice changes the work, never the result.
+LOOKED_AT, SEEN_IN, FREQUENT = 5_000, 4, 500_000
 #: Rows up to which the ids of candidates are broadcast to pick their texts; beyond that the texts are shuffled.
 CANDIDATES = 400_000
 
@@ -47,243 +45,224 @@ def _key(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [both[i * 16 : i * 16 + 16] for i in range(len(n))]
 
 
-def prefix_length(n, percent: int):
-    """Two sets of n shingles or so that reach `percent` share one of the first so many in any common order."""
-    return n - (percent * n + 99) // 100 + 1
+def _lists(values: np.ndarray, doc: np.ndarray, n: int):
+    """An Arrow list of each document's values, which stand in the order of documents."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+
+
+def _sampled(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(h.view(np.uint64) ^ np.uint64(3)) < np.uint64(int(SHARE * 2**64))
 
 
-def _prefixes(size: int, percent: int):
-    """Task function: per row the number of shingles, a 128-bit hash of the set, its sketch, a hash of the extended prefix, and that prefix."""
+def _described(size: int, frequent=None):
+    """Task function: per row the number of shingles, a 128-bit hash of their set, and of SHARE of them those not frequent."""
 
     def run(batches):
         import pyarrow as pa
 
+        known = np.zeros(0, np.int64) if frequent is None else frequent.value
         for batch in slices(batches, "text"):
             h, doc, n = _unique(batch.column("text"), size)
-            ends = np.concatenate(([0], np.cumsum(n)))
-            length = np.minimum(n, prefix_length(n, percent) * 5 // 4 + 4)
-            mine = np.arange(len(h)) - ends[doc] < length[doc]
-            cut = np.concatenate(([0], np.cumsum(length)))
-            wide = [pa.array(_key(v, e), pa.binary()) for v, e in ((h, ends), (h[mine], cut))]
-            counts = np.minimum(np.bincount(doc * BINS + (h & (BINS - 1)), minlength=len(n) * BINS), 255).astype(np.uint8).reshape(len(n), BINS)
-            sketch = pa.array([c.tobytes() for c in counts], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n.astype(np.int32)), *wide, sketch, pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h[mine]))], names=["doc_id", "n", "set", "head", "sketch", "prefix"]
-            )
+            chosen = _sampled(h)
+            if len(known):
+                chosen &= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
+            key = pa.array(_key(h, np.concatenate(([0], np.cumsum(n)))), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(n.astype(np.int32)), key, _lists(h[chosen], doc[chosen], len(n))], names=["doc_id", "version", "n", "set", "sample"])
 
     return run
 
 
-def _counts(column) -> np.ndarray:
-    """The sketches of a binary column, a row each."""
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, BINS).astype(np.int16)
-
-
-def _distances(batches):
-    """Task function: the distance of two sketches, which their sets differ by at least."""
-    import pyarrow as pa
-
-    for batch in batches:
-        if len(batch):
-            d = np.abs(_counts(batch.column("a")) - _counts(batch.column("b"))).sum(1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), batch.column("t"), pa.array(d)], names=["x", "y", "t", "d"])
-
-
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """x, y, d (distance of the sketches) of pairs of sets, and whether they may link.
-
-    Sets of t shingles in all that reach `percent` differ by t * (100 - percent) / (100 + percent) shingles at most.
-    """
-    a, b = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(v)) for k, v in (("x", "a"), ("y", "b")))
-    both = pairs.join(a, "x").join(b, "y").select("x", "y", (F.col("nx") + F.col("ny")).alias("t"), "a", "b")
-    both = both.mapInArrow(_distances, "x long, y long, t int, d long")
-    return both.select("x", "y", "d", F.expr(f"{100 + percent} * d <= {100 - percent} * t").alias("near"))
-
-
-def _compared(size: int, percent: int):
-    """Task function: the links of each set with the common one (main), which comes first of its star and salt."""
+def _whole(size: int):
+    """Task function: all shingles, for the rows whose text has the set of the node."""
 
     def run(batches):
         import pyarrow as pa
 
-        star, sets = None, []
         for batch in slices(batches, "text"):
-            h, _, n = _unique(batch.column("text"), size)
-            ends = np.concatenate(([0], np.cumsum(n)))
-            x, y = [], []
-            rows = zip(_key(h, ends), *(batch.column(c).to_pylist() for c in ("set", "x", "salt", "node", "main")), strict=True)
-            for i, (key, expected, center, salt, node, main) in enumerate(rows):
-                if key != expected:  # another text of the doc_id
-                    continue
-                mine = h[ends[i] : ends[i + 1]]
-                if main:
-                    star, sets = (center, salt), mine
-                elif star == (center, salt):
-                    at = np.minimum(np.searchsorted(sets, mine), len(sets) - 1)
-                    common = int((sets[at] == mine).sum())
-                    if 100 * common >= percent * (len(sets) + len(mine) - common):
-                        x.append(center)
-                        y.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+            h, doc, n = _unique(batch.column("text"), size)
+            same = pa.array([a == b for a, b in zip(_key(h, np.concatenate(([0], np.cumsum(n)))), batch.column("set").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), _lists(h, doc, len(n))], names=["node", "n", "shingles"]).filter(same)
 
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) that link, from their whole texts. The text of y is sent to that of x, once for STAR pairs."""
-    pairs = staged(pairs.select("x", "y"), "pairs")
-    many = pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR).alias("many"))
-    dealt = pairs.join(many, "x").select("x", F.col("y").alias("node"), F.pmod(F.xxhash64("y"), F.col("many")).cast("int").alias("salt"))
-    roles = dealt.withColumn("main", F.lit(False)).union(dealt.select("x", F.col("x").alias("node"), "salt").distinct().withColumn("main", F.lit(True)))
-    roles = staged(roles.join(sets.select("node", "first_id", "set"), "node").select(F.col("first_id").alias("doc_id"), "set", "x", "salt", "node", "main"), "roles")
-    sent = docs.join(small_side(roles, CANDIDATES), "doc_id").select("x", "salt", "main", "node", "set", "text")
-    sent = sent.repartition("x", "salt").sortWithinPartitions("x", "salt", F.desc("main"))
-    return staged(sent.mapInArrow(_compared(size, percent), "x long, y long").distinct(), "links")
+def _frequent(docs: DataFrame, size: int, schema: str):
+    """Sampled shingles that many documents have, seen in a few documents: at most FREQUENT, in order."""
+    looked_at = docs.sample(min(1.0, LOOKED_AT / max(docs.count(), 1)), seed=1)
+    seen = looked_at.mapInArrow(_described(size), schema).select(F.explode("sample").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    found = seen.filter(F.col("c") >= SEEN_IN).orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toArrow()
+    return docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(found.column("token"), np.int64)))
 
 
-def _whole(size: int):
-    """Task function: the whole sets, for the rows whose text has the set of the node."""
+def least_common(a: str, b: str, percent: int) -> str:
+    """SQL: shingles that sets of a and b shingles share at least if they link."""
+    return f"int(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in slices(batches, "text"):
-            h, _, n = _unique(batch.column("text"), size)
-            ends = np.concatenate(([0], np.cumsum(n)))
-            same = pa.array([a == b for a, b in zip(_key(h, ends), batch.column("set").to_pylist(), strict=True)], pa.bool_())
-            made = pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h))], names=["node", "text_id", "shingles"])
-            yield made.filter(same)
+def _fits(percent: int) -> str:
+    """SQL: whether what is known of an entry (n, shared, pos) and of another (n2, shared2, pos2) allows a link.
 
-    return run
+    Sets share no more than the shared shingles of each, and, from their first common one on, than what is left there.
+    """
+    least = least_common("n", "n2", percent)
+    return f"least(shared, shared2) >= {least} and least(n - pos, n2 - pos2) >= {least}"
 
 
-def _rare_first(nodes: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """token, node and n: of each of the nodes a prefix of its whole set, in the order of counts among them, then of hashes.
+def _candidates(docs: DataFrame, first: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """node, first_id, first_version, set and n of each distinct set, and node, n and whole shingles of those that can link.
 
-    Shingles of one set only come first and meet nothing, so that they are counted but not sent on.
+    Of the shingles of a set that links to another, at most n - ceil(percent * n / 100) are in no other set. More of
+    them than that among SHARE of its shingles rule it out.
     """
-    wanted = staged(nodes.join(sets.select("node", F.col("first_id").alias("doc_id"), "set"), "node"), "open-sets")
-    chosen = docs.join(small_side(wanted, CANDIDATES), "doc_id").select("node", "set", "text", F.monotonically_increasing_id().alias("text_id"))
-    whole = staged(chosen.mapInArrow(_whole(size), "node long, text_id long, shingles array<long>"), "open-shingles")
-    one = whole.groupBy("node").agg(F.min("text_id").alias("text_id"))  # a text may stand at several rows
-    every = whole.join(one, ["node", "text_id"], "left_semi").select("node", F.explode("shingles").alias("token"))
-    shared = every.join(every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
-    lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("l")).join(sets.select("node", "n"), "node")
-    length = F.expr(f"greatest(n - int(({percent} * n + 99) div 100) + 1 - (n - size(l)), 0)")
-    return lists.select("node", "n", F.explode(F.slice("l", F.lit(1), length)).alias("e")).select("e.token", "node", "n")
+    live = first.filter("n > 0 and doc_id is not null")
+    here = F.struct("doc_id", "version")
+    nodes = staged(live.groupBy("set", "n").agg(F.min("row").alias("node"), F.min(here).alias("f"), F.count("*").alias("copies"), F.max(F.size("sample")).alias("m")).select("set", "n", "node", F.col("f.doc_id").alias("first_id"), F.col("f.version").alias("first_version"), "copies", "m"), "sets")
+    by_token = Window.partitionBy("token")
+    dealt = live.select(F.xxhash64("set").alias("s"), F.explode("sample").alias("token"))
+    met = dealt.select("s", (F.min("s").over(by_token) != F.max("s").over(by_token)).alias("met")).filter("met").groupBy("s").agg(F.count("*").alias("c"))
+    alone = f"(n - int(({percent} * n + 99) div 100))"
+    marked = nodes.withColumn("s", F.xxhash64("set")).join(met, "s", "left").filter(f"coalesce(c, 0) >= copies * (m - {alone})")
+    wanted = staged(marked.select("node", "n", F.col("first_id").alias("doc_id"), "set"), "wanted-sets")
+    chosen = docs.join(small_side(wanted, CANDIDATES), "doc_id").select("node", "n", "set", "text")
+    return nodes, staged(chosen.mapInArrow(_whole(size), "node long, n int, shingles array<long>"), "whole-sets")
+
+
+def _ranked(whole: DataFrame, percent: int) -> DataFrame:
+    """node, n, shingles that other sets have too (rare ones first), their number, and the group of equal prefixes.
+
+    Shingles of one set only come first in the order and meet nothing; of the rest, the prefix has `length`.
+    """
+    entries = whole.select("node", "n", F.explode("shingles").alias("token"))
+    counts = entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    lists = entries.join(counts, "token").groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("l"))
+    ranked = lists.select("node", "n", F.size("l").alias("shared"), F.col("l.token").alias("shingles")).withColumn("length", F.expr(f"shared - int(({percent} * n + 99) div 100) + 1")).filter("length > 0")
+    prefix = F.slice("shingles", F.lit(1), F.col("length"))
+    ranked = staged(ranked.withColumns({"p": F.xxhash64(prefix), "q": F.xxhash64(F.lit(2), prefix)}), "ranked-sets")
+    groups = ranked.groupBy("n", "shared", "p", "q").agg(F.min("node").alias("group"))
+    return staged(ranked.join(groups, ["n", "shared", "p", "q"]).select("node", "n", "shared", "length", "shingles", "group"), "grouped-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of nodes that link, by their whole sets."""
+    a, b = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("shingles").alias(f"s{k}")) for k in ("x", "y"))
+    both = staged(pairs, "pairs").join(a, "x").join(b, "y").withColumn("c", F.size(F.array_intersect("sx", "sy")))
+    return staged(both.filter(f"100 * c >= {percent} * (nx + ny - c)").select("x", "y"), "links")
+
+
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
+    """node and component of the nodes of sets that link to another."""
+    groups = sets.filter("node = group").select("group", "n", "shared", F.posexplode(F.slice("shingles", F.lit(1), F.col("length"))).alias("i", "token"))
+    index = groups.select("token", "group", "n", "shared", (F.col("n") - F.col("shared") + F.col("i")).alias("pos"))
+    several = index.groupBy("token").agg(F.count("*").alias("c"), F.min_by(F.struct("group", "n", "shared", "pos"), F.struct(F.col("n") - F.col("shared"), "group")).alias("e"))
+    members = sets.select("group", "node")
+    lists = staged(index.join(several.select("token", F.col("e.group").alias("pivot"), F.col("e.n").alias("n2"), F.col("e.shared").alias("shared2"), F.col("e.pos").alias("pos2"), "c"), "token"), "prefix-lists")
+
+    star = lists.filter(f"group <> pivot and {_fits(percent)}").select("group", "pivot").distinct().join(members, "group").select(F.col("node").alias("x"), F.col("pivot").alias("y"))
+    inside = sets.filter("group <> node").select(F.col("node").alias("x"), F.col("group").alias("y"))
+    links = _verified(star.union(inside).distinct(), sets, percent)
+    labels = staged(components(links), "labels")
+
+    def opened(entries: DataFrame) -> DataFrame:
+        """Entries of lists that hold several components, with theirs and that of the pivot (main)."""
+        named = entries.drop("component", "main").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = named.join(labels.toDF("pivot", "main"), "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
+        open_lists = named.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
+        return staged(named.join(open_lists, "token", "left_semi"), "open-lists")
+
+    several_nodes = lists.join(members, "group").select("token", "node", "pivot", "n", "shared", "pos")
+    entries = opened(several_nodes)
+    # A second pivot of each open list, outside the component of the first, meets all nodes outside its own.
+    second = entries.filter("component <> main").groupBy("token").agg(F.min_by(F.struct("node", "n", "shared", "pos", "component"), F.struct(F.col("n") - F.col("shared"), "node")).alias("e"))
+    second = second.select("token", F.col("e.node").alias("y"), F.col("e.n").alias("n2"), F.col("e.shared").alias("shared2"), F.col("e.pos").alias("pos2"), F.col("e.component").alias("component2"))
+    star = entries.join(second, "token").filter(f"component <> component2 and {_fits(percent)}").select(F.col("node").alias("x"), "y").distinct()
+    links = links.union(_verified(star, sets, percent))
+    labels = staged(components(links), "labels")
 
+    # What then is left between components: nodes outside the main one against all of their list, by classes of size.
+    entries = opened(entries)
+    kind = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    others = entries.select("token", kind.alias("class"), F.col("node").alias("y"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), (F.col("component") == F.col("main")).alias("in_main"))
+    outside = entries.filter("component <> main").select("token", F.explode(F.array(kind - 1, kind, kind + 1)).alias("class"), "node", "n", "shared", "pos", "component")
+    rest = outside.join(others, (outside["token"] == others["token"]) & (outside["class"] == others["class"]) & F.expr(f"component <> component2 and (in_main or node < y) and {_fits(percent)}"))
+    links = links.union(_verified(rest.select(F.col("node").alias("x"), "y").distinct(), sets, percent))
+    return staged(components(links), "labels")
 
-def _expanded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of sets from pairs of groups; a group is at most GROUP sets."""
-    a, b = sets.select(F.col("group").alias("x"), F.col("node").alias("p")), sets.select(F.col("group").alias("y"), F.col("node").alias("q"))
-    out = pairs.join(a, "x").join(b, "y").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
-    return out.filter("x <> y").distinct()
+
+def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, version (xxhash64 of the text), n_shingles, component_id and component_version of each row of docs.
+
+    component_id and component_version are the least (doc_id, version) of the rows in reach; see ngram_join.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
+    schema = f"doc_id {kind}, version long, n int, set binary, sample array<long>"
+    first = staged(docs.mapInArrow(_described(size, _frequent(docs, size, schema)), schema).withColumn("row", F.monotonically_increasing_id()), "shingle-samples")
+    rows = staged(first.drop("sample", "row"), "set-keys")
+    nodes, whole = _candidates(docs, first, size, percent)
+    discard(first)
+    sets = _ranked(whole, percent)
+    discard(whole)
+    labels = _linked(sets, percent)
+    discard(sets)
+
+    named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min(F.struct("first_id", "first_version")).alias("c"))
+    by_set = named.join(least, "component").select("set", "n", F.col("c.first_id").alias("component_id"), F.col("c.first_version").alias("component_version"))
+    out = rows.join(by_set, ["set", "n"], "left")
+    linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    own = {c: F.when(linked, F.col(c)).otherwise(F.col(o)).alias(c) for c, o in (("component_id", "doc_id"), ("component_version", "version"))}
+    return out.select("doc_id", "version", F.col("n").cast("long").alias("n_shingles"), *own.values())
 
 
 def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text).
 
-    Sets hold 64-bit hashes of shingles. Rows with equal sets are one node, and nodes with the same extended prefix
-    and size one group, which enters the index once. The order of shingles is by hash, heavy ones last; a prefix in
-    this order is read off the extended prefix (a quarter longer than a prefix) where enough of that is not heavy.
-    Groups that meet under a light shingle (fewer than HEAVY groups do) give all pairs of fitting size, and are
-    expanded to their nodes. Nodes with mostly heavy shingles are matched by hash order instead: each is paired with
-    one pivot under each of its shingles. Pairs whose sketches differ too much to link are left out. Each node is
-    verified with its nearest partner first, then what is left between different components. The nodes of lists of
-    heavy shingles that still hold several components are matched anew, by prefixes of their whole sets with rare
-    shingles first: under a pivot each, then in pairs where the distances of sketches to the pivot allow a link. No
-    link between components is missed, and none within one is needed.
+    Sets hold 64-bit hashes of shingles, and rows with equal sets are one node. A node is dropped where too many of
+    its shingles are in no other set. The shingles of the others are counted among themselves, and each node takes a
+    prefix of its set with rare shingles first. Nodes with equal prefixes and sizes are one group, which enters the
+    index once. Of the groups under a shingle, those that positions and counts of shared shingles allow are paired
+    with one pivot, expanded to their nodes and verified; then, in lists that still hold several components, with a
+    second pivot; and at last nodes of different components with each other. No link between components is missed,
+    and none within one is needed.
 
     Null texts, texts without words and rows with a null doc_id link to nothing (component_id is the row's own
-    doc_id). Repeated rows are all returned; a doc_id with several texts stands in several nodes.
+    doc_id). Very long texts are taken whole. Repeated rows are all returned; a doc_id with several texts stands in
+    several nodes. Other columns are not read; an empty table gives an empty one.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    first = staged(docs.mapInArrow(_prefixes(size, percent), f"doc_id {kind}, n int, set binary, head binary, sketch binary, prefix array<long>").withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    live = first.filter("n > 0 and doc_id is not null")
-    nodes = staged(live.groupBy("set", "n", "head").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "nodes")
-    heads = nodes.groupBy("n", "head").agg(F.min("node").alias("g"), F.count("*").alias("c"))
-    grouped = nodes.join(heads, ["n", "head"]).select("node", "n", "set", "first_id", F.when(F.col("c") <= GROUP, F.col("g")).otherwise(F.col("node")).alias("group"))
-    sets = staged(grouped.join(live.select(F.col("row").alias("node"), "sketch"), "node"), "groups")
-
-    p = F.expr(f"n - int(({percent} * n + 99) div 100) + 1")
-    index = sets.filter("group = node").select(F.col("group").alias("row"))
-    entries = live.join(index, "row").select("row", "n", F.posexplode("prefix").alias("pos", "token"))
-    often = entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    common = staged(entries.join(often, "token"), "common")
-    heavy = F.col("df") >= HEAVY
-    behind = common.filter(heavy).groupBy("row").agg(F.collect_list("pos").alias("heavy"))  # within one prefix
-    common = common.join(behind, "row", "left").withColumn("p", p).withColumn("heavy", F.coalesce("heavy", F.expr("cast(array() as array<int>)")))
-    light_left = F.least("n", F.expr("p * 5 div 4 + 4")) - F.size("heavy")
-    common = common.withColumn("dense", light_left < F.col("p")).withColumn("at", F.col("pos") - F.size(F.filter("heavy", lambda x: x < F.col("pos"))))
-    by_rank = ~F.col("dense") & ~heavy & (F.col("at") < F.col("p"))
-    common = staged(common.select("row", "n", "token", "dense", by_rank.alias("light"), (F.col("pos") < F.col("p")).alias("low")).filter("light or low"), "entries")
-
-    lists = common.filter("light").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("n", "row"))).alias("l")).filter(F.size("l") > 1)  # below HEAVY rows each
-    fits = lambda a, b: 100 * a >= percent * b
-    tails = F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, F.size("l")), lambda y: fits(x["n"], y["n"])), lambda y: F.struct(x["row"].alias("x"), y["row"].alias("y"), x["n"].alias("n"), y["n"].alias("m"))))
-    pairs = lists.select(F.explode(F.flatten(tails)).alias("e")).groupBy("e.x", "e.y", "e.n", "e.m").agg(F.count("*").alias("c"))
-    # Of the set whose prefix ends first, all shared shingles up to there are counted; the rest of it bounds what may follow.
-    behind_prefix = lambda v: f"int(({percent} * {v} + 99) div 100) - 1"
-    enough = f"{100 + percent} * (c + greatest({behind_prefix('n')}, {behind_prefix('m')})) >= {percent} * (n + m)"
-    pairs = pairs.filter(enough).select("x", "y")
-
-    dense = common.filter("low").join(common.filter("dense and low").select("token").distinct(), "token", "left_semi").select("token", F.col("row").alias("group"), "dense")
-    dense = staged(dense.join(sets.select("group", "node", "n"), "group").select("token", "node", "n", "dense"), "dense-lists")
-    pivot = dense.groupBy("token").agg(F.min_by("node", F.struct("n", "node")).alias("pivot"))
-    star = dense.join(pivot, "token").filter("node <> pivot").select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
-    inside = sets.filter("group <> node").select(F.col("group").alias("x"), F.col("group").alias("y")).distinct()
-    tried = staged(_measured(_expanded(pairs.union(inside), sets).union(star).distinct(), sets, percent), "measured")
-
-    near = tried.filter("near")
-    partner = near.select("x", "y", "d").union(near.select("y", "x", "d")).groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))
-    links = _linked(partner.select(F.col("y").alias("x"), F.col("x").alias("y")), docs, sets, size, percent)
-    labels = staged(components(links), "labels")
+    return classes(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
-    def between(pairs: DataFrame) -> DataFrame:
-        """Pairs of different components."""
-        for k in ("x", "y"):
-            pairs = pairs.join(labels.toDF(k, f"c{k}"), k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k))
-        return pairs.filter("cx <> cy").select("x", "y")
 
-    done = partner.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    links = links.union(_linked(between(near).join(done, ["x", "y"], "left_anti"), docs, sets, size, percent))
-    labels = staged(components(links), "labels")
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of docs of each class of linked documents: that of the least (doc_id, hash of the text).
 
-    def opened(entries: DataFrame, wanted: str = "true") -> DataFrame:
-        """Entries (token, node) of lists that still hold several components, with their component."""
-        marked = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = marked.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.expr(f"max({wanted})").alias("any")).filter("a <> b and any").select("token")
-        return marked.join(several, "token", "left_semi")
-
-    # Sets of lists that still hold several components: a prefix of all their shingles, rare ones among them first.
-    left = staged(opened(dense, "dense").select("node").distinct(), "open")
-    if left.limit(1).count():
-        entries = staged(_rare_first(left, docs, sets, size, percent), "rare-first")
-        pivot = entries.groupBy("token").agg(F.min_by("node", F.struct("n", "node")).alias("pivot"))
-        entries = staged(opened(entries).drop("component").join(pivot, "token"), "open-lists")
-        star = staged(_measured(entries.filter("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), sets, percent), "star")
-        links = links.union(_linked(between(star.filter("near")), docs, sets, size, percent))
-        labels = staged(components(links), "labels")
-        placed = opened(entries).join(star.select(F.col("x").alias("pivot"), F.col("y").alias("node"), "d"), ["node", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
-        # Sets that link are of one size class or of two adjacent ones; a step of a class and the next is what they may differ by.
-        ratio = 100 / percent
-        placed = placed.withColumn("class", F.floor(F.log("n") / F.log(F.lit(ratio)) + 1e-9).cast("int")).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
-        step = F.ceil(2 * F.pow(F.lit(ratio), F.col("class") + 2) * (100 - percent) / (100 + percent)) + 1
-        placed = staged(placed.withColumn("band", F.floor(F.col("d") / step)).select("token", "node", "n", "component", "class", "d", "band"), "placed")
-        here = placed.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-        keys = ["token", "class", "band"]
-        a, b = (t.select(*keys, *(F.col(c).alias(c + s) for c in ("node", "n", "component", "d"))) for t, s in ((placed, "1"), (here, "2")))
-        apart = f"{100 + percent} * abs(d1 - d2) <= {100 - percent} * (n1 + n2) and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
-        met = a.join(b, keys).filter(f"component1 <> component2 and {apart}")
-        rest = staged(met.select(F.least("node1", "node2").alias("x"), F.greatest("node1", "node2").alias("y")).distinct(), "rest")
-        links = links.union(_linked(_measured(rest, sets, percent).filter("near"), docs, sets, size, percent))
-        labels = staged(components(links), "labels")
-
-    named = sets.select("node", "set", "n", "first_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_set = named.join(least, "component").select("set", "n", "component_id")
-    out = first.select("doc_id", "n", "set").join(by_set, ["set", "n"], "left")
-    own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    Rows that link to nothing all stay, but of rows that repeat one (doc_id, text) a single one does, and null and
+    empty texts are one text. A null doc_id links to nothing and comes with each of its texts once.
+    """
+    found = classes(docs, size, percent)
+    same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("version") == F.col("component_version"))
+    stays = staged(found.filter(same).groupBy("doc_id", "version").agg(F.count("*").alias("_n")).withColumnsRenamed({"doc_id": "_d", "version": "_v"}), "kept-documents")
+    joined = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_d"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == stays["_v"]))
+    return joined.filter("_n = 1").unionByName(joined.filter("_n > 1").dropDuplicates(["_d", "_v"])).select(*(docs[c] for c in docs.columns))
+
+
+SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
+  ELSE [array_to_string(ws[i:i + {SHINGLE - 1}], ' ') FOR i IN range(1, len(ws) - {SHINGLE - 2})] END)) AS g FROM w),
+nodes AS (SELECT g, len(g) AS n, min(doc_id) AS node FROM s WHERE len(g) > 0 GROUP BY g),
+t AS (SELECT node, n, unnest(g) AS token FROM nodes),
+f AS (SELECT *, count(*) OVER (PARTITION BY token) AS df FROM t),
+p AS (SELECT node, n, token FROM f QUALIFY row_number() OVER (PARTITION BY node ORDER BY df, token) <= n - ({PERCENT} * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.node AS x, b.node AS y, a.n AS nx, b.n AS ny FROM p a JOIN p b ON a.token = b.token AND a.node < b.node AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)),
+k AS (SELECT x, y, nx, ny, count(*) AS m FROM c JOIN t a ON a.node = x JOIN t b ON b.node = y AND b.token = a.token GROUP BY ALL),
+e AS (SELECT x, y FROM k WHERE 100 * m >= {PERCENT} * (nx + ny - m)),
+ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach AS (SELECT node AS x, node AS y FROM nodes UNION SELECT r.x, b.y FROM reach r JOIN ways b ON b.x = r.y),
+least AS (SELECT x AS node, min(y) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN nodes n ON n.g = s.g LEFT JOIN least l ON l.node = n.node
+"""

@@ -53,4 +53,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_mixing, op4_toxicity, op5_nearest_neighbours, op6_quality_rules, op7_ngram_jaccard_join, op8_lm_scoring, op9_secret_scans, op10_packing)}
-SQL = {"op2_line_dedup": line_dedup.SQL, "op3_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op9_secret_scans": secrets.SQL}
+SQL = {"op2_line_dedup": line_dedup.SQL, "op3_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op7_ngram_jaccard_join": ngram_join.SQL, "op9_secret_scans": secrets.SQL}
