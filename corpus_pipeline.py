@@ -21,10 +21,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near copies."""
-    classes = ngram_join.ngram_join(docs)
-    others = classes.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near copies: that of the smallest doc_id.
+
+    Documents without words stay, rows that repeat a (doc_id, text) go but one, and a doc_id that has several texts
+    keeps each of them that stands for its class. A null text is empty; other columns may have any name.
+    """
+    return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
