@@ -100,6 +100,27 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == want
 
 
+def test_edit_distance_against_a_table(spark):
+    rng = random.Random(12)
+    pairs = [tuple("".join(rng.choice("ab") for _ in range(rng.randint(1, 7))) for _ in range(2)) for _ in range(400)]
+    rows = [(i, *sorted(p, key=len)) for i, p in enumerate(pairs) if abs(len(p[0]) - len(p[1])) <= 2]
+    made = spark.createDataFrame(rows, "i int, a string, b string").select("i", F.length("a").alias("_m"), F.length("b").alias("_n"), F.split("a", "").alias("_x"), F.split("b", "").alias("_y"))
+    got = {r.i: r.d for r in made.select("i", line_dedup.edit_distance(2).alias("d")).collect()}
+    assert all(min(got[i], 3) == min(distance(a, b), 3) for i, a, b in rows)
+
+
+def test_line_dedup_of_similar_lines_with_clashing_columns(spark):
+    rng = random.Random(11)
+    base = "the report of day %s was read by %s people in the hall of the town"
+    lines = [base % (k, rng.randint(1, 9)) for k in range(400)] + ["x" * 31 + str(k) for k in range(10, 40)]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 5 : i * 5 + 5]), "v", "g", 1, 2) for i in range(86)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, version string, gone string, n_lines int, key int")).collect()}
+    late = {b for k, b in enumerate(lines) if any(distance(a, b) <= 2 for a in lines[:k] if abs(len(a) - len(b)) < 3)}
+    assert {i: r.text for i, r in got.items()} == {i: "\n".join(x for x in t.split("\n") if x not in late) for i, t, *_ in rows}
+    assert all((r.version, r.gone, r.n_lines, r.key) == ("v", "g", 5, 2) for r in got.values())
+
+
 def test_line_dedup_removes_short_repeats(spark):
     rows = [(1, "Released under the MIT License.\n\nabc\n\nabc"), (2, "Released under the MIT License.\nabd\n \nx"), (3, "x")]
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
