@@ -12,15 +12,16 @@ from .common import _BASE, Words, mix, slices, small_side, staged
 
 #: Words of a repeated run at least, and distinct pages of a host that must have it.
 RUN, MIN_PAGES = 5, 3
-#: Words of a repeated run in a main part at least: common phrases of prose are shorter.
-MAIN_RUN = 8
+#: Words of a repeated run in a main part at least: sentences that articles have in common are shorter. A main part of
+#: which more than MOST_PERCENT would go is a copy of an article rather than boilerplate, and stays whole.
+MAIN_RUN, MOST_PERCENT = 20, 50
 #: Bits of the table of repeated anchors, a power of two; a false hit there costs time and changes nothing.
 ANCHOR_BITS = 1 << 27
 #: Pages with repeated runs up to which these are broadcast; beyond that the join shuffles.
 PAGES = 50_000
 
 # Elements by role, and names in class, id or role that mark boilerplate.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "math", "textarea", "title"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "dialog", "menu"}
 BLOCKS = {
     "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
@@ -36,8 +37,13 @@ MARKS = {
 }
 #: In a main part, names on these mark nothing: they hold its own text.
 OWN = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figure", "figcaption", "main"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
+#: A value in quotes may hold < and >; a quote elsewhere is a character like others, and < without its > is text.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>])((?:=\s*"[^"]*"|=\s*'[^']*'|=(?!\s*["'])|[^<>=])*)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: Parts of a name that speaks of a page's layout and not of the element, as with-sidebar does.
+LAYOUT = {"with", "without", "no", "not", "has", "layout", "wrapper", "page"}
+#: Elements of running text, whose names mark nothing in a main part.
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "math", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var"}
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -45,7 +51,8 @@ def _marked(attributes: str, own: bool) -> bool:
     """Whether a name marks boilerplate. own: of a main part, where an id is an anchor that a title gave."""
     if "=" not in attributes:
         return False
-    return any(not MARKS.isdisjoint(_SPLIT.split("".join(m[1:]).lower())) for m in _NAMES.findall(attributes) if not (own and m[0].lower() == "id"))
+    names = (name for m in _NAMES.findall(attributes) if not (own and m[0].lower() == "id") for name in "".join(m[1:]).lower().split())
+    return any(not MARKS.isdisjoint(parts) and LAYOUT.isdisjoint(parts) for parts in map(_SPLIT.split, names))
 
 
 def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
@@ -87,9 +94,8 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
                     break
             continue
         if name in RAW:
-            if not found[3].rstrip().endswith("/"):
-                over = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = over.end() if over else end
+            over = None if found[3].rstrip().endswith("/") and name in ("svg", "iframe", "object") else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = over.end() if over else end if name in ("script", "style") else at  # others without an end tag are skipped alone
             continue
         block = name in BLOCKS or name in DROPPED
         if block:
@@ -100,8 +106,12 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
         if name in VOID or found[3].rstrip().endswith("/") or name in ("html", "body"):
             continue
         own = is_main or name in ("article", "main")
-        bad = name in DROPPED or not (own and name in OWN) and _marked(found[3], own)
+        bad = name in DROPPED or not (own and (name in OWN or name in INLINE) or name in ("article", "body", "html")) and _marked(found[3], own)
         begins_main = name in ("article", "main") and not bad
+        if begins_main and not is_main:  # what holds the main part is no boilerplate, whatever its class says
+            for x in stack:
+                x[1] = x[1] and (x[0] in DROPPED or x[0] == "article")
+            is_dropped = any(x[1] for x in stack)
         if bad and not block:
             close_block()
         # Other elements are followed too where they may nest within one that matters by name.
@@ -219,8 +229,13 @@ def _cut(long: int):
             at = np.flatnonzero(ok & np.isin(whole.view(np.int64), known))
             np.add.at(covered, at, 1)
             np.add.at(covered, at + long, -1)
-            keep, k, out = np.cumsum(covered) == 0, 0, []
-            for text in main:
+            keep, k, out = np.cumsum(covered)[:-1] == 0, 0, []
+            gone = np.add.reduceat(np.append(~keep, False).astype(np.int64), words.first[:-1]) if len(main) else []
+            for i, text in enumerate(main):
+                if 100 * gone[i] > MOST_PERCENT * (words.first[i + 1] - words.first[i]):
+                    k += int(words.first[i + 1] - words.first[i])
+                    out.append(text)
+                    continue
                 lines = []
                 for line in text.split("\n"):
                     own = line.split(" ")
@@ -289,7 +304,12 @@ def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> Dat
     without main part one of `run` words or more outside the main parts. These are the words that a suffix array
     of the host's pages covers by entries which agree over so many words: a longer repeated substring is a union of
     runs of just that length, so runs of that length are counted by 64-bit hash and no array is sorted. Words of
-    main parts are compared without ASCII case.
+    main parts are compared without ASCII case. A main part of which more than MOST_PERCENT of the words would go stays
+    whole.
+
+    Counting the suffixes that agree over so many words is the step of suffix array construction by prefix doubling at
+    that depth: a bucket of equal prefixes is an interval of the array whose neighbours agree that far. Only suffixes
+    whose anchor, the least of the windows of `run` words in them, is repeated in its host are dealt out.
 
     Runs are counted by host and key with partial counts, so that a host with a third of all pages is no single task.
 
