@@ -14,11 +14,11 @@ from .common import _BASE, Words, mix, slices, small_side, staged
 RUN, MIN_PAGES = 5, 3
 #: Words of a repeated run in a main part at least: sentences that articles have in common are shorter. A main part of
 #: which more than MOST_PERCENT would go is a copy of an article rather than boilerplate, and stays whole.
-MAIN_RUN, MOST_PERCENT = 20, 50
+MAIN_RUN, MOST_PERCENT = 25, 50
 #: Bits of the table of repeated anchors, a power of two; a false hit there costs time and changes nothing.
 ANCHOR_BITS = 1 << 27
-#: Pages with repeated runs up to which these are broadcast; beyond that the join shuffles.
-PAGES = 50_000
+#: Pages with repeated runs, and repeated runs, up to which these are broadcast; beyond that the joins shuffle.
+PAGES, RUNS = 50_000, 1_000_000
 
 # Elements by role, and names in class, id or role that mark boilerplate.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title"}
@@ -123,7 +123,7 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
 
 
 def _parse(run: int):
-    """Task function: main text, blocks outside it, and the suffixes of the page's stream outside its main part, cut at `run` words."""
+    """Task function: main text, or the loose blocks of a page without one, and the suffixes of the page's stream outside its main part, cut at `run` words."""
 
     def task(batches):
         import hashlib
@@ -131,18 +131,18 @@ def _parse(run: int):
         import pyarrow as pa
 
         for batch in batches:
-            rows = {"text": [], "outside": [], "suffixes": []}
+            rows = {"text": [], "loose": [], "suffixes": []}
             for page in batch.column("html").to_pylist():
                 main, dropped, loose = blocks(page or "")
                 stream = [w for b in (dropped + loose if main else loose + dropped) for w in b.split()]
                 keys = {int.from_bytes(hashlib.blake2b("\0".join(stream[i : i + run]).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for i in range(len(stream) - run + 1)}
                 rows["text"].append("\n".join(main) if main else None)
-                rows["outside"].append(dropped + loose if main else loose)
+                rows["loose"].append(None if main else loose)
                 rows["suffixes"].append(sorted(keys))
             strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(rows["text"], pa.string()), pa.array(rows["outside"], strings), pa.array(rows["suffixes"], pa.list_(pa.int64()))],
-                names=["page_id", "url", "host", "text", "outside", "suffixes"],
+                [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(rows["text"], pa.string()), pa.array(rows["loose"], strings), pa.array(rows["suffixes"], pa.list_(pa.int64()))],
+                names=["page_id", "url", "host", "text", "loose", "suffixes"],
             )
 
     return task
@@ -158,19 +158,17 @@ def _windows(words: Words, host: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return h, words.doc[:m] == words.doc[n - 1 : n - 1 + m]
 
 
-def _anchored(main, outside, host, run: int, long: int):
-    """Page, hash and anchor of each run of `long` words of the pages' main parts and of what stands outside.
+def _anchored(main, host, run: int, long: int):
+    """Main text, hash and anchor of each run of `long` words of the main texts.
 
     The anchor is the least hash of the runs of `run` words in it, so equal long runs have equal anchors.
     """
-    import pyarrow as pa
-
-    words = Words(pa.array([t for a, b in zip(main, outside, strict=True) for t in (a or "", "\n".join(b or ()))], pa.string()))
-    host = np.repeat(np.asarray(host, np.int64).view(np.uint64), 2)
+    words = Words(main)
+    host = np.asarray(host, np.int64).view(np.uint64)
     whole, ok = _windows(words, host, long)
     short, _ = _windows(words, host, run)
     anchor = np.minimum.reduce([short[k : k + len(whole)] for k in range(long - run + 1)]) if len(whole) else whole
-    return words.doc[: len(whole)][ok] // 2, whole[ok].view(np.int64), anchor[ok].view(np.int64)
+    return words.doc[: len(whole)][ok], whole[ok].view(np.int64), anchor[ok].view(np.int64)
 
 
 def _keys(rows: np.ndarray, keys: np.ndarray, n: int):
@@ -192,7 +190,7 @@ def _anchors(run: int, long: int):
         import pyarrow as pa
 
         for batch in slices(batches, "text"):
-            row, _, anchor = _anchored(*(batch.column(c).to_pylist() for c in ("text", "outside", "hosted")), run, long)
+            row, _, anchor = _anchored(batch.column("text"), batch.column("hosted").to_pylist(), run, long)
             yield pa.RecordBatch.from_arrays([_keys(row, anchor, len(batch))], names=["anchors"])
 
     return task
@@ -205,10 +203,10 @@ def _candidates(table, run: int, long: int):
         import pyarrow as pa
 
         for batch in slices(batches, "text"):
-            row, whole, anchor = _anchored(*(batch.column(c).to_pylist() for c in ("text", "outside", "hosted")), run, long)
+            row, whole, anchor = _anchored(batch.column("text"), batch.column("hosted").to_pylist(), run, long)
             bit = anchor & (ANCHOR_BITS - 1)
             hit = (table.value[bit >> 6] >> (bit & 63)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("version"), _keys(row[hit], whole[hit], len(batch))], names=["row", "version", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column("version"), _keys(row[hit], whole[hit], len(batch))], names=["version", "windows"])
 
     return task
 
@@ -249,23 +247,23 @@ def _cut(long: int):
     return task
 
 
-def _repeated_in_main(parsed: DataFrame, run: int, long: int, min_pages: int) -> DataFrame:
-    """row and the long runs of each page with a main part that `min_pages` pages of its host have, copies of a main text once.
+def _repeated_in_main(mains: DataFrame, run: int, long: int, min_pages: int) -> DataFrame:
+    """version and the long runs of each main text (version, hosted, text) that `min_pages` texts of its host have.
 
     First anchors are counted, then only the long runs at repeated anchors, so that few runs are dealt out.
     """
-    spark = parsed.sparkSession
-    counted = parsed.mapInArrow(_anchors(run, long), "anchors array<long>").select(F.explode("anchors").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    spark = mains.sparkSession
+    counted = mains.mapInArrow(_anchors(run, long), "anchors array<long>").select(F.explode("anchors").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     bit = F.col("key").bitwiseAND(ANCHOR_BITS - 1)
     bits = counted.filter(F.col("n") >= min_pages).groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits"))
     found = bits.toArrow()  # at most ANCHOR_BITS / 64 rows
     table = np.zeros(ANCHOR_BITS // 64, np.int64)
     table[np.asarray(found.column("at"), np.int64)] = np.asarray(found.column("bits"), np.int64)
     held = spark.sparkContext.broadcast(table)
-    windows = staged(parsed.mapInArrow(_candidates(held, run, long), "row long, version long, windows array<long>").filter(F.size("windows") > 0), "run-candidates")
-    pages = windows.select("version", F.explode("windows").alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n"))
-    repeated = pages.filter(F.col("n") >= min_pages).select("key")
-    return staged(windows.select("row", F.explode("windows").alias("key")).join(repeated, "key").groupBy("row").agg(F.collect_list("key").alias("repeated")), "repeated-runs")
+    windows = staged(mains.mapInArrow(_candidates(held, run, long), "version long, windows array<long>").filter(F.size("windows") > 0), "run-candidates")
+    runs = windows.select("version", F.explode("windows").alias("key"))
+    repeated = staged(runs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("key"), "repeated-keys")
+    return staged(runs.join(small_side(repeated, RUNS), "key").groupBy("version").agg(F.collect_list("key").alias("repeated")), "repeated-runs")
 
 
 def _unique_runs(run: int):
@@ -300,7 +298,7 @@ def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> Dat
 
     The text is that of the blocks inside article or main elements, or of all blocks of a page without such; what
     structure or names mark as boilerplate is left out. Then the words go that a repeated run covers: in a main part
-    one of MAIN_RUN words or more that stands on `min_pages` pages of the host, in any part of theirs; on a page
+    one of MAIN_RUN words or more that stands in the main parts of `min_pages` pages of the host; on a page
     without main part one of `run` words or more outside the main parts. These are the words that a suffix array
     of the host's pages covers by entries which agree over so many words: a longer repeated substring is a union of
     runs of just that length, so runs of that length are counted by 64-bit hash and no array is sorted. Words of
@@ -320,15 +318,17 @@ def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> Dat
     id_kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1))
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    parsed = staged(source.mapInArrow(_parse(run), f"page_id {id_kind}, url string, host string, text string, outside array<string>, suffixes array<long>").withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
+    parsed = staged(source.mapInArrow(_parse(run), f"page_id {id_kind}, url string, host string, text string, loose array<string>, suffixes array<long>").withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
 
-    hosted = parsed.select("row", "page_id", "url", "text", "outside", F.xxhash64("host").alias("hosted"), F.when(F.col("text").isNull(), F.xxhash64("page_id")).otherwise(F.xxhash64("text")).alias("version"))
-    found = small_side(_repeated_in_main(hosted, run, MAIN_RUN, min_pages), PAGES)
-    with_main = hosted.filter("text is not null").join(found, "row", "left")
+    hosted = parsed.filter("text is not null").select("row", "page_id", "url", "text", F.xxhash64("host").alias("hosted"), F.xxhash64("host", "text").alias("version"))
+    copies = staged(hosted.groupBy("version").agg(F.min("row").alias("row"), F.count("*").alias("n")).filter("n > 1").select("version", F.col("row").alias("first")), "page-copies")
+    mains = hosted.join(small_side(copies, PAGES), "version", "left").filter("first is null or first = row").select("version", "hosted", "text")
+    found = small_side(_repeated_in_main(mains, run, MAIN_RUN, min_pages), PAGES)
+    with_main = hosted.join(found, "version", "left")
     done = with_main.filter("repeated is null").select("page_id", "url", "text")
     cut = with_main.filter("repeated is not null").select("page_id", "url", "text", "hosted", "repeated").mapInArrow(_cut(MAIN_RUN), f"page_id {id_kind}, url string, text string")
 
-    open_pages = parsed.filter("text is null").withColumnRenamed("outside", "loose")
+    open_pages = parsed.filter("text is null")
     array = parsed.select("host", "page_id", F.explode("suffixes").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("pages"))
     repeated = array.filter(F.col("pages") >= min_pages).select("host", "key")
     own = open_pages.select("row", "host", F.explode("suffixes").alias("key")).join(repeated, ["host", "key"]).groupBy("row").agg(F.collect_list("key").alias("repeated"))

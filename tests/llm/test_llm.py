@@ -248,7 +248,7 @@ def test_html(spark):
 
 def test_html_repeated_runs_in_articles(spark):
     rng = random.Random(8)
-    shared = "Read on at Our Own Shop and save ten percent today when you order three or more of the books that we told you about"
+    shared = "Read on at Our Own Shop and save ten percent today when you order three or more of the books that we told you about in May"
     own = [words(rng, 40) for _ in range(6)]
     copied = words(rng, 40)
     rows = [(i, f"http://h/{i}", f"<article><h2 id='related-work'>t{i}</h2><p>{t}</p><p>{shared}</p><figure><figcaption>f{i}</figcaption></figure></article>") for i, t in enumerate(own)]
@@ -259,7 +259,7 @@ def test_html_repeated_runs_in_articles(spark):
 
 def test_html_runs_against_all_windows(spark):
     rng = random.Random(15)
-    pieces = [words(rng, rng.randint(15, 30)).split() for _ in range(5)]
+    pieces = [words(rng, rng.randint(20, 35)).split() for _ in range(5)]
     rows, own = [], {}
     for i in range(70):
         host, stream = rng.choice("ab"), words(rng, 90).split()
