@@ -100,9 +100,7 @@ l AS (SELECT r, host, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
   substr(md5(trim(regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'))), 1, 16) AS h
   FROM l0 WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM l GROUP BY r),
-least AS (SELECT r, list_sort(list_distinct(list(h)))[1:2] AS m FROM l GROUP BY r),
-fam AS (SELECT DISTINCT l.host, l.h, CASE WHEN m[1] = l.h AND len(m) > 1 THEN m[2] ELSE m[1] END AS f FROM l JOIN least USING (r)),
-freq AS (SELECT host, h FROM fam GROUP BY host, h HAVING count(*) > 20),
+freq AS (SELECT host, h FROM (SELECT DISTINCT l.host, md5(d.text) AS v, l.h FROM l JOIN d USING (r)) GROUP BY host, h HAVING count(*) > 20),
 gone AS (SELECT r, sum(n) AS g FROM l WHERE EXISTS (SELECT 1 FROM freq f WHERE f.h = l.h AND f.host IS NOT DISTINCT FROM l.host) GROUP BY r),
 b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
