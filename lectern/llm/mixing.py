@@ -84,13 +84,15 @@ def mix(
     The prefix is found by summing tokens over buckets of the order (its first three hex digits) and then within the
     one bucket where it ends, so that no leaf is sorted as a whole.
 
-    Null lang, source, text or doc_id are read as empty strings in levels, order and count; repeated rows take part
+    A given column `domain` is used where no expression is; given columns n_tokens, epoch and taken_tokens are
+    replaced, and others may have any name. Null domain, lang, source, text or doc_id are read as empty strings in levels, order and count; repeated rows take part
     as rows of equal order (all or the prefix of them by a running count); rows without a word are never taken; an
     empty table gives an empty one.
     """
-    own = docs.columns
-    docs = docs.withColumn("domain", F.coalesce(domain if domain is not None else domain_of(), F.lit("")))
-    keyed = docs.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit("")))
+    own = [c for c in docs.columns if c not in ("domain", "n_tokens", "epoch", "taken_tokens")]
+    level = domain if domain is not None else F.col("domain").cast("string") if "domain" in docs.columns else domain_of()
+    empty = F.lit("")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), "doc_id", "text", F.coalesce(level, empty).alias("domain"), F.coalesce("lang", empty).alias("_lang"), F.coalesce("source", empty).alias("_source"))
     keyed = keyed.withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).filter("n_tokens > 0")
     levels = ["domain", "_lang", "_source"]
     leaves = keyed.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
@@ -122,7 +124,7 @@ def mix(
     part = F.when((F.col("rest") > 0) & (F.col("_edge").isNull() | (F.col("_order") <= F.col("_o"))), F.array(F.struct(F.col("passes").alias("epoch"), taken.alias("taken_tokens"))))
     none = F.expr("cast(array() as array<struct<epoch:int,taken_tokens:bigint>>)")
     out = placed.withColumn("_e", F.explode(F.concat(F.coalesce(whole, none), F.coalesce(part, none))))
-    return out.select(*(F.col(c) for c in own if c != "domain"), "domain", "n_tokens", F.col("_e.epoch").alias("epoch"), F.col("_e.taken_tokens").alias("taken_tokens"))
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in own), "domain", "n_tokens", F.col("_e.epoch").alias("epoch"), F.col("_e.taken_tokens").alias("taken_tokens"))
 
 
 def sql(percent: int = PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED, table: str = "documents") -> str:
