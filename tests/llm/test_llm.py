@@ -60,6 +60,14 @@ def test_quality_depletes_only_boilerplate(spark):
     assert kept == {*range(30), *range(200, 240)}
 
 
+def test_quality_removes_many_shared_lines_of_a_site(spark):
+    rng = random.Random(16)
+    shared = [words(rng, 6) for _ in range(300)]
+    rows = [(i, "\n".join([*(shared[:30] if i < 60 else shared), *(words(rng, 9) for _ in range(12))]), "a" if i < 60 else "b") for i in range(100)]
+    got = {r.doc_id: (r.n_words_left, r.kept) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: (108, i < 60) for i in range(100)}
+
+
 def test_quality_counts_documents_that_share_several_lines(spark):
     rng = random.Random(6)
     shared = [words(rng, 20) for _ in range(3)]
@@ -170,6 +178,22 @@ def test_mixing_budgets(spark):
     assert got == {"x": 100, "y": 900, "z": 1000}
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    rows = [(i, "a b c", "en", "s", "mine" if i % 2 else "yours", 7, 8, 9) for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string, rest int, passes int, epoch int"), percent=100, max_epochs=1).collect()
+    assert {r.doc_id: (r.domain, r.rest, r.passes, r.epoch) for r in got} == {i: ("mine" if i % 2 else "yours", 7, 8, 0) for i in range(20)}
+
+
+def test_packing_encodes_very_long_runs():
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    t, encode = tokenizers.Tokenizer.from_file(path), packing._encoder(path)
+    for text in (" " * 1_500_000, "x" * 300_000, "\n" * 1_500_000, "a" + " " * 1_000_000 + "b", " é" * 50_000):
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark, docs):
     import public_tokenizers
     import tokenizers
