@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import join_key
@@ -16,6 +16,35 @@ def first_by_key(pages: DataFrame, columns: list[str]) -> DataFrame:
     return pages.groupBy("join_key").agg(F.min_by(F.struct(*columns), order).alias("p")).select("join_key", "p.*")
 
 
+def build(docs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Entities of docs (document_id, crawl_group, url, title, place, topic, book) with their join_key.
+
+    Atlas pages give a place, Nave's pages the topic before a colon, Bible pages a book, under the title that mapping
+    (bible_book, wiki_title) has for it. Blank names give none.
+    """
+
+    def picked(group: str, column: str, kind: str, name: Column) -> DataFrame:
+        own = docs.filter((F.col("crawl_group") == group) & (F.length(F.trim(column)) > 0))
+        return own.select("document_id", "crawl_group", "url", "title", F.col(column).alias("source_entity")).withColumn("entity_name", name).withColumn("entity_type", F.lit(kind))
+
+    places = picked("atlas", "place", "place", F.col("source_entity"))
+    naves = picked("naves", "topic", "naves_entity", F.trim(F.regexp_extract("source_entity", "^([^:]+)", 1))).filter(F.length("entity_name") > 0)
+    books = picked("bible", "book", "book", F.col("source_entity")).join(mapping, F.col("source_entity") == F.col("bible_book"), "left").drop("bible_book")
+    books = books.withColumn("entity_name", F.coalesce("wiki_title", "source_entity")).drop("wiki_title")
+    return places.unionByName(naves).unionByName(books, allowMissingColumns=True).withColumn("join_key", join_key("entity_name"))
+
+
+def samples(entities: DataFrame, n: int = 20) -> DataFrame:
+    """The first n unique entities of each type, by key."""
+    rank = F.row_number().over(Window.partitionBy("entity_type").orderBy("join_key"))
+    return unique_entities(entities).withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def link_samples(links: DataFrame, matched: bool, n: int = 30) -> DataFrame:
+    """The first n matched or unmatched links, by type and key."""
+    return links.filter(F.col("matched") == matched).orderBy("entity_type", "join_key").limit(n)
+
+
 def unique_entities(entities: DataFrame) -> DataFrame:
     return entities.filter(F.length("join_key") > 0).select("entity_type", "join_key").distinct()
 

@@ -56,7 +56,9 @@ def rules(site_name: str = "") -> dict[str, Rules]:
     }
 
 
-_SKIPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|iframe|svg|canvas|form|select|button)\b[^>]*>.*?</\1\s*>", re.I | re.S)
+#: Comments go first, then the elements: each may hold the other's marks.
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_SKIPPED = re.compile(r"<(script|style|noscript|iframe|svg|canvas|form|select|button)\b[^>]*>.*?</\1\s*>", re.I | re.S)
 _NOTE = re.compile(r"""<span\b[^>]*class=["'][^"']*\bfn\b[^"']*["'][^>]*>.*?</span\s*>""", re.I | re.S)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|blockquote|hr)\b[^>]*>", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
@@ -81,7 +83,7 @@ def html_lines(html: str, substitutions=()) -> list[str]:
 
     for pattern, by in substitutions:
         html = re.sub(pattern, by, html)
-    flat = re.sub(r"<[^>]+>", "", _BREAK.sub("\n", _NOTE.sub("", _SKIPPED.sub("\n", html))))
+    flat = re.sub(r"<[^>]+>", "", _BREAK.sub("\n", _NOTE.sub("", _SKIPPED.sub("\n", _COMMENT.sub("\n", html)))))
     return list(_changes(map(_tidy, unescape(flat).replace("\r", "\n").split("\n"))))
 
 
@@ -119,8 +121,18 @@ def verses_of(lines: list[str], ends) -> list[dict]:
     return [{"verse": v["verse"], "text": " ".join(v["parts"])} for v in out if v["parts"]]
 
 
+#: The one book whose name is not that of its slug (fixed value).
+BOOKS = {"songs": "Song of Solomon"}
+
+
 def _name(slug: str) -> str:
-    return " ".join(w.capitalize() for w in slug.split("_"))
+    from urllib.parse import unquote
+
+    return " ".join(w.capitalize() for w in unquote(slug).replace("_", " ").replace("-", " ").split())
+
+
+def _book(slug: str) -> str:
+    return BOOKS.get(slug) or _name(slug)
 
 
 def _one(row, by_group: dict[str, Rules]) -> dict:
@@ -138,15 +150,15 @@ def _one(row, by_group: dict[str, Rules]) -> dict:
         if not m:
             raise ValueError("url")
         verses = verses_of(lines, rule.ends)
-        return out | {"book": _name(m[1]), "chapter": int(m[2]), "title": f"{_name(m[1])} {int(m[2])}", "verses": verses, "text": "\n".join(f"{v['verse']} {v['text']}" for v in verses)}
+        return out | {"book": _book(m[1]), "chapter": int(m[2]), "title": f"{_book(m[1])} {int(m[2])}", "verses": verses, "text": "\n".join(f"{v['verse']} {v['text']}" for v in verses)}
     found, text = sections_of(lines, rule)
     out |= {"sections": found, "text": text}
     if group == "commentary":
         m = re.fullmatch(r"/commentaries/([^/]+)/(\d+)(?:-(\d+))?\.htm", path.lower())
         if not m:
             raise ValueError("url")
-        label = f"{_name(m[1])} {int(m[2])}" + (f":{int(m[3])}" if m[3] else "")
-        return out | {"book": _name(m[1]), "chapter": int(m[2]), "verse": int(m[3]) if m[3] else None, "reference": label, "title": label}
+        label = f"{_book(m[1])} {int(m[2])}" + (f":{int(m[3])}" if m[3] else "")
+        return out | {"book": _book(m[1]), "chapter": int(m[2]), "verse": int(m[3]) if m[3] else None, "reference": label, "title": label}
     name = unquote(path.rsplit("/", 1)[-1].removesuffix(".htm")).replace("_", " ").strip()
     if group == "atlas":
         place = _name(name.replace(" ", "_"))

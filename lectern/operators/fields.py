@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ def scores(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, document_id, base, part: BM25 of each term (query_id, base, term, boost) in each field, N and length by field."""
     lengths = tokens.groupBy("field", "document_id").agg(F.count("*").alias("len"))
     fields = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    hits = tokens.join(F.broadcast(terms), "term").groupBy("query_id", "base", "boost", "term", "field", "document_id").agg(F.count("*").alias("f"))
-    df = tokens.join(F.broadcast(terms.select("term").distinct()), "term").select("field", "term", "document_id").distinct().groupBy("field", "term").agg(F.count("*").alias("df"))
+    hits = tokens.join(terms, "term").groupBy("query_id", "base", "boost", "term", "field", "document_id").agg(F.count("*").alias("f"))
+    df = tokens.join(terms.select("term").distinct(), "term").select("field", "term", "document_id").distinct().groupBy("field", "term").agg(F.count("*").alias("df"))
     full = hits.join(F.broadcast(fields), "field").join(df, ["field", "term"]).join(lengths, ["field", "document_id"])
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("boost") * idf * F.col("f") / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -33,28 +35,49 @@ def top(parts: DataFrame, k: int, need: DataFrame | None = None) -> DataFrame:
     """Sum of parts by query and document, ranked; `need` (query_id, n_terms) asks for all terms."""
     out = parts.groupBy("query_id", "document_id").agg(F.round(F.sum("part"), 6).alias("score"), F.countDistinct("base").alias("m"))
     if need is not None:
-        out = out.join(F.broadcast(need), "query_id").filter(F.col("m") == F.col("n_terms"))
+        out = out.join(need, "query_id").filter(F.col("m") == F.col("n_terms"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "document_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "document_id", "score")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, base, term, boost: repeats count by their number."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda t: ~t.isin(T.STOPWORDS))
+    """query_id, base, term, boost: every word counts, stopwords too, and repeats by their number."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9]+"), F.lit(0))
     return queries.select("query_id", F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("boost")).withColumn("base", F.col("term"))
 
 
 def boolean(tokens: DataFrame, queries: DataFrame, mode: str = "or", k: int = 10) -> DataFrame:
+    """Ranked documents with any (or) or all (and) terms of each query; a query without terms matches all, with score 1."""
     terms = query_terms(queries)
     need = terms.groupBy("query_id").agg(F.countDistinct("base").alias("n_terms")) if mode == "and" else None
-    return top(scores(tokens, terms), k, need)
+    bare = queries.filter(~F.coalesce(F.col("text"), F.lit("")).rlike("[A-Za-z0-9]")).select("query_id").distinct()
+    first = tokens.select("document_id").distinct().orderBy("document_id").limit(k)
+    first = first.select(F.row_number().over(Window.orderBy("document_id")).alias("rank"), "document_id")  # k rows
+    every = bare.crossJoin(F.broadcast(first)).select("query_id", "rank", "document_id", F.lit(1.0).alias("score"))
+    return top(scores(tokens, terms), k, need).unionByName(every)
+
+
+def filtered(docs: DataFrame, exact: Mapping | None = None, ranges: Mapping | None = None) -> DataFrame:
+    """docs whose columns equal the exact values and lie in the ranges (low, high), ends included; filters do not score.
+
+    Empty exact values are ignored; an end that is None is open; a null column never matches. low above high is an error.
+    """
+    for column, value in (exact or {}).items():
+        if value is not None and value != "":
+            docs = docs.filter(F.col(column) == value)
+    for column, (low, high) in (ranges or {}).items():
+        if low is not None and high is not None and low > high:
+            raise ValueError(f"{column}: {low} is above {high}")
+        docs = docs.filter(F.col(column) >= low) if low is not None else docs
+        docs = docs.filter(F.col(column) <= high) if high is not None else docs
+    return docs
 
 
 def phrase(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, document_id, field, hits: consecutive positions within one field."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9]+"), F.lit(0))
     wanted = queries.select("query_id", F.size(words).alias("n"), F.posexplode(words).alias("off", "term"))
-    at = tokens.join(F.broadcast(wanted), "term").withColumn("start", F.col("pos") - F.col("off"))
+    at = tokens.join(wanted, "term").withColumn("start", F.col("pos") - F.col("off"))
     runs = at.groupBy("query_id", "n", "document_id", "field", "start").agg(F.countDistinct("off").alias("m")).filter("m = n")
     return runs.groupBy("query_id", "document_id", "field").agg(F.count("*").alias("hits"))
 
@@ -71,11 +94,12 @@ def within(a: Column, b: Column, edits: int) -> Column:
 def fuzzy_terms(tokens: DataFrame, queries: DataFrame, edits: int = 1) -> DataFrame:
     """query_id, base, term, boost: vocabulary terms near each query term; of them the MAX_EXPANSIONS nearest are the feature.
 
-    The stated queries' few terms are broadcast against the distinct vocabulary, with a length filter first.
+    Query terms meet the distinct vocabulary by length, so that only terms of a fitting length are compared.
     """
     asked = query_terms(queries).select("query_id", "base").distinct()
     vocabulary = tokens.select("term").distinct()
-    near = vocabulary.join(F.broadcast(asked), (F.abs(F.length("term") - F.length("base")) <= edits) & within(F.col("base"), F.col("term"), edits))
+    lengths = F.sequence(F.length("base") - edits, F.length("base") + edits)
+    near = vocabulary.withColumn("n", F.length("term")).join(asked.withColumn("n", F.explode(lengths)), "n").drop("n").filter(within(F.col("base"), F.col("term"), edits))
     dist = F.least(F.levenshtein("base", "term"), F.lit(edits))
     near = near.withColumn("boost", 1 - dist / F.least(F.length("base"), F.length("term"))).filter("boost > 0")
     rank = F.row_number().over(Window.partitionBy("query_id", "base").orderBy(F.col("boost").desc(), "term"))
@@ -86,6 +110,11 @@ def fuzzy(tokens: DataFrame, queries: DataFrame, edits: int = 1, k: int = 10) ->
     return top(scores(tokens, fuzzy_terms(tokens, queries, edits)), k)
 
 
+def overlap_means(overlaps: DataFrame, by: str = "mode") -> DataFrame:
+    """Mean overlap ratio of the queries of each mode, with their number."""
+    return overlaps.groupBy(by).agg(F.count("*").alias("queries"), F.round(F.avg("overlap_ratio"), 4).alias("mean_overlap_ratio"))
+
+
 def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """query_id, overlap_count, overlap_ratio (by k) of two ranked runs (query_id, document_id)."""
     both = a.select("query_id", "document_id").join(b.select("query_id", "document_id"), ["query_id", "document_id"]).groupBy("query_id").agg(F.count("*").alias("c"))

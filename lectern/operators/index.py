@@ -37,7 +37,7 @@ def norms(post: DataFrame, lex: DataFrame, documents: int) -> DataFrame:
 
 
 def build(docs: DataFrame) -> Index:
-    post = postings(docs)
+    post = postings(docs).persist()  # lexicon, norms and searches read it
     lex, count = lexicon(post), docs.count()
     return Index(post, lex, norms(post, lex, count), count)
 
@@ -65,22 +65,23 @@ def search(index: Index, queries: DataFrame, method: str = "classic", k: int = 1
     n = F.lit(index.documents)
     terms = parse_queries(queries).join(index.lexicon, "term").withColumn("qw", T.log_tf(F.col("qtf")) * T.idf(n, F.col("df"), method))
     qnorm = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    hits = index.postings.join(F.broadcast(terms), "term")  # the stated queries' terms
+    hits = index.postings.join(terms, "term")
     dot = hits.groupBy("query_id", "mode", "n_terms", "document_id").agg(F.sum(F.col("qw") * T.log_tf(F.col("tf")) * T.idf(n, F.col("df"), method)).alias("dot"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
     dot = dot.filter((F.col("mode") == "or") | (F.size("matched_terms") == F.col("n_terms")))
     norm = F.col(f"norm_{method}")
-    scored = dot.join(F.broadcast(qnorm), "query_id").join(index.norms, "document_id").filter((norm > 0) & (F.col("qnorm") > 0))
+    scored = dot.join(qnorm, "query_id").join(index.norms, "document_id").filter((norm > 0) & (F.col("qnorm") > 0))
     scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("qnorm") * norm), 6)).filter("score > 0")
-    w = Window.partitionBy("query_id")
-    ranked = scored.withColumn("total_hits", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.col("score").desc(), "document_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "document_id", "score", "total_hits", F.array_join("matched_terms", " ").alias("matched_terms"))
+    # Hits are counted apart, so that the rank alone is a window, of which each task keeps the first k.
+    total = scored.groupBy("query_id").agg(F.count("*").alias("total_hits"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "document_id"))).filter(F.col("rank") <= k)
+    return ranked.join(total, "query_id").select("query_id", "rank", "document_id", "score", "total_hits", F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
 def explain(index: Index, queries: DataFrame, hits: DataFrame) -> DataFrame:
     """Arithmetic of each lexicon term of the queries for each hit, for both IDF methods; absent terms have dtf 0."""
     n = F.lit(index.documents)
     terms = parse_queries(queries).join(index.lexicon, "term")
-    pairs = hits.select("query_id", "document_id").join(F.broadcast(terms), "query_id")
+    pairs = hits.select("query_id", "document_id").join(terms, "query_id")
     full = pairs.join(index.postings, ["document_id", "term"], "left").withColumn("dtf", F.coalesce("tf", F.lit(0)))
     cols = [F.round(T.log_tf(F.col("qtf")), 6).alias("qtf_weight"), F.round(T.log_tf(F.col("dtf")), 6).alias("dtf_weight")]
     for m in ("classic", "smooth"):

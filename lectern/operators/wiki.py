@@ -12,7 +12,7 @@ SCHEMA = (
     "bold_terms array<string>, category_count int, section_count int, template_count int, internal_link_count int, external_link_count int, reference_count int, text_length int, preview string"
 )
 #: Prefixes of links that are no articles (fixed values).
-NOT_ARTICLES = ("category:", "file:", "image:", "template:", "help:", "portal:")
+NOT_ARTICLES = ("category:", "file:", "image:", "template:", "help:", "wikipedia:")
 BOLD = 20
 
 
@@ -27,7 +27,7 @@ def _distinct(values, cap: int | None = None) -> list[str]:
     for v in values:
         key = " ".join(v.replace("_", " ").split()).lower()
         if key:
-            seen.setdefault(key, " ".join(v.split()))
+            seen.setdefault(key, v.strip())
     return list(seen.values())[:cap]
 
 
@@ -52,7 +52,7 @@ def parse_page(page: str) -> dict | None:
     }
     refs = re.findall(r"(?is)<ref\b[^>]*>.*?</ref\s*>|<ref\b[^>]*/\s*>", text)
     return lists | {
-        "page_id": int(number[1]), "title": name, "join_key": " ".join(name.replace("_", " ").split()).lower(), "namespace": 0, "redirect": unescape(redirect[1]) if redirect else None,
+        "page_id": int(number[1]), "title": name, "join_key": " ".join(name.replace("_", " ").split()).lower(), "namespace": 0, "redirect": unescape(redirect[1]).strip() if redirect else None,
         "infobox_type": box[1].strip() if box else None, "category_count": len(lists["categories"]), "section_count": len(lists["sections"]), "template_count": len(lists["templates"]),
         "internal_link_count": len(_distinct(links)), "external_link_count": len(dict.fromkeys(every(r"(?i)\[(https?://[^\s\]]+)"))), "reference_count": len(refs), "text_length": len(text), "preview": text,
     }
@@ -82,3 +82,9 @@ def profile(pages: DataFrame, columns: list[str]) -> DataFrame:
 
 def top_articles(pages: DataFrame, by: str, k: int = 10) -> DataFrame:
     return pages.filter("redirect is null").orderBy(F.col(by).desc(), "page_id").limit(k).select("page_id", "title", by)
+
+
+def first_articles(pages: DataFrame, k: int = 20, with_sections: bool = False) -> DataFrame:
+    """The k articles of the lowest page_id, or those of them that have sections."""
+    out = pages.filter("redirect is null")
+    return (out.filter("section_count > 0") if with_sections else out).orderBy("page_id").limit(k)

@@ -34,8 +34,8 @@ def _docs(spark, d, *more):
 
 
 def _asked(spark, d):
-    """One query for each benchmark item: its first three tokens."""
-    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens("text"), 1, 3), " ").alias("text"))
+    """One query for each benchmark item: its whole text."""
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(T.tokens("text"), " ").alias("text"))
 
 
 def _fixed(spark, d, text="the of worthless trash", mode="or"):
@@ -54,7 +54,7 @@ n AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT document_id, term, tf, df, 1 + ln(tf) AS tw, ln(n / df) AS ic, ln((n + 1) / (df + 1)) + 1 AS ism FROM post JOIN lex USING (term), n),
 norm AS (SELECT document_id, sum(tf)::BIGINT AS token_count, sqrt(sum(pow(tw * ic, 2))) AS norm_classic, sqrt(sum(pow(tw * ism, 2))) AS norm_smooth FROM w GROUP BY document_id)"""
 STOP = "'" + "','".join(T.STOPWORDS) + "'"
-ASKED = f"asked AS (SELECT item_id AS query_id, list_aggregate({TOK}[1:3], 'string_agg', ' ') AS text FROM benchmark)"
+ASKED = f"asked AS (SELECT item_id AS query_id, list_aggregate({TOK}, 'string_agg', ' ') AS text FROM benchmark)"
 
 
 def _search_sql(asked: str, method: str = "classic", k: int = 10, out: str | None = None) -> str:
@@ -154,7 +154,7 @@ def preview_text(spark, d):
 def hit_snippets(spark, d):
     i, q = index.build(_docs(spark, d)), _asked(spark, d)
     hits = index.search(i, q)
-    return _docs(spark, d).join(F.broadcast(hits), "document_id").select("query_id", "rank", "document_id", T.snippet("text", F.split("matched_terms", " ")).alias("snippet"))  # k rows a query
+    return _docs(spark, d).join(hits, "document_id").select("query_id", "rank", "document_id", T.snippet("text", F.split("matched_terms", " ")).alias("snippet"))  # k rows a query
 
 
 # ---- fields
@@ -176,12 +176,12 @@ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def _qt_sql(asked: str) -> str:
-    return f"{asked}, qt AS (SELECT query_id, term, term AS base, count(*)::DOUBLE AS boost FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS term FROM asked) WHERE term NOT IN ({STOP}) GROUP BY ALL)"
+    return f"{asked}, qt AS (SELECT query_id, term, term AS base, count(*)::DOUBLE AS boost FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS term FROM asked) GROUP BY ALL)"
 
 
-def _fields(spark, d, keep=None):
+def _fields(spark, d, **kept):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "lang", "n_chars", F.substring_index("text", "\n", 1).alias("title"), "text")
-    return fields.field_tokens(docs.filter(keep) if keep else docs, ["title", "text"])
+    return fields.field_tokens(fields.filtered(docs, **kept), ["title", "text"])
 
 
 @query(_bm25_sql(_qt_sql(ASKED)))
@@ -196,7 +196,7 @@ def field_bool_and(spark, d):
 
 @query(_bm25_sql(_qt_sql(ASKED), "lang = 'en' AND n_chars BETWEEN 500 AND 3000"))
 def field_filtered(spark, d):
-    return fields.boolean(_fields(spark, d, "lang = 'en' and n_chars between 500 and 3000"), _asked(spark, d))
+    return fields.boolean(_fields(spark, d, exact={"lang": "en", "document_type": ""}, ranges={"n_chars": (500, 3000)}), _asked(spark, d))
 
 
 @query(f"WITH {FIELD}, {ASKED}, q AS (SELECT query_id, w, len(w) AS n FROM (SELECT query_id, regexp_extract_all(lower(text), '[A-Za-z0-9]+') AS w FROM asked)), o AS (SELECT query_id, n, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS off FROM q), r AS (SELECT query_id, n, document_id, field, pos - off AS start FROM ft JOIN o USING (term) GROUP BY ALL HAVING count(DISTINCT off) = n) SELECT query_id, document_id, field, count(*) AS hits FROM r GROUP BY ALL")
@@ -255,6 +255,54 @@ def _links(spark, d):
     return entities.link(_entities(spark, d), _wiki(spark, d))
 
 
+GROUPS = ("bible", "commentary", "topical", "naves", "torrey", "atlas")
+SITE_DOCS = (
+    "tk AS (SELECT doc_id AS document_id, source, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}\\p{N}]+)?') AS t FROM documents), "
+    "sd AS (SELECT document_id, ['" + "','".join(GROUPS) + "'][1 + length(source) * 7 % 2 + 2 * (ascii(right(source, 1)) % 3)] AS crawl_group, 'https://site/' || document_id AS url, t[1] AS title, list_aggregate(t[1:2], 'string_agg', ' ') AS place, t[1] || ': ' || coalesce(t[2], '') AS topic, t[1] AS book FROM tk), "
+    "mp AS (SELECT DISTINCT t[1] AS bible_book, 'Book of ' || t[1] AS wiki_title FROM tk WHERE length(t[1]) % 2 = 0), "
+    "be AS (SELECT document_id, crawl_group, url, title, place AS source_entity, place AS entity_name, 'place' AS entity_type FROM sd WHERE crawl_group = 'atlas' AND length(trim(place)) > 0 UNION ALL SELECT document_id, crawl_group, url, title, topic, trim(split_part(topic, ':', 1)), 'naves_entity' FROM sd WHERE crawl_group = 'naves' AND length(trim(topic)) > 0 "
+    "UNION ALL SELECT document_id, crawl_group, url, title, book, coalesce(wiki_title, book), 'book' FROM sd LEFT JOIN mp ON book = bible_book WHERE crawl_group = 'bible' AND length(trim(book)) > 0), "
+    "bk AS (SELECT *, lower(trim(replace(entity_name, '_', ' '))) AS join_key FROM be)"
+)
+
+
+def _site_docs(spark, d):
+    """Documents as pages of the site: a group by source, and place, topic and book from their first words."""
+    t = F.col("t")
+    group = F.get(F.array(*map(F.lit, GROUPS)), (F.length("source") * 7 % 2 + 2 * (F.ascii(F.right("source", F.lit(1))) % 3)).cast("int"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source", T.tokens("text").alias("t"))
+    first = F.get(t, 0)
+    pages = docs.select("document_id", group.alias("crawl_group"), F.concat(F.lit("https://site/"), F.col("document_id").cast("string")).alias("url"), first.alias("title"), F.array_join(F.slice(t, 1, 2), " ").alias("place"), F.concat(first, F.lit(": "), F.coalesce(F.get(t, 1), F.lit(""))).alias("topic"), first.alias("book"))
+    mapping = docs.select(first.alias("bible_book")).filter(F.length("bible_book") % 2 == 0).distinct().withColumn("wiki_title", F.concat(F.lit("Book of "), F.col("bible_book")))
+    return pages, mapping
+
+
+@query(f"WITH {SITE_DOCS} SELECT * FROM bk")
+def build_entities(spark, d):
+    return entities.build(*_site_docs(spark, d))
+
+
+@query(f"WITH {SITE_DOCS} SELECT * FROM (SELECT entity_type, join_key, row_number() OVER (PARTITION BY entity_type ORDER BY join_key) AS rank FROM (SELECT DISTINCT entity_type, join_key FROM bk)) WHERE rank <= 20")
+def entity_samples(spark, d):
+    return entities.samples(entities.build(*_site_docs(spark, d)))
+
+
+@query(f"WITH {SITE_DOCS} SELECT 'pages' AS stage, crawl_group, count(*) AS rows FROM sd GROUP BY ALL UNION ALL SELECT 'entities', crawl_group, count(*) FROM bk GROUP BY ALL")
+def pipeline_funnel(spark, d):
+    pages, mapping = _site_docs(spark, d)
+    return stats.funnel({"pages": pages, "entities": entities.build(pages, mapping)})
+
+
+@query(f"WITH {WIKI} SELECT page_id, title, section_count FROM wp WHERE redirect IS NULL AND section_count > 0 ORDER BY page_id LIMIT 20")
+def wiki_first_articles(spark, d):
+    return wiki.first_articles(_wiki(spark, d), 20, True).select("page_id", "title", "section_count")
+
+
+@query(f"WITH {WIKI} SELECT entity_type, join_key, matched FROM lk WHERE NOT matched ORDER BY entity_type, join_key LIMIT 30")
+def wiki_unmatched_sample(spark, d):
+    return entities.link_samples(_links(spark, d), False).select("entity_type", "join_key", "matched")
+
+
 @query("SELECT 'part' AS kind, p_partkey AS id, lower(trim(replace(p_name, '_', ' '))) AS join_key FROM part UNION ALL SELECT 'supplier', s_suppkey, lower(trim(replace(s_name, '_', ' '))) FROM supplier UNION ALL SELECT 'nation', n_nationkey, lower(trim(replace(n_name, '_', ' '))) FROM nation")
 def join_keys(spark, d):
     pick = lambda t, i, n: _t(spark, d, t).select(F.lit(t).alias("kind"), F.col(i).cast("long").alias("id"), T.join_key(n).alias("join_key"))

@@ -45,7 +45,7 @@ def nested_postings(postings: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, metadata: str, bodies: str, schema: str) -> DataFrame:
-    """Saved crawl metadata with the HTML of its raw_html_path, matched by file name."""
+    """Saved crawl metadata with the HTML of its raw_html_path: joined by file name, and the whole relative path must fit."""
     meta = spark.read.schema(schema).json(metadata).filter("fetch_status = 'saved'").withColumn("_f", F.element_at(F.split("raw_html_path", "/"), -1))
-    files = spark.read.option("wholetext", True).text(bodies).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_f"), F.col("value").alias("html"))
-    return meta.join(files, "_f", "left").drop("_f")
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(bodies).select(F.url_decode(F.input_file_name()).alias("_p"), F.col("value").alias("html")).withColumn("_g", F.element_at(F.split("_p", "/"), -1))
+    return meta.join(files, (F.col("_f") == F.col("_g")) & F.endswith("_p", F.concat(F.lit("/"), F.col("raw_html_path"))), "left").drop("_f", "_g", "_p")
