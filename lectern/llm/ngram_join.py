@@ -243,9 +243,10 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """
     found = classes(docs, size, percent)
     same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("version") == F.col("component_version"))
-    stays = staged(found.filter(same).groupBy("doc_id", "version").agg(F.count("*").alias("_n")).withColumnsRenamed({"doc_id": "_d", "version": "_v"}), "kept-documents")
-    joined = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_d"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == stays["_v"]))
-    return joined.filter("_n = 1").unionByName(joined.filter("_n > 1").dropDuplicates(["_d", "_v"])).select(*(docs[c] for c in docs.columns))
+    stays = staged(found.filter(same).groupBy("doc_id", "version").agg(F.count("*").alias("n")), "kept-documents")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("d"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("v"))
+    joined = rows.join(stays, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version")))
+    return joined.filter("n = 1").unionByName(joined.filter("n > 1").dropDuplicates(["d", "v"])).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 SQL = f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, mix, slices, staged
 
-#: Bounds of the rows that the classifier is fitted on. Counts of documents and all scores cover every row.
+#: Bounds of the rows that the classifier is fitted on, the choice of its features included. Scores cover every row.
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 12_000
 BITS, FEATURES, MIN_ROWS = 20, 1_000, 20
 #: Word prefixes of so many bytes are features beside whole words.
@@ -90,14 +90,14 @@ def fit(x: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarray,
     return w, float(b)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 4) = 2") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 4) = 2", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
     """Score of each row of docs (doc_id, text): doc_id, held_out, score, predicted.
 
     Confirmed toxic rows outside held_out are the positives, other rows outside it are unlabelled text whatever
     their label. The class prior is the share of toxic rows among the labelled ones outside held_out. Features are
     hashed words and word prefixes; those whose document frequencies differ most between positives and unlabelled
-    rows (by z-score) enter the classifier. At most MAX_POSITIVE and MAX_UNLABELLED rows, taken in the order of a
-    hash of doc_id, are fitted on.
+    rows (by z-score) enter the classifier. At most max_positive and about max_unlabelled rows, taken by a hash of
+    doc_id, are fitted on, and features are chosen from the same rows.
 
     A null text is empty; a null doc_id is never held out and never labelled; repeated rows are all scored; null
     labels are ignored, and a doc_id that is labelled both ways counts as toxic. Without positives or unlabelled
@@ -110,8 +110,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "pmod(crc32(cas
     stats = known.agg(F.avg("toxic")).first()[0]
     prior = min(max(DEFAULT_PRIOR if stats is None else float(stats), 1e-3), 0.9)
 
-    ids = staged(known.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_POSITIVE), "positives")
-    share = min(1.0, MAX_UNLABELLED / max(1, docs.count()))
+    ids = staged(known.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive), "positives")
+    share = min(1.0, max_unlabelled / max(1, docs.count()))
     pool = docs.filter(~F.col("held_out")).join(F.broadcast(ids.withColumn("positive", F.lit(True))), "doc_id", "left")
     pool = pool.withColumn("positive", F.coalesce("positive", F.lit(False)))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)

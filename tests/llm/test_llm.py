@@ -351,11 +351,70 @@ def test_toxicity_ranks_held_out_rows(spark):
     assert min(bad) > sorted(good)[int(len(good) * 0.95)]
 
 
-def test_pipeline_stages(spark):
+def test_model_counts_against_plain_ones(spark, docs):
+    from collections import Counter
+    from math import log10
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id is not None}
+    rows = list(texts.items())
+    split = lambda t: [*filter(None, __import__("re").split("[ \t-\r]+", t.translate({c: c + 32 for c in range(65, 91)}))), None]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    counts = Counter(w for i, t in rows if not held[i] for w in split(t))
+    n, v = sum(counts.values()), len(counts)
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(texts)
+    for i, t in rows:
+        r, w = got[i], split(t)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(x in counts for x in w), n)
+        assert abs(r.base_score - sum(log10((counts[x] + 1) / (n + 1 * (v + 1))) for x in w)) < 1e-6 * len(w)
+
+
+def test_pipeline_against_sql_and_the_tokenizer(spark):
+    """Each stage against SQL over what the stages before kept; the pieces of the last against whole encoded texts."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     import os
 
-    if not os.path.isdir("/root/testdata/sf0.001"):
+    import duckdb
+    import public_tokenizers
+    import tokenizers
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
         pytest.skip("needs the given tables")
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and not out.groupBy("doc_id", "start").count().filter("count > 1").count()
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE documents AS SELECT * FROM '{folder}/documents.parquet'")
+    columns = "doc_id, text, lang, source, n_chars"
+
+    def then(sql):
+        con.sql(f"CREATE TABLE next AS {sql}")
+        con.sql("DROP TABLE documents")
+        con.sql("ALTER TABLE next RENAME TO documents")
+
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    steps = [
+        f"SELECT {columns} FROM documents SEMI JOIN (SELECT * FROM ({quality.SQL}) WHERE kept) k USING (doc_id)",
+        f"SELECT doc_id, k.text, lang, source, length(k.text) AS n_chars FROM documents JOIN ({line_dedup.SQL}) k USING (doc_id) WHERE regexp_matches(k.text, '[^\\x20\\x09-\\x0D]')",
+        f"SELECT {columns} FROM documents SEMI JOIN (SELECT * FROM ({ngram_join.SQL}) WHERE doc_id = component_id) k USING (doc_id)",
+        f"SELECT {columns} FROM documents SEMI JOIN ({mixing.sql(60, 1)} SELECT doc_id FROM picked) k USING (doc_id)",
+    ]
+    for (name, stage), sql in zip(corpus_pipeline.STAGES, steps, strict=False):
+        then(sql)
+        df = corpus_pipeline.staged(stage(spark, df, folder), name)
+        assert sorted(map(tuple, df.select(*columns.split(", ")).collect())) == sorted(con.sql(f"SELECT {columns} FROM documents").fetchall()), name
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    want = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for i, x in con.sql("SELECT doc_id, text FROM documents").fetchall()}
+    seen = {i: [] for i in want}
+    for r in corpus_pipeline.run(spark, folder).collect():
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(want[r.doc_id])
+        seen[r.doc_id] += range(r.start, r.start + r.length)
+    assert all(sorted(seen[i]) == list(range(len(want[i]))) for i in want)
+
+
+def test_one_of_each_class(spark):
+    rng = random.Random(20)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(5, a), (5, a), (5, b), (3, b + " tail"), (7, a + " end"), (8, None), (8, ""), (None, a), (9, "w")]
+    got = ngram_join.one_of_each(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _n int, version int"))
+    assert got.columns == ["doc_id", "text", "_n", "version"]
+    kept = [(r.doc_id, r.text or "") for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b + " tail"), (8, ""), (None, a), (9, "w")], key=str)
