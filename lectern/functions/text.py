@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words left out of queries.
 STOPWORDS = ["a", "an", "the", "in", "on", "at", "of", "to", "for", "from", "by", "with", "as", "is", "are", "was", "were", "be", "been", "being"]
@@ -22,6 +24,19 @@ def tokens(column: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(column), F.lit(TOKEN), F.lit(0))
 
 
+@F.pandas_udf(StringType())
+def nfkc(values: pd.Series) -> pd.Series:
+    """Compatibility form of texts, for corpora that hold other forms: apply it before `tokens`."""
+    return values.str.normalize("NFKC")
+
+
+def list_text(column: Column | str) -> Column:
+    """A JSON list as its items between spaces; a JSON string as what it holds, and any other text as it stands."""
+    c = F.col(column) if isinstance(column, str) else column
+    items = F.array_join(F.from_json(c, "array<string>"), " ", "None")
+    return F.when(c.rlike(r"^\s*\["), F.coalesce(items, c)).when(c.rlike(r'^\s*"'), F.coalesce(F.get_json_object(c, "$"), c)).otherwise(c)
+
+
 def log_tf(tf: Column) -> Column:
     return F.when(tf > 0, 1 + F.ln(tf)).otherwise(0.0)
 

@@ -6,13 +6,74 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The slugs of books, as they stand in paths.
-BOOKS = (
-    "genesis exodus leviticus numbers deuteronomy joshua judges ruth 1_samuel 2_samuel 1_kings 2_kings 1_chronicles 2_chronicles ezra nehemiah "
-    "esther job psalms proverbs ecclesiastes songs isaiah jeremiah lamentations ezekiel daniel hosea joel amos obadiah jonah micah nahum "
-    "habakkuk zephaniah haggai zechariah malachi matthew mark luke john acts romans 1_corinthians 2_corinthians galatians ephesians "
-    "philippians colossians 1_thessalonians 2_thessalonians 1_timothy 2_timothy titus philemon hebrews james 1_peter 2_peter 1_john 2_john "
-    "3_john jude revelation"
-).split()
+BOOKS = [
+    "genesis",
+    "exodus",
+    "leviticus",
+    "numbers",
+    "deuteronomy",
+    "joshua",
+    "judges",
+    "ruth",
+    "1_samuel",
+    "2_samuel",
+    "1_kings",
+    "2_kings",
+    "1_chronicles",
+    "2_chronicles",
+    "ezra",
+    "nehemiah",
+    "esther",
+    "job",
+    "psalms",
+    "proverbs",
+    "ecclesiastes",
+    "songs",
+    "isaiah",
+    "jeremiah",
+    "lamentations",
+    "ezekiel",
+    "daniel",
+    "hosea",
+    "joel",
+    "amos",
+    "obadiah",
+    "jonah",
+    "micah",
+    "nahum",
+    "habakkuk",
+    "zephaniah",
+    "haggai",
+    "zechariah",
+    "malachi",
+    "matthew",
+    "mark",
+    "luke",
+    "john",
+    "acts",
+    "romans",
+    "1_corinthians",
+    "2_corinthians",
+    "galatians",
+    "ephesians",
+    "philippians",
+    "colossians",
+    "1_thessalonians",
+    "2_thessalonians",
+    "1_timothy",
+    "2_timothy",
+    "titus",
+    "philemon",
+    "hebrews",
+    "james",
+    "1_peter",
+    "2_peter",
+    "1_john",
+    "2_john",
+    "3_john",
+    "jude",
+    "revelation",
+]
 BOOK = "|".join(sorted(BOOKS, key=len, reverse=True))
 VERSE = rf"^/({BOOK})/(\d+)-(\d+)\.htm$"
 
@@ -36,13 +97,22 @@ IGNORED = [
     ("atlas_biblemapper", "unsupported_collection", r"^/atlas/biblemapper(?:/|$)"),
     ("atlas_other", "unsupported_internal_url", r"^/atlas(?:/|$)"),
     ("topical_other", "unsupported_internal_url", r"^/topical(?:/|$)"),
-    *((s, "unsupported_internal_section", rf"^/{s}(?:/|$)") for s in ("greek", "hebrew", "interlinear", "parallel", "sermons")),
+    ("greek", "unsupported_internal_section", r"^/greek(?:/|$)"),
+    ("hebrew", "unsupported_internal_section", r"^/hebrew(?:/|$)"),
+    ("interlinear", "unsupported_internal_section", r"^/interlinear(?:/|$)"),
+    ("parallel", "unsupported_internal_section", r"^/parallel(?:/|$)"),
+    ("sermons", "unsupported_internal_section", r"^/sermons(?:/|$)"),
     ("questions", "unsupported_internal_section", r"^/(?:questions|q)(?:/|$)"),
     ("library", "unsupported_internal_section", r"^/library(?:/|$)"),
     ("concordance", "unsupported_internal_section", r"^/concordance(?:/|$)"),
     ("dictionary", "unsupported_internal_section", r"^/(?:dictionary|dictionaries)(?:/|$)"),
     ("search", "unsupported_internal_section", r"^/search"),
-    *(("translation_" + s, "unsupported_translation", rf"^/{s}(?:/|$)") for s in ("bsb", "niv", "kjv", "esv", "nlt", "nasb")),
+    ("translation_bsb", "unsupported_translation", r"^/bsb(?:/|$)"),
+    ("translation_niv", "unsupported_translation", r"^/niv(?:/|$)"),
+    ("translation_kjv", "unsupported_translation", r"^/kjv(?:/|$)"),
+    ("translation_esv", "unsupported_translation", r"^/esv(?:/|$)"),
+    ("translation_nlt", "unsupported_translation", r"^/nlt(?:/|$)"),
+    ("translation_nasb", "unsupported_translation", r"^/nasb(?:/|$)"),
     ("translation_other", "unsupported_translation", r"^/(?:bab|bib|blb|cg|msb|texts)(?:/|$)"),
     ("bible_context", "unsupported_internal_section", r"^/context(?:/|$)"),
     ("bible_book_other", "unsupported_internal_url", rf"^/(?:{BOOK})(?:/|$)"),
@@ -100,6 +170,16 @@ def classified(url: Column, site: str) -> Column:
     return F.when(host_of(url) == site, out)
 
 
+def prefix_group(url: Column, document_type: Column) -> Column:
+    """The group that the start of a path names; else bible for chapters and Bible documents, else the document type."""
+    path = path_of(url)
+    starts = {"/topical/naves/": "naves", "/topical/ttt/": "torrey", "/topical/": "topical", "/commentaries/": "commentary", "/atlas/": "atlas"}  # fixed values, in order
+    out = F.when((document_type == "bible") | path.rlike(r"^/[^/]+/\d+\.htm$"), "bible").otherwise(document_type)
+    for start, group in reversed(starts.items()):
+        out = F.when(path.startswith(start), group).otherwise(out)
+    return out
+
+
 def derived(url: Column, site: str) -> Column:
     """The commentary page of a verse page, else null."""
     m = lambda i: F.regexp_extract(path_of(url), VERSE, i)

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import join_key
 
-ATTRIBUTES = ["text_length", "section_count", "reference_count"]
+#: What links carry of a page, as far as the pages have it.
+LISTS = ["categories", "sections", "templates", "bold_terms"]
+NUMBERS = ["text_length", "category_count", "section_count", "template_count", "internal_link_count", "external_link_count", "reference_count"]
+ATTRIBUTES = [*LISTS, "infobox_type", *NUMBERS]
+
+#: Columns of a search document before those of its wiki page.
+DOCUMENT = {"document_id": "string", "title": "string", "text": "string", "url": "string", "crawl_group": "string", "document_type": "string", "book": "string", "chapter": "int", "verse": "int", "topic": "string", "place": "string"}
 
 
 def first_by_key(pages: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,7 +62,8 @@ def link(entities: DataFrame, pages: DataFrame) -> DataFrame:
     columns of other pages are never shuffled. A target that is itself a redirect or missing stays unresolved.
     """
     wanted = unique_entities(entities)
-    columns = ["page_id", "title", "redirect", *ATTRIBUTES]
+    attributes = [c for c in ATTRIBUTES if c in pages.columns]
+    columns = ["page_id", "title", "redirect", *attributes]
     direct = first_by_key(pages.join(wanted.select("join_key").distinct(), "join_key", "left_semi"), columns)
     articles = pages.filter(F.col("redirect").isNull())
     targets = direct.select(join_key("redirect").alias("join_key")).filter("join_key is not null").distinct()
@@ -66,7 +73,7 @@ def link(entities: DataFrame, pages: DataFrame) -> DataFrame:
     resolved = lambda c: F.when(hop, F.col("a_" + c)).otherwise(F.col(c))
     return out.select(
         "entity_type", "join_key", F.col("page_id").alias("matched_page_id"), F.col("title").alias("matched_title"), F.col("redirect").alias("redirect_title"),
-        resolved("page_id").alias("final_page_id"), resolved("title").alias("final_title"), *(resolved(c).alias(c) for c in ATTRIBUTES),
+        resolved("page_id").alias("final_page_id"), resolved("title").alias("final_title"), *(resolved(c).alias(c) for c in attributes),
         F.col("page_id").isNotNull().alias("matched"), hop.alias("redirect_resolved"),
     )
 
@@ -85,7 +92,31 @@ def match_totals(links: DataFrame) -> DataFrame:
 
 
 def attribute_stats(links: DataFrame) -> DataFrame:
-    return links.filter("matched").agg(*(F.round(F.avg(c), 4).alias("avg_" + c) for c in ATTRIBUTES))
+    """Averages of the matched links' numbers, and how many have an infobox."""
+    box = F.col("infobox_type") if "infobox_type" in links.columns else F.lit(None)
+    return links.filter("matched").agg(*(F.round(F.avg(c), 4).alias("avg_" + c) for c in NUMBERS if c in links.columns), F.count(box).alias("with_infobox"))
+
+
+def search_documents(docs: DataFrame, mapping: DataFrame, links: DataFrame) -> DataFrame:
+    """The documents with the wiki page of their entity: 11 columns of the document, 15 of the page, null where there is none.
+
+    Bible pages go by the title that mapping (bible_book, wiki_title) has for their book, Nave's pages by the topic
+    before a colon, atlas pages by their place; other groups have no entity. Columns that docs or links lack are null.
+    """
+    def pick(df: DataFrame, name: str, kind: str | None = None) -> Column:
+        column = F.col(name) if name in df.columns else F.lit(None)
+        return column.cast(kind) if kind else column
+
+    group = F.col("crawl_group")
+    own = docs.select(*(pick(docs, c, None if c == "document_id" and c in docs.columns else k).alias(c) for c, k in DOCUMENT.items()))
+    titles = mapping.select(F.col("bible_book").alias("book"), join_key("wiki_title").alias("_book_key"))
+    own = own.join(titles, "book", "left")
+    own = own.withColumn("_type", F.when(group == "bible", "book").when(group == "naves", "naves_entity").when(group == "atlas", "place"))
+    own = own.withColumn("_key", F.when(group == "bible", F.col("_book_key")).when(group == "naves", join_key(F.regexp_extract("topic", "^([^:]+)", 1))).when(group == "atlas", join_key("place")))
+    kinds = dict.fromkeys(LISTS, "array<string>") | {"infobox_type": "string"} | dict.fromkeys(NUMBERS, "int")
+    page = [F.col("matched").alias("wiki_matched"), F.col("final_page_id").alias("wiki_page_id"), F.col("final_title").alias("wiki_title")]
+    wiki = links.select(F.col("entity_type").alias("_type"), F.col("join_key").alias("_key"), *page, *(pick(links, c, kinds[c]).alias("wiki_" + c) for c in ATTRIBUTES))
+    return own.join(wiki, ["_type", "_key"], "left").drop("_type", "_key", "_book_key").select(*DOCUMENT, "wiki_matched", "wiki_page_id", "wiki_title", *("wiki_" + c for c in ATTRIBUTES))
 
 
 def enrich(docs: DataFrame, links: DataFrame) -> DataFrame:
@@ -97,3 +128,8 @@ def enrich(docs: DataFrame, links: DataFrame) -> DataFrame:
 def enrichment_rate(enriched: DataFrame) -> DataFrame:
     out = enriched.groupBy("crawl_group").agg(F.count("*").alias("documents"), F.count("wiki_title").alias("enriched"))
     return out.withColumn("wiki_rate", rate(F.col("enriched"), F.col("documents")))
+
+
+def enrichment_totals(enriched: DataFrame) -> DataFrame:
+    out = enriched.agg(F.count("*").alias("documents"), F.count("wiki_title").alias("enriched"))
+    return out.withColumn("without", F.col("documents") - F.col("enriched")).withColumn("wiki_rate", rate(F.col("enriched"), F.col("documents")))

@@ -193,10 +193,11 @@ def extract_documents(pages: DataFrame, site: str, site_name: str = "") -> DataF
             out = pd.DataFrame(rows, columns=names, dtype=object)
             yield out
 
-    kind = U.classified(U.canonical(F.col("url"), F.col("url"), site), site)
+    kind = F.col("_kind")
     status = F.when(kind.isNull() | kind["is_discovery"], "skipped").otherwise("open")
     reason = F.when(kind.isNull(), "unsupported_group").when(kind["is_discovery"], "discovery_page")
     saved = pages.filter("fetch_status = 'saved'") if "fetch_status" in pages.columns else pages
+    saved = saved.withColumn("_url", U.canonical(F.col("url"), F.col("url"), site)).withColumn("_kind", U.classified(F.col("_url"), site))
     ready = saved.select("url", "html", T.document_id("url").alias("document_id"), kind["crawl_group"].alias("crawl_group"), kind["document_type"].alias("document_type"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("content_hash"), status.alias("status"), reason.alias("skip_reason"))
     made = ready.mapInPandas(run, OUT)
     made = made.withColumn("text_length", F.length("text")).withColumn("word_count", T.word_count("text")).withColumn("text_hash", F.sha2("text", 256))
@@ -226,6 +227,18 @@ def validation_errors(by_group: dict[str, Rules] | None = None) -> Column:
     return F.array_compact(F.when(least.isNull(), F.array(*base, F.lit("unknown_document_type"))).otherwise(F.array(*base, *full)))
 
 
+def totals(documents: DataFrame) -> DataFrame:
+    """One row: source pages, eligible, valid, invalid and skipped documents, success rate, characters of valid texts."""
+    skipped = lambda cond: F.count_if((F.col("status") == "skipped") & cond)
+    discovery = F.col("skip_reason") == "discovery_page"
+    valid, eligible = F.count_if("valid"), F.count_if(F.col("status") != "skipped")
+    return documents.agg(
+        F.count("*").alias("source_pages"), eligible.alias("eligible"), valid.alias("valid"), (eligible - valid).alias("invalid"), skipped(F.lit(True)).alias("skipped"),
+        skipped(discovery).alias("skipped_discovery"), skipped(~discovery).alias("skipped_other"), F.coalesce(F.round(100 * valid / F.nullif(eligible, F.lit(0)), 2), F.lit(0.0)).alias("success_rate"),
+        F.coalesce(F.sum(F.when(F.col("valid"), F.col("text_length"))), F.lit(0)).alias("characters"),
+    )
+
+
 def summary(documents: DataFrame) -> DataFrame:
     """Counts by dimension: dimension, value, documents, characters, from one pass over grouping sets."""
     tagged = documents.select("status", "crawl_group", "document_type", "skip_reason", F.col("valid").cast("string").alias("valid"), F.coalesce("text_length", F.lit(0)).alias("c"))

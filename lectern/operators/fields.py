@@ -11,6 +11,36 @@ from ..functions import text as T
 
 K1, B, MAX_EXPANSIONS = 1.2, 0.75, 50
 
+#: How the columns of a search document are searched: as words, as a whole, as numbers.
+WORDS = ["title", "text", "topic", "place", "wiki_title", "wiki_categories", "wiki_sections", "wiki_bold_terms"]
+WHOLE = ["crawl_group", "document_type", "book", "wiki_page_id", "wiki_infobox_type"]
+NUMBERS = ["chapter", "verse", "wiki_text_length", "wiki_category_count", "wiki_section_count", "wiki_template_count", "wiki_internal_link_count", "wiki_external_link_count", "wiki_reference_count"]
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """Search documents ready for `filtered` and `field_tokens`: document_id, url, preview and the columns above.
+
+    Lists, also as JSON text, become their items between spaces; texts are trimmed and blank ones null; numbers that
+    cannot be read are null, and so are columns that docs lack.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in docs.schema.fields}
+
+    def words(name: str) -> Column:
+        if name not in kinds:
+            return F.lit(None).cast("string")
+        text = F.array_join(name, " ", "None") if kinds[name] == "array" else T.list_text(F.col(name).cast("string"))
+        return blank_to_null(text if name.startswith("wiki_") and name != "wiki_title" else F.col(name).cast("string"))
+
+    def blank_to_null(text: Column) -> Column:
+        cut = F.regexp_replace(text, f"^(?:{T.BLANK})|(?:{T.BLANK})$", "")
+        return F.when(cut != "", cut)
+
+    whole = [(blank_to_null(F.col(c).cast("string")) if c in kinds else F.lit(None).cast("string")).alias(c) for c in WHOLE]
+    numbers = [(F.col(c).try_cast("int") if c in kinds else F.lit(None).cast("int")).alias(c) for c in NUMBERS]
+    preview = T.preview_dots("text") if "text" in kinds else F.lit(None).cast("string")
+    url = F.col("url") if "url" in kinds else F.lit(None).cast("string")
+    return docs.select("document_id", url.alias("url"), F.when(preview != "", preview).alias("preview"), *(words(c).alias(c) for c in WORDS), *whole, *numbers)
+
 
 def field_tokens(docs: DataFrame, fields: list[str], keep: list[str] | None = None) -> DataFrame:
     """document_id, field, pos, term of the text fields of docs; `keep` columns stay for filters."""
@@ -115,8 +145,17 @@ def overlap_means(overlaps: DataFrame, by: str = "mode") -> DataFrame:
     return overlaps.groupBy(by).agg(F.count("*").alias("queries"), F.round(F.avg("overlap_ratio"), 4).alias("mean_overlap_ratio"))
 
 
-def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """query_id, overlap_count, overlap_ratio (by k) of two ranked runs (query_id, document_id)."""
-    both = a.select("query_id", "document_id").join(b.select("query_id", "document_id"), ["query_id", "document_id"]).groupBy("query_id").agg(F.count("*").alias("c"))
-    every = a.select("query_id").union(b.select("query_id")).distinct()
+def overlap(a: DataFrame, b: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, overlap_count, overlap_ratio (by k) of two runs (query_id, rank, document_id), by their first k rows.
+
+    Queries without results in both runs count, with 0, where queries (query_id) are given.
+    Rows without document_id are compared by their title, in lower case and trimmed, where both runs have one.
+    """
+    def keys(run: DataFrame) -> DataFrame:
+        title = F.concat(F.lit("t:"), F.lower(F.trim("title"))) if "title" in run.columns else F.lit(None)
+        found = F.when(F.col("document_id").cast("string") != "", F.concat(F.lit("d:"), F.col("document_id").cast("string")))
+        return run.filter(F.col("rank") <= k).select("query_id", F.coalesce(found, title).alias("key")).filter("key is not null").distinct()
+
+    both = keys(a).join(keys(b), ["query_id", "key"]).groupBy("query_id").agg(F.count("*").alias("c"))
+    every = (a.select("query_id").union(b.select("query_id")) if queries is None else queries.select("query_id")).distinct()
     return every.join(both, "query_id", "left").select("query_id", F.coalesce("c", F.lit(0)).alias("overlap_count"), F.round(F.coalesce("c", F.lit(0)) / k, 4).alias("overlap_ratio"))

@@ -42,6 +42,30 @@ def build(docs: DataFrame) -> Index:
     return Index(post, lex, norms(post, lex, count), count)
 
 
+def first_documents(docs: DataFrame, n: int) -> DataFrame:
+    """The n documents of the lowest document_id."""
+    return docs.orderBy("document_id").limit(n)
+
+
+#: What a catalog keeps of a document, where it has it.
+KEPT = ["document_type", "source_collection", "book", "chapter", "verse", "reference", "topic", "place"]
+
+
+def catalog(docs: DataFrame, norms: DataFrame) -> DataFrame:
+    """document_id, url, title (the url where it is missing), token_count, preview, norms and KEPT columns of indexed documents."""
+    if "valid" in docs.columns:
+        docs = docs.filter(~F.col("valid").eqNullSafe(False))
+    title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url"))
+    own = docs.select("document_id", "url", title.alias("title"), F.coalesce(T.preview("text"), F.lit("")).alias("preview"), *(c for c in KEPT if c in docs.columns))
+    zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
+    return own.join(norms, "document_id", "left").select(*own.columns, zero("token_count", 0), zero("norm_classic", 0.0), zero("norm_smooth", 0.0))
+
+
+def with_catalog(hits: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Hits with what the catalog has of their documents; the catalog is reduced to the hits' documents by the join."""
+    return hits.join(catalog, "document_id")
+
+
 def stats(index: Index) -> DataFrame:
     a = index.postings.agg(F.count("*").alias("posting_count"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total_tokens"))
     b = index.lexicon.agg(F.count("*").alias("vocabulary_size"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 
+#: Pages of one task when a frontier is numbered; it changes the work, not the order.
+BLOCK = 100_000
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
 
@@ -24,10 +26,36 @@ def link_rows(pages: DataFrame, site: str) -> DataFrame:
 
 
 def next_frontier(links: DataFrame, seen: DataFrame, site: str) -> DataFrame:
-    """New URLs in their round-robin order over groups: url, crawl_group, turn."""
+    """New URLs with their turn in the round robin over groups: url, crawl_group, group_order, turn; by turn and group_order.
+
+    A group's URLs come in the order in which they were first seen. They are numbered within blocks of BLOCK pages and
+    then moved on by what the blocks before hold, so that no task sorts a whole group.
+    """
     new = links.filter("kind <> 'ignored'").groupBy("url").agg(F.min(F.struct("page_id", "pos")).alias("first")).join(seen.select("url"), "url", "left_anti")
     new = new.withColumn("crawl_group", U.classified(F.col("url"), site)["crawl_group"])
-    return new.withColumn("turn", F.row_number().over(Window.partitionBy("crawl_group").orderBy("first", "url"))).select("url", "crawl_group", "turn")
+    new = new.withColumn("block", F.floor(F.col("first.page_id") / BLOCK))
+    held = new.groupBy("crawl_group", "block").agg(F.count("*").alias("n"))
+    before = held.select("crawl_group", "block", (F.sum("n").over(Window.partitionBy("crawl_group").orderBy("block")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("crawl_group", "block").orderBy("first", "url"))
+    out = new.withColumn("place", place).join(before, ["crawl_group", "block"])
+    order = F.array_position(F.array(*(F.lit(g[0]) for g in U.GROUPS)), F.col("crawl_group"))
+    return out.select("url", "crawl_group", order.cast("int").alias("group_order"), (F.col("before") + F.col("place")).cast("long").alias("turn"))
+
+
+def page_totals(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, links_total, eligible, derived, ignored of every page; links_total counts each link with an address."""
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    found = links.groupBy("page_id").agg((F.countDistinct(F.when(F.col("kind") != "ignored", F.col("url")))).alias("eligible"), count("derived"), count("ignored"))
+    total = F.coalesce(F.size(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))), F.lit(0))
+    out = pages.select("page_id", total.alias("links_total")).join(found, "page_id", "left")
+    return out.select("page_id", "links_total", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("eligible", "derived", "ignored")))
+
+
+def ignored_totals(links: DataFrame) -> DataFrame:
+    """dimension (total, category, reason), value, urls: left-out URLs in all, by category and by reason."""
+    found = ignored_summary(links)
+    e = F.explode(F.array(F.struct(F.lit("total").alias("dimension"), F.lit("").alias("value")), *(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("category", "reason"))))
+    return found.select("urls", e.alias("e")).groupBy("e.dimension", "e.value").agg(F.sum("urls").alias("urls"))
 
 
 def ignored_summary(links: DataFrame) -> DataFrame:

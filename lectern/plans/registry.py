@@ -12,7 +12,6 @@ from ..sources.io import nested_postings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-SITE = "thther.example.com"
 
 
 def query(sql: str | None = None):
@@ -110,10 +109,25 @@ def index_stats(spark, d):
     return index.stats(index.build(_docs(spark, d)))
 
 
-@query(f"WITH {INDEX} SELECT term, count(*) AS df, string_agg(document_id || ':' || tf, ' ' ORDER BY document_id) AS postings FROM post GROUP BY term")
+@query(f"WITH {INDEX} SELECT term, document_id // 10000 AS block, count(*) AS documents, string_agg(document_id || ':' || tf, ' ' ORDER BY document_id) AS postings FROM post GROUP BY ALL")
 def postings_nested(spark, d):
-    n = nested_postings(index.postings(_docs(spark, d)))
-    return n.select("term", "df", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["document_id"].cast("string"), p["tf"].cast("string"))), " ").alias("postings"))
+    n = nested_postings(index.postings(_docs(spark, d)), F.floor(F.col("document_id") / 10_000))
+    return n.select("term", "block", "documents", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["document_id"].cast("string"), p["tf"].cast("string"))), " ").alias("postings"))
+
+
+CATALOG = f"cat AS (SELECT doc_id AS document_id, 'https://site/' || doc_id AS url, coalesce(nullif(split_part(text, chr(10), 1), ''), 'https://site/' || doc_id) AS title, substr(trim(regexp_replace(text, '{BLANK_SQL}', ' ', 'g')), 1, 320) AS preview, lang AS source_collection FROM documents)"
+
+
+def _catalog(spark, d, norms):
+    url = F.concat(F.lit("https://site/"), F.col("doc_id").cast("string"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text", url.alias("url"), F.substring_index("text", "\n", 1).alias("title"), F.col("lang").alias("source_collection"))
+    return index.catalog(docs, norms)
+
+
+@query(f"WITH {INDEX}, {CATALOG} SELECT cat.*, coalesce(token_count, 0) AS token_count, round(coalesce(norm_classic, 0), 6) AS norm_classic, round(coalesce(norm_smooth, 0), 6) AS norm_smooth FROM cat LEFT JOIN norm USING (document_id)")
+def document_catalog(spark, d):
+    c = _catalog(spark, d, index.build(_docs(spark, d)).norms)
+    return c.withColumns({n: F.round(n, 6) for n in ("norm_classic", "norm_smooth")})
 
 
 @query(_search_sql(_fixed_sql("the of worthless trash")))
@@ -150,6 +164,13 @@ def preview_text(spark, d):
     return _docs(spark, d).select("document_id", T.preview("text").alias("preview"), T.document_id(F.concat_ws("/", "crawl_group", F.col("document_id").cast("string"))).alias("sha_id"), F.sha2("text", 256).alias("text_hash"), F.length("text").alias("text_length"))
 
 
+@query(_search_sql(ASKED, out=f"SELECT hits.query_id, hits.rank, hits.document_id, hits.score, cat.title, cat.url, cat.preview, cat.source_collection, norm.token_count FROM hits JOIN (WITH {CATALOG} SELECT * FROM cat) cat USING (document_id) JOIN norm USING (document_id)"))
+def hit_catalog(spark, d):
+    i = index.build(_docs(spark, d))
+    hits = index.search(i, _asked(spark, d)).select("query_id", "rank", "document_id", "score")
+    return index.with_catalog(hits, _catalog(spark, d, i.norms)).drop("norm_classic", "norm_smooth")
+
+
 @query()
 def hit_snippets(spark, d):
     i, q = index.build(_docs(spark, d)), _asked(spark, d)
@@ -165,13 +186,14 @@ ft AS (SELECT document_id, lang, n_chars, field, unnest(t) AS term, generate_sub
   UNION ALL SELECT document_id, lang, n_chars, 'text', regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?') FROM fd))"""
 
 
-def _bm25_sql(terms: str, where: str = "true", need: bool = False) -> str:
-    return f"""WITH {FIELD}, f AS (SELECT * FROM ft WHERE {where}), {terms},
+def _bm25_sql(terms: str, where: str = "true", need: bool = False, field: str = FIELD) -> str:
+    return f"""WITH {field}, f AS (SELECT * FROM ft WHERE {where}), {terms},
 ln AS (SELECT field, document_id, count(*) AS len FROM f GROUP BY ALL), fs AS (SELECT field, count(*) AS n, avg(len) AS al FROM ln GROUP BY field),
-h AS (SELECT query_id, base, boost, term, field, document_id, count(*) AS f FROM f JOIN qt USING (term) GROUP BY ALL),
+nt AS (SELECT query_id, count(DISTINCT base) AS nt FROM qt GROUP BY query_id),
+h AS (SELECT query_id, nt, base, boost, term, field, document_id, count(*) AS f FROM f JOIN qt USING (term) JOIN nt USING (query_id) GROUP BY ALL),
 df AS (SELECT field, term, count(DISTINCT document_id) AS df FROM f GROUP BY ALL),
 p AS (SELECT *, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * f / (f + 1.2 * (1 - 0.75 + 0.75 * len / al)) AS part FROM h JOIN fs USING (field) JOIN df USING (field, term) JOIN ln USING (field, document_id)),
-s AS (SELECT query_id, document_id, round(sum(part), 6) AS score FROM p GROUP BY ALL {"HAVING count(DISTINCT base) = (SELECT count(DISTINCT base) FROM qt)" if need else ""})
+s AS (SELECT query_id, document_id, round(sum(part), 6) AS score FROM p GROUP BY ALL {"HAVING count(DISTINCT base) = any_value(nt)" if need else ""})
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id)::INT AS rank, document_id, score FROM s) WHERE rank <= 10"""
 
 
@@ -209,56 +231,49 @@ def fuzzy_terms(spark, d):
     return fields.fuzzy_terms(_fields(spark, d), _fixed(spark, d, "trsh"))
 
 
-@query()
+@query(_bm25_sql(f"""{_fixed_sql("wrothless pathetik")}, fb AS (SELECT query_id, unnest(string_split(text, ' ')) AS base FROM asked), fv AS (SELECT DISTINCT term FROM ft),
+fn AS (SELECT query_id, base, term, 1 - least(levenshtein(base, term), 2)::DOUBLE / least(length(base), length(term)) AS boost FROM fb JOIN fv ON abs(length(base) - length(term)) <= 2 AND damerau_levenshtein(base, term) <= 2),
+qt AS (SELECT query_id, base, term, boost FROM (SELECT *, row_number() OVER (PARTITION BY query_id, base ORDER BY boost DESC, term) AS r FROM fn WHERE boost > 0) WHERE r <= 50)"""))
 def fuzzy_search(spark, d):
     return fields.fuzzy(_fields(spark, d), _fixed(spark, d, "wrothless pathetik"), 2)
 
 
-@query()
-def overlap_at_k(spark, d):
-    i, q = index.build(_docs(spark, d)), _asked(spark, d)
-    return fields.overlap(index.search(i, q), fields.boolean(_fields(spark, d), q), 10)
+def _asked_as(spark, d, mode):
+    """The benchmark items' words, infix words left out, joined as a query of the mode."""
+    words = F.filter(T.tokens("text"), lambda t: ~t.isin("and", "or"))
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " and " if mode == "and" else " ").alias("text"), F.array_join(words, " ").alias("plain"))
 
 
-# ---- entities and wiki
+def _asked_as_sql(mode):
+    return f"asked AS (SELECT item_id AS query_id, array_to_string(list_filter({TOK}, lambda x: x NOT IN ('and', 'or')), '{' and ' if mode == 'and' else ' '}') AS text FROM benchmark)"
 
-WIKI = r"""
-w0 AS (SELECT doc_id AS page_id, list_aggregate(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?')[1:3], 'string_agg', '_') AS title, length(text)::INT AS text_length, len(string_split(text, chr(10)))::INT AS section_count, (doc_id % 50)::INT AS reference_count FROM documents),
-wp AS (SELECT a.*, lower(trim(replace(a.title, '_', ' '))) AS join_key, CASE WHEN (a.page_id % 7 = 0 AND a.page_id > 0) OR (a.page_id % 21 = 1 AND a.page_id > 1) THEN b.title WHEN a.page_id % 14 = 2 THEN 'No_Such_Page' END AS redirect FROM w0 a LEFT JOIN w0 b ON b.page_id = a.page_id - 1),
-ent AS (SELECT 'place' AS entity_type, join_key FROM wp WHERE page_id % 2 = 0 UNION ALL SELECT 'naves_entity', join_key FROM wp WHERE page_id % 5 = 0 UNION ALL SELECT 'book', lower(c_mktsegment) FROM customer),
-ue AS (SELECT DISTINCT entity_type, join_key FROM ent WHERE length(join_key) > 0),
-dm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY join_key ORDER BY redirect IS NOT NULL, page_id) AS rn FROM wp) WHERE rn = 1),
-am AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY join_key ORDER BY page_id) AS rn FROM wp WHERE redirect IS NULL) WHERE rn = 1),
-lk AS (SELECT entity_type, ue.join_key, dm.page_id AS matched_page_id, dm.title AS matched_title, dm.redirect AS redirect_title, coalesce(am.page_id, dm.page_id) AS final_page_id, coalesce(am.title, dm.title) AS final_title,
-  coalesce(am.text_length, dm.text_length) AS text_length, coalesce(am.section_count, dm.section_count) AS section_count, coalesce(am.reference_count, dm.reference_count) AS reference_count, dm.page_id IS NOT NULL AS matched, dm.redirect IS NOT NULL AND am.page_id IS NOT NULL AS redirect_resolved
-  FROM ue LEFT JOIN dm USING (join_key) LEFT JOIN am ON am.join_key = lower(trim(replace(dm.redirect, '_', ' '))))"""
 
+def _overlap_sql(mode):
+    return f"""SELECT '{mode}' AS mode, query_id, count(a.document_id) FILTER (b.document_id IS NOT NULL) AS overlap_count, round(count(a.document_id) FILTER (b.document_id IS NOT NULL) / 10, 4) AS overlap_ratio
+FROM ({_search_sql(_asked_as_sql(mode))}) a FULL JOIN ({_bm25_sql(_qt_sql(_asked_as_sql("or")), need=mode == "and")}) b USING (query_id, document_id) RIGHT JOIN (SELECT DISTINCT item_id AS query_id FROM benchmark) q USING (query_id) GROUP BY query_id"""
 
-def _wiki(spark, d):
-    docs = _t(spark, d, "documents")
-    p = docs.select(F.col("doc_id").alias("page_id"), F.array_join(F.slice(T.tokens("text"), 1, 3), "_").alias("title"), F.length("text").alias("text_length"), F.size(F.split("text", "\n")).alias("section_count"), (F.col("doc_id") % 50).cast("int").alias("reference_count"))
-    p = p.withColumn("title", F.when(F.col("title") != "", F.col("title")))
-    i = F.col("page_id")
-    before = p.select((F.col("page_id") + 1).alias("page_id"), F.col("title").alias("t"))
-    redirect = F.when(((i % 7 == 0) & (i > 0)) | ((i % 21 == 1) & (i > 1)), F.col("t")).when(i % 14 == 2, "No_Such_Page")
-    return p.join(before, "page_id", "left").withColumn("redirect", redirect).drop("t").withColumn("join_key", T.join_key("title"))
 
+@query(" UNION ALL ".join(f"({_overlap_sql(m)})" for m in ("or", "and")))
+def overlap_at_k(spark, d):
+    i, tokens, out = index.build(_docs(spark, d)), _fields(spark, d), []
+    for mode in ("or", "and"):
+        q = _asked_as(spark, d, mode)
+        found = fields.overlap(index.search(i, q), fields.boolean(tokens, q.select("query_id", F.col("plain").alias("text")), mode), 10, q)
+        out.append(found.withColumn("mode", F.lit(mode)))
+    return out[0].unionByName(out[1])
 
-def _entities(spark, d):
-    w = _wiki(spark, d)
-    kind = lambda k, c: F.struct(F.lit(k).alias("entity_type"), c.alias("join_key"))
-    a = w.select(F.explode(F.array_compact(F.array(F.when(F.col("page_id") % 2 == 0, kind("place", F.col("join_key"))), F.when(F.col("page_id") % 5 == 0, kind("naves_entity", F.col("join_key")))))).alias("e")).select("e.*")
-    return a.unionByName(_t(spark, d, "customer").select(F.lit("book").alias("entity_type"), T.join_key("c_mktsegment").alias("join_key")))
 
+@query(f"SELECT mode, count(*) AS queries, round(avg(overlap_ratio), 4) AS mean_overlap_ratio FROM ({SQL['overlap_at_k']}) GROUP BY mode")
+def overlap_means(spark, d):
+    return fields.overlap_means(overlap_at_k(spark, d))
 
-def _links(spark, d):
-    return entities.link(_entities(spark, d), _wiki(spark, d))
 
+# ---- entities and wiki
 
 GROUPS = ("bible", "commentary", "topical", "naves", "torrey", "atlas")
 SITE_DOCS = (
-    "tk AS (SELECT doc_id AS document_id, source, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}\\p{N}]+)?') AS t FROM documents), "
-    "sd AS (SELECT document_id, ['" + "','".join(GROUPS) + "'][1 + length(source) * 7 % 2 + 2 * (ascii(right(source, 1)) % 3)] AS crawl_group, 'https://site/' || document_id AS url, t[1] AS title, list_aggregate(t[1:2], 'string_agg', ' ') AS place, t[1] || ': ' || coalesce(t[2], '') AS topic, t[1] AS book FROM tk), "
+    "tk AS (SELECT doc_id AS document_id, source, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}\\p{N}]+)?') AS t FROM documents), "
+    "sd AS (SELECT document_id, text, ['" + "','".join(GROUPS) + "'][1 + length(source) * 7 % 2 + 2 * (ascii(right(source, 1)) % 3)] AS crawl_group, 'https://site/' || document_id AS url, t[1] AS title, list_aggregate(t[1:2], 'string_agg', ' ') AS place, t[1] || ': ' || coalesce(t[2], '') AS topic, t[1] AS book, (len(t) % 150)::INT AS chapter FROM tk), "
     "mp AS (SELECT DISTINCT t[1] AS bible_book, 'Book of ' || t[1] AS wiki_title FROM tk WHERE length(t[1]) % 2 = 0), "
     "be AS (SELECT document_id, crawl_group, url, title, place AS source_entity, place AS entity_name, 'place' AS entity_type FROM sd WHERE crawl_group = 'atlas' AND length(trim(place)) > 0 UNION ALL SELECT document_id, crawl_group, url, title, topic, trim(split_part(topic, ':', 1)), 'naves_entity' FROM sd WHERE crawl_group = 'naves' AND length(trim(topic)) > 0 "
     "UNION ALL SELECT document_id, crawl_group, url, title, book, coalesce(wiki_title, book), 'book' FROM sd LEFT JOIN mp ON book = bible_book WHERE crawl_group = 'bible' AND length(trim(book)) > 0), "
@@ -270,13 +285,64 @@ def _site_docs(spark, d):
     """Documents as pages of the site: a group by source, and place, topic and book from their first words."""
     t = F.col("t")
     group = F.get(F.array(*map(F.lit, GROUPS)), (F.length("source") * 7 % 2 + 2 * (F.ascii(F.right("source", F.lit(1))) % 3)).cast("int"))
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source", T.tokens("text").alias("t"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source", "text", T.tokens("text").alias("t"))
     first = F.get(t, 0)
-    pages = docs.select("document_id", group.alias("crawl_group"), F.concat(F.lit("https://site/"), F.col("document_id").cast("string")).alias("url"), first.alias("title"), F.array_join(F.slice(t, 1, 2), " ").alias("place"), F.concat(first, F.lit(": "), F.coalesce(F.get(t, 1), F.lit(""))).alias("topic"), first.alias("book"))
+    pages = docs.select("document_id", "text", group.alias("crawl_group"), F.concat(F.lit("https://site/"), F.col("document_id").cast("string")).alias("url"), first.alias("title"), F.array_join(F.slice(t, 1, 2), " ").alias("place"), F.concat(first, F.lit(": "), F.coalesce(F.get(t, 1), F.lit(""))).alias("topic"), first.alias("book"), (F.size(t) % 150).alias("chapter"))
     mapping = docs.select(first.alias("bible_book")).filter(F.length("bible_book") % 2 == 0).distinct().withColumn("wiki_title", F.concat(F.lit("Book of "), F.col("bible_book")))
     return pages, mapping
 
 
+LISTS, ATTRIBUTES, NUMBERS = entities.LISTS, entities.ATTRIBUTES, entities.NUMBERS
+WIKI = (
+    SITE_DOCS
+    + r""",
+w0 AS (SELECT doc_id AS page_id, CASE doc_id % 3 WHEN 0 THEN list_aggregate(t[1:2], 'string_agg', '_') WHEN 1 THEN t[1] ELSE 'Book_of_' || t[1] END AS title, length(documents.text)::INT AS text_length, len(string_split(documents.text, chr(10)))::INT AS section_count, (doc_id % 50)::INT AS reference_count,
+  [documents.source, lang] AS categories, t[4:6] AS sections, t[7:7] AS templates, t[1:1] AS bold_terms, CASE WHEN doc_id % 3 = 0 THEN 'Infobox ' || lang END AS infobox_type, 2 AS category_count, len(t[7:7])::INT AS template_count, len(t)::INT AS internal_link_count, (doc_id % 5)::INT AS external_link_count FROM documents JOIN tk ON document_id = doc_id),
+wp AS (SELECT a.*, lower(trim(replace(a.title, '_', ' '))) AS join_key, CASE WHEN (a.page_id % 7 = 0 AND a.page_id > 0) OR (a.page_id % 21 = 1 AND a.page_id > 1) THEN b.title WHEN a.page_id % 14 = 2 THEN 'No_Such_Page' END AS redirect FROM w0 a LEFT JOIN w0 b ON b.page_id = a.page_id - 1),
+ue AS (SELECT DISTINCT entity_type, join_key FROM bk WHERE length(join_key) > 0),
+dm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY join_key ORDER BY redirect IS NOT NULL, page_id) AS rn FROM wp) WHERE rn = 1),
+am AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY join_key ORDER BY page_id) AS rn FROM wp WHERE redirect IS NULL) WHERE rn = 1),
+lk AS (SELECT entity_type, ue.join_key, dm.page_id AS matched_page_id, dm.title AS matched_title, dm.redirect AS redirect_title, coalesce(am.page_id, dm.page_id) AS final_page_id, coalesce(am.title, dm.title) AS final_title,
+  """
+    + ", ".join(f"CASE WHEN am.page_id IS NOT NULL THEN am.{c} ELSE dm.{c} END AS {c}" for c in ATTRIBUTES)
+    + """, dm.page_id IS NOT NULL AS matched, dm.redirect IS NOT NULL AND am.page_id IS NOT NULL AS redirect_resolved
+  FROM ue LEFT JOIN dm USING (join_key) LEFT JOIN am ON am.join_key = lower(trim(replace(dm.redirect, '_', ' '))))"""
+)
+
+
+def _wiki(spark, d):
+    """Documents as wiki pages: a title of the first words, of the kinds that entities have, and some redirects."""
+    i, t = F.col("page_id"), F.col("t")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text", "source", "lang", T.tokens("text").alias("t"))
+    title = F.when(i % 3 == 0, F.when(F.size(t) > 0, F.array_join(F.slice(t, 1, 2), "_"))).when(i % 3 == 1, F.get(t, 0)).otherwise(F.concat(F.lit("Book_of_"), F.get(t, 0)))
+    templates = F.slice(t, 7, 1)
+    p = docs.select(
+        "page_id", title.alias("title"), F.length("text").alias("text_length"), F.size(F.split("text", "\n")).alias("section_count"), (i % 50).cast("int").alias("reference_count"),
+        F.array("source", "lang").alias("categories"), F.slice(t, 4, 3).alias("sections"), templates.alias("templates"), F.slice(t, 1, 1).alias("bold_terms"), F.when(i % 3 == 0, F.concat(F.lit("Infobox "), "lang")).alias("infobox_type"),
+        F.lit(2).alias("category_count"), F.size(templates).alias("template_count"), F.size(t).alias("internal_link_count"), (i % 5).cast("int").alias("external_link_count"),
+    )
+    before = p.select((i + 1).alias("page_id"), F.col("title").alias("before"))
+    redirect = F.when(((i % 7 == 0) & (i > 0)) | ((i % 21 == 1) & (i > 1)), F.col("before")).when(i % 14 == 2, "No_Such_Page")
+    return p.join(before, "page_id", "left").withColumn("redirect", redirect).drop("before").withColumn("join_key", T.join_key("title"))
+
+
+def _entities(spark, d):
+    return entities.build(*_site_docs(spark, d))
+
+
+def _links(spark, d):
+    return entities.link(_entities(spark, d), _wiki(spark, d))
+
+
+def _joined(df, prefix=""):
+    """Lists as text, for comparison."""
+    return df.withColumns({prefix + c: F.array_join(prefix + c, "|") for c in LISTS})
+
+
+def _joined_sql(prefix=""):
+    return "REPLACE (" + ", ".join(f"array_to_string({prefix}{c}, '|') AS {prefix}{c}" for c in LISTS) + ")"
+
+
 @query(f"WITH {SITE_DOCS} SELECT * FROM bk")
 def build_entities(spark, d):
     return entities.build(*_site_docs(spark, d))
@@ -309,7 +375,7 @@ def join_keys(spark, d):
     return pick("part", "p_partkey", "p_name").unionByName(pick("supplier", "s_suppkey", "s_name")).unionByName(pick("nation", "n_nationkey", "n_name"))
 
 
-@query(f"WITH {WIKI} SELECT entity_type, count(*) AS entities, count(DISTINCT join_key) AS unique_entities FROM ent WHERE length(join_key) > 0 GROUP BY entity_type")
+@query(f"WITH {WIKI} SELECT entity_type, count(*) AS entities, count(DISTINCT join_key) AS unique_entities FROM bk WHERE length(join_key) > 0 GROUP BY entity_type")
 def entity_counts(spark, d):
     return _entities(spark, d).filter(F.length("join_key") > 0).groupBy("entity_type").agg(F.count("*").alias("entities"), F.countDistinct("join_key").alias("unique_entities"))
 
@@ -319,9 +385,9 @@ def unique_entities(spark, d):
     return entities.unique_entities(_entities(spark, d))
 
 
-@query(f"WITH {WIKI} SELECT * FROM lk")
+@query(f"WITH {WIKI} SELECT * {_joined_sql()} FROM lk")
 def wiki_link(spark, d):
-    return _links(spark, d)
+    return _joined(_links(spark, d))
 
 
 @query(f"WITH {WIKI} SELECT entity_type, count(*) AS total, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS unmatched, count(*) FILTER (redirect_resolved) AS redirects_resolved, round(100.0 * count(*) FILTER (matched) / count(*), 2) AS match_rate FROM lk GROUP BY entity_type")
@@ -334,30 +400,60 @@ def wiki_match_totals(spark, d):
     return entities.match_totals(_links(spark, d))
 
 
-@query(f"WITH {WIKI} SELECT round(avg(text_length), 4) AS avg_text_length, round(avg(section_count), 4) AS avg_section_count, round(avg(reference_count), 4) AS avg_reference_count FROM lk WHERE matched")
+AVERAGES = ", ".join(f"round(avg({c}), 4) AS avg_{c}" for c in NUMBERS)
+
+
+@query(f"WITH {WIKI} SELECT {AVERAGES}, count(infobox_type) AS with_infobox FROM lk WHERE matched")
 def wiki_attr_stats(spark, d):
     return entities.attribute_stats(_links(spark, d))
 
 
-EN = "en AS (SELECT w.page_id AS document_id, source AS crawl_group, CASE WHEN w.page_id % 2 = 0 THEN 'place' WHEN w.page_id % 5 = 0 THEN 'naves_entity' END AS entity_type, w.join_key, final_page_id AS wiki_page_id, final_title AS wiki_title, lk.reference_count AS wiki_reference_count FROM wp w JOIN documents ON doc_id = w.page_id LEFT JOIN lk ON matched AND lk.join_key = w.join_key AND lk.entity_type = CASE WHEN w.page_id % 2 = 0 THEN 'place' WHEN w.page_id % 5 = 0 THEN 'naves_entity' END)"
+EN = (
+    "en AS (SELECT document_id, title, text, url, sd.crawl_group, NULL::VARCHAR AS document_type, book, chapter, NULL::INT AS verse, topic, place, matched AS wiki_matched, final_page_id AS wiki_page_id, final_title AS wiki_title, "
+    + ", ".join(f"{c} AS wiki_{c}" for c in ATTRIBUTES)
+    + " FROM sd LEFT JOIN mp ON book = bible_book LEFT JOIN lk ON entity_type = CASE sd.crawl_group WHEN 'bible' THEN 'book' WHEN 'naves' THEN 'naves_entity' WHEN 'atlas' THEN 'place' END"
+    " AND join_key = CASE sd.crawl_group WHEN 'bible' THEN lower(trim(mp.wiki_title)) WHEN 'naves' THEN lower(trim(split_part(topic, ':', 1))) WHEN 'atlas' THEN lower(trim(place)) END)"
+)
 
 
-@query(f"WITH {WIKI}, {EN} SELECT * FROM en")
+def _enriched(spark, d):
+    return entities.search_documents(*_site_docs(spark, d), _links(spark, d))
+
+
+@query(f"WITH {WIKI}, {EN} SELECT * {_joined_sql('wiki_')} FROM en")
 def enriched_documents(spark, d):
-    kind = F.when(F.col("document_id") % 2 == 0, "place").when(F.col("document_id") % 5 == 0, "naves_entity")
-    title = F.array_join(F.slice(T.tokens("text"), 1, 3), "_")
-    docs = _docs(spark, d).withColumn("entity_type", kind).withColumn("join_key", T.join_key(F.when(title != "", title)))
-    return entities.enrich(docs, _links(spark, d))
+    return _joined(_enriched(spark, d), "wiki_")
+
+
+@query(f"WITH {WIKI}, {EN} SELECT count(*) AS documents, count(wiki_title) AS enriched, count(*) - count(wiki_title) AS without, round(100.0 * count(wiki_title) / count(*), 2) AS wiki_rate FROM en")
+def enrichment_totals(spark, d):
+    return entities.enrichment_totals(_enriched(spark, d))
+
+
+WORDS = {"title": "title", "text": "text", "topic": "topic", "place": "place", "wiki_title": "wiki_title", **{c: f"array_to_string({c}, ' ')" for c in ("wiki_categories", "wiki_sections", "wiki_bold_terms")}}
+FIELDS = f"{WIKI}, {EN}, ft AS (SELECT document_id, crawl_group, chapter, wiki_reference_count, field, unnest(regexp_extract_all(lower(v), '[\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}\\p{{N}}]+)?')) AS term FROM (" + " UNION ALL ".join(f"SELECT document_id, crawl_group, chapter, wiki_reference_count, '{f}' AS field, {v} AS v FROM en" for f, v in WORDS.items()) + "))"
+
+
+@query(_bm25_sql(_qt_sql(ASKED), field=FIELDS))
+def search_documents(spark, d):
+    """The benchmark items over all eight fields of the enriched documents."""
+    return fields.boolean(fields.field_tokens(fields.prepared(_enriched(spark, d)), fields.WORDS), _asked(spark, d))
+
+
+@query(_bm25_sql(_qt_sql(ASKED), "crawl_group = 'atlas' AND chapter >= 20 AND wiki_reference_count <= 40", field=FIELDS))
+def search_documents_filtered(spark, d):
+    docs = fields.filtered(fields.prepared(_enriched(spark, d)), exact={"crawl_group": "atlas", "book": ""}, ranges={"chapter": (20, None), "wiki_reference_count": (None, 40)})
+    return fields.boolean(fields.field_tokens(docs, fields.WORDS), _asked(spark, d))
 
 
 @query(f"WITH {WIKI}, {EN} SELECT crawl_group, count(*) AS documents, count(wiki_title) AS enriched, round(100.0 * count(wiki_title) / count(*), 2) AS wiki_rate FROM en GROUP BY crawl_group")
 def enrichment_rate(spark, d):
-    return entities.enrichment_rate(enriched_documents(spark, d))
+    return entities.enrichment_rate(_enriched(spark, d))
 
 
-@query(f"WITH {WIKI} SELECT count(*) AS pages, count(*) FILTER (redirect IS NULL) AS articles, count(redirect) AS redirects, round(avg(text_length) FILTER (redirect IS NULL), 4) AS avg_text_length, round(avg(section_count) FILTER (redirect IS NULL), 4) AS avg_section_count FROM wp")
+@query(f"WITH {WIKI} SELECT count(*) AS pages, count(*) FILTER (redirect IS NULL) AS articles, count(redirect) AS redirects, " + ", ".join(f"round(avg({c}) FILTER (redirect IS NULL), 4) AS avg_{c}" for c in NUMBERS) + " FROM wp")
 def wiki_profile(spark, d):
-    return wiki.profile(_wiki(spark, d), ["text_length", "section_count"])
+    return wiki.profile(_wiki(spark, d), NUMBERS)
 
 
 @query(f"WITH {WIKI} SELECT page_id, title, text_length FROM wp WHERE redirect IS NULL ORDER BY text_length DESC, page_id LIMIT 10")
@@ -370,12 +466,15 @@ def wiki_top_refs(spark, d):
     return wiki.top_articles(_wiki(spark, d), "reference_count")
 
 
-@query()
+@query(r"""WITH m AS (SELECT doc_id, source, regexp_replace(text, '[&<>]', ' ', 'g') AS c FROM documents)
+SELECT doc_id AS page_id, 'Doc_' || doc_id AS title, 'doc ' || doc_id AS join_key, 0 AS namespace, NULL::VARCHAR AS redirect, source AS categories, 'A' AS sections, 'Infobox x' AS templates, 'Infobox x' AS infobox_type, 'b' AS bold_terms,
+  1 AS category_count, 1 AS section_count, 1 AS template_count, 1 AS internal_link_count, 1 AS external_link_count, 1 AS reference_count, (86 + length(source) + length(c))::INT AS text_length,
+  substr(trim(regexp_replace('b Category:' || source || ' L ' || chr(10) || '== A ==' || chr(10) || ' [http://x.example/1] ' || c, '""" + T.BLANK + r"""', ' ', 'g')), 1, 500) AS preview FROM m""")
 def wiki_parse(spark, d):
     """The documents as a dump of pages with markup, parsed."""
-    head = "<page><title>Doc %d</title><ns>0</ns><id>%d</id><revision><id>1</id><text>'''%s''' [[Category:%s]] == A == {{Infobox x|y}} <ref>z</ref> %s</text></revision></page>"
+    head = "<page><title>Doc_%d</title><ns>0</ns><id>%d</id><revision><id>1</id><text>'''b''' [[Category:%s]] [[L]]\n== A ==\n{{Infobox x|y}} &lt;ref&gt;z&lt;/ref&gt; [http://x.example/1] %s</text></revision></page>"
     i = F.col("document_id")
-    return wiki.parse(_docs(spark, d).select(F.format_string(head, i, i, F.lit("b"), "crawl_group", F.regexp_replace("text", "[&<>]", " ")).alias("page")))
+    return _joined(wiki.parse(_docs(spark, d).select(F.format_string(head, i, i, "crawl_group", F.regexp_replace("text", "[&<>]", " ")).alias("page"))))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('[[' || source || '|' || lang || ']] ' || text, '\[\[([^|\]]+)\|([^\]]+)\]\]', '\2', 'g'), '''{2,5}', '', 'g'), '<[^>]+>', ' ', 'g'), '" + T.BLANK + "', ' ', 'g')) AS clean FROM documents")
@@ -394,38 +493,170 @@ def url_canonical(spark, d):
     return _t(spark, d, "pages").select("page_id", U.canonical(F.col("url"), F.col("url")).alias("url"))
 
 
-HREFS = """h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, unnest(x) AS href, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM pages)),
-lr AS (SELECT page_id, min(pos)::INT AS pos, 'https://' || lower(regexp_extract(root, '//(.*)$', 1)) || href AS url FROM h GROUP BY page_id, root, href),
-la AS (SELECT page_id, pos, url, 'ignored' AS kind, 'external_domain' AS reason, regexp_extract(url, '^https://([^/]+)', 1) AS category FROM lr)"""
+#: Links of a site's page, by what becomes of them: address ({} is a number), its canonical path or URL, kind, reason, category.
+LINKS = [
+    ("/john/{}.htm", "/john/{}.htm", "eligible", None, None),
+    ("/1_samuel/", "/1_samuel/", "eligible", None, None),
+    ("/commentaries/john/{}-2.htm?x=1#y", "/commentaries/john/{}-2.htm", "eligible", None, None),
+    ("/commentaries//index.html", "/commentaries/index.html", "eligible", None, None),
+    ("/topical/naves/p/p{}.htm", "/topical/naves/p/p{}.htm", "eligible", None, None),
+    ("/topical/naves.htm", "/topical/naves.htm", "eligible", None, None),
+    ("../topical/ttt/p/p{}.htm", "/topical/ttt/p/p{}.htm", "eligible", None, None),
+    ("/topical/p/p{}.htm", "/topical/p/p{}.htm", "eligible", None, None),
+    ("/topical/p.htm", "/topical/p.htm", "eligible", None, None),
+    ("p{}.htm", "/atlas/p{}.htm", "eligible", None, None),
+    ("/john/3-{}.htm", "/john/3-{}.htm", "ignored", "derived_resource", "bible_verse"),
+    ("/commentaries/x/john/{}.htm", "/commentaries/x/john/{}.htm", "ignored", "unsupported_collection", "commentary_collection"),
+    ("/commentaries/x{}/john/", "/commentaries/x{}/john/", "ignored", "unsupported_collection", "commentary_collection_index"),
+    ("/commentaries/x{}", "/commentaries/x{}", "ignored", "unsupported_internal_url", "commentary_other"),
+    ("/atlas/p{}/", "/atlas/p{}/", "ignored", "unsupported_collection", "atlas_collection"),
+    ("/atlas/full/p{}.htm", "/atlas/full/p{}.htm", "ignored", "duplicate_representation", "atlas_full_duplicate"),
+    ("/atlas/biblemapper/p{}.htm", "/atlas/biblemapper/p{}.htm", "ignored", "unsupported_collection", "atlas_biblemapper"),
+    ("/atlas/x/p{}.htm", "/atlas/x/p{}.htm", "ignored", "unsupported_internal_url", "atlas_other"),
+    ("/topical/x{}/", "/topical/x{}/", "ignored", "unsupported_internal_url", "topical_other"),
+    ("/greek/{}.htm", "/greek/{}.htm", "ignored", "unsupported_internal_section", "greek"),
+    ("/hebrew/{}.htm", "/hebrew/{}.htm", "ignored", "unsupported_internal_section", "hebrew"),
+    ("/interlinear/{}", "/interlinear/{}", "ignored", "unsupported_internal_section", "interlinear"),
+    ("/parallel/{}", "/parallel/{}", "ignored", "unsupported_internal_section", "parallel"),
+    ("/sermons/{}", "/sermons/{}", "ignored", "unsupported_internal_section", "sermons"),
+    ("/q/{}", "/q/{}", "ignored", "unsupported_internal_section", "questions"),
+    ("/library/{}", "/library/{}", "ignored", "unsupported_internal_section", "library"),
+    ("/concordance/{}", "/concordance/{}", "ignored", "unsupported_internal_section", "concordance"),
+    ("/dictionaries/{}", "/dictionaries/{}", "ignored", "unsupported_internal_section", "dictionary"),
+    ("/searching{}", "/searching{}", "ignored", "unsupported_internal_section", "search"),
+    ("/bsb/{}", "/bsb/{}", "ignored", "unsupported_translation", "translation_bsb"),
+    ("/niv/{}", "/niv/{}", "ignored", "unsupported_translation", "translation_niv"),
+    ("/kjv/{}", "/kjv/{}", "ignored", "unsupported_translation", "translation_kjv"),
+    ("/esv/{}", "/esv/{}", "ignored", "unsupported_translation", "translation_esv"),
+    ("/nlt/{}", "/nlt/{}", "ignored", "unsupported_translation", "translation_nlt"),
+    ("/nasb/{}", "/nasb/{}", "ignored", "unsupported_translation", "translation_nasb"),
+    ("/texts/{}", "/texts/{}", "ignored", "unsupported_translation", "translation_other"),
+    ("/context/{}", "/context/{}", "ignored", "unsupported_internal_section", "bible_context"),
+    ("/john/about{}.htm", "/john/about{}.htm", "ignored", "unsupported_internal_url", "bible_book_other"),
+    ("/Forum/{}", "/Forum/{}", "ignored", "unsupported_internal_url", "other:forum"),
+    ("//www.site.example/", "/", "ignored", "unsupported_internal_url", "other:root"),
+    ("https://Other{}.example:8080/a", "https://other{}.example/a", "ignored", "external_domain", "other{}.example"),
+    ("mailto:a@b.example", None, None, None, None),
+]
+SITE = "site.example"
+
+
+def _value(x):
+    return "NULL" if x is None else "'" + x + "'"
+
+
+#: Each page's own links stand for those of LINKS, from the page's number on, so that all occur and URLs grow with pages.
+HREFS = (
+    "kinds(i, href, url, kind, reason, category) AS (VALUES " + ", ".join(f"({i}, " + ", ".join(map(_value, x)) + ")" for i, x in enumerate(LINKS)) + f""" ),
+h AS (SELECT page_id, unnest(generate_series(0, 4 + len(regexp_extract_all(html, '<a href=')))) AS pos FROM pages),
+lr AS (SELECT page_id, pos, replace(CASE WHEN url LIKE '/%' THEN 'https://{SITE}' || url ELSE url END, '{{}}', page_id::VARCHAR) AS url, kind, reason, replace(category, '{{}}', page_id::VARCHAR) AS category FROM h JOIN kinds ON i = (page_id * 7 + pos) % {len(LINKS)} WHERE url IS NOT NULL),
+lo AS (SELECT page_id, min(pos)::INT AS pos, url, kind, reason, category FROM lr GROUP BY page_id, url, kind, reason, category),
+la AS (SELECT * FROM lo UNION ALL SELECT page_id, pos, replace(url, '{SITE}/', '{SITE}/commentaries/'), 'derived', NULL, NULL FROM lo WHERE category = 'bible_verse')"""
+)
+
+
+def _linked(spark, d):
+    """Pages as pages of a site: their links become such as LINKS names, five more than they have."""
+    p, kinds = _t(spark, d, "pages"), F.array(*(F.lit(x[0]) for x in LINKS))
+    number = F.col("page_id").cast("string")
+    count = F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0)))
+    link = lambda i: F.concat(F.lit('<A class="x" href="'), F.replace(F.get(kinds, ((F.col("page_id") * 7 + i) % len(LINKS)).cast("int")), F.lit("{}"), number), F.lit('">x</A> '))
+    return p.select("page_id", F.lit(f"https://{SITE}/atlas/start.htm").alias("url"), F.array_join(F.transform(F.sequence(F.lit(0), count + 4), link), "").alias("html"))
+
+
+def _found(spark, d):
+    return links.link_rows(_linked(spark, d), SITE)
 
 
 @query(f"WITH {HREFS} SELECT * FROM la")
 def link_rows(spark, d):
-    return links.link_rows(_t(spark, d, "pages"), "www.example.invalid")
+    return _found(spark, d)
 
 
-@query(f"WITH {HREFS} SELECT category, reason, count(DISTINCT url) AS urls FROM la GROUP BY ALL")
+@query(f"WITH {HREFS} SELECT p.page_id, count(DISTINCT h.pos) AS links_total, (SELECT count(DISTINCT url) FROM la WHERE la.page_id = p.page_id AND kind <> 'ignored') AS eligible, (SELECT count(*) FROM la WHERE la.page_id = p.page_id AND kind = 'derived') AS derived, (SELECT count(*) FROM la WHERE la.page_id = p.page_id AND kind = 'ignored') AS ignored FROM pages p JOIN h USING (page_id) GROUP BY p.page_id")
+def link_totals(spark, d):
+    return links.page_totals(_found(spark, d), _linked(spark, d))
+
+
+@query(f"WITH {HREFS} SELECT category, reason, count(DISTINCT url) AS urls FROM la WHERE kind = 'ignored' GROUP BY ALL")
 def ignored_summary(spark, d):
-    return links.ignored_summary(links.link_rows(_t(spark, d, "pages"), "www.example.invalid"))
+    return links.ignored_summary(_found(spark, d))
 
 
-@query()
+@query(f"WITH {HREFS}, u AS (SELECT DISTINCT url, category, reason FROM la WHERE kind = 'ignored') SELECT 'total' AS dimension, '' AS value, count(*) AS urls FROM u UNION ALL SELECT 'category', category, count(*) FROM u GROUP BY ALL UNION ALL SELECT 'reason', reason, count(*) FROM u GROUP BY ALL")
+def ignored_totals(spark, d):
+    return links.ignored_totals(_found(spark, d))
+
+
+FRONTIER = f"""{HREFS},
+nu AS (SELECT url, page_id, pos, row_number() OVER (PARTITION BY url ORDER BY page_id, pos) AS n FROM la WHERE kind <> 'ignored' AND url NOT IN (SELECT 'https://{SITE}/topical/p/p' || page_id || '.htm' FROM pages)),
+ng AS (SELECT *, CASE WHEN url LIKE '%/commentaries/%' THEN 2 WHEN url LIKE '%/naves%' THEN 3 WHEN url LIKE '%/ttt%' THEN 4 WHEN url LIKE '%/topical/%' THEN 5 WHEN url LIKE '%/atlas/%' THEN 6 ELSE 1 END AS g FROM nu WHERE n = 1)"""
+
+
+@query(f"WITH {FRONTIER} SELECT url, ['bible', 'commentary', 'naves', 'torrey', 'topical', 'atlas'][g] AS crawl_group, g::INT AS group_order, row_number() OVER (PARTITION BY g ORDER BY page_id, pos, url) AS turn FROM ng")
 def frontier_next(spark, d):
-    """Pages' links read as commentary links of the site, less the URLs already crawled."""
-    p = _t(spark, d, "pages")
-    made = p.withColumn("html", F.regexp_replace("html", 'href="/[^"]*"', F.lit('href="/atlas/a.htm"'))).withColumn("html", F.concat("html", F.lit('<a href="/john/3-'), (F.col("page_id") % 40).cast("string"), F.lit('.htm">')))
-    made = made.withColumn("url", F.lit(f"https://{SITE}/"))
-    return links.next_frontier(links.link_rows(made, SITE), p.select(U.canonical(F.col("url"), F.col("url")).alias("url")), SITE)
+    """New URLs of the pages' links, where the topical ones are crawled already."""
+    seen = _t(spark, d, "pages").select(F.concat(F.lit(f"https://{SITE}/topical/p/p"), F.col("page_id").cast("string"), F.lit(".htm")).alias("url"))
+    return links.next_frontier(_found(spark, d), seen, SITE)
 
 
-@query()
+@query(f"WITH {HREFS} SELECT url, CASE WHEN url LIKE '%{SITE}/topical/naves/%' THEN 'naves' WHEN url LIKE '%{SITE}/topical/ttt/%' THEN 'torrey' WHEN url LIKE '%{SITE}/topical/%' THEN 'topical' WHEN url LIKE '%{SITE}/commentaries/%' THEN 'commentary' WHEN url LIKE '%{SITE}/atlas/%' THEN 'atlas' WHEN regexp_matches(url, '{SITE}/[^/]+/[0-9]+[.]htm$') THEN 'bible' ELSE 'page' END AS crawl_group, count(*) AS links FROM la GROUP BY ALL")
+def url_groups(spark, d):
+    found = _found(spark, d).withColumn("crawl_group", U.prefix_group(F.col("url"), F.lit("page")))
+    return found.groupBy("url", "crawl_group").agg(F.count("*").alias("links"))
+
+
+PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g'))"
+#: A page of each group, of one that is no document, and of one elsewhere: path and body around the page's words.
+MADE = [
+    ("/john/{}.htm", '<title>T</title><span class="x reftext"><b>1</b></span>@<p>Footnotes<p>never'),
+    ("/commentaries/1_john/2-{}.htm", "<title>T</title><p>EXPOSITORY (ENGLISH BIBLE)</p><p>@</p><p>Links</p><p>never</p>"),
+    ("/topical/p/p{}.htm", "<title>Topical Bible: P {}</title><p>Topical Encyclopedia</p><p>@</p><p>Library</p><p>never</p>"),
+    ("/topical/naves/p/p{}.htm", "<title>P {}</title><script>never</script><p>Nave's Topical Index</p><p>@</p><p>Resources</p><p>never</p>"),
+    ("/topical/ttt/p/p{}.htm", "<p>Torrey's Topical Textbook</p><p>@</p><p>Subtopics</p><p>never</p>"),
+    ("/atlas/red-sea_{}.htm", "<title>T</title><p>Occurrences</p><p>@</p><p>Encyclopedia</p><p>b</p><p>Strong's Greek</p><p>never</p>"),
+    ("/atlas/p.htm", "<p>@</p>"),
+    ("/elsewhere/{}", "<p>@</p>"),
+]
+
+
+def _made_pages(spark, d):
+    """The words of all pages, in pages of each group of the site."""
+    page = F.col("page_id")
+    words = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[^A-Za-z ]", " "), " +", " "))
+    pick = lambda k: F.replace(F.get(F.array(*(F.lit(m[k]) for m in MADE)), (page % len(MADE)).cast("int")), F.lit("{}"), page.cast("string"))
+    return _t(spark, d, "pages").select("page_id", F.concat(F.lit(f"https://{SITE}"), pick(0)).alias("url"), F.replace(pick(1), F.lit("@"), words).alias("html"))
+
+
+def _case(column, values):
+    return f"CASE {column} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+EXTRACTED = f"""pw AS (SELECT page_id, (page_id % {len(MADE)})::INT AS k, {PLAIN} AS w FROM pages),
+pd AS (SELECT page_id, k, w, 'https://{SITE}' || {_case("k", [f"replace('{p}', '{{}}', page_id::VARCHAR)" for p, _ in MADE])} AS url,
+  {_case("k", ["'bible'", "'commentary'", "'topical'", "'naves'", "'torrey'", "'atlas'", "'atlas'"])} AS crawl_group,
+  {_case("k", ["'bible'", "'commentary'", "'topical'", "'topical'", "'topical'", "'atlas'", "'atlas_index'"])} AS document_type,
+  CASE WHEN k < 6 THEN 'extracted' ELSE 'skipped' END AS status, {_case("k", ["NULL"] * 6 + ["'discovery_page'", "'unsupported_group'"])} AS skip_reason,
+  {_case("k", ["'John ' || page_id", "'1 John 2:' || page_id", "'P ' || page_id", "'P ' || page_id", "'P' || page_id", "'Red Sea ' || page_id"])} AS title,
+  {_case("k", ["'John'", "'1 John'"])} AS book, {_case("k", ["page_id::INT", "2"])} AS chapter, {_case("k", ["NULL", "page_id::INT"])} AS verse,
+  {_case("k", ["NULL", "NULL", "'P ' || page_id", "'P ' || page_id", "'P' || page_id"])} AS topic, CASE WHEN k = 5 THEN 'Red Sea ' || page_id END AS place,
+  {_case("k", ["NULL", "NULL", "'contemporary'", "'naves'", "'torrey'"])} AS source_collection,
+  {_case("k", ["CASE WHEN w <> '' THEN '1 ' || w ELSE '' END", "w", "w", "w", "w", "w || chr(10) || 'b'"])} AS text, {_case("k", [50, 100, 20, 50, 50, 50])} AS least FROM pw),
+px AS (SELECT *, sha256(text) AS text_hash, length(text)::INT AS text_length, status = 'extracted' AND length(text) >= least AS valid FROM pd)"""
+
+
+@query(f"WITH {EXTRACTED} SELECT substr(sha256(url), 1, 24) AS document_id, url, crawl_group, document_type, status, skip_reason, title, book, chapter, verse, topic, place, source_collection, text, text_hash, text_length, valid FROM px")
 def extract_documents(spark, d):
-    """Pages read as atlas pages of the site: the article under the section's marker."""
-    p = _t(spark, d, "pages")
-    made = p.select(F.concat(F.lit(f"https://{SITE}/atlas/p"), "page_id", F.lit(".htm")).alias("url"), F.regexp_replace("html", "<article>", "<article><p>Encyclopedia</p>").alias("html"))
-    return extract.extract_documents(made, SITE)
+    return extract.extract_documents(_made_pages(spark, d), SITE).select("document_id", "url", "crawl_group", "document_type", "status", "skip_reason", "title", "book", "chapter", "verse", "topic", "place", "source_collection", "text", "text_hash", "text_length", "valid")
 
 
-@query()
+@query(f"""WITH {EXTRACTED} SELECT count(*) AS source_pages, count(*) FILTER (status <> 'skipped') AS eligible, count(*) FILTER (valid) AS valid, count(*) FILTER (status <> 'skipped' AND NOT valid) AS invalid, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (skip_reason = 'discovery_page') AS skipped_discovery,
+count(*) FILTER (skip_reason = 'unsupported_group') AS skipped_other, round(100.0 * count(*) FILTER (valid) / count(*) FILTER (status <> 'skipped'), 2) AS success_rate, coalesce(sum(text_length) FILTER (valid), 0)::BIGINT AS characters FROM px""")
+def extraction_totals(spark, d):
+    return extract.totals(extract.extract_documents(_made_pages(spark, d), SITE))
+
+
+@query(f"""WITH {EXTRACTED}, e AS (SELECT unnest([{{'dimension': 'status', 'value': status}}, {{'dimension': 'crawl_group', 'value': crawl_group}}, {{'dimension': 'document_type', 'value': document_type}}, {{'dimension': 'skip_reason', 'value': skip_reason}}, {{'dimension': 'valid', 'value': valid::VARCHAR}}, {{'dimension': 'error', 'value': CASE WHEN status = 'extracted' AND NOT valid THEN 'text_too_short' END}}]) AS e, coalesce(text_length, 0) AS c FROM px)
+SELECT e.dimension AS dimension, e.value AS value, count(*) AS documents, sum(CASE WHEN e.dimension = 'error' THEN 0 ELSE c END)::BIGINT AS characters FROM e WHERE e.value IS NOT NULL GROUP BY ALL""")
 def extraction_summary(spark, d):
-    return extract.summary(extract_documents(spark, d))
+    return extract.summary(extract.extract_documents(_made_pages(spark, d), SITE))

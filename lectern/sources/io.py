@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,9 +39,23 @@ def write_postings(postings: DataFrame, path: str) -> None:
     postings.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(path)
 
 
-def nested_postings(postings: DataFrame) -> DataFrame:
-    """term, df, postings array, for export."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.struct("document_id", "tf"))).alias("postings"))
+def write_index(index, catalog: DataFrame, path: str) -> None:
+    """Postings, vocabulary by terms, catalog and one row of statistics, each as a Parquet table under path."""
+    from ..operators.index import stats
+
+    write_postings(index.postings, f"{path}/postings")
+    index.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    catalog.write.mode("overwrite").parquet(f"{path}/catalog")
+    stats(index).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def nested_postings(postings: DataFrame, block: Column) -> DataFrame:
+    """term, block, documents and postings array, for export: a term has a row for each block of documents.
+
+    A frequent term stands in most documents; the block (a range or hash of document_id) bounds its arrays.
+    """
+    out = postings.groupBy("term", block.alias("block")).agg(F.count("*").alias("documents"), F.array_sort(F.collect_list(F.struct("document_id", "tf"))).alias("postings"))
+    return out.select("term", "block", "documents", "postings")
 
 
 def read_pages(spark: SparkSession, metadata: str, bodies: str, schema: str) -> DataFrame:

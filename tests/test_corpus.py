@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import urls as U
-from lectern.operators import extract, fields, index, links, stats, wiki
+from lectern.operators import entities, extract, fields, index, links, stats, wiki
 from lectern.sources import io
 
 SITE = "site.example"
@@ -171,3 +171,61 @@ def test_names_and_hidden_parts():
 def test_links_to_other_spaces_are_no_articles():
     page = "<page><title>T</title><ns>0</ns><id>1</id><text>[[A  b]] [[Wikipedia:X]] [[Portal:Y]] [[Help:Z]]</text></page>"
     assert wiki.parse_page(page)["internal_link_count"] == 2
+
+
+def test_search_documents_and_their_fields(spark):
+    docs = spark.createDataFrame([(1, "bible", "Songs", None, 3), (2, "naves", None, "Alms: of", None), (3, "atlas", None, None, None), (4, "torrey", None, "Alms", None)], "document_id long, crawl_group string, book string, topic string, chapter int")
+    mapping = spark.createDataFrame([("Songs", "Song_of Songs")], "bible_book string, wiki_title string")
+    kept = "entity_type string, join_key string, matched boolean, final_page_id long, final_title string, categories array<string>, text_length int"
+    links_ = spark.createDataFrame([("book", "song of songs", True, 7, "Song", ["a", "b c"], 9), ("naves_entity", "alms", False, None, None, None, None)], kept)
+    out = entities.search_documents(docs, mapping, links_)
+    rows = {r.document_id: r for r in out.collect()}
+    assert len(out.columns) == 26 and len(rows) == 4
+    assert rows[1].wiki_page_id == 7 and rows[1].wiki_categories == ["a", "b c"] and rows[1].wiki_reference_count is None
+    assert rows[2].wiki_matched is False and rows[2].wiki_title is None and rows[3].wiki_matched is None and rows[4].wiki_matched is None
+    ready = {r.document_id: r for r in fields.prepared(out.drop("verse")).collect()}
+    assert ready[1].wiki_categories == "a b c" and ready[1].chapter == 3 and ready[1].verse is None and ready[2].book is None
+    odd = spark.createDataFrame([(1, " ", '["a", "b"]', "x"), (2, " t ", "plain", "12"), (3, None, '"one"', None)], "document_id long, title string, wiki_sections string, chapter string")
+    ready = {r.document_id: r for r in fields.prepared(odd).collect()}
+    assert [ready[i].title for i in (1, 2, 3)] == [None, "t", None] and [ready[i].chapter for i in (1, 2, 3)] == [None, 12, None]
+    assert [ready[i].wiki_sections for i in (1, 2, 3)] == ["a b", "plain", "one"]
+
+
+def test_index_files_and_catalog(spark, tmp_path):
+    d = docs(spark).withColumn("url", F.concat(F.lit("u"), "document_id")).withColumn("title", F.lit("")).withColumn("book", F.lit("b"))
+    d = index.first_documents(d, 4)
+    i = index.build(d)
+    c = index.catalog(d, i.norms)
+    io.write_index(i, c, str(tmp_path))
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    rows = {r.document_id: r for r in read("catalog").collect()}
+    assert len(rows) == 4 and rows[1].title == "u1" and rows[1].book == "b" and rows[4].token_count == 0 and rows[4].norm_smooth == 0.0 and rows[1].preview == "alpha beta beta common"
+    assert read("vocabulary").count() == 5 and read("postings").count() == 9 and read("stats").first().posting_count == 9
+    nested = io.nested_postings(i.postings, F.col("document_id") % 2).filter("term = 'common'").collect()
+    assert sorted((r.block, [tuple(p) for p in r.postings]) for r in nested) == [(0, [(2, 1)]), (1, [(1, 1), (3, 1)])]
+
+
+def test_a_frontier_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(links, "BLOCK", 2)
+    rows = [(p, q, f"https://{SITE}/{g}/{p}{q}.htm", "eligible") for p in range(7) for q, g in enumerate(["atlas", "john"])]
+    found = spark.createDataFrame(rows, "page_id long, pos int, url string, kind string")
+    out = links.next_frontier(found, spark.createDataFrame([], "url string"), SITE).collect()
+    assert sorted((r.crawl_group, r.turn) for r in out) == [(g, t) for g in ("atlas", "bible") for t in range(1, 8)]
+    assert {r.url.rsplit("/", 1)[1]: r.turn for r in out if r.crawl_group == "atlas"} == {f"{p}0.htm": p + 1 for p in range(7)} and {r.group_order for r in out} == {1, 6}
+
+
+def test_overlap_by_title_and_of_silent_queries(spark):
+    run = lambda rows: spark.createDataFrame(rows, "query_id long, rank int, document_id long, title string")
+    a, b = run([(0, 1, 5, "x"), (0, 2, None, " A "), (0, 3, 6, "y")]), run([(0, 1, None, "a"), (0, 2, 5, "z"), (0, 3, 6, "y")])
+    out = fields.overlap(a, b, 2, spark.createDataFrame([(0,), (1,)], "query_id long")).collect()
+    assert {(r.query_id, r.overlap_count, r.overlap_ratio) for r in out} == {(0, 2, 1.0), (1, 0, 0.0)}
+
+
+def test_forms_groups_and_totals(spark):
+    assert one(spark, T.tokens(T.nfkc("t")), t="ﬁne １") == ["fine", "1"]
+    group = lambda u, t: one(spark, U.prefix_group(F.col("u"), F.col("t")), u=f"https://{SITE}{u}", t=t)
+    assert [group("/topical/ttt/a.htm", None), group("/topical/a", None), group("/john/3.htm", "x"), group("/else", "bible"), group("/else", "x")] == ["torrey", "topical", "bible", "bible", "x"]
+    pages = spark.createDataFrame([(f"https://{SITE}{p}", h) for p, h in PAGES], "url string, html string")
+    t = extract.totals(extract.extract_documents(pages, SITE)).first()
+    assert (t.source_pages, t.eligible, t.valid, t.invalid, t.skipped, t.skipped_discovery, t.skipped_other, t.success_rate) == (8, 5, 4, 1, 3, 1, 2, 80.0)
+    assert extract.totals(extract.extract_documents(pages.limit(0), SITE)).first().success_rate == 0.0
