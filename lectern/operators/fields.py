@@ -53,9 +53,11 @@ def scores(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, document_id, base, part: BM25 of each term (query_id, base, term, boost) in each field, N and length by field."""
     lengths = tokens.groupBy("field", "document_id").agg(F.count("*").alias("len"))
     fields = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    hits = tokens.join(terms, "term").groupBy("query_id", "base", "boost", "term", "field", "document_id").agg(F.count("*").alias("f"))
-    df = tokens.join(terms.select("term").distinct(), "term").select("field", "term", "document_id").distinct().groupBy("field", "term").agg(F.count("*").alias("df"))
-    full = hits.join(F.broadcast(fields), "field").join(df, ["field", "term"]).join(lengths, ["field", "document_id"])
+    # Occurrences are counted once for all queries that ask a term; hits and df both read these counts.
+    found = tokens.join(terms.select("term").distinct(), "term").groupBy("field", "term", "document_id").agg(F.count("*").alias("f"))
+    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
+    weighed = found.join(df, ["field", "term"]).join(lengths, ["field", "document_id"]).join(F.broadcast(fields), "field")  # a row for each field
+    full = weighed.join(terms, "term")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("boost") * idf * F.col("f") / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return full.withColumn("part", part)
