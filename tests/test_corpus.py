@@ -229,3 +229,12 @@ def test_forms_groups_and_totals(spark):
     t = extract.totals(extract.extract_documents(pages, SITE)).first()
     assert (t.source_pages, t.eligible, t.valid, t.invalid, t.skipped, t.skipped_discovery, t.skipped_other, t.success_rate) == (8, 5, 4, 1, 3, 1, 2, 80.0)
     assert extract.totals(extract.extract_documents(pages.limit(0), SITE)).first().success_rate == 0.0
+
+
+def test_snippets_and_marks(spark):
+    text = "x " * 200 + "the Ark, of it " + "y " * 200
+    got = one(spark, T.snippet("t", F.array(F.lit("ark"), F.lit("none"))), t=text)
+    assert got.startswith("…") and got.endswith("…") and "Ark, of it" in got and len(got) <= 262
+    assert one(spark, T.snippet("t", F.array(F.lit("zz"))), t="short  text") == "short text"
+    assert one(spark, T.highlight("t", ["ark"]), t="Ark arks ARK.") == "**Ark** arks **ARK**."
+    assert one(spark, T.preview_dots("t", 5), t="abcd efgh") == "abcd..." and one(spark, T.preview_dots("t", 9), t="abcd efgh") == "abcd efgh"
