@@ -81,6 +81,22 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence
     return df.withColumn("_w", F.sum("_v").over(inner) - F.col("_v")).join(before, [*keys, bucket]).withColumn(out, F.col("_b") + F.col("_w")).drop("_v", "_w", "_b")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df, staged by ranges of (keys, order), with `pos`: each row's place within its keys, from 0; nulls come first.
+
+    Rows that agree in keys and order are interchangeable: their own number breaks the tie, so that even a key or a
+    value with a third of all rows is dealt over ranges. Counts by key and range are summed, one row for each.
+    """
+    keys = list(keys)
+    by = [*keys, *order, "_r"]
+    ranged = df.withColumn("_r", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = staged(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).drop("_r"), name)
+    groups = ranged.groupBy(*keys, "_p").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = staged(groups.withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), f"{name}-starts")
+    return ranged.join(small_side(starts), [*keys, "_p"]).withColumn("pos", F.col("_s") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_s", "_first")
+
+
 # ---- hashing of whole Arrow batches with numpy -------------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

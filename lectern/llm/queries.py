@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, line_dedup, lm, mixing, ngram_join, packing, quality, secrets, toxicity
+from . import ann, html_extract, line_dedup, lm, merkle, mixing, ngram_join, packing, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +52,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_mixing, op4_toxicity, op5_nearest_neighbours, op6_quality_rules, op7_ngram_jaccard_join, op8_lm_scoring, op9_secret_scans, op10_packing)}
-SQL = {"op2_line_dedup": line_dedup.SQL, "op3_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op7_ngram_jaccard_join": ngram_join.SQL, "op9_secret_scans": secrets.SQL}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), received=merkle.case_folded())
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_mixing, op4_toxicity, op5_nearest_neighbours, op6_quality_rules, op7_ngram_jaccard_join, op8_lm_scoring, op9_secret_scans, op10_packing, op11_merkle_manifest)}
+SQL = {"op2_line_dedup": line_dedup.SQL, "op3_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op7_ngram_jaccard_join": ngram_join.SQL, "op9_secret_scans": secrets.SQL, "op11_merkle_manifest": merkle.SQL}
