@@ -97,6 +97,19 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return ranged.join(small_side(starts), [*keys, "_p"]).withColumn("pos", F.col("_s") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_s", "_first")
 
 
+def split_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], hot: str) -> DataFrame:
+    """rows left-joined with side, which has a row for each of its keys; `hot` (SQL on side) names the keys of many rows.
+
+    The caller's condition must hold for a bounded number of keys (a thousandth of all rows each, say): these are
+    broadcast, so that their rows stay where they are, and only the rest is shuffled. Both sides should be staged.
+    """
+    keys = list(keys)
+    many = F.broadcast(side.filter(hot).withColumn("_hot", F.lit(True)))
+    found = rows.join(many, keys).drop("_hot")
+    rest = rows.join(many.select(*keys, "_hot"), keys, "left").filter("_hot is null").drop("_hot")
+    return found.unionByName(rest.join(side.filter(f"not ({hot})"), keys, "left"))
+
+
 # ---- hashing of whole Arrow batches with numpy -------------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
