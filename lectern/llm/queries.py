@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, line_dedup, lm, merkle, mixing, ngram_join, packing, prefix_trie, quality, secrets, toxicity
+from . import ann, html_extract, line_dedup, lm, merkle, mixing, ngram_join, packing, prefix_trie, quality, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), received=merkle.case_folded())
 
 
+def op12_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_mixing, op4_toxicity, op5_nearest_neighbours, op6_quality_rules, op7_ngram_jaccard_join, op8_lm_scoring, op9_secret_scans, op10_packing, op11_merkle_manifest, op13_conversation_trie)}
-SQL = {"op2_line_dedup": line_dedup.SQL, "op3_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op7_ngram_jaccard_join": ngram_join.SQL, "op9_secret_scans": secrets.SQL, "op11_merkle_manifest": merkle.SQL, "op13_conversation_trie": prefix_trie.SQL}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_mixing, op4_toxicity, op5_nearest_neighbours, op6_quality_rules, op7_ngram_jaccard_join, op8_lm_scoring, op9_secret_scans, op10_packing, op11_merkle_manifest, op12_warc_bundles, op13_conversation_trie)}
+SQL = {"op2_line_dedup": line_dedup.SQL, "op3_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op7_ngram_jaccard_join": ngram_join.SQL, "op9_secret_scans": secrets.SQL, "op11_merkle_manifest": merkle.SQL, "op12_warc_bundles": warc.SQL, "op13_conversation_trie": prefix_trie.SQL}
