@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import UPPER, lower_ascii, numbered, small_side, staged
 
 #: Children of a node, and leaves of a block: a power of ARITY, so that no run of siblings crosses a block.
-ARITY, BLOCK = 8, 8**4
+ARITY, BLOCK = 8, 8**3
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
