@@ -15,6 +15,8 @@ from .common import shared_dir, slices, small_side, split_join, staged
 
 #: Payloads of fewer bytes are never revisits; plain bytes of a frame, and stored bytes of a bundle, before the next begins.
 LEAST_BYTES, FRAME_BYTES, BUNDLE_BYTES = 1000, 1 << 18, 1 << 26
+#: Bundles are read in a task each up to so many tasks, and in several a task beyond.
+MOST_TASKS = 20_000
 # Fixed values of the seekable format: magic of the skippable frame, and of the footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -234,7 +236,9 @@ def read(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
                             raise ValueError(f"a frame of {name} has {len(data)} bytes, not {plain}")
                         yield data
 
-    return index.select("bundle").distinct().mapInArrow(lambda batches: _rows(frames(batches), payload), PAGE)
+    names = index.select("bundle").distinct()
+    # Names are few bytes of much work: a stated number of tasks, which Spark does not merge by size.
+    return names.repartition(min(max(names.count(), 1), MOST_TASKS)).mapInArrow(lambda batches: _rows(frames(batches), payload), PAGE)
 
 
 def fetch(index: DataFrame, folder: str, wanted: DataFrame, follow: bool = True) -> DataFrame:
@@ -263,7 +267,8 @@ def fetch(index: DataFrame, folder: str, wanted: DataFrame, follow: bool = True)
                 for made in _rows([data[x["record_offset"] : x["record_offset"] + x["record_bytes"]]], True):
                     yield pa.RecordBatch.from_arrays([pa.array([x["asked"]]), *made.columns], ["asked", *made.schema.names])
 
-    return asked.repartition("bundle", "frame_offset").sortWithinPartitions("bundle", "frame_offset").mapInArrow(one, f"asked string, {PAGE}")
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked.repartition(tasks, "bundle", "frame_offset").sortWithinPartitions("bundle", "frame_offset").mapInArrow(one, f"asked string, {PAGE}")
 
 
 def archive(pages: DataFrame) -> DataFrame:
