@@ -23,7 +23,7 @@ def rebuilt(conversations: DataFrame, stride: int = 20, heads: int = 4) -> tuple
     own turns after its first h. e1 and e2 are hashes of place, role and text.
     """
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
-    own = conversations.filter("conv_id is not null").select("conv_id", "turn", role.alias("role"), F.sha2(text, 256).alias("digest"), F.regexp_count(text, F.lit(WORD)).alias("words"))
+    own = staged(conversations.filter("conv_id is not null").select("conv_id", "turn", role.alias("role"), F.sha2(text, 256).alias("digest"), F.regexp_count(text, F.lit(WORD)).alias("words")), "turn-hashes")  # else texts are hashed again for the ranges
     turns = numbered(own, ["conv_id"], ["turn", "role", "digest"], "turns")
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads
     convs = staged(turns.groupBy("conv_id").agg(F.count("*").alias("n")), "conversations")
