@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import split_join, staged
+
+#: A term with more than this share of all postings is joined by broadcast: 1,000 terms at most can have it.
+HOT_SHARE = 0.001
 
 
 @dataclass
@@ -17,6 +21,10 @@ class Index:
     norms: DataFrame  #: document_id, token_count, norm_classic, norm_smooth
     documents: int
 
+    def chosen(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Lexicon and postings, as far as they may hold terms of `terms` (term); here all of them."""
+        return self.lexicon, self.postings
+
 
 def postings(docs: DataFrame) -> DataFrame:
     """term, document_id, tf of docs (document_id, text); rows with valid = false stay out."""
@@ -29,16 +37,22 @@ def lexicon(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def with_df(post: DataFrame, lex: DataFrame) -> DataFrame:
+    """Postings with the df of their term; the most frequent terms are joined where their postings lie."""
+    total = lex.agg(F.sum("df")).first()[0] or 0
+    return split_join(post, lex, ["term"], f"df > {max(1, int(total * HOT_SHARE))}")
+
+
 def norms(post: DataFrame, lex: DataFrame, documents: int) -> DataFrame:
-    """Vector norms for both IDF methods; the join on term is left to the optimizer, which broadcasts a small lexicon."""
-    n, joined = F.lit(documents), post.join(lex, "term")
+    """Vector norms for both IDF methods."""
+    n, joined = F.lit(documents), with_df(post, lex)
     weight = lambda method: F.sqrt(F.sum(F.pow(T.log_tf(F.col("tf")) * T.idf(n, F.col("df"), method), F.lit(2))))
     return joined.groupBy("document_id").agg(F.sum("tf").alias("token_count"), weight("classic").alias("norm_classic"), weight("smooth").alias("norm_smooth"))
 
 
 def build(docs: DataFrame) -> Index:
-    post = postings(docs).persist()  # lexicon, norms and searches read it
-    lex, count = lexicon(post), docs.count()
+    post = staged(postings(docs), "postings")  # lexicon, norms and searches read it
+    lex, count = staged(lexicon(post), "lexicon"), docs.count()
     return Index(post, lex, norms(post, lex, count), count)
 
 
@@ -86,10 +100,11 @@ def parse_queries(queries: DataFrame) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, method: str = "classic", k: int = 10) -> DataFrame:
     """query_id, rank, document_id, score, total_hits, matched_terms: cosine of TF-IDF vectors, ties by document_id."""
-    n = F.lit(index.documents)
-    terms = parse_queries(queries).join(index.lexicon, "term").withColumn("qw", T.log_tf(F.col("qtf")) * T.idf(n, F.col("df"), method))
+    n, asked = F.lit(index.documents), parse_queries(queries)
+    lexicon, postings = index.chosen(asked)
+    terms = asked.join(lexicon, "term").withColumn("qw", T.log_tf(F.col("qtf")) * T.idf(n, F.col("df"), method))
     qnorm = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    hits = index.postings.join(terms, "term")
+    hits = postings.join(terms, "term")
     dot = hits.groupBy("query_id", "mode", "n_terms", "document_id").agg(F.sum(F.col("qw") * T.log_tf(F.col("tf")) * T.idf(n, F.col("df"), method)).alias("dot"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
     dot = dot.filter((F.col("mode") == "or") | (F.size("matched_terms") == F.col("n_terms")))
     norm = F.col(f"norm_{method}")
@@ -103,10 +118,11 @@ def search(index: Index, queries: DataFrame, method: str = "classic", k: int = 1
 
 def explain(index: Index, queries: DataFrame, hits: DataFrame) -> DataFrame:
     """Arithmetic of each lexicon term of the queries for each hit, for both IDF methods; absent terms have dtf 0."""
-    n = F.lit(index.documents)
-    terms = parse_queries(queries).join(index.lexicon, "term")
+    n, asked = F.lit(index.documents), parse_queries(queries)
+    lexicon, postings = index.chosen(asked)
+    terms = asked.join(lexicon, "term")
     pairs = hits.select("query_id", "document_id").join(terms, "query_id")
-    full = pairs.join(index.postings, ["document_id", "term"], "left").withColumn("dtf", F.coalesce("tf", F.lit(0)))
+    full = pairs.join(postings.select("document_id", "term", "tf"), ["document_id", "term"], "left").withColumn("dtf", F.coalesce("tf", F.lit(0)))
     cols = [F.round(T.log_tf(F.col("qtf")), 6).alias("qtf_weight"), F.round(T.log_tf(F.col("dtf")), 6).alias("dtf_weight")]
     for m in ("classic", "smooth"):
         i = T.idf(n, F.col("df"), m)

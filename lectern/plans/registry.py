@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import entities, extract, fields, index, links, stats, wiki
+from ..operators import entities, extract, fields, index, links, stats, stored, wiki
 from ..sources.io import nested_postings
+from ..sources.shared import new_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -150,6 +151,33 @@ def batch_search(spark, d):
     return index.search(index.build(_docs(spark, d)), _asked(spark, d))
 
 
+def _stored(spark, d):
+    """The index of the documents, written to the shared folder and read from there."""
+    i, path = index.build(_docs(spark, d)), new_path(spark, "index")
+    stored.write_index(i, _catalog(spark, d, i.norms), path)
+    return stored.read_index(spark, path)
+
+
+@query(_search_sql(ASKED))
+def stored_search(spark, d):
+    return index.search(_stored(spark, d), _asked(spark, d))
+
+
+@query(_search_sql(_fixed_sql("the of worthless trash"), "smooth"))
+def stored_search_pruned(spark, d):
+    return index.search(_stored(spark, d), _fixed(spark, d), "smooth")
+
+
+@query(_search_sql(ASKED, out="SELECT query_id, rank, document_id, score FROM hits"))
+def stored_top_k(spark, d):
+    return stored.top_k(_stored(spark, d), _asked(spark, d)).hits
+
+
+@query(_search_sql(_fixed_sql("the of worthless trash"), "smooth", out="SELECT query_id, rank, document_id, score FROM hits"))
+def stored_top_k_smooth(spark, d):
+    return stored.top_k(_stored(spark, d), _fixed(spark, d), "smooth").hits
+
+
 @query(_search_sql(ASKED, out="""SELECT query_id, hits.document_id, term, qtf, coalesce(tf, 0) AS dtf, qw.df, round(1 + ln(qtf), 6) AS qtf_weight, round(CASE WHEN tf > 0 THEN 1 + ln(tf) ELSE 0 END, 6) AS dtf_weight,
   round(ln(n / qw.df), 6) AS idf_classic, round((1 + ln(qtf)) * ln(n / qw.df) * (CASE WHEN tf > 0 THEN 1 + ln(tf) ELSE 0 END) * ln(n / qw.df), 6) AS contribution_classic,
   round(ln((n + 1) / (qw.df + 1)) + 1, 6) AS idf_smooth, round((1 + ln(qtf)) * (ln((n + 1) / (qw.df + 1)) + 1) * (CASE WHEN tf > 0 THEN 1 + ln(tf) ELSE 0 END) * (ln((n + 1) / (qw.df + 1)) + 1), 6) AS contribution_smooth

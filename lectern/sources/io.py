@@ -34,21 +34,6 @@ def write_split(documents: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     return back.filter("valid"), back.filter("not valid")
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """Postings by ranges of terms, sorted within files."""
-    postings.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(path)
-
-
-def write_index(index, catalog: DataFrame, path: str) -> None:
-    """Postings, vocabulary by terms, catalog and one row of statistics, each as a Parquet table under path."""
-    from ..operators.index import stats
-
-    write_postings(index.postings, f"{path}/postings")
-    index.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
-    catalog.write.mode("overwrite").parquet(f"{path}/catalog")
-    stats(index).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-
-
 def nested_postings(postings: DataFrame, block: Column) -> DataFrame:
     """term, block, documents and postings array, for export: a term has a row for each block of documents.
 

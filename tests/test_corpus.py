@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import urls as U
-from lectern.operators import entities, extract, fields, index, links, stats, wiki
+from lectern.operators import bounded, entities, extract, fields, index, links, stats, stored, wiki
 from lectern.sources import io
 
 SITE = "site.example"
@@ -196,7 +196,7 @@ def test_index_files_and_catalog(spark, tmp_path):
     d = index.first_documents(d, 4)
     i = index.build(d)
     c = index.catalog(d, i.norms)
-    io.write_index(i, c, str(tmp_path))
+    stored.write_index(i, c, str(tmp_path))
     read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
     rows = {r.document_id: r for r in read("catalog").collect()}
     assert len(rows) == 4 and rows[1].title == "u1" and rows[1].book == "b" and rows[4].token_count == 0 and rows[4].norm_smooth == 0.0 and rows[1].preview == "alpha beta beta common"
