@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,12 +26,39 @@ def tokens(column: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(column), F.lit(TOKEN), F.lit(0))
 
 
+#: Characters that compatibility composition keeps as they are, whatever stands beside them; there are others.
+SETTLED = r"\x{00}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{386}\x{388}-\x{3CE}\x{400}-\x{481}\x{5D0}-\x{5EA}\x{621}-\x{64A}\x{2013}\x{2014}\x{2018}-\x{2023}\x{3001}-\x{3007}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+
+
 @F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
-    """Compatibility form of texts, for corpora that hold other forms: apply it before `tokens`."""
+    """Compatibility form of texts."""
     return values.str.normalize("NFKC")
 
 
+def normal(column: Column | str) -> Column:
+    """Compatibility form of a text. Only texts with a character beyond SETTLED are sent to Python; the others stay as they are."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(nfkc(F.when(c.rlike(f"[^{SETTLED}]"), c)), c)
+
+
+def bpe_count(path: str):
+    """A column function that counts the tokens of texts by the tokenizer of a JSON file, which each Python worker reads once."""
+    @F.pandas_udf("int")
+    def counts(values: pd.Series) -> pd.Series:
+        tokenizer = _tokenizer(path)
+        return values.map(lambda t: None if t is None else len(tokenizer.encode(t, add_special_tokens=False).ids))
+
+    return counts
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def list_text(column: Column | str) -> Column:
     """A JSON list as its items between spaces; a JSON string as what it holds, and any other text as it stands."""
     c = F.col(column) if isinstance(column, str) else column
@@ -69,13 +98,15 @@ def document_id(url: Column | str) -> Column:
 
 
 def snippet(column: Column | str, terms: Column, width: int = 260) -> Column:
-    """`width` characters of the collapsed text from a third of them before the first whole-word hit, with ellipses where cut."""
+    """`width` characters of the collapsed text from a third of them before the first whole-word hit, with ellipses where cut.
+
+    A word ends where no letter, digit or underscore follows; case counts for nothing.
+    """
     text = collapsed(column)
-    hits = F.array_min(F.filter(F.transform(terms, lambda t: F.regexp_instr(F.lower(text), F.concat(F.lit(r"(?<![\p{L}\p{N}])"), t, F.lit(r"(?![\p{L}\p{N}])")))), lambda p: p > 0))
+    place = lambda t: F.regexp_instr(text, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), t, F.lit(r"\E(?![\p{L}\p{N}_])")))
+    hits = F.array_min(F.filter(F.transform(terms, place), lambda p: p > 0))
     start = F.greatest(F.coalesce(hits, F.lit(1)) - width // 3, F.lit(1))
-    end = start + width
-    body = F.trim(F.substring(text, start, F.lit(width)))
-    return F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(end <= F.length(text), "…").otherwise(""))
+    return F.concat(F.when(start > 1, "…").otherwise(""), F.substring(text, start, F.lit(width)), F.when(start + width <= F.length(text), "…").otherwise(""))
 
 
 def highlight(column: Column | str, terms: list[str], before: str = "**", after: str = "**") -> Column:
@@ -88,7 +119,7 @@ def highlight(column: Column | str, terms: list[str], before: str = "**", after:
     return F.regexp_replace(column, pattern, before + "$1" + after)
 
 
-#: Steps that turn wiki markup into plain text, in their order.
+# Steps that turn wiki markup into plain text, in their order.
 WIKITEXT = [
     (r"(?s)<!--.*?-->", " "),
     (r"(?is)<ref\b[^>]*>.*?</ref\s*>|<ref\b[^>]*/\s*>", " "),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import staged
+from ..sources.shared import small_side, staged
 
 #: Best postings kept of each key, and what rounding to six digits may hide.
 CHAMPIONS, SLACK = 64, 1e-6
@@ -76,7 +76,7 @@ def top_k(tables: Impacts, asked: DataFrame, k: int = 10) -> Search:
     remains is scored whole.
     """
     terms = staged(asked.join(tables.maxima, "key").withColumn("bound", F.col("weight") * F.col("most")), "asked-keys")
-    seen = tables.champions.join(F.broadcast(terms.filter("mode = 'or'").select("query_id", "key", "weight")) if terms.limit(100_001).count() <= 100_000 else terms.filter("mode = 'or'").select("query_id", "key", "weight"), "key")
+    seen = tables.champions.join(small_side(terms.filter("mode = 'or'").select("query_id", "key", "weight")), "key")
     floor = _kth(seen.groupBy("query_id", "document_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")), k, "floor")
     # A query's own keys are one group: as many as its text has words.
     ascending = Window.partitionBy("query_id").orderBy("bound", "key")

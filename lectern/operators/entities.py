@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import join_key
+from ..sources.shared import keyed_left_join
 
 #: What links carry of a page, as far as the pages have it.
 LISTS = ["categories", "sections", "templates", "bold_terms"]
@@ -46,9 +47,11 @@ def samples(entities: DataFrame, n: int = 20) -> DataFrame:
     return unique_entities(entities).withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def link_samples(links: DataFrame, matched: bool, n: int = 30) -> DataFrame:
-    """The first n matched or unmatched links, by type and key."""
-    return links.filter(F.col("matched") == matched).orderBy("entity_type", "join_key").limit(n)
+def link_samples(links: DataFrame, matched: bool, n: int = 30, with_sections: bool = False) -> DataFrame:
+    """The first n matched or unmatched links, by type and key; with_sections: of those whose page has a section."""
+    chosen = links.filter(F.col("matched") == matched)
+    chosen = chosen.filter("section_count > 0") if with_sections else chosen
+    return chosen.orderBy("entity_type", "join_key").limit(n)
 
 
 def unique_entities(entities: DataFrame) -> DataFrame:
@@ -68,7 +71,7 @@ def link(entities: DataFrame, pages: DataFrame) -> DataFrame:
     articles = pages.filter(F.col("redirect").isNull())
     targets = direct.select(join_key("redirect").alias("join_key")).filter("join_key is not null").distinct()
     article = first_by_key(articles.join(targets, "join_key", "left_semi"), columns).select(F.col("join_key").alias("target"), *(F.col(c).alias("a_" + c) for c in columns))
-    out = wanted.join(direct, "join_key", "left").withColumn("target", join_key("redirect")).join(article, "target", "left")
+    out = keyed_left_join(wanted.join(direct, "join_key", "left").withColumn("target", join_key("redirect")), article, ["target"])  # few are redirects
     hop = F.col("redirect").isNotNull() & F.col("a_page_id").isNotNull()
     resolved = lambda c: F.when(hop, F.col("a_" + c)).otherwise(F.col(c))
     return out.select(
@@ -101,7 +104,8 @@ def search_documents(docs: DataFrame, mapping: DataFrame, links: DataFrame) -> D
     """The documents with the wiki page of their entity: 11 columns of the document, 15 of the page, null where there is none.
 
     Bible pages go by the title that mapping (bible_book, wiki_title) has for their book, Nave's pages by the topic
-    before a colon, atlas pages by their place; other groups have no entity. Columns that docs or links lack are null.
+    before a colon, atlas pages by their place; other groups have no entity, and their rows pass by the joins. Columns
+    that docs or links lack are null.
     """
     def pick(df: DataFrame, name: str, kind: str | None = None) -> Column:
         column = F.col(name) if name in df.columns else F.lit(None)
@@ -110,19 +114,13 @@ def search_documents(docs: DataFrame, mapping: DataFrame, links: DataFrame) -> D
     group = F.col("crawl_group")
     own = docs.select(*(pick(docs, c, None if c == "document_id" and c in docs.columns else k).alias(c) for c, k in DOCUMENT.items()))
     titles = mapping.select(F.col("bible_book").alias("book"), join_key("wiki_title").alias("_book_key"))
-    own = own.join(titles, "book", "left")
+    own = keyed_left_join(own, titles, ["book"])
     own = own.withColumn("_type", F.when(group == "bible", "book").when(group == "naves", "naves_entity").when(group == "atlas", "place"))
     own = own.withColumn("_key", F.when(group == "bible", F.col("_book_key")).when(group == "naves", join_key(F.regexp_extract("topic", "^([^:]+)", 1))).when(group == "atlas", join_key("place")))
     kinds = dict.fromkeys(LISTS, "array<string>") | {"infobox_type": "string"} | dict.fromkeys(NUMBERS, "int")
     page = [F.col("matched").alias("wiki_matched"), F.col("final_page_id").alias("wiki_page_id"), F.col("final_title").alias("wiki_title")]
     wiki = links.select(F.col("entity_type").alias("_type"), F.col("join_key").alias("_key"), *page, *(pick(links, c, kinds[c]).alias("wiki_" + c) for c in ATTRIBUTES))
-    return own.join(wiki, ["_type", "_key"], "left").drop("_type", "_key", "_book_key").select(*DOCUMENT, "wiki_matched", "wiki_page_id", "wiki_title", *("wiki_" + c for c in ATTRIBUTES))
-
-
-def enrich(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """docs (document_id, crawl_group, entity_type, join_key) with wiki columns; other types and unmatched keys stay null."""
-    wiki = links.filter("matched").select("entity_type", "join_key", F.col("final_page_id").alias("wiki_page_id"), F.col("final_title").alias("wiki_title"), F.col("reference_count").alias("wiki_reference_count"))
-    return docs.join(wiki, ["entity_type", "join_key"], "left").select("document_id", "crawl_group", "entity_type", "join_key", "wiki_page_id", "wiki_title", "wiki_reference_count")
+    return keyed_left_join(own, wiki, ["_type", "_key"]).drop("_type", "_key", "_book_key").select(*DOCUMENT, "wiki_matched", "wiki_page_id", "wiki_title", *("wiki_" + c for c in ATTRIBUTES))
 
 
 def enrichment_rate(enriched: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -227,22 +227,44 @@ def validation_errors(by_group: dict[str, Rules] | None = None) -> Column:
     return F.array_compact(F.when(least.isNull(), F.array(*base, F.lit("unknown_document_type"))).otherwise(F.array(*base, *full)))
 
 
-def totals(documents: DataFrame) -> DataFrame:
-    """One row: source pages, eligible, valid, invalid and skipped documents, success rate, characters of valid texts."""
+def _totals() -> list[Column]:
     skipped = lambda cond: F.count_if((F.col("status") == "skipped") & cond)
     discovery = F.col("skip_reason") == "discovery_page"
     valid, eligible = F.count_if("valid"), F.count_if(F.col("status") != "skipped")
-    return documents.agg(
+    return [
         F.count("*").alias("source_pages"), eligible.alias("eligible"), valid.alias("valid"), (eligible - valid).alias("invalid"), skipped(F.lit(True)).alias("skipped"),
         skipped(discovery).alias("skipped_discovery"), skipped(~discovery).alias("skipped_other"), F.coalesce(F.round(100 * valid / F.nullif(eligible, F.lit(0)), 2), F.lit(0.0)).alias("success_rate"),
         F.coalesce(F.sum(F.when(F.col("valid"), F.col("text_length"))), F.lit(0)).alias("characters"),
-    )
+    ]
+
+
+def totals(documents: DataFrame) -> DataFrame:
+    """One row: source pages, eligible, valid, invalid and skipped documents, success rate, characters of valid texts."""
+    return documents.agg(*_totals())
 
 
 def summary(documents: DataFrame) -> DataFrame:
-    """Counts by dimension: dimension, value, documents, characters, from one pass over grouping sets."""
-    tagged = documents.select("status", "crawl_group", "document_type", "skip_reason", F.col("valid").cast("string").alias("valid"), F.coalesce("text_length", F.lit(0)).alias("c"))
-    dims = ["status", "crawl_group", "document_type", "skip_reason", "valid"]
-    rows = tagged.select("c", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims])).alias("e"))
-    errors = documents.select(F.lit(0).alias("c"), F.explode("validation_errors").alias("value")).select("c", F.struct(F.lit("error").alias("dimension"), "value").alias("e"))
-    return rows.union(errors).filter("e.value is not null").groupBy("e.dimension", "e.value").agg(F.count("*").alias("documents"), F.sum("c").alias("characters"))
+    """Counts by dimension: dimension, value, documents, characters. One pass: a row gives its dimensions and its errors at once."""
+    dims = [("status", F.col("status")), ("crawl_group", F.col("crawl_group")), ("document_type", F.col("document_type")), ("skip_reason", F.col("skip_reason")), ("valid", F.col("valid").cast("string"))]
+    length = F.coalesce(F.col("text_length").cast("long"), F.lit(0).cast("long"))
+    entry = lambda d, v, c: F.struct(F.lit(d).alias("dimension"), v.alias("value"), c.alias("c"))
+    errors = F.transform("validation_errors", lambda e: entry("error", e, F.lit(0).cast("long")))
+    rows = documents.select(F.explode(F.concat(F.array(*(entry(d, v, length) for d, v in dims)), errors)).alias("e"))
+    return rows.filter("e.value is not null").groupBy("e.dimension", "e.value").agg(F.count("*").alias("documents"), F.sum("e.c").alias("characters"))
+
+
+def write_split(documents: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Write valid, invalid and skipped documents apart; the documents and the invalid ones as they were written, and `totals`.
+
+    The totals are observed while the rows are written, and `summary` can read the written rows: pages are parsed once.
+    Totals are also written, as one JSON row.
+    """
+    seen = Observation()
+    outcome = F.when(F.col("status") == "skipped", "skipped").when(F.col("valid"), "valid").otherwise("invalid")
+    documents.observe(seen, *_totals()).withColumn("outcome", outcome).write.mode("overwrite").partitionBy("outcome").parquet(f"{path}/documents")
+    spark = documents.sparkSession
+    kinds = totals(documents).schema
+    summed = spark.createDataFrame([tuple(seen.get[f.name] for f in kinds.fields)], kinds)
+    summed.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    back = spark.read.schema(documents.withColumn("outcome", F.lit("")).schema).parquet(f"{path}/documents")
+    return back, back.filter("outcome = 'invalid'"), summed

@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import small_side, split_join, staged
+from . import bounded
+from .index import HOT_SHARE
 
 K1, B, MAX_EXPANSIONS = 1.2, 0.75, 50
+#: Letters of a term that its deletion neighbourhood looks at: a bound on the entries of a term of any length.
+PREFIX = 8
 
 #: How the columns of a search document are searched: as words, as a whole, as numbers.
 WORDS = ["title", "text", "topic", "place", "wiki_title", "wiki_categories", "wiki_sections", "wiki_bold_terms"]
@@ -45,7 +50,7 @@ def prepared(docs: DataFrame) -> DataFrame:
 def field_tokens(docs: DataFrame, fields: list[str], keep: list[str] | None = None) -> DataFrame:
     """document_id, field, pos, term of the text fields of docs; `keep` columns stay for filters."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields])
-    out = docs.select("document_id", *(keep or []), F.explode(pairs).alias("f"))
+    out = docs.withColumns({f: T.normal(f) for f in fields}).select("document_id", *(keep or []), F.explode(pairs).alias("f"))
     return out.select("document_id", *(keep or []), "f.field", F.posexplode("f.t").alias("pos", "term"))
 
 
@@ -58,9 +63,31 @@ def scores(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
     weighed = found.join(df, ["field", "term"]).join(lengths, ["field", "document_id"]).join(F.broadcast(fields), "field")  # a row for each field
     full = weighed.join(terms, "term")
+    return full.withColumn("part", F.col("boost") * _bm25())
+
+
+def _bm25() -> Column:
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("boost") * idf * F.col("f") / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return full.withColumn("part", part)
+    return idf * F.col("f") / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
+def field_impacts(tokens: DataFrame) -> bounded.Impacts:
+    """BM25 of every term in every field at boost 1, by key `field:term`, with the bounds that `boolean_top` needs; made once."""
+    found = staged(tokens.groupBy("field", "term", "document_id").agg(F.count("*").alias("f")), "field-postings")
+    lengths = staged(found.groupBy("field", "document_id").agg(F.sum("f").alias("len")), "field-lengths")
+    fields = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    df = staged(found.groupBy("field", "term").agg(F.count("*").alias("df")), "field-lexicon")
+    hot = max(1, int((df.agg(F.sum("df")).first()[0] or 0) * HOT_SHARE))
+    weighed = split_join(found, df, ["field", "term"], f"df > {hot}").join(lengths, ["field", "document_id"]).join(F.broadcast(fields), "field")  # a row for each field
+    return bounded.impacts(staged(weighed.select(F.concat_ws(":", "field", "term").alias("key"), "document_id", _bm25().alias("impact")), "field-impacts"))
+
+
+def boolean_top(tables: bounded.Impacts, fields: list[str], queries: DataFrame, mode: str = "or", k: int = 10) -> bounded.Search:
+    """Hits of `boolean` by bounds, for queries that have words; tables: field_impacts of the searched fields."""
+    terms = query_terms(queries)
+    need = terms.groupBy("query_id").agg(F.countDistinct("base").alias("n_terms")).withColumn("mode", F.lit(mode))
+    keys = terms.withColumn("key", F.explode(F.array(*(F.concat(F.lit(f + ":"), F.col("term")) for f in fields))))
+    return bounded.top_k(tables, keys.join(need, "query_id").select("query_id", "key", "base", F.col("boost").alias("weight"), "mode", "n_terms"), k)
 
 
 def top(parts: DataFrame, k: int, need: DataFrame | None = None) -> DataFrame:
@@ -72,10 +99,13 @@ def top(parts: DataFrame, k: int, need: DataFrame | None = None) -> DataFrame:
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "document_id", "score")
 
 
+def _words() -> Column:
+    return F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9]+"), F.lit(0))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, base, term, boost: every word counts, stopwords too, and repeats by their number."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    return queries.select("query_id", F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("boost")).withColumn("base", F.col("term"))
+    return queries.select("query_id", F.explode(_words()).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("boost")).withColumn("base", F.col("term"))
 
 
 def boolean(tokens: DataFrame, queries: DataFrame, mode: str = "or", k: int = 10) -> DataFrame:
@@ -106,40 +136,97 @@ def filtered(docs: DataFrame, exact: Mapping | None = None, ranges: Mapping | No
 
 
 def phrase(tokens: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, document_id, field, hits: consecutive positions within one field."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    wanted = queries.select("query_id", F.size(words).alias("n"), F.posexplode(words).alias("off", "term"))
-    at = tokens.join(wanted, "term").withColumn("start", F.col("pos") - F.col("off"))
-    runs = at.groupBy("query_id", "n", "document_id", "field", "start").agg(F.countDistinct("off").alias("m")).filter("m = n")
-    return runs.groupBy("query_id", "document_id", "field").agg(F.count("*").alias("hits"))
+    """query_id, document_id, field, hits: consecutive positions within one field.
+
+    Only positions of a query's rarest word start a run. Runs without its second rarest word at the right distance go,
+    and the positions that the other words need are looked up in what is left alone. A word that no document has ends
+    its query. tokens should be staged: they are read for the counts and for each of these steps.
+    """
+    here = ["document_id", "field", "pos", "term"]
+    wanted = queries.select("query_id", F.size(_words()).alias("n"), F.posexplode(_words()).alias("off", "term"))
+    words = small_side(staged(wanted.select("term").distinct(), "phrase-words"))
+    counts = tokens.join(words, "term").groupBy("term").agg(F.count("*").alias("c"))
+    ordered = Window.partitionBy("query_id").orderBy("c", "off")  # the words of one query
+    wanted = wanted.join(counts, "term", "left").withColumn("_lost", F.max(F.col("c").isNull()).over(Window.partitionBy("query_id"))).filter("not _lost")
+    wanted = staged(wanted.withColumn("r", F.row_number().over(ordered)).drop("_lost"), "phrase-places")
+    runs = tokens.join(small_side(wanted.filter("r = 1").select("query_id", "n", "off", "term")), "term").select("query_id", "n", "document_id", "field", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
+    runs = staged(runs, "phrase-runs")
+    need = lambda cond: runs.join(wanted.filter(cond).select("query_id", "off", "term"), "query_id").withColumn("pos", F.col("start") + F.col("off"))
+    seconds = small_side(staged(wanted.filter("r = 2").select("term").distinct(), "phrase-seconds"))
+    second = staged(tokens.select(*here).join(seconds, "term", "left_semi").join(need("r = 2"), here).select("query_id", "n", "document_id", "field", "start"), "phrase-pairs")
+    left = second.filter("n > 2").join(wanted.filter("r > 2").select("query_id", "off", "term"), "query_id").withColumn("pos", F.col("start") + F.col("off"))
+    near = tokens.select(*here).join(small_side(staged(second.filter("n > 2").select("document_id", "field").distinct(), "phrase-documents")), ["document_id", "field"], "left_semi")
+    full = near.join(left, here).groupBy("query_id", "n", "document_id", "field", "start").agg(F.count("*").alias("m")).filter("m = n - 2")
+    found = runs.filter("n = 1").union(second.filter("n = 2")).select("query_id", "document_id", "field").union(full.select("query_id", "document_id", "field"))
+    return found.groupBy("query_id", "document_id", "field").agg(F.count("*").alias("hits"))
+
+
+def _within_one(a: Column, b: Column) -> Column:
+    swap = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))
+    places = F.when((F.length(a) > 1) & (F.length(a) == F.length(b)), F.sequence(F.lit(1), F.length(a) - 1))
+    return (F.levenshtein(a, b, 1) >= 0) | F.coalesce(F.exists(places, lambda i: swap(i) == b), F.lit(False))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether optimal string alignment (adjacent swaps count as one edit) of a and b is within 1 or 2 edits."""
-    plain = F.levenshtein(a, b, edits) >= 0
-    swap = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))
-    places = F.when(F.length(a) > 1, F.sequence(F.lit(1), F.length(a) - 1))
-    swapped = F.exists(places, lambda i: (swap(i) == b) if edits == 1 else F.levenshtein(swap(i), b) <= 1)
-    return plain | F.coalesce(swapped, F.lit(False))
+    """Whether optimal string alignment of a and b (an adjacent swap is one edit, its letters have no other) is within 1 or 2 edits."""
+    if edits == 1:
+        return _within_one(a, b)
+    one = lambda x, i: F.substring(x, i, F.lit(1))
+    before, after = (lambda x, i: F.substring(x, F.lit(1), i - 1)), (lambda x, i: F.substring(x, i + 2, F.length(x)))
+
+    def swapped(i: Column, j: Column) -> Column:
+        """Letters i and i + 1 of a are j + 1 and j of b, and one edit at most is beside them."""
+        same = (j > 0) & (one(a, i) == one(b, j + 1)) & (one(a, i + 1) == one(b, j))
+        p, q, s, t = before(a, i), before(b, j), after(a, i), after(b, j)
+        return same & (((p == q) & _within_one(s, t)) | ((s == t) & _within_one(p, q)))
+
+    places = F.when((F.length(a) > 1) & (F.length(b) > 1), F.sequence(F.lit(1), F.length(a) - 1))
+    swap = F.exists(places, lambda i: F.exists(F.array(i - 1, i, i + 1), lambda j: swapped(i, j)))
+    return (F.levenshtein(a, b, 2) >= 0) | F.coalesce(swap, F.lit(False))
+
+
+def deletions(term: Column, edits: int) -> Column:
+    """The first PREFIX letters of a term with up to `edits` of them left out, each text once.
+
+    Two terms within that many edits (an adjacent swap is one) share one of these: what is not edited in both prefixes.
+    """
+    less = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(PREFIX))))).otherwise(F.array().cast("array<string>"))
+    cut = F.substring(term, 1, PREFIX)
+    out = step = F.array(cut)
+    for _ in range(edits):
+        step = F.array_distinct(F.flatten(F.transform(step, less)))
+        out = F.concat(out, step)
+    return F.array_distinct(out)
+
+
+def neighbourhood(vocabulary: DataFrame, edits: int = 1) -> DataFrame:
+    """near, term: the deletion index of a vocabulary (term), to be written once for many searches."""
+    return vocabulary.select(F.explode(deletions(F.col("term"), edits)).alias("near"), "term")
+
+
+def fuzzy_pairs(index: DataFrame, asked: DataFrame, edits: int = 1) -> DataFrame:
+    """base, term: pairs that share a deletion and differ in length by `edits` at most; only these are compared."""
+    near = asked.select("base").distinct().select("base", F.explode(deletions(F.col("base"), edits)).alias("near"))
+    pairs = index.join(near, "near").filter(F.abs(F.length("base") - F.length("term")) <= edits)
+    return pairs.select("base", "term").distinct()
 
 
-def fuzzy_terms(tokens: DataFrame, queries: DataFrame, edits: int = 1) -> DataFrame:
+def fuzzy_terms(tokens: DataFrame, queries: DataFrame, edits: int = 1, index: DataFrame | None = None) -> DataFrame:
     """query_id, base, term, boost: vocabulary terms near each query term; of them the MAX_EXPANSIONS nearest are the feature.
 
-    Query terms meet the distinct vocabulary by length, so that only terms of a fitting length are compared.
+    index: a written `neighbourhood` of the vocabulary for so many edits or more, else it is made of tokens.
     """
     asked = query_terms(queries).select("query_id", "base").distinct()
-    vocabulary = tokens.select("term").distinct()
-    lengths = F.sequence(F.length("base") - edits, F.length("base") + edits)
-    near = vocabulary.withColumn("n", F.length("term")).join(asked.withColumn("n", F.explode(lengths)), "n").drop("n").filter(within(F.col("base"), F.col("term"), edits))
+    index = neighbourhood(tokens.select("term").distinct(), edits) if index is None else index
+    near = fuzzy_pairs(index, asked, edits).filter(within(F.col("base"), F.col("term"), edits))
     dist = F.least(F.levenshtein("base", "term"), F.lit(edits))
-    near = near.withColumn("boost", 1 - dist / F.least(F.length("base"), F.length("term"))).filter("boost > 0")
+    near = near.withColumn("boost", 1 - dist / F.least(F.length("base"), F.length("term"))).filter("boost > 0").join(asked, "base")
     rank = F.row_number().over(Window.partitionBy("query_id", "base").orderBy(F.col("boost").desc(), "term"))
     return near.withColumn("r", rank).filter(F.col("r") <= MAX_EXPANSIONS).select("query_id", "base", "term", "boost")
 
 
-def fuzzy(tokens: DataFrame, queries: DataFrame, edits: int = 1, k: int = 10) -> DataFrame:
-    return top(scores(tokens, fuzzy_terms(tokens, queries, edits)), k)
+def fuzzy(tokens: DataFrame, queries: DataFrame, edits: int = 1, k: int = 10, index: DataFrame | None = None) -> DataFrame:
+    return top(scores(tokens, fuzzy_terms(tokens, queries, edits, index)), k)
 
 
 def overlap_means(overlaps: DataFrame, by: str = "mode") -> DataFrame:

@@ -30,7 +30,7 @@ def postings(docs: DataFrame) -> DataFrame:
     """term, document_id, tf of docs (document_id, text); rows with valid = false stay out."""
     if "valid" in docs.columns:
         docs = docs.filter(~F.col("valid").eqNullSafe(False))
-    return docs.select("document_id", F.explode(T.tokens("text")).alias("term")).groupBy("document_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    return docs.select("document_id", T.normal("text").alias("text")).select("document_id", F.explode(T.tokens("text")).alias("term")).groupBy("document_id", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def lexicon(post: DataFrame) -> DataFrame:
@@ -90,6 +90,7 @@ def stats(index: Index) -> DataFrame:
 
 def parse_queries(queries: DataFrame) -> DataFrame:
     """query_id, mode, term, qtf, n_terms of queries (query_id, text): infix `and` / `or` set the mode, stopwords go."""
+    queries = queries.select("query_id", T.normal("text").alias("text"))
     lower = F.lower(F.trim("text"))
     has = lambda w: lower.rlike(rf"\s+{w}\s+")
     mode = F.when(has("and") & ~has("or"), "and").otherwise("or")

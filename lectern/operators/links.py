@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..sources.shared import staged
 
 #: Pages of one task when a frontier is numbered; it changes the work, not the order.
 BLOCK = 100_000
@@ -25,13 +26,38 @@ def link_rows(pages: DataFrame, site: str) -> DataFrame:
     return seen.select("page_id", "pos", F.explode(rows).alias("r")).select("page_id", "pos", "r.*")
 
 
+def remember(urls: DataFrame, table: str, buckets: int = 64) -> None:
+    """Append urls (url) to the bucketed table of seen ones, which is made at first; its buckets are never dealt anew."""
+    urls.select("url").repartition(buckets, "url").write.bucketBy(buckets, "url").mode("append").format("parquet").saveAsTable(table)
+
+
+def unseen(urls: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """Rows of urls (url and others) that the table of `remember` lacks: only these rows are dealt to the table's buckets."""
+    return urls.repartition(buckets, "url").join(urls.sparkSession.table(table).hint("merge"), "url", "left_anti")
+
+
+def crawl_round(links: DataFrame, table: str, site: str, buckets: int = 64) -> DataFrame:
+    """The frontier of a round: its URLs by turn, which are remembered, so that no later round has them again.
+
+    links: of the pages that the round before has fetched. The table must hold the seed addresses.
+    """
+    found = links.filter("kind <> 'ignored'").groupBy("url").agg(F.min(F.struct("page_id", "pos")).alias("first"))
+    new = staged(_in_turn(unseen(found, table, buckets), site), "frontier")
+    remember(new, table, buckets)
+    return new
+
+
 def next_frontier(links: DataFrame, seen: DataFrame, site: str) -> DataFrame:
     """New URLs with their turn in the round robin over groups: url, crawl_group, group_order, turn; by turn and group_order.
 
     A group's URLs come in the order in which they were first seen. They are numbered within blocks of BLOCK pages and
     then moved on by what the blocks before hold, so that no task sorts a whole group.
     """
-    new = links.filter("kind <> 'ignored'").groupBy("url").agg(F.min(F.struct("page_id", "pos")).alias("first")).join(seen.select("url"), "url", "left_anti")
+    return _in_turn(links.filter("kind <> 'ignored'").groupBy("url").agg(F.min(F.struct("page_id", "pos")).alias("first")).join(seen.select("url"), "url", "left_anti"), site)
+
+
+def _in_turn(new: DataFrame, site: str) -> DataFrame:
+    """next_frontier's columns for new URLs (url, first)."""
     new = new.withColumn("crawl_group", U.classified(F.col("url"), site)["crawl_group"])
     new = new.withColumn("block", F.floor(F.col("first.page_id") / BLOCK))
     held = new.groupBy("crawl_group", "block").agg(F.count("*").alias("n"))

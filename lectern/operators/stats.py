@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,8 +15,9 @@ def group_stats(docs: DataFrame) -> DataFrame:
     return docs.withColumn("w", T.word_count("text")).groupBy("crawl_group").agg(F.count("*").alias("documents"), F.sum("w").alias("words"), F.round(F.avg("w"), 4).alias("avg_words"))
 
 
-def token_stats(docs: DataFrame) -> DataFrame:
-    d = docs.select(F.size(T.tokens("text")).alias("n"), F.length("text").alias("c"))
+def token_stats(docs: DataFrame, counted: Callable[[str], Column] = lambda c: F.size(T.tokens(c))) -> DataFrame:
+    """One row of token statistics; `counted` gives the number of tokens of a text column, such as T.bpe_count(path)."""
+    d = docs.select(counted("text").cast("int").alias("n"), F.length("text").alias("c"))
     return d.agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.round(F.avg("n"), 2).alias("avg_tokens"), F.min("n").alias("min_tokens"), F.max("n").alias("max_tokens"), F.sum("c").alias("characters"))
 
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import entities, extract, fields, index, links, stats, stored, wiki
 from ..sources.io import nested_postings
-from ..sources.shared import new_path
+from ..sources.shared import new_path, staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -239,6 +239,16 @@ def field_bool_or(spark, d):
     return fields.boolean(_fields(spark, d), _asked(spark, d))
 
 
+@query(_bm25_sql(_qt_sql(ASKED)))
+def field_top_k(spark, d):
+    return fields.boolean_top(fields.field_impacts(_fields(spark, d)), ["title", "text"], _asked(spark, d)).hits
+
+
+@query(_bm25_sql(_qt_sql(_fixed_sql("worthless trash")), need=True))
+def field_top_k_and(spark, d):
+    return fields.boolean_top(fields.field_impacts(_fields(spark, d)), ["title", "text"], _fixed(spark, d, "worthless trash"), "and").hits
+
+
 @query(_bm25_sql(_qt_sql(_fixed_sql("worthless trash")), need=True))
 def field_bool_and(spark, d):
     return fields.boolean(_fields(spark, d), _fixed(spark, d, "worthless trash"), "and")
@@ -251,7 +261,7 @@ def field_filtered(spark, d):
 
 @query(f"WITH {FIELD}, {ASKED}, q AS (SELECT query_id, w, len(w) AS n FROM (SELECT query_id, regexp_extract_all(lower(text), '[A-Za-z0-9]+') AS w FROM asked)), o AS (SELECT query_id, n, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS off FROM q), r AS (SELECT query_id, n, document_id, field, pos - off AS start FROM ft JOIN o USING (term) GROUP BY ALL HAVING count(DISTINCT off) = n) SELECT query_id, document_id, field, count(*) AS hits FROM r GROUP BY ALL")
 def phrase_search(spark, d):
-    return fields.phrase(_fields(spark, d), _asked(spark, d))
+    return fields.phrase(staged(_fields(spark, d), "tokens"), _asked(spark, d))
 
 
 @query(f"WITH {FIELD}, v AS (SELECT DISTINCT term FROM ft) SELECT 0::BIGINT AS query_id, 'trsh' AS base, term, 1 - levenshtein('trsh', term)::DOUBLE / least(4, length(term)) AS boost FROM v WHERE levenshtein('trsh', term) <= 1")
@@ -684,6 +694,11 @@ def extraction_totals(spark, d):
     return extract.totals(extract.extract_documents(_made_pages(spark, d), SITE))
 
 
+@query(SQL["extraction_totals"])
+def extraction_split(spark, d):
+    return extract.write_split(extract.extract_documents(_made_pages(spark, d), SITE), new_path(spark, "split"))[2]
+
+
 @query(f"""WITH {EXTRACTED}, e AS (SELECT unnest([{{'dimension': 'status', 'value': status}}, {{'dimension': 'crawl_group', 'value': crawl_group}}, {{'dimension': 'document_type', 'value': document_type}}, {{'dimension': 'skip_reason', 'value': skip_reason}}, {{'dimension': 'valid', 'value': valid::VARCHAR}}, {{'dimension': 'error', 'value': CASE WHEN status = 'extracted' AND NOT valid THEN 'text_too_short' END}}]) AS e, coalesce(text_length, 0) AS c FROM px)
 SELECT e.dimension AS dimension, e.value AS value, count(*) AS documents, sum(CASE WHEN e.dimension = 'error' THEN 0 ELSE c END)::BIGINT AS characters FROM e WHERE e.value IS NOT NULL GROUP BY ALL""")
 def extraction_summary(spark, d):

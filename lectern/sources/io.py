@@ -27,13 +27,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_split(documents: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Write documents once by validity; the valid and invalid ones are read from there."""
-    documents.write.mode("overwrite").partitionBy("valid").parquet(path)
-    back = documents.sparkSession.read.parquet(path)
-    return back.filter("valid"), back.filter("not valid")
-
-
 def nested_postings(postings: DataFrame, block: Column) -> DataFrame:
     """term, block, documents and postings array, for export: a term has a row for each block of documents.
 
