@@ -87,6 +87,20 @@ def html_lines(html: str, substitutions=()) -> list[str]:
     return list(_changes(map(_tidy, unescape(flat).replace("\r", "\n").split("\n"))))
 
 
+def page_lines(pages: DataFrame) -> DataFrame:
+    """page_id, pos, line: the visible lines of each page (page_id, html); a page without any has no row."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        for frame in batches:
+            found = [(i, k, x) for i, html in zip(frame["page_id"], frame["html"], strict=True) for k, x in enumerate(html_lines(html or ""))]
+            yield pd.DataFrame(found, columns=["page_id", "pos", "line"])
+
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id {kind}, pos int, line string")
+
+
 def _any(line: str, patterns) -> bool:
     return any(re.search(p, line, re.I) for p in patterns)
 

@@ -68,6 +68,19 @@ def _in_turn(new: DataFrame, site: str) -> DataFrame:
     return out.select("url", "crawl_group", order.cast("int").alias("group_order"), (F.col("before") + F.col("place")).cast("long").alias("turn"))
 
 
+def own_links(pages: DataFrame) -> DataFrame:
+    """page_id, pos, url, internal of each link of pages (page_id, url, html) of any host; internal: of the page's own host."""
+    hrefs = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("pos", "href"))
+    out = hrefs.withColumn("url", U.canonical(F.col("href"), F.col("base"))).filter("url is not null")
+    return out.select("page_id", "pos", "url", (U.host_of(F.col("url")) == U.host_of(U.canonical(F.col("base"), F.col("base")))).alias("internal"))
+
+
+def most_linked(found: DataFrame) -> DataFrame:
+    """url, links, pages of own_links; a page's links to one address are counted before pages are."""
+    by_page = found.groupBy("url", "page_id").agg(F.count("*").alias("n"))
+    return by_page.groupBy("url").agg(F.sum("n").alias("links"), F.count("*").alias("pages"))
+
+
 def page_totals(links: DataFrame, pages: DataFrame) -> DataFrame:
     """page_id, links_total, eligible, derived, ignored of every page; links_total counts each link with an address."""
     count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)

@@ -504,6 +504,42 @@ def wiki_top_refs(spark, d):
     return wiki.top_articles(_wiki(spark, d), "reference_count")
 
 
+#: What words become in wiki markup, by their place in the document.
+MARKUP = ["[[Category:@]]", "\n== @ ==\n", "{{@|x=1}}", "'''@'''", "[[@]]", "[[@|label]]", "[http://x.example/@ t]", "&lt;ref&gt;@&lt;/ref&gt;", "[[File:@]]", "&lt;!-- @ --&gt;", "@"]
+
+
+def _markup(spark, d):
+    """Documents as wiki pages whose words stand in markup by turns, so that lists have repeats, in other case as well."""
+    words = F.filter(T.tokens("text"), lambda t: t.rlike("^[a-z]+$"))
+    kinds = F.array(*map(F.lit, MARKUP))
+    piece = lambda w, i: F.replace(F.get(kinds, i % len(MARKUP)), F.lit("@"), F.when(i % 2 == 1, F.initcap(w)).otherwise(w))
+    body, i = F.array_join(F.transform(words, piece), " "), F.col("doc_id").cast("string")
+    redirect = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('<redirect title="Doc '), i, F.lit(' &amp; x" />'))).otherwise("")
+    space = F.when(F.col("doc_id") % 7 == 3, "4").otherwise("0")
+    page = F.concat(F.lit("<page>\n<title>Doc_"), i, F.lit(" &amp; co</title>\n<ns>"), space, F.lit("</ns>\n<id>"), i, F.lit("</id>"), redirect, F.lit("<revision><id>9</id><text bytes='1'>"), body, F.lit("</text></revision></page>"))
+    return _t(spark, d, "documents").select(page.alias("page"))
+
+
+def _markup_sql():
+    held = lambda k: f"list_transform(list_filter(z, lambda x: x.i % {len(MARKUP)} = {k}), lambda x: x.w)"
+    columns = ", ".join(f"{held(k)} AS h{k}" for k in range(8))
+    # Of the words that agree without regard to case, the first as it is written.
+    first = lambda k: f"list_filter(h{k}, lambda x, j: list_position(list_transform(h{k}, lambda y: lower(y)), lower(x)) = j)"
+    joined = lambda x: f"array_to_string({x}, '|')"
+    return f"""WITH mt AS (SELECT doc_id, list_filter({TOK}, lambda t: regexp_matches(t, '^[a-z]+$')) AS t FROM documents),
+mz AS (SELECT doc_id, list_transform(t, lambda w, j: {{'i': j - 1, 'w': CASE WHEN (j - 1) % 2 = 1 THEN upper(w[1]) || w[2:] ELSE w END}}) AS z FROM mt WHERE doc_id % 7 <> 3), mh AS (SELECT doc_id, {columns} FROM mz),
+mf AS (SELECT *, {", ".join(f"{first(k)} AS f{k}" for k in range(4))} FROM mh)
+SELECT doc_id AS page_id, 'Doc_' || doc_id || ' & co' AS title, 'doc ' || doc_id || ' & co' AS join_key, CASE WHEN doc_id % 5 = 0 THEN 'Doc ' || doc_id || ' & x' END AS redirect, {joined("f0")} AS categories, {joined("f1")} AS sections, {joined("f2")} AS templates, {joined(f"f3[1:{wiki.BOLD}]")} AS bold_terms,
+len(f0)::INT AS category_count, len(f1)::INT AS section_count, len(f2)::INT AS template_count, len(list_distinct(list_transform(list_concat(h4, h5), lambda x: lower(x))))::INT AS internal_link_count, len(list_distinct(h6))::INT AS external_link_count, len(h7)::INT AS reference_count FROM mf"""
+
+
+@query(_markup_sql())
+def wiki_markup(spark, d):
+    out = wiki.parse(_markup(spark, d))
+    lists = {c: F.array_join(c, "|") for c in ("categories", "sections", "templates", "bold_terms")}
+    return out.withColumns(lists).select("page_id", "title", "join_key", "redirect", "categories", "sections", "templates", "bold_terms", "category_count", "section_count", "template_count", "internal_link_count", "external_link_count", "reference_count")
+
+
 @query(r"""WITH m AS (SELECT doc_id, source, regexp_replace(text, '[&<>]', ' ', 'g') AS c FROM documents)
 SELECT doc_id AS page_id, 'Doc_' || doc_id AS title, 'doc ' || doc_id AS join_key, 0 AS namespace, NULL::VARCHAR AS redirect, source AS categories, 'A' AS sections, 'Infobox x' AS templates, 'Infobox x' AS infobox_type, 'b' AS bold_terms,
   1 AS category_count, 1 AS section_count, 1 AS template_count, 1 AS internal_link_count, 1 AS external_link_count, 1 AS reference_count, (86 + length(source) + length(c))::INT AS text_length,
@@ -644,6 +680,40 @@ def url_groups(spark, d):
     return found.groupBy("url", "crawl_group").agg(F.count("*").alias("links"))
 
 
+OWN_LINKS = r"""oh AS (SELECT page_id, url AS base, unnest(x) AS href, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS x FROM pages)),
+oa AS (SELECT page_id, pos, lower(regexp_extract(base, '^https?://([^/?#:]+)', 1)) AS host, trim(href) AS href FROM oh),
+ol AS (SELECT page_id, pos::INT AS pos, 'https://' || host || regexp_replace(regexp_replace(href, '[?#].*$', ''), '/+', '/', 'g') AS url, true AS internal FROM oa WHERE href LIKE '/%' AND href NOT LIKE '//%')"""
+
+
+@query(f"WITH {OWN_LINKS} SELECT page_id, pos, url, internal FROM ol")
+def own_links(spark, d):
+    return links.own_links(_t(spark, d, "pages"))
+
+
+@query(f"WITH {OWN_LINKS} SELECT url, count(*) AS links, count(DISTINCT page_id) AS pages FROM ol GROUP BY url")
+def most_linked(spark, d):
+    return links.most_linked(links.own_links(_t(spark, d, "pages")))
+
+
+def _lines_sql():
+    """Visible lines of the pages' own markup: comments, hidden elements and blocks break lines, and references are decoded."""
+    flat = "regexp_replace(html, '(?s)<!--.*?-->', chr(10), 'g')"
+    for e in ("script", "style", "noscript", "iframe", "svg", "canvas", "form", "select", "button"):
+        flat = rf"regexp_replace({flat}, '(?is)<{e}\b[^>]*>.*?</{e}\s*>', chr(10), 'g')"
+    flat = rf"regexp_replace({flat}, '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|blockquote|hr)\b[^>]*>', chr(10), 'g')"
+    flat = f"regexp_replace({flat}, '<[^>]+>', '', 'g')"
+    for name, by in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        flat = f"replace({flat}, '&{name};', '{by}')"
+    return rf"""pl AS (SELECT page_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT page_id, string_split(replace({flat}, chr(13), chr(10)), chr(10)) AS x FROM pages)),
+pt AS (SELECT page_id, i, trim(regexp_replace(line, '[ \t\f\v]+', ' ', 'g')) AS line FROM pl), pn AS (SELECT *, lag(line) OVER (PARTITION BY page_id ORDER BY i) AS before FROM pt WHERE line <> '')
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, line FROM pn WHERE before IS DISTINCT FROM line"""
+
+
+@query(f"WITH {_lines_sql()}")
+def own_lines(spark, d):
+    return extract.page_lines(_t(spark, d, "pages"))
+
+
 PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g'))"
 #: A page of each group, of one that is no document, and of one elsewhere: path and body around the page's words.
 MADE = [
