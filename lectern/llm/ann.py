@@ -1,9 +1,7 @@
-"""Approximate nearest neighbours with balanced posting lists: replicated boundary vectors, a centroid graph and distance-ratio pruning."""
+"""Approximate nearest neighbours with balanced posting lists: replicated boundary vectors, a centroid graph and pruning by distance ratio."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,13 +9,15 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Vectors that the centroids are fitted on, those aimed at in a list, and the most lists.
-SAMPLE, PER_LIST, MAX_LISTS = 20_000, 100, 1_000
-#: Most copies of a vector with few lists (they grow with the lists), and how much farther than the nearest centroid the others may be.
+SAMPLE, PER_LIST, MAX_LISTS = 20_000, 50, 4_096
+#: Most copies of a vector, and how much farther than the nearest centroid the others may be.
 COPIES, COPY_RATIO = 4, 1.10
-#: Most lists that a query reads with few lists, the share of them with many, and how much farther than the nearest centroid they may be.
-PROBES, PROBE_SHARE, PROBE_RATIO = 64, 0.2, 1.35
+#: Queries by which the lists to read are chosen, their nearest rows that must lie in these, and the share of them that the ratio keeps.
+TRIALS, RECALL, KEPT = 256, 0.94, 0.998
+#: Vectors find their lists by a matrix product up to so many lists, and in the graph beyond; queries always use the graph.
+PRODUCT_LISTS = 2_048
 #: Edges of a centroid in the graph, and the beam of its search.
-EDGES, BEAM = 24, 96
+EDGES, BEAM = 24, 32
 #: Vectors of a posting list that one task holds at once.
 BLOCK = 4_096
 
@@ -93,35 +93,91 @@ def search_graph(x: np.ndarray, c: np.ndarray, links: np.ndarray, beam: int = BE
     return ids, np.sqrt(np.maximum(dist + (x * x).sum(1)[:, None], 0))
 
 
-def copies(lists: int) -> int:
-    """Most copies of a vector with so many lists."""
-    return max(COPIES, round(math.log2(lists) / 2))
-
-
-def probes(lists: int) -> int:
-    """Most lists that a query reads of so many."""
-    return max(PROBES, math.ceil(PROBE_SHARE * lists))
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((c * c).sum(1)[None] - 2 * x @ c.T + (x * x).sum(1)[:, None], 0))
 
 
-def _lists(model, rows: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and list of each choice: the nearest `most` lists within `ratio`. Where these are a good part of all, all distances are computed."""
+def _lists(model, rows: np.ndarray, most: int, ratio: float, walk: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Row and list of each choice: the nearest `most` lists within `ratio`, found in the graph where there are many lists or with `walk`."""
     c, links = model
     owner, chosen = [], []
-    beam = max(BEAM, most + most // 2)
     for at in range(0, len(rows), 1024):
         x = rows[at : at + 1024]
-        if 4 * beam >= len(c):
-            dist = np.sqrt(np.maximum((c * c).sum(1)[None] - 2 * x @ c.T + (x * x).sum(1)[:, None], 0))
+        if walk or len(c) > PRODUCT_LISTS:
+            ids, dist = (v[:, :most] for v in search_graph(x, c, links, max(BEAM, 2 * most)))
+        else:
+            dist = _distances(x, c)
             ids = dist.argsort(1, kind="stable")[:, :most]
             dist = np.take_along_axis(dist, ids, 1)
-        else:
-            ids, dist = (v[:, :most] for v in search_graph(x, c, links, beam))
         r, k = np.nonzero(np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-9))
         owner.append(r + at)
         chosen.append(ids[r, k])
     return np.concatenate(owner), np.concatenate(chosen)
 
 
+def _trial(shared, k: int):
+    """Of a part of the postings: the rows that can be among the k nearest of a trial query, with their lists."""
+    def run(batches):
+        import pandas as pd
+
+        ids, x = shared.value
+        best = None
+        for batch in (b for b in batches if len(b)):
+            v = _unit(_matrix(batch.column("embedding")))
+            near = x @ v.T
+            vec, place = batch.column("vec_id").to_numpy(), batch.column("list").to_numpy()
+            near[ids[:, None] == vec[None]] = -np.inf
+            n = min(near.shape[1], k * COPIES)
+            top = np.argpartition(-near, n - 1, 1)[:, :n]
+            rows = pd.DataFrame({"query": np.repeat(np.arange(len(x)), n), "vec_id": vec[top].ravel(), "list": place[top].ravel(), "score": np.take_along_axis(near, top, 1).ravel()})
+            best = rows if best is None else pd.concat([best, rows])
+            best = best.sort_values(["query", "score"], ascending=[True, False]).groupby("query").head(k * COPIES)
+        if best is not None:
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_pandas(best[best.score > -np.inf], preserve_index=False)
+
+    return run
+
+
+def reading(model, trials: np.ndarray, ids: np.ndarray, postings: DataFrame, k: int) -> tuple[int, float, dict]:
+    """How many lists a query reads, and within which distance ratio, for RECALL of the k nearest rows of the trial queries.
+
+    The nearest are told by one pass over all postings, so the choice holds at every number of rows and for any shape of
+    the data. The third item has what was measured: recall, lists, and copies a vector.
+    """
+    import pandas as pd
+
+    spark, (c, _) = postings.sparkSession, model
+    shared = spark.sparkContext.broadcast((ids, trials))
+    found = postings.mapInArrow(_trial(shared, k), "query long, vec_id long, list int, score double")
+    nearest = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "list"))
+    found = found.withColumn("n", nearest).filter(F.col("n") <= k * COPIES).drop("n").toPandas()  # TRIALS * k * COPIES rows at most
+    if found.empty:
+        return len(c), np.inf, {"recall": 1.0, "lists": len(c), "read": float(len(c))}
+    found = found.drop_duplicates(["query", "vec_id", "list"])
+    order = found.drop_duplicates(["query", "vec_id"]).sort_values(["query", "score", "vec_id"], ascending=[True, False, True]).groupby("query").head(k)[["query", "vec_id"]]
+    found = found.merge(order, on=["query", "vec_id"])
+    dist = _distances(trials, c)
+    rank = dist.argsort(1, kind="stable").argsort(1, kind="stable")
+    q, at = found["query"].to_numpy(), found["list"].to_numpy()
+    found["rank"], found["ratio"] = rank[q, at], dist[q, at] / np.maximum(dist.min(1), 1e-12)[q]
+    best = found.groupby(["query", "vec_id"]).min()
+    most = int(np.quantile(best["rank"], RECALL, method="higher")) + 1
+    while True:
+        # The walk may miss a near list: what counts is the recall of the lists that it finds.
+        at, lists = _lists(model, trials, most, np.inf, walk=True)
+        pairs = pd.MultiIndex.from_arrays([at, lists])
+        held = found[pd.MultiIndex.from_frame(found[["query", "list"]]).isin(pairs)].groupby(["query", "vec_id"]).ratio.min()
+        recall = len(held) / len(best)
+        if recall >= RECALL or most >= len(c):
+            break
+        most = min(len(c), most + 1 + most // 10)
+    ratio = float(np.quantile(held, KEPT, method="higher"))
+    read = (dist[at, lists] <= ratio * dist.min(1)[at] + 1e-9).sum() / len(trials)
+    return most, ratio, {"recall": float((held <= ratio + 1e-9).sum() / len(best)), "lists": len(c), "read": float(read)}
+
+
 def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Cosines of pairs of rows in double precision; equal rows give equal bits, wherever they stand."""
     return (q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
@@ -135,13 +191,13 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _assign(shared, most: int, ratio: float):
+def _assign(shared, most: int, ratio: float, walk: bool = False):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             if len(batch):
-                row, chosen = _lists(shared.value, _unit(_matrix(batch.column("embedding"))), most, ratio)
+                row, chosen = _lists(shared.value, _unit(_matrix(batch.column("embedding"))), most, ratio, walk)
                 picked = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.astype(np.int32)), *picked.columns], names=["list", *picked.schema.names])
 
@@ -177,11 +233,11 @@ def _best(k: int):
 def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5) -> DataFrame:
     """The k nearest rows found for each row of vectors (vec_id, embedding) that `queries` selects: query_id, rank, vec_id, score.
 
-    Centroids are fitted on at most SAMPLE vectors. A vector is in its nearest list and in others nearly as near, and
-    a query reads the lists nearest to it; both numbers grow with the number of lists. A query that finds fewer than
-    k vectors there reads all lists. Of equal vectors only the
-    k + 1 smallest ids are kept as postings: no other can be among the k nearest of any query. Lists are dealt
-    in blocks of about BLOCK vectors, so that a crowded list is no single task.
+    Centroids are fitted on at most SAMPLE vectors. A vector is in its nearest list and in up to COPIES nearly as near.
+    A query walks the graph of centroids to the lists nearest to it; how many it reads, and up to which distance, is
+    measured on TRIALS vectors against all rows (`reading`). A query that finds fewer than k vectors there reads all
+    lists. Of equal vectors only the k + 1 smallest ids are kept as postings: no other can be among the k nearest of
+    any query. Lists are dealt in blocks of about BLOCK vectors, so that a crowded list is no single task.
 
     Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no
     part, nor do rows without vec_id. Of rows that repeat a vec_id and vector one takes part.
@@ -196,20 +252,25 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5) ->
         return spark.createDataFrame([], out)
     rows = rows.filter(F.size("embedding") == sizes[0]).dropDuplicates(["vec_id", "embedding"])
     share = min(1.0, SAMPLE / sizes[1])
-    sample = rows.select("embedding", F.xxhash64("vec_id").alias("h")).filter(F.pmod("h", F.lit(1_000_000)) <= int(share * 1_000_000)).orderBy("h").limit(SAMPLE)
-    x = np.unique(_unit(_matrix(sample.select("embedding").toArrow().column(0))), axis=0) if sizes[1] else np.zeros((0, 0))
-    if not len(x):
-        x = _unit(_matrix(rows.select("embedding").limit(1).toArrow().column(0)))
+    sample = rows.select("embedding", "vec_id", F.xxhash64("vec_id").alias("h")).filter(F.pmod("h", F.lit(1_000_000)) <= int(share * 1_000_000)).orderBy("h").limit(SAMPLE)
+    drawn = sample.select("embedding", "vec_id").toArrow()
+    if not len(drawn):
+        drawn = rows.select("embedding", "vec_id").limit(1).toArrow()
+    every = _unit(_matrix(drawn.column(0)))
+    tried = np.random.default_rng(11).permutation(len(every))[:TRIALS]
+    # Vectors that the centroids are fitted on lie nearer to them than others do, so the trial ones stay out where many are drawn.
+    x = np.unique(np.delete(every, tried, 0) if len(every) > 4 * TRIALS else every, axis=0)
     c = centroids(x, max(1, min(MAX_LISTS, round(sizes[1] / PER_LIST), len(x) // 4)))
     model = spark.sparkContext.broadcast((c, graph(c)))
 
     first = Window.partitionBy("embedding").orderBy("vec_id")
     kept = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).drop("n")
     schema = "list int, vec_id long, embedding array<double>"
-    postings = staged(kept.mapInArrow(_assign(model, copies(len(c)), COPY_RATIO), schema), "postings")
+    postings = staged(kept.mapInArrow(_assign(model, COPIES, COPY_RATIO), schema), "postings")
+    most, ratio, _ = reading(model.value, every[tried], drawn.column(1).to_numpy()[tried], postings, k)
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # at most MAX_LISTS rows
     asked = rows.filter(queries)
-    near = asked.mapInArrow(_assign(model, probes(len(c)), PROBE_RATIO), schema).join(F.broadcast(blocks), "list")
+    near = asked.mapInArrow(_assign(model, most, ratio, walk=True), schema).join(F.broadcast(blocks), "list")
     near = near.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     postings = postings.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
 

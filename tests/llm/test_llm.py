@@ -258,6 +258,33 @@ def test_nearest_with_many_lists(spark, monkeypatch):
     assert hits / (5 * len(asked)) >= 0.9
 
 
+@pytest.mark.parametrize("shape", ["random", "clustered"])
+def test_nearest_reads_what_recall_needs(spark, monkeypatch, shape):
+    """Queries walk the graph; how much they read follows from the data: little where vectors lie in clusters."""
+    measured, reading = [], ann.reading
+
+    def measure(model, trials, ids, postings, k):
+        out = reading(model, trials, ids, postings, k)
+        size = np.bincount([r.list for r in postings.select("list").collect()], minlength=out[2]["lists"])
+        measured.append(out[2] | {"copies": size.sum() / 8000, "scanned": out[2]["read"] * size.mean() / 8000})
+        return out
+
+    monkeypatch.setattr(ann, "reading", measure)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(200, 32))
+    x = rng.normal(size=(8000, 32)) * (0.3 if shape == "clustered" else 1) + (centres[rng.integers(0, 200, 8000)] if shape == "clustered" else 0)
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 8000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:5].tolist()))
+    print(shape, measured, hits / 800)
+    assert hits / 800 >= 0.9 and measured[0]["copies"] <= 4
+    assert measured[0]["scanned"] < (0.05 if shape == "clustered" else 0.6)
+
+
 def test_html(spark):
     page = """<html><head><title>no</title></head><body><nav><a>menu</a></nav><div class="cookie notice">no</div><article><h1>Title &amp; more</h1>
       <p>First   <b>bold</b> text<p>Second&nbsp;one</p><script>if (a < b) no()</script><ul><li>x<li>y</ul><div class="comments"><p>no</p></div></article><aside>no</aside><footer>no</footer>"""
