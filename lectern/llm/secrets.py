@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_side, staged, texts
@@ -17,24 +17,36 @@ BARE = r"[A-Za-z0-9+/_-]{20,}"
 MAX_OWNERS, MAX_REPOSITORIES = 2, 20
 
 
-def _spans(kind: str, order: int, pattern: str, value, keep):
-    """array<struct<start,ord,kind,end,value>> of one kind. Positions come from the lengths of what stands between matches."""
+KINDS = ["assign", "access", "hex", "bare"]
+
+
+def _hits(order: int, pattern: str, value, keep):
+    """array<struct<ord,i,gap,len,value,keep>> of one kind: its matches in their order, each with the length of the text before it."""
     whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    between = F.split("text", pattern, -1)
     values = F.regexp_extract_all("text", F.lit(pattern), F.lit(value))
-    empty = F.expr("cast(array() as array<struct<start:int,ord:int,kind:string,end:int,value:string>>)")
-    pairs = F.arrays_zip(whole.alias("m"), F.transform(between, lambda x: F.length(x)).alias("b"), values.alias("v"))
-    entry = lambda at, x: F.struct((at + x["b"]).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), (at + x["b"] + F.length(x["m"])).alias("end"), x["v"].alias("value"))
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["b"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNotNull() & keep(x["m"], x["v"]), F.concat(a["out"], F.array(entry(a["at"], x)))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.col("text").rlike(pattern), walked).otherwise(empty)
+    gaps = F.transform(F.split("text", pattern, -1), lambda x: F.length(x))
+    pairs = F.filter(F.arrays_zip(whole.alias("m"), gaps.alias("b"), values.alias("v")), lambda x: x["m"].isNotNull())
+    entry = lambda x, i: F.struct(F.lit(order).alias("ord"), i.alias("i"), x["b"].alias("gap"), F.length(x["m"]).alias("len"), x["v"].alias("value"), keep(x["m"], x["v"]).alias("keep"))
+    return F.when(F.col("text").rlike(pattern), F.transform(pairs, entry)).otherwise(F.expr("cast(array() as array<struct<ord:int,i:int,gap:int,len:int,value:string,keep:boolean>>)"))
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """_row, _repo, _owner, start, ord, kind, end, value of the hits of found that count; bare ones only beside the base spans.
+
+    Matches are rows here: their places are running sums over their text, and overlaps are told by the furthest end
+    before and the next start after, so that the work follows the number of matches, however many a text has.
+    """
+    rows = found.filter(F.size("hits") > 0).select("_row", "_repo", "_owner", F.explode("hits").alias("h")).select("_row", "_repo", "_owner", "h.*").repartition("_row")
+    end = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("_row", "ord").orderBy("i")).cast("int")
+    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("len")).filter("keep")
+    # A frame that runs to the end is summed anew for each row, so the next start comes from the reverse order.
+    base, text, seen = F.col("ord") < 3, Window.partitionBy("_row"), (Window.unboundedPreceding, -1)
+    before = F.max(F.when(base, F.col("end"))).over(text.orderBy("start", "ord").rowsBetween(*seen))
+    after = F.min(F.when(base, F.col("start"))).over(text.orderBy(F.desc("start"), F.desc("ord")).rowsBetween(*seen))
+    free = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (after.isNull() | (after >= F.col("end")))
+    rows = rows.withColumn("_ok", base | free).filter("_ok")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("ord") + 1)
+    return rows.select("_row", "_repo", "_owner", "start", "ord", kind.alias("kind"), "end", "value")
 
 
 def _joined(spans):
@@ -54,26 +66,19 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") ->
     repository); positions are code points.
     """
     cols = texts(docs.select("doc_id", "text", F.col(repository).cast("string").alias("_repo"), F.col(owner).cast("string").alias("_owner")))
-    found = cols.select(
-        "doc_id",
-        "_repo",
-        "_owner",
-        _spans("assign", 0, ASSIGN, 2, lambda m, v: F.length(v) >= 12).alias("a"),
-        F.when(F.contains("text", F.lit("AKIA")), _spans("access", 1, ACCESS, 0, lambda m, v: F.lit(True))).alias("k"),
-        _spans("hex", 2, HEX, 0, lambda m, v: F.lit(True)).alias("x"),
-        _spans("bare", 3, BARE, 0, lambda m, v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")).alias("b"),
+    hits = F.concat(
+        _hits(0, ASSIGN, 2, lambda m, v: F.length(v) >= 12),
+        F.coalesce(F.when(F.contains("text", F.lit("AKIA")), _hits(1, ACCESS, 0, lambda m, v: F.lit(True))), F.expr("cast(array() as array<struct<ord:int,i:int,gap:int,len:int,value:string,keep:boolean>>)")),
+        _hits(2, HEX, 0, lambda m, v: F.lit(True)),
+        _hits(3, BARE, 0, lambda m, v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")),
     )
-    base = F.array_sort(F.concat("a", F.coalesce("k", F.slice("a", 1, 0)), "x"))
-    found = found.withColumn("base", base)
-    bare = F.filter("b", lambda y: ~F.exists("base", lambda z: (z["start"] < y["end"]) & (y["start"] < z["end"])))
-    found = staged(found.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "_repo", "_owner", "base", bare.alias("bare")), "secret-candidates")
-
-    values = found.select("_row", F.coalesce("_repo", F.lit("")).alias("_repo"), F.coalesce("_owner", F.lit("")).alias("_owner"), F.explode(F.concat("base", "bare")).alias("s")).withColumn("_key", F.sha2("s.value", 256))
+    found = staged(cols.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.coalesce("_repo", F.lit("")).alias("_repo"), F.coalesce("_owner", F.lit("")).alias("_owner"), hits.alias("hits")), "secret-candidates")
+    values = staged(_placed(found).withColumn("_key", F.sha2("value", 256)), "secret-spans")
     owners = values.select("_key", "_owner").distinct().groupBy("_key").agg(F.count("*").alias("owners"), F.lit(0).cast("long").alias("repos"))
     repos = values.select("_key", "_repo").distinct().groupBy("_key").agg(F.lit(0).cast("long").alias("owners"), F.count("*").alias("repos"))
     copied = owners.union(repos).groupBy("_key").agg(F.max("owners").alias("owners"), F.max("repos").alias("repos")).filter((F.col("owners") > MAX_OWNERS) | (F.col("repos") > MAX_REPOSITORIES))
     copied = small_side(staged(copied.select("_key", F.lit(True).alias("example")), "copied-values"))
-    judged = values.join(copied, "_key", "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.ord", "s.kind", "s.end", "s.value", F.coalesce("example", F.lit(False)).alias("example")))).alias("all"))
+    judged = values.join(copied, "_key", "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "kind", "end", "value", F.coalesce("example", F.lit(False)).alias("example")))).alias("all"))
     none = F.expr("cast(array() as array<struct<start:int,ord:int,kind:string,end:int,value:string,example:boolean>>)")
     out = found.select("_row", "doc_id").join(judged, "_row", "left").withColumn("all", F.coalesce("all", none))
     return out.select("doc_id", F.filter("all", lambda s: s["ord"] < 3).alias("base"), F.filter("all", lambda s: (s["ord"] < 3) | ~s["example"]).alias("spans"))

@@ -362,6 +362,19 @@ def test_secrets_keep_base_spans(spark):
     assert got[9].n_assign == 0 and got[9].spans.startswith("bare:")
 
 
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    import re
+    import time
+
+    one = "token=abcdefghijkl%05d Zz0Zz0Zz0Zz0Zz0Zz0Zz%05d 0123456789abcdef%04d x "
+    text = "é" + "".join(one % (i, i, i % 10_000) for i in range(20_000))
+    began = time.time()
+    row = secrets.digest(secrets.scan(spark.createDataFrame([(1, text, "s"), (2, "none", "s")], "doc_id long, text string, source string"))).filter("doc_id = 1").first()
+    assert (row.n_assign, row.n_access, row.n_hex) == (20_000, 0, 20_000) and time.time() - began < 60
+    want = [f"assign:{m.start()}:{m.end()}" for m in re.finditer("token=[a-z0-9]+", text)] + [f"hex:{m.start()}:{m.end()}" for m in re.finditer("(?<= )[0-9a-f]{20}(?= )", text)] + [f"bare:{m.start()}:{m.end()}" for m in re.finditer("Zz0[A-Za-z0-9]+", text)]
+    assert row.spans == ",".join(sorted(want, key=lambda x: int(x.split(":")[1])))
+
+
 def test_model_learns(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice([("red", "apple"), ("green", "pear")])[k % 2] for k in range(40))) for i in range(400)]
