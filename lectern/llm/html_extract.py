@@ -5,16 +5,18 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BASE, Words, mix, slices, small_side, staged
+from .common import _BASE, Words, mix, numbered, slices, small_side, staged
 
 #: Words of a repeated run at least, and distinct pages of a host that must have it.
 RUN, MIN_PAGES = 5, 3
 #: Words of a repeated run in a main part at least: sentences that articles have in common are shorter. A main part of
 #: which more than MOST_PERCENT would go is a copy of an article rather than boilerplate, and stays whole.
 MAIN_RUN, MOST_PERCENT = 25, 50
+#: Suffixes of an array that one task compares with their neighbours.
+BLOCK = 4_096
 #: Bits of the table of repeated anchors, a power of two; a false hit there costs time and changes nothing.
 ANCHOR_BITS = 1 << 27
 #: Pages with repeated runs, and repeated runs, up to which these are broadcast; beyond that the joins shuffle.
@@ -40,6 +42,8 @@ OWN = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "td", "th", "p
 #: A value in quotes may hold < and >; a quote elsewhere is a character like others, and < without its > is text.
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>])((?:=\s*"[^"]*"|=\s*'[^']*'|=(?!\s*["'])|[^<>=])*)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: Parts that may stand beside a mark in a name, as in social-links or cookie-banner-inner; other words, as in ad-hoc or related-work, make another name.
+BESIDE = set("area articles bar block body bottom box btn button buttons col container content default desktop float fixed global group icons inner item items left link links list main mobile new outer overlay panel pop popular posts primary right row secondary section site slot small space sticky stories text thread title toggle top unit user wrap zone".split())
 #: Parts of a name that speaks of a page's layout and not of the element, as with-sidebar does.
 LAYOUT = {"with", "without", "no", "not", "has", "layout", "wrapper", "page"}
 #: Elements of running text, whose names mark nothing in a main part.
@@ -52,7 +56,7 @@ def _marked(attributes: str, own: bool) -> bool:
     if "=" not in attributes:
         return False
     names = (name for m in _NAMES.findall(attributes) if not (own and m[0].lower() == "id") for name in "".join(m[1:]).lower().split())
-    return any(not MARKS.isdisjoint(parts) and LAYOUT.isdisjoint(parts) for parts in map(_SPLIT.split, names))
+    return any(not MARKS.isdisjoint(parts) and LAYOUT.isdisjoint(parts) and MARKS.union(BESIDE, {""}).issuperset(parts) for parts in map(_SPLIT.split, names))
 
 
 def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
@@ -63,6 +67,17 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
     stack: list[list] = []  # open elements that matter: name, dropped, main
     text: list[str] = []
     is_dropped = is_main = False
+    open_names: dict[str, int] = {}  # how many of each name the stack holds
+    n_dropped = n_main = 0
+    no_end: set[str] = set()  # raw elements without an end tag in what is left of the page
+
+    def popped(i: int) -> None:
+        nonlocal n_dropped, n_main, is_dropped, is_main
+        for x in stack[i:]:
+            open_names[x[0]] -= 1
+            n_dropped, n_main = n_dropped - bool(x[1]), n_main - bool(x[2])
+        del stack[i:]
+        is_dropped, is_main = n_dropped > 0, n_main > 0
 
     def close_block() -> None:
         if text:
@@ -86,23 +101,24 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
         if found[1]:
             if name in BLOCKS or name in DROPPED:
                 close_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close_block()
-                    del stack[i:]
-                    is_dropped, is_main = any(x[1] for x in stack), any(x[2] for x in stack)
-                    break
+            if open_names.get(name):
+                close_block()
+                i = len(stack) - 1
+                while stack[i][0] != name:  # each step takes an element off
+                    i -= 1
+                popped(i)
             continue
         if name in RAW:
-            over = None if found[3].rstrip().endswith("/") and name in ("svg", "iframe", "object") else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            over = None if name in no_end or found[3].rstrip().endswith("/") and name in ("svg", "iframe", "object") else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if over is None and not found[3].rstrip().endswith("/"):
+                no_end.add(name)
             at = over.end() if over else end if name in ("script", "style") else at  # others without an end tag are skipped alone
             continue
         block = name in BLOCKS or name in DROPPED
         if block:
             close_block()
             if stack and stack[-1][0] in ("p", "li", "dt", "dd") and (stack[-1][0] == name or stack[-1][0] == "p"):
-                stack.pop()
-                is_dropped, is_main = any(x[1] for x in stack), any(x[2] for x in stack)
+                popped(len(stack) - 1)
         if name in VOID or found[3].rstrip().endswith("/") or name in ("html", "body"):
             continue
         own = is_main or name in ("article", "main")
@@ -111,13 +127,16 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
         if begins_main and not is_main:  # what holds the main part is no boilerplate, whatever its class says
             for x in stack:
                 x[1] = x[1] and (x[0] in DROPPED or x[0] == "article")
-            is_dropped = any(x[1] for x in stack)
+            n_dropped = sum(bool(x[1]) for x in stack)
+            is_dropped = n_dropped > 0
         if bad and not block:
             close_block()
         # Other elements are followed too where they may nest within one that matters by name.
-        if bad or begins_main or any(x[0] == name for x in stack) or (stack and name not in ("p", "li", "dt", "dd", "b", "i", "a", "em", "strong")):
+        if bad or begins_main or open_names.get(name) or (stack and name not in ("p", "li", "dt", "dd", "b", "i", "a", "em", "strong")):
             stack.append([name, bad, begins_main])
-            is_dropped, is_main = is_dropped or bad, is_main or begins_main
+            open_names[name] = open_names.get(name, 0) + 1
+            n_dropped, n_main = n_dropped + bool(bad), n_main + bool(begins_main)
+            is_dropped, is_main = n_dropped > 0, n_main > 0
     close_block()
     return main, dropped, loose
 
@@ -158,17 +177,16 @@ def _windows(words: Words, host: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return h, words.doc[:m] == words.doc[n - 1 : n - 1 + m]
 
 
-def _anchored(main, host, run: int, long: int):
-    """Main text, hash and anchor of each run of `long` words of the main texts.
+def _anchored(words: Words, host: np.ndarray, run: int, long: int):
+    """First word, main text and anchor of each run of `long` words of the main texts.
 
     The anchor is the least hash of the runs of `run` words in it, so equal long runs have equal anchors.
     """
-    words = Words(main)
-    host = np.asarray(host, np.int64).view(np.uint64)
+    host = host.view(np.uint64)
     whole, ok = _windows(words, host, long)
     short, _ = _windows(words, host, run)
     anchor = np.minimum.reduce([short[k : k + len(whole)] for k in range(long - run + 1)]) if len(whole) else whole
-    return words.doc[: len(whole)][ok], whole[ok].view(np.int64), anchor[ok].view(np.int64)
+    return np.flatnonzero(ok), words.doc[: len(whole)][ok], anchor[ok].view(np.int64)
 
 
 def _keys(rows: np.ndarray, keys: np.ndarray, n: int):
@@ -190,23 +208,28 @@ def _anchors(run: int, long: int):
         import pyarrow as pa
 
         for batch in slices(batches, "text"):
-            row, _, anchor = _anchored(batch.column("text"), batch.column("hosted").to_pylist(), run, long)
+            _, row, anchor = _anchored(Words(batch.column("text")), np.asarray(batch.column("hosted").to_pylist(), np.int64), run, long)
             yield pa.RecordBatch.from_arrays([_keys(row, anchor, len(batch))], names=["anchors"])
 
     return task
 
 
-def _candidates(table, run: int, long: int):
-    """Task function: the distinct long runs of each page whose anchor is in the table."""
+def _suffixes(table, run: int, long: int):
+    """Task function: the suffixes of main texts at which a long run with a repeated anchor begins, as its words' hashes."""
 
     def task(batches):
         import pyarrow as pa
 
         for batch in slices(batches, "text"):
-            row, whole, anchor = _anchored(batch.column("text"), batch.column("hosted").to_pylist(), run, long)
+            words, hosted = Words(batch.column("text")), np.asarray(batch.column("hosted").to_pylist(), np.int64)
+            at, _, anchor = _anchored(words, hosted, run, long)
             bit = anchor & (ANCHOR_BITS - 1)
-            hit = (table.value[bit >> 6] >> (bit & 63)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([batch.column("version"), _keys(row[hit], whole[hit], len(batch))], names=["version", "windows"])
+            at = at[(table.value[bit >> 6] >> (bit & 63)) & 1 == 1]
+            heads = (words.hashes[at[:, None] + np.arange(long)] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            doc = words.doc[at]
+            head = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * long, pa.int32()), pa.array(heads.ravel(), pa.int32()))
+            version = np.asarray(batch.column("version").to_pylist(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hosted[doc]), pa.array(version[doc]), pa.array((at - words.first[doc]).astype(np.int32)), head], names=["hosted", "version", "at", "head"])
 
     return task
 
@@ -220,11 +243,8 @@ def _cut(long: int):
         for batch in slices(batches, "text"):
             main = batch.column("text").to_pylist()
             words = Words(pa.array(main, pa.string()))
-            host = np.asarray(batch.column("hosted").to_pylist(), np.int64).view(np.uint64)
-            whole, ok = _windows(words, host, long)
-            known = np.asarray(batch.column("repeated").flatten(), np.int64)
             covered = np.zeros(len(words.hashes) + 1, np.int64)
-            at = np.flatnonzero(ok & np.isin(whole.view(np.int64), known))
+            at = np.concatenate([words.first[i] + np.asarray(x, np.int64) for i, x in enumerate(batch.column("repeated").to_pylist())]) if main else np.zeros(0, np.int64)
             np.add.at(covered, at, 1)
             np.add.at(covered, at + long, -1)
             keep, k, out = np.cumsum(covered)[:-1] == 0, 0, []
@@ -248,9 +268,10 @@ def _cut(long: int):
 
 
 def _repeated_in_main(mains: DataFrame, run: int, long: int, min_pages: int) -> DataFrame:
-    """version and the long runs of each main text (version, hosted, text) that `min_pages` texts of its host have.
+    """version and the first words of the runs of each main text (version, hosted, text) that `min_pages` texts of its host have.
 
-    First anchors are counted, then only the long runs at repeated anchors, so that few runs are dealt out.
+    The suffixes of a host's texts are sorted by ranges, neighbours are compared, and the distinct texts of each interval
+    of long common prefixes are counted. Only suffixes with a repeated anchor are sorted: no other can have an equal one.
     """
     spark = mains.sparkSession
     counted = mains.mapInArrow(_anchors(run, long), "anchors array<long>").select(F.explode("anchors").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
@@ -260,10 +281,32 @@ def _repeated_in_main(mains: DataFrame, run: int, long: int, min_pages: int) ->
     table = np.zeros(ANCHOR_BITS // 64, np.int64)
     table[np.asarray(found.column("at"), np.int64)] = np.asarray(found.column("bits"), np.int64)
     held = spark.sparkContext.broadcast(table)
-    windows = staged(mains.mapInArrow(_candidates(held, run, long), "version long, windows array<long>").filter(F.size("windows") > 0), "run-candidates")
-    runs = windows.select("version", F.explode("windows").alias("key"))
-    repeated = staged(runs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("key"), "repeated-keys")
-    return staged(runs.join(small_side(repeated, RUNS), "key").groupBy("version").agg(F.collect_list("key").alias("repeated")), "repeated-runs")
+    suffixes = staged(mains.mapInArrow(_suffixes(held, run, long), "hosted long, version long, at int, head array<int>"), "suffixes")
+    rows = _intervals(numbered(suffixes, ["hosted"], ["head", "version", "at"], "suffix-array"), long)
+    shared = rows.groupBy("hosted", "interval", "version").agg(F.lit(1).alias("one")).groupBy("hosted", "interval").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    shared = small_side(staged(shared.select("hosted", "interval"), "shared-intervals"), RUNS)
+    return staged(rows.join(shared, ["hosted", "interval"]).groupBy("version").agg(F.collect_list("at").alias("repeated")), "repeated-runs")
+
+
+def _intervals(array: DataFrame, long: int) -> DataFrame:
+    """Rows of a suffix array (hosted, pos: place in it, head, version, at) with the place at which their interval begins.
+
+    An interval holds the suffixes whose common prefix with the one before is `long` words at least. Neighbours are
+    compared within blocks of the array, into which the last suffix of the block before is copied; an interval that runs
+    over several blocks has the start that the blocks before have left open.
+    """
+    block = F.floor(F.col("pos") / BLOCK)
+    rows = array.withColumn("block", F.explode(F.when(F.col("pos") % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))))
+    w = Window.partitionBy("hosted", "block").orderBy("pos")
+    before = F.lag("head").over(w)
+    common = F.array_position(F.zip_with("head", "before", lambda x, y: x == y), False) - 1  # -1: they agree in all
+    rows = rows.withColumn("before", before).withColumn("common", F.when(F.col("before").isNull(), 0).when(common < 0, long).otherwise(common))
+    rows = rows.filter(F.floor(F.col("pos") / BLOCK) == F.col("block")).withColumn("start", F.when(F.col("common") < long, F.col("pos")))
+    rows = staged(rows.select("hosted", "block", "version", "at", F.max("start").over(w).alias("start"), "pos"), "suffix-neighbours")
+    last = rows.groupBy("hosted", "block").agg(F.max("start").alias("start"))
+    earlier = F.max("start").over(Window.partitionBy("hosted").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = staged(last.select("hosted", "block", earlier.alias("carried")), "open-intervals")
+    return rows.join(small_side(carried), ["hosted", "block"]).select("hosted", "version", "at", F.coalesce("start", "carried").alias("interval"))
 
 
 def _unique_runs(run: int):
@@ -299,17 +342,16 @@ def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> Dat
     The text is that of the blocks inside article or main elements, or of all blocks of a page without such; what
     structure or names mark as boilerplate is left out. Then the words go that a repeated run covers: in a main part
     one of MAIN_RUN words or more that stands in the main parts of `min_pages` pages of the host; on a page
-    without main part one of `run` words or more outside the main parts. These are the words that a suffix array
-    of the host's pages covers by entries which agree over so many words: a longer repeated substring is a union of
-    runs of just that length, so runs of that length are counted by 64-bit hash and no array is sorted. Words of
-    main parts are compared without ASCII case. A main part of which more than MOST_PERCENT of the words would go stays
-    whole.
+    without main part one of `run` words or more outside the main parts. Words of main parts are compared without ASCII
+    case. A main part of which more than MOST_PERCENT of the words would go stays whole.
 
-    Counting the suffixes that agree over so many words is the step of suffix array construction by prefix doubling at
-    that depth: a bucket of equal prefixes is an interval of the array whose neighbours agree that far. Only suffixes
-    whose anchor, the least of the windows of `run` words in them, is repeated in its host are dealt out.
+    Main parts go through a suffix array of their host: suffixes are sorted by ranges of their first MAIN_RUN words,
+    so that a host of any size is dealt over tasks, and intervals of neighbours with so long a common prefix are the
+    repeated runs (a longer repeat is the union of such runs at its places). Only suffixes whose anchor, the least of
+    the windows of `run` words in their run, is repeated in the host are sorted; no other can have a neighbour that
+    agrees so far. Short runs outside main parts are counted by hash.
 
-    Runs are counted by host and key with partial counts, so that a host with a third of all pages is no single task.
+    Short runs are counted by host and key with partial counts, so that a host with a third of all pages is no single task.
 
     A null html gives an empty text; a null url is a host of its own; repeated rows are all returned. Rows with
     equal page_id count as one page of a host; for runs in main parts, rows with equal main text do, so that copies of an article
