@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices, staged
+from .common import Words, mix, slices, small_side, staged
 
-#: Bounds of the rows that the classifier is fitted on, the choice of its features included. Scores cover every row.
+#: Bounds of the rows that the weights are fitted on. Features are chosen from all training rows, and scores cover every row.
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 12_000
 BITS, FEATURES, MIN_ROWS = 20, 1_000, 20
 #: Word prefixes of so many bytes are features beside whole words.
@@ -96,10 +96,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "pmod(crc32(cas
     Confirmed toxic rows outside held_out are the positives, other rows outside it are unlabelled text whatever
     their label. The class prior is the share of toxic rows among the labelled ones outside held_out. Features are
     hashed words and word prefixes; those whose document frequencies differ most between positives and unlabelled
-    rows (by z-score) enter the classifier. At most max_positive and about max_unlabelled rows, taken by a hash of
-    doc_id, are fitted on, and features are chosen from the same rows.
+    rows (by z-score) enter the classifier: these frequencies are counted over all rows outside held_out. The weights
+    are fitted on at most max_positive and about max_unlabelled rows, taken by a hash of doc_id.
 
-    A null text is empty; a null doc_id is never held out and never labelled; repeated rows are all scored; null
+    Very long texts are read whole, a million bytes of text at a time; other columns of docs and labels may have any
+    name, and an empty table gives an empty one. A null text is empty; a null doc_id is never held out and never labelled; repeated rows are all scored; null
     labels are ignored, and a doc_id that is labelled both ways counts as toxic. Without positives or unlabelled
     rows every score is the prior (DEFAULT_PRIOR without labels).
     """
@@ -112,24 +113,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "pmod(crc32(cas
 
     ids = staged(known.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive), "positives")
     share = min(1.0, max_unlabelled / max(1, docs.count()))
-    pool = docs.filter(~F.col("held_out")).join(F.broadcast(ids.withColumn("positive", F.lit(True))), "doc_id", "left")
+    pool = docs.filter(~F.col("held_out")).join(small_side(ids.withColumn("positive", F.lit(True))), "doc_id", "left")
     pool = pool.withColumn("positive", F.coalesce("positive", F.lit(False)))
+    # A confirmed row is unlabelled text as well, so that the prior holds for the unlabelled rows.
+    both_roles = lambda unlabelled: pool.select("text", F.explode(F.array_compact(F.array(F.when(F.col("positive"), F.lit(True)), F.when(unlabelled, F.lit(False))))).alias("positive"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)
-    # A confirmed row that is drawn is unlabelled text as well, so that the prior holds for the unlabelled rows.
-    roles = F.array_compact(F.array(F.when(F.col("positive"), F.lit(True)), F.when(drawn, F.lit(False))))
-    pool = staged(pool.select("text", F.explode(roles).alias("positive")), "sample")
-    n_p, n_u = pool.agg(F.sum(F.col("positive").cast("int")), F.sum((~F.col("positive")).cast("int"))).first()
+    fitted = staged(both_roles(drawn), "sample")
+    n_p, n_u = fitted.agg(F.sum(F.col("positive").cast("int")), F.sum((~F.col("positive")).cast("int"))).first()
 
     weights = np.zeros(0, np.float32)
     bias, index = float(np.log(prior / (1 - prior))), np.full(1 << BITS, -1, np.int64)
     if n_p and n_u:
-        counts = pool.mapInArrow(_count_rows, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+        every = both_roles(F.lit(True))
+        n_u = pool.count()
+        counts = every.mapInArrow(_count_rows, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
         p, u, both = F.col("p") / n_p, F.col("u") / n_u, (F.col("p") + F.col("u")) / (n_p + n_u)
         z = F.abs(p - u) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / n_p + 1 / n_u))
         top = [r[0] for r in counts.filter(F.col("p") + F.col("u") >= MIN_ROWS).orderBy(z.desc(), "feature").limit(FEATURES).select("feature").collect()]
         index[top] = np.arange(len(top))
         if top:
-            rows = pool.mapInArrow(_rows(index, len(top)), "positive boolean, number array<int>, value array<float>").toArrow()
+            rows = fitted.mapInArrow(_rows(index, len(top)), "positive boolean, number array<int>, value array<float>").toArrow()
             x = np.zeros((rows.num_rows, len(top)), np.float32)
             number = rows.column("number").combine_chunks()
             sizes = np.asarray(number.value_lengths())

@@ -412,6 +412,32 @@ def test_toxicity_ranks_held_out_rows(spark):
     assert min(bad) > sorted(good)[int(len(good) * 0.95)]
 
 
+def test_non_negative_risk_against_differences(monkeypatch):
+    """Each step follows the gradient of the risk, taken by differences, and that of the second part reversed where it is negative."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    positive = np.arange(60) < 20
+    x[positive, 0] += 3
+    prior, p, u = 0.3, x[positive].astype(float), x[~positive].astype(float)
+    loss = lambda z: np.logaddexp(0, -z).mean()
+    first = lambda w, b: prior * loss(p @ w + b)
+    second = lambda w, b: loss(-(u @ w + b)) - prior * loss(-(p @ w + b))
+    w, b, gw2, gb2, reversed_ = np.zeros(4), float(np.log(prior / (1 - prior))), np.full(4, 1e-8), 1e-8, 0
+    for step in range(1, 121):
+        back = second(w, b) < 0
+        reversed_ += back
+        risk = (lambda w, b: -second(w, b)) if back else (lambda w, b: first(w, b) + second(w, b))
+        gw = np.array([(risk(w + e, b) - risk(w - e, b)) / 2e-5 for e in 1e-5 * np.eye(4)]) + toxicity.DECAY * w
+        gb = (risk(w, b + 1e-5) - risk(w, b - 1e-5)) / 2e-5
+        gw2, gb2 = gw2 + gw * gw, gb2 + gb * gb
+        w, b = w - toxicity.RATE * gw / np.sqrt(gw2), b - toxicity.RATE * gb / gb2**0.5
+        if step in (1, 20, 120):
+            monkeypatch.setattr(toxicity, "STEPS", step)
+            fitted, bias = toxicity.fit(x, positive, prior)
+            assert np.allclose(fitted, w, atol=2e-3) and abs(bias - b) < 2e-3
+    assert 0 < reversed_ < 120
+
+
 def test_model_counts_against_plain_ones(spark, docs):
     from collections import Counter
     from math import log10
