@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BASE, Words, mix, numbered, slices, small_side, staged
+from .common import _BASE, Words, discard, mix, numbered, slices, small_side, staged
 
 #: Words of a repeated run at least, and distinct pages of a host that must have it.
 RUN, MIN_PAGES = 5, 3
@@ -225,9 +225,9 @@ def _suffixes(table, run: int, long: int):
             at, _, anchor = _anchored(words, hosted, run, long)
             bit = anchor & (ANCHOR_BITS - 1)
             at = at[(table.value[bit >> 6] >> (bit & 63)) & 1 == 1]
-            heads = (words.hashes[at[:, None] + np.arange(long)] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            heads = (words.hashes[at[:, None] + np.arange(long)] & np.uint64(0x7FFF)).astype(np.int16)  # 15 bits a word, hundreds a run
             doc = words.doc[at]
-            head = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * long, pa.int32()), pa.array(heads.ravel(), pa.int32()))
+            head = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * long, pa.int32()), pa.array(heads.ravel(), pa.int16()))
             version = np.asarray(batch.column("version").to_pylist(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hosted[doc]), pa.array(version[doc]), pa.array((at - words.first[doc]).astype(np.int32)), head], names=["hosted", "version", "at", "head"])
 
@@ -281,8 +281,10 @@ def _repeated_in_main(mains: DataFrame, run: int, long: int, min_pages: int) ->
     table = np.zeros(ANCHOR_BITS // 64, np.int64)
     table[np.asarray(found.column("at"), np.int64)] = np.asarray(found.column("bits"), np.int64)
     held = spark.sparkContext.broadcast(table)
-    suffixes = staged(mains.mapInArrow(_suffixes(held, run, long), "hosted long, version long, at int, head array<int>"), "suffixes")
-    rows = _intervals(numbered(suffixes, ["hosted"], ["head", "version", "at"], "suffix-array"), long)
+    suffixes = staged(mains.mapInArrow(_suffixes(held, run, long), "hosted long, version long, at int, head array<smallint>"), "suffixes")
+    array = numbered(suffixes, ["hosted"], ["head", "version", "at"], "suffix-array")
+    discard(suffixes)  # the array is a table of its own
+    rows = _intervals(array, long)
     shared = rows.groupBy("hosted", "interval", "version").agg(F.lit(1).alias("one")).groupBy("hosted", "interval").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     shared = small_side(staged(shared.select("hosted", "interval"), "shared-intervals"), RUNS)
     return staged(rows.join(shared, ["hosted", "interval"]).groupBy("version").agg(F.collect_list("at").alias("repeated")), "repeated-runs")
