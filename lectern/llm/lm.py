@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from .common import Words, mix, slices, staged
 
-#: Frequent words of the model in CLASSES classes of IN_CLASS words; other words fall into RARE classes by their ending.
-CLASSES, IN_CLASS, RARE, ENDING = 16, 32, 16, 3
-#: Rows of hashed pairs of history symbols, tokens of a step, learning rate, and rounds of averaging.
-PAIRS, STEP, RATE, ROUNDS = 8_192, 4_096, 0.2, 2
+#: Children of a class. Words with LEAST training tokens or more are modelled, 16 ** MOST_DEPTH at most, which bounds the
+#: memory of a task; the depth of their tree follows from their number. Other words fall into RARE classes by their ending.
+CHILDREN, LEAST, MOST_DEPTH, RARE, ENDING = 16, 32, 4, 16, 3
+#: Tokens for each row of hashed weights, and powers of two of rows at least and at most (memory of a task, and of a sum).
+TOKENS_A_ROW, FEW_ROWS, MOST_ROWS = 64, 10, 15
+#: Kinds of neighbours that tell which words are alike.
+CONTEXTS = 16
+#: Tokens of a step, learning rate, and for each round of averaging the eighths of the training rows that it takes.
+STEP, RATE, ROUNDS = 2_048, 0.1, ((0,), (1, 2, 3), (4, 5, 6, 7))
 #: Counts of the most frequent words, so many at most, go to every task; other words are joined.
 KNOWN = 131_072
-VOCABULARY = CLASSES * IN_CLASS
-SYMBOLS = VOCABULARY + RARE + 1  # with the start of a text
 TRAIN = "coalesce(pmod(crc32(cast(doc_id as string)), 7) <> 2, true)"
 _END = np.array([0x5EED5EED5EED5EED], np.uint64)
 
@@ -60,62 +63,113 @@ def _counted(batches):
         yield flush()
 
 
+def depth_of(words: int) -> int:
+    """Levels of a tree of classes for so many words, two at least."""
+    depth = 2
+    while CHILDREN**depth < words:
+        depth += 1
+    return depth
+
+
+def slots_of(words: int) -> np.ndarray:
+    """Leaves of the tree for words in order, spread evenly."""
+    return np.arange(words) * CHILDREN ** depth_of(words) // max(words, 1)
+
+
 class Model:
-    """Weights: `a` for classes by history feature, `d` for words in a class by previous symbol; biases are log shares of counts."""
+    """A tree of classes over the frequent words, and weights in hashed rows.
 
-    def __init__(self, vocabulary: np.ndarray, class_bias: np.ndarray, word_bias: np.ndarray):
+    `a`: root classes and rare classes, by the previous symbol, the one before it (a skip feature) and their pair.
+    `d`: children of the other classes, by class and previous symbol, and by class and root class of each of the last two.
+    `sa`, `sd`: sums of squared gradients of the rows. Biases are log shares of counts. A symbol is a leaf or a rare class.
+    """
+
+    def __init__(self, vocabulary: np.ndarray, slots: np.ndarray, counts: np.ndarray, rare: np.ndarray, rows: int):
         order = np.argsort(vocabulary)
-        self.sorted, self.number = vocabulary[order], order
-        self.class_bias, self.word_bias = class_bias.astype(np.float32), word_bias.astype(np.float32)
-        self.a = np.zeros((2 * SYMBOLS + PAIRS, CLASSES + RARE), np.float32)
-        self.d = np.zeros((SYMBOLS * CLASSES, IN_CLASS), np.float32)
+        self.sorted, self.slot = vocabulary[order], slots[order]
+        self.depth = depth_of(len(vocabulary))
+        leaves = np.zeros(CHILDREN**self.depth)
+        leaves[slots] = counts
+        shares = [leaves.reshape(CHILDREN**k, -1).sum(1).reshape(-1, CHILDREN) for k in range(1, self.depth + 1)]
+        top = np.maximum(np.concatenate([shares[0][0], rare]), 1e-9)
+        self.top_bias = np.log(top / top.sum()).astype(np.float32)
+        below = np.maximum(np.concatenate(shares[1:]), 1e-9)
+        self.bias = np.log(below / below.sum(1, keepdims=True)).astype(np.float32)
+        self.a, self.d = np.zeros((rows, CHILDREN + RARE), np.float32), np.zeros((2 * rows, CHILDREN), np.float32)
+        self.sa, self.sd = np.zeros(len(self.a), np.float32), np.zeros(len(self.d), np.float32)
 
     def weights(self) -> tuple:
-        return self.sorted, self.number, self.class_bias, self.word_bias, self.a, self.d
+        return self.sorted, self.slot, self.depth, self.top_bias, self.bias, self.a, self.d, self.sa, self.sd
 
     @classmethod
-    def of(cls, weights: tuple) -> Model:
-        """A model on copies of shared weights."""
+    def of(cls, weights: tuple, copy: bool = False) -> Model:
+        """A model on shared weights, or on copies of those that training moves."""
         model = cls.__new__(cls)
-        model.sorted, model.number, model.class_bias, model.word_bias = weights[:4]
-        model.a, model.d = (w.copy() for w in weights[4:])
+        model.sorted, model.slot, model.depth, model.top_bias, model.bias = weights[:5]
+        model.a, model.d, model.sa, model.sd = (w.copy() if copy else w for w in weights[5:])
         return model
 
     def symbols(self, tokens: Tokens) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.sorted, tokens.hashes), max(len(self.sorted) - 1, 0))
-        known = self.sorted[at] == tokens.hashes if len(self.sorted) else np.zeros(len(tokens.hashes), bool)
-        return np.where(known, self.number[at] if len(self.sorted) else 0, VOCABULARY + tokens.rare)
-
-    def features(self, tokens: Tokens, symbols: np.ndarray):
-        """Rows of `a` for each token (previous symbol, the one before it, and their hashed pair), and previous symbol."""
-        one, two = (np.full(len(symbols) + k, SYMBOLS - 1) for k in (1, 2))
+        at, known = found(self.sorted, tokens.hashes)
+        return np.where(known, self.slot[at] if len(self.sorted) else 0, CHILDREN**self.depth + tokens.rare)
+
+    def coarse(self, symbols: np.ndarray) -> np.ndarray:
+        """Root class, rare class or start."""
+        leaves = CHILDREN**self.depth
+        return np.where(symbols < leaves, symbols // (leaves // CHILDREN), symbols - leaves + CHILDREN)
+
+    def history(self, tokens: Tokens, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Previous symbol of each token and the one before it; the start of a text is a symbol."""
+        start = CHILDREN**self.depth + RARE
+        one, two = (np.full(len(symbols) + k, start) for k in (1, 2))
         one[1:], two[2:] = symbols, symbols
         one, two = one[: len(symbols)], two[: len(symbols)]
-        one[tokens.first] = two[tokens.first] = SYMBOLS - 1
-        second = (tokens.first + 1)[tokens.counts > 1]
-        two[second] = SYMBOLS - 1
-        with np.errstate(over="ignore"):
-            pair = (mix((two * SYMBOLS + one).astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
-        return np.stack([one, SYMBOLS + two, 2 * SYMBOLS + pair]), one
-
-    def forward(self, rows: np.ndarray, target: np.ndarray, table: np.ndarray, bias: np.ndarray):
-        """Softmax over the sum of table rows and bias: probabilities, and the log of the target's."""
-        z = table[rows[0]] + bias
-        for r in rows[1:]:
-            z += table[r]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z, np.log(np.maximum(z[np.arange(len(target)), target], 1e-30))
-
-    def split(self, symbols: np.ndarray):
-        """Class of each symbol, whether it is a frequent word, and its place in the class."""
-        frequent = symbols < VOCABULARY
-        return np.where(frequent, symbols % CLASSES, CLASSES + symbols - VOCABULARY), frequent, symbols // CLASSES
-
-
-def _descend(model: Model, rows, target, table, bias, used, squares) -> None:
-    p, _ = model.forward(rows, target, table, bias)
+        one[tokens.first] = two[tokens.first] = start
+        two[(tokens.first + 1)[tokens.counts > 1]] = start
+        return one, two
+
+    def top(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray):
+        """Rows of `a` and target of each token."""
+        size = CHILDREN**self.depth + RARE + 1
+        return hashed(len(self.a), one, size + two, 2 * size + two * size + one), self.coarse(symbols)
+
+    def below(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray):
+        """For tokens that are leaves, and each level below the root: rows of `d`, target, class."""
+        size, coarse = CHILDREN**self.depth + RARE + 1, CHILDREN + RARE + 1
+        node = np.concatenate([symbols // CHILDREN ** (self.depth - k) + (CHILDREN**k - CHILDREN) // (CHILDREN - 1) for k in range(1, self.depth)])
+        target = np.concatenate([symbols // CHILDREN ** (self.depth - k - 1) % CHILDREN for k in range(1, self.depth)])
+        one, b, c = (np.tile(x, self.depth - 1) for x in (one, self.coarse(one), self.coarse(two)))
+        width = size + 2 * coarse
+        return hashed(len(self.d), node * width + one, node * width + size + b, node * width + size + coarse + c), target, node
+
+
+def found(ordered: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash in ordered ones, and whether it is there."""
+    if not len(ordered):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
+    return at, ordered[at] == hashes
+
+
+def hashed(rows: int, *features: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.stack([(mix(f.astype(np.uint64)) % np.uint64(rows)).astype(np.int64) for f in features])
+
+
+def softmax(rows: np.ndarray, target: np.ndarray, table: np.ndarray, bias: np.ndarray):
+    """Softmax over the sum of table rows and bias: probabilities, and the log of the target's."""
+    z = table[rows[0]] + bias
+    for r in rows[1:]:
+        z += table[r]
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z, np.log(np.maximum(z[np.arange(len(target)), target], 1e-30))
+
+
+def _descend(rows, target, table, bias, used, squares) -> None:
+    """One step of all weights that the tokens use, scaled by the sums of squares of their rows."""
+    p, _ = softmax(rows, target, table, bias)
     p[np.arange(len(target)), target] -= 1
     flat = rows.ravel()
     order = np.argsort(flat, kind="stable")
@@ -131,39 +185,80 @@ def _descend(model: Model, rows, target, table, bias, used, squares) -> None:
 BLOCK = 512
 
 
-def _train(shared):
-    """Task function: gradient steps over the task's texts from the shared weights; moved weights times uses, by block of rows."""
+def _sent(parts):
+    """Blocks of rows that were used: (uses, values) of each part."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
+    for k, (uses, values) in enumerate(parts):
+        for b in range(0, len(uses), BLOCK):
+            n = uses[b : b + BLOCK]
+            if n.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([task], pa.int64()), pa.array([n.astype(np.float32).tobytes()], pa.binary()), pa.array([values[b : b + BLOCK].astype(np.float32).tobytes()], pa.binary())],
+                    names=["part", "block", "task", "uses", "moved"],
+                )
+
+
+def _contexts(shared):
+    """Task function: how often the words of a vocabulary stand beside words of each kind, by block of words."""
 
     def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
+        ordered, rank = shared.value
+        n = np.zeros(len(ordered) * CONTEXTS, np.int64)
+        for batch in slices(batches, "text"):
+            tokens = Tokens(batch.column("text"))
+            at, known = found(ordered, tokens.hashes)
+            word = np.where(known, rank[at] if len(ordered) else 0, -1)
+            beside = (word[1:] >= 0) & (word[:-1] >= 0) & (tokens.doc[1:] == tokens.doc[:-1])
+            left, right = word[:-1][beside], word[1:][beside]
+            for x, y in ((left, right), (right, left)):
+                n += np.bincount(x * CONTEXTS + y % CONTEXTS, minlength=len(n))
+        n = n.reshape(-1, CONTEXTS)
+        yield from _sent([(n.sum(1), n)])
 
-        start, model = Model.of(shared.value), Model.of(shared.value)
+    return run
+
+
+def alike(contexts: np.ndarray) -> np.ndarray:
+    """Order of words in which those of like neighbours lie together: halved again and again along the main axis."""
+    total = contexts.sum(0)
+    shares = contexts + CONTEXTS * (total + 1) / (total + 1).sum()
+    x = np.sqrt(shares / shares.sum(1, keepdims=True))
+    done, open_ = [], [np.arange(len(x))]
+    while open_:
+        index = open_.pop()
+        if len(index):
+            moved = x[index] - x[index].mean(0)
+            axis = np.linalg.eigh(moved.T @ moved)[1][:, -1]
+            index = index[np.argsort(moved @ (axis * np.sign(axis[np.abs(axis).argmax()])), kind="stable")]
+        if len(index) <= 64:
+            done.append(index)
+        else:
+            open_ += [index[len(index) // 2 :], index[: len(index) // 2]]
+    return np.concatenate(done)
+
+
+def _train(shared):
+    """Task function: gradient steps over the task's texts from the shared weights; moves times uses, by block of rows."""
+
+    def run(batches):
+        start, model = Model.of(shared.value), Model.of(shared.value, copy=True)
         used = [np.zeros(len(t), np.float32) for t in (model.a, model.d)]
-        squares = [np.zeros(len(t), np.float32) for t in (model.a, model.d)]
-        any_rows = False
         for batch in slices(batches, "text"):
-            any_rows = True
             tokens = Tokens(batch.column("text"))
             symbols = model.symbols(tokens)
-            rows, one = model.features(tokens, symbols)
-            classes, frequent, place = model.split(symbols)
+            one, two = model.history(tokens, symbols)
             for at in range(0, len(symbols), STEP):
-                cut = slice(at, at + STEP)
-                _descend(model, rows[:, cut], classes[cut], model.a, model.class_bias, used[0], squares[0])
-                f = np.flatnonzero(frequent[cut]) + at
-                if len(f):
-                    _descend(model, (one[f] * CLASSES + classes[f])[None], place[f], model.d, model.word_bias[classes[f]], used[1], squares[1])
-        if any_rows:
-            task = TaskContext.get().partitionId()
-            for k, (t, s) in enumerate(((model.a, start.a), (model.d, start.d))):
-                for b in range(0, len(t), BLOCK):
-                    n = used[k][b : b + BLOCK]
-                    if n.any():
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([task], pa.int64()), pa.array([n.tobytes()], pa.binary()), pa.array([((t - s)[b : b + BLOCK] * n[:, None]).tobytes()], pa.binary())],
-                            names=["part", "block", "task", "uses", "moved"],
-                        )
+                now = symbols[at : at + STEP], one[at : at + STEP], two[at : at + STEP]
+                _descend(*model.top(*now), model.a, model.top_bias, used[0], model.sa)
+                leaf = now[0] < CHILDREN**model.depth
+                if leaf.any():
+                    rows, target, node = model.below(*(x[leaf] for x in now))
+                    _descend(rows, target, model.d, model.bias[node], used[1], model.sd)
+        moves = (np.column_stack([t - t0, s - s0]) for t, t0, s, s0 in ((model.a, start.a, model.sa, start.sa), (model.d, start.d, model.sd, start.sd)))
+        yield from _sent([(n, m * n[:, None]) for n, m in zip(used, moves, strict=True)])
 
     return run
 
@@ -178,6 +273,30 @@ def _added(key, group):
     return pd.DataFrame({"part": [group["part"].iloc[0]], "block": [group["block"].iloc[0]], "task": [group["task"].iloc[0]], "uses": [total("uses")], "moved": [total("moved")]})
 
 
+def _sums(made: DataFrame):
+    """Blocks of all tasks, summed in a tree: part, first row, uses, values. As many as the model has blocks."""
+    for span in (64, 64, None):
+        made = made.withColumn("task", F.floor(F.col("task") / span) if span else F.lit(0).cast("long"))
+        made = made.groupBy("part", "block", "task").applyInPandas(_added, _BLOCKS)
+    for row in made.collect():
+        n = np.frombuffer(row["uses"], np.float32)
+        yield row["part"], row["block"], n, np.frombuffer(row["moved"], np.float32).reshape(len(n), -1)
+
+
+def model_log(model: Model, tokens: Tokens, symbols: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each symbol after those before it."""
+    one, two = model.history(tokens, symbols)
+    log = np.zeros(len(symbols))
+    for at in range(0, len(symbols), STEP):
+        now = symbols[at : at + STEP], one[at : at + STEP], two[at : at + STEP]
+        log[at : at + STEP] = softmax(*model.top(*now), model.a, model.top_bias)[1]
+        leaf = np.flatnonzero(now[0] < CHILDREN**model.depth)
+        if len(leaf):
+            rows, target, node = model.below(*(x[leaf] for x in now))
+            log[leaf + at] += softmax(rows, target, model.d, model.bias[node])[1].reshape(-1, len(leaf)).sum(0)
+    return log
+
+
 def _score(shared):
     """Task function: parts of the scores that the shared model and counts give, and each text's other words."""
 
@@ -189,18 +308,10 @@ def _score(shared):
         for batch in slices(batches, "text"):
             tokens = Tokens(batch.column("text"))
             n, symbols = len(batch), model.symbols(tokens)
-            rows, one = model.features(tokens, symbols)
-            classes, frequent, place = model.split(symbols)
-            log = np.zeros(len(symbols))
-            for at in range(0, len(symbols), STEP):
-                cut = slice(at, at + STEP)
-                log[cut] = model.forward(rows[:, cut], classes[cut], model.a, model.class_bias)[1]
-                f = np.flatnonzero(frequent[cut]) + at
-                if len(f):
-                    log[f] += model.forward((one[f] * CLASSES + classes[f])[None], place[f], model.d, model.word_bias[classes[f]])[1]
+            frequent = symbols < CHILDREN**model.depth
+            log = model_log(model, tokens, symbols)
             log /= np.log(10)
-            at = np.minimum(np.searchsorted(words, tokens.hashes), max(len(words) - 1, 0))
-            known = words[at] == tokens.hashes if len(words) else np.zeros(len(symbols), bool)
+            at, known = found(words, tokens.hashes)
             c = np.where(known, counts[at] if len(words) else 0, 0)
             base = np.where(known, np.log10(c + 1.0) - base_log, 0)
             log += np.where(known & ~frequent, np.log10(c + 1.0) - rare_log[tokens.rare], 0)
@@ -223,12 +334,14 @@ def lm_scores(docs: DataFrame, train: str = TRAIN) -> DataFrame:
     """Scores of each row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words of the rows that `train` selects are counted by their 64-bit hash. The most frequent ones are the model's
-    vocabulary, in classes; every other word belongs to a rare class by a hash of its last bytes. The model gives
-    P(class | history) from the previous symbol, the one before it (a skip feature) and their hashed pair, then
-    P(word | class, previous symbol) within a class of frequent words, or (c + 1) / (N + V + 1) over the counts of a
-    rare class, whose 1 is for unseen words. Each round, tasks take gradient steps over their own share of the
-    training rows, every row in one round; moved weights are averaged by use in a tree of sums, whose size does not
-    depend on the input. Counts of the KNOWN most frequent words go to all tasks; other words are joined by hash.
+    vocabulary, in a tree of classes that puts words of like neighbours together; every other word belongs to a rare
+    class by a hash of its last bytes. The model gives P(root or rare class | history) from the previous symbol, the
+    one before it (a skip feature) and their pair, then P(child | class, history) at each level down to a word, or
+    (c + 1) / (N + V + 1) over the counts of a rare class, whose 1 is for unseen words. The number of words, the depth
+    of the tree and the rows of weights follow from the training counts, up to the memory of a task. Each round, tasks
+    take gradient steps over their own share of the training rows, every row in one round; moved weights are averaged
+    by use in a tree of sums, of the model's size. Counts of the KNOWN most frequent words go to all tasks; other
+    words are joined by hash.
 
     A null text is empty (the end token alone); a null doc_id is not held out; repeated rows are all scored, and
     count as often as they occur; with no training rows all counts are 0 and the weights stay at their start.
@@ -252,31 +365,34 @@ def lm_scores(docs: DataFrame, train: str = TRAIN) -> DataFrame:
     words, rare, c = (top.column(k).to_numpy() for k in ("word", "rare", "c"))
     order = np.lexsort((words, -c))
     words, rare, c = words[order].view(np.uint64), rare[order], c[order]
-    vocabulary = words[:VOCABULARY]
-
-    share = np.full(CLASSES * IN_CLASS, 0.5)
-    share[: len(vocabulary)] = c[:VOCABULARY]
-    by_class = share.reshape(IN_CLASS, CLASSES).T  # the i-th word is in class i % CLASSES
+    modelled = min(int((c >= LEAST).sum()), CHILDREN**MOST_DEPTH)
+    vocabulary = words[:modelled]
+
+    ranks = np.argsort(vocabulary)
+    shared = spark.sparkContext.broadcast((vocabulary[ranks], ranks))
+    contexts = np.zeros((modelled, CONTEXTS))
+    if modelled:
+        for _, b, _, values in _sums(training.select("text").mapInArrow(_contexts(shared), _BLOCKS)):
+            contexts[b : b + len(values)] += values
+    slots = np.zeros(modelled, np.int64)
+    if modelled:
+        slots[alike(contexts)] = slots_of(modelled)
     sizes = np.ones((RARE, 2))
     for r in levels:
         sizes[r["rare"]] += (r["n"], r["v"])
-    np.subtract.at(sizes, rare[:VOCABULARY], np.stack([c[:VOCABULARY], np.ones(len(vocabulary))], 1))
-    classes = np.concatenate([by_class.sum(1), sizes[:, 0]])
-    model = Model(vocabulary, np.log(classes / classes.sum()), np.log(by_class / by_class.sum(1, keepdims=True)))
+    np.subtract.at(sizes, rare[:modelled], np.stack([c[:modelled], np.ones(modelled)], 1))
+    rows = 1 << int(np.clip(np.ceil(np.log2(max(total or 0, 1) / TOKENS_A_ROW)), FEW_ROWS, MOST_ROWS))
+    model = Model(vocabulary, slots, c[:modelled], sizes[:, 0], rows)
     rare_log = np.log10(np.maximum(sizes.sum(1) - 1, 1))  # N + V + 1 of each rare class
 
-    for r in range(ROUNDS):
+    for eighths in ROUNDS:
         shared = spark.sparkContext.broadcast(model.weights())
-        part = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(ROUNDS)) == r).select("text")
-        moved = part.mapInArrow(_train(shared), _BLOCKS)
-        for span in (64, 64, None):
-            moved = moved.withColumn("task", F.floor(F.col("task") / span) if span else F.lit(0).cast("long"))
-            moved = moved.groupBy("part", "block", "task").applyInPandas(_added, _BLOCKS)
-        for row in moved.collect():  # one row for each block of the model
-            table = (model.a, model.d)[row["part"]]
-            n = np.frombuffer(row["uses"], np.float32)
-            delta = np.frombuffer(row["moved"], np.float32).reshape(len(n), -1) / np.maximum(n, 1)[:, None]
-            table[row["block"] : row["block"] + len(n)] += delta
+        part = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(8)).isin(*eighths)).select("text")
+        for k, b, n, moved in _sums(part.mapInArrow(_train(shared), _BLOCKS)):
+            table, squares = ((model.a, model.sa), (model.d, model.sd))[k]
+            moved = moved / np.maximum(n, 1)[:, None]
+            table[b : b + len(n)] += moved[:, :-1]
+            squares[b : b + len(n)] += moved[:, -1]
 
     base_log = float(np.log10(total + distinct + 1))
     order = np.argsort(words)

@@ -456,6 +456,75 @@ def test_model_counts_against_plain_ones(spark, docs):
         assert abs(r.base_score - sum(log10((counts[x] + 1) / (n + 1 * (v + 1))) for x in w)) < 1e-6 * len(w)
 
 
+def test_model_probabilities_against_plain_loops():
+    """The log of each token against explicit products of softmaxes down the tree; all symbols together have mass 1."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(names, n)) for n in (0, 1, 2, 40)]
+    tokens = lm.Tokens(pa.array(texts))
+    vocabulary = np.unique(lm.Tokens(pa.array([" ".join(names[:280])])).hashes)
+    model = lm.Model(vocabulary, lm.slots_of(len(vocabulary)), rng.integers(1, 90, len(vocabulary)), np.full(lm.RARE, 7.0), 128)
+    for t in (model.a, model.d):
+        t[:] = rng.normal(size=t.shape)
+    assert model.depth == 3
+    leaves, start = 16**3, 16**3 + lm.RARE
+    row = lambda table, f: table[lm.hashed(len(table), np.array([f]))[0, 0]].astype(float)
+    coarse = lambda s: s // 256 if s < leaves else s - leaves + 16
+    share = lambda z: np.exp(z) / np.exp(z).sum()
+
+    def plain(one, two):
+        size = start + 1
+        p = share(model.top_bias + row(model.a, one) + row(model.a, size + two) + row(model.a, 2 * size + two * size + one))
+        mass, rare = p[:16], p[16:]
+        for first, nodes in ((0, 16), (16, 256)):
+            below = []
+            for node in range(first, first + nodes):
+                at = node * (size + 2 * 33)
+                below.append(share(model.bias[node] + row(model.d, at + one) + row(model.d, at + size + coarse(one)) + row(model.d, at + size + 33 + coarse(two))))
+            mass = (mass[:, None] * np.array(below)).ravel()
+        return np.concatenate([mass, rare])
+
+    symbols = model.symbols(tokens)
+    got, at = lm.model_log(model, tokens, symbols), 0
+    for n in (0, 1, 2, 40):
+        one = two = start
+        for s in symbols[at : at + min(n + 1, 12)]:
+            p = plain(one, two)
+            assert abs(p.sum() - 1) < 1e-6 and abs(got[at] - np.log(p[s])) < 1e-3
+            one, two, at = int(s), one, at + 1
+        at += max(n + 1 - 12, 0)
+
+
+def test_model_steps_against_differences():
+    rng = np.random.default_rng(4)
+    rows, target = rng.integers(0, 5, (2, 30)), rng.integers(0, 4, 30)
+    table, bias = rng.normal(size=(5, 4)).astype(np.float32), rng.normal(size=4).astype(np.float32)
+    loss = lambda t: -lm.softmax(rows, target, t, bias.astype(float))[1].sum()
+    want = np.zeros((5, 4))
+    for i in np.ndindex(5, 4):
+        e = np.zeros((5, 4))
+        e[i] = 1e-5
+        want[i] = (loss(table + e) - loss(table - e)) / 2e-5
+    before, used, squares = table.copy(), np.zeros(5, np.float32), np.full(5, 0.5, np.float32)
+    lm._descend(rows, target, table, bias, used, squares)
+    assert np.allclose(squares, 0.5 + (want**2).mean(1), rtol=1e-3) and used.tolist() == np.bincount(rows.ravel(), minlength=5).tolist()
+    assert np.allclose(before - table, lm.RATE * want / np.sqrt(squares[:, None]), atol=1e-4)
+
+
+def test_model_tells_tongues_apart(spark, monkeypatch):
+    """Untrained scores are shares of counts; trained ones know the tongue of a text by its words."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(200 * rng.random() ** 2)}" for _ in range(60))) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    mean = lambda: lm.lm_scores(d).filter("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    trained = mean()
+    monkeypatch.setattr(lm, "ROUNDS", ())
+    start = mean()
+    assert abs(start[0] - start[1]) < 0.02 and trained[0] > start[0] + 0.1
+
+
 def test_pipeline_against_sql_and_the_tokenizer(spark):
     """Each stage against SQL over what the stages before kept; the pieces of the last against whole encoded texts."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
