@@ -80,7 +80,7 @@ class Model:
     """A tree of classes over the frequent words, and weights in hashed rows.
 
     `a`: root classes and rare classes, by the previous symbol, the one before it (a skip feature) and their pair.
-    `d`: children of the other classes, by class and previous symbol, and by class and root class of each of the last two.
+    `d`: children of the other classes, by class and previous symbol.
     `sa`, `sd`: sums of squared gradients of the rows. Biases are log shares of counts. A symbol is a leaf or a rare class.
     """
 
@@ -133,14 +133,12 @@ class Model:
         size = CHILDREN**self.depth + RARE + 1
         return hashed(len(self.a), one, size + two, 2 * size + two * size + one), self.coarse(symbols)
 
-    def below(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray):
+    def below(self, symbols: np.ndarray, one: np.ndarray):
         """For tokens that are leaves, and each level below the root: rows of `d`, target, class."""
-        size, coarse = CHILDREN**self.depth + RARE + 1, CHILDREN + RARE + 1
+        size = CHILDREN**self.depth + RARE + 1
         node = np.concatenate([symbols // CHILDREN ** (self.depth - k) + (CHILDREN**k - CHILDREN) // (CHILDREN - 1) for k in range(1, self.depth)])
         target = np.concatenate([symbols // CHILDREN ** (self.depth - k - 1) % CHILDREN for k in range(1, self.depth)])
-        one, b, c = (np.tile(x, self.depth - 1) for x in (one, self.coarse(one), self.coarse(two)))
-        width = size + 2 * coarse
-        return hashed(len(self.d), node * width + one, node * width + size + b, node * width + size + coarse + c), target, node
+        return hashed(len(self.d), node * size + np.tile(one, self.depth - 1)), target, node
 
 
 def found(ordered: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +253,7 @@ def _train(shared):
                 _descend(*model.top(*now), model.a, model.top_bias, used[0], model.sa)
                 leaf = now[0] < CHILDREN**model.depth
                 if leaf.any():
-                    rows, target, node = model.below(*(x[leaf] for x in now))
+                    rows, target, node = model.below(now[0][leaf], now[1][leaf])
                     _descend(rows, target, model.d, model.bias[node], used[1], model.sd)
         moves = (np.column_stack([t - t0, s - s0]) for t, t0, s, s0 in ((model.a, start.a, model.sa, start.sa), (model.d, start.d, model.sd, start.sd)))
         yield from _sent([(n, m * n[:, None]) for n, m in zip(used, moves, strict=True)])
@@ -292,7 +290,7 @@ def model_log(model: Model, tokens: Tokens, symbols: np.ndarray) -> np.ndarray:
         log[at : at + STEP] = softmax(*model.top(*now), model.a, model.top_bias)[1]
         leaf = np.flatnonzero(now[0] < CHILDREN**model.depth)
         if len(leaf):
-            rows, target, node = model.below(*(x[leaf] for x in now))
+            rows, target, node = model.below(now[0][leaf], now[1][leaf])
             log[leaf + at] += softmax(rows, target, model.d, model.bias[node])[1].reshape(-1, len(leaf)).sum(0)
     return log
 
@@ -336,7 +334,7 @@ def lm_scores(docs: DataFrame, train: str = TRAIN) -> DataFrame:
     Words of the rows that `train` selects are counted by their 64-bit hash. The most frequent ones are the model's
     vocabulary, in a tree of classes that puts words of like neighbours together; every other word belongs to a rare
     class by a hash of its last bytes. The model gives P(root or rare class | history) from the previous symbol, the
-    one before it (a skip feature) and their pair, then P(child | class, history) at each level down to a word, or
+    one before it (a skip feature) and their pair, then P(child | class, previous symbol) at each level down to a word, or
     (c + 1) / (N + V + 1) over the counts of a rare class, whose 1 is for unseen words. The number of words, the depth
     of the tree and the rows of weights follow from the training counts, up to the memory of a task. Each round, tasks
     take gradient steps over their own share of the training rows, every row in one round; moved weights are averaged

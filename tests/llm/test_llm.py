@@ -469,9 +469,8 @@ def test_model_probabilities_against_plain_loops():
     for t in (model.a, model.d):
         t[:] = rng.normal(size=t.shape)
     assert model.depth == 3
-    leaves, start = 16**3, 16**3 + lm.RARE
+    start = 16**3 + lm.RARE
     row = lambda table, f: table[lm.hashed(len(table), np.array([f]))[0, 0]].astype(float)
-    coarse = lambda s: s // 256 if s < leaves else s - leaves + 16
     share = lambda z: np.exp(z) / np.exp(z).sum()
 
     def plain(one, two):
@@ -481,8 +480,7 @@ def test_model_probabilities_against_plain_loops():
         for first, nodes in ((0, 16), (16, 256)):
             below = []
             for node in range(first, first + nodes):
-                at = node * (size + 2 * 33)
-                below.append(share(model.bias[node] + row(model.d, at + one) + row(model.d, at + size + coarse(one)) + row(model.d, at + size + 33 + coarse(two))))
+                below.append(share(model.bias[node] + row(model.d, node * size + one)))
             mass = (mass[:, None] * np.array(below)).ravel()
         return np.concatenate([mass, rare])
 
