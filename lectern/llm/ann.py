@@ -12,8 +12,8 @@ from .common import staged
 SAMPLE, PER_LIST, MAX_LISTS = 20_000, 50, 4_096
 #: Most copies of a vector, and how much farther than the nearest centroid the others may be.
 COPIES, COPY_RATIO = 4, 1.10
-#: Queries by which the lists to read are chosen, their nearest rows that must lie in these, and the share of them that the ratio keeps.
-TRIALS, RECALL, KEPT = 256, 0.94, 0.998
+#: Queries by which the lists to read are chosen (all, if fewer), their nearest rows that must lie in these, and the share of them that the ratio keeps.
+TRIALS, RECALL, KEPT = 512, 0.94, 0.998
 #: Vectors find their lists by a matrix product up to so many lists, and in the graph beyond; queries always use the graph.
 PRODUCT_LISTS = 2_048
 #: Edges of a centroid in the graph, and the beam of its search.
@@ -22,7 +22,13 @@ EDGES, BEAM = 24, 32
 BLOCK = 4_096
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to 0.5 to 1: no square overflows or vanishes, and cosines keep their bits."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -60,7 +66,9 @@ def graph(c: np.ndarray, edges: int = EDGES) -> np.ndarray:
     np.fill_diagonal(d, np.inf)
     k = min(edges, len(c) - 1)
     near = np.argpartition(d, k - 1, 1)[:, :k] if k else np.zeros((len(c), 0), int)
-    return np.concatenate([near, (np.arange(len(c))[:, None] + 1) % len(c)], 1)
+    own = np.arange(len(c))[:, None]
+    after = (own + 1) % len(c)
+    return np.concatenate([near, np.where((near == after).any(1, keepdims=True), own, after)], 1)  # no edge twice
 
 
 def search_graph(x: np.ndarray, c: np.ndarray, links: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +218,7 @@ def _best(k: int):
 
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(postings):
-            q, v = (np.stack(t["embedding"].to_numpy()).astype(np.float64) for t in (queries, postings))
+            q, v = (_scaled(np.stack(t["embedding"].to_numpy()).astype(np.float64)) for t in (queries, postings))
             ids, norm = postings["vec_id"].to_numpy(), np.sqrt((v * v).sum(1))
             for i, query in enumerate(queries["vec_id"].to_numpy()):
                 near = (v @ q[i]) / norm
@@ -235,7 +243,9 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5) ->
 
     Centroids are fitted on at most SAMPLE vectors. A vector is in its nearest list and in up to COPIES nearly as near.
     A query walks the graph of centroids to the lists nearest to it; how many it reads, and up to which distance, is
-    measured on TRIALS vectors against all rows (`reading`). A query that finds fewer than k vectors there reads all
+    measured on TRIALS of the queries against all rows (`reading`), so it holds for queries unlike other rows. Centroids
+    are fitted without the queries, to which they would lie nearer than to others (on all rows, if most are queries:
+    then trial and other queries are fitted on alike). A query that finds fewer than k vectors there reads all
     lists. Of equal vectors only the k + 1 smallest ids are kept as postings: no other can be among the k nearest of
     any query. Lists are dealt in blocks of about BLOCK vectors, so that a crowded list is no single task.
 
@@ -246,30 +256,28 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5) ->
     rows = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.filter(good)
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
+    chosen = F.coalesce(F.expr(queries), F.lit(False))
+    sizes = rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows"), F.count_if(chosen).alias("asked")).orderBy(F.col("rows").desc(), "n").first()
     out = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
+    if sizes is None or not sizes["asked"]:
         return spark.createDataFrame([], out)
-    rows = rows.filter(F.size("embedding") == sizes[0]).dropDuplicates(["vec_id", "embedding"])
-    share = min(1.0, SAMPLE / sizes[1])
-    sample = rows.select("embedding", "vec_id", F.xxhash64("vec_id").alias("h")).filter(F.pmod("h", F.lit(1_000_000)) <= int(share * 1_000_000)).orderBy("h").limit(SAMPLE)
-    drawn = sample.select("embedding", "vec_id").toArrow()
+    rows = rows.filter(F.size("embedding") == sizes["n"]).dropDuplicates(["vec_id", "embedding"])
+    asked, others = rows.filter(chosen), sizes["rows"] - sizes["asked"]
+    fitted, n = (rows.filter(~chosen), others) if others > sizes["asked"] else (rows, sizes["rows"])
+    drawn = fitted.select("embedding", F.xxhash64("vec_id").alias("h")).filter(F.pmod("h", F.lit(1_000_000)) <= int(min(1.0, SAMPLE / n) * 1_000_000)).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
     if not len(drawn):
-        drawn = rows.select("embedding", "vec_id").limit(1).toArrow()
-    every = _unit(_matrix(drawn.column(0)))
-    tried = np.random.default_rng(11).permutation(len(every))[:TRIALS]
-    # Vectors that the centroids are fitted on lie nearer to them than others do, so the trial ones stay out where many are drawn.
-    x = np.unique(np.delete(every, tried, 0) if len(every) > 4 * TRIALS else every, axis=0)
-    c = centroids(x, max(1, min(MAX_LISTS, round(sizes[1] / PER_LIST), len(x) // 4)))
+        drawn = fitted.select("embedding").limit(1).toArrow()
+    x = np.unique(_unit(_matrix(drawn.column(0))), axis=0)
+    tried = asked.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(TRIALS).select("embedding", "vec_id").toArrow()
+    c = centroids(x, max(1, min(MAX_LISTS, round(sizes["rows"] / PER_LIST), len(x) // 4)))
     model = spark.sparkContext.broadcast((c, graph(c)))
 
     first = Window.partitionBy("embedding").orderBy("vec_id")
     kept = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).drop("n")
     schema = "list int, vec_id long, embedding array<double>"
     postings = staged(kept.mapInArrow(_assign(model, COPIES, COPY_RATIO), schema), "postings")
-    most, ratio, _ = reading(model.value, every[tried], drawn.column(1).to_numpy()[tried], postings, k)
+    most, ratio, _ = reading(model.value, _unit(_matrix(tried.column(0))), tried.column(1).to_numpy(), postings, k)
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # at most MAX_LISTS rows
-    asked = rows.filter(queries)
     near = asked.mapInArrow(_assign(model, most, ratio, walk=True), schema).join(F.broadcast(blocks), "list")
     near = near.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     postings = postings.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")

@@ -285,6 +285,27 @@ def test_nearest_reads_what_recall_needs(spark, monkeypatch, shape):
     assert measured[0]["scanned"] < (0.05 if shape == "clustered" else 0.6)
 
 
+@pytest.mark.parametrize("scales", [(1, 1), (1e-200, 1e200)])
+def test_nearest_for_queries_unlike_other_rows(spark, scales):
+    """Queries far from all clusters, which are few among random rows; components whose squares vanish or overflow."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(100, 32))[rng.integers(0, 100, 5000)] + 0.2 * rng.normal(size=(5000, 32))
+    x[::50] = rng.normal(size=(100, 32))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[7::500] *= scales[0]
+    x[8::500] *= scales[1]
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    hits = 0
+    for q in range(0, 5000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        mine = {r.vec_id: r.score for r in got if r.query_id == q}
+        assert len(mine) == 5 and all(abs(score - s[i]) < 1e-12 for i, score in mine.items())
+        hits += len(set(mine) & set(np.argsort(-s)[:5].tolist()))
+    assert hits / 500 >= 0.9
+    assert ann.nearest(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_html(spark):
     page = """<html><head><title>no</title></head><body><nav><a>menu</a></nav><div class="cookie notice">no</div><article><h1>Title &amp; more</h1>
       <p>First   <b>bold</b> text<p>Second&nbsp;one</p><script>if (a < b) no()</script><ul><li>x<li>y</ul><div class="comments"><p>no</p></div></article><aside>no</aside><footer>no</footer>"""
