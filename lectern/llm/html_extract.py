@@ -19,8 +19,8 @@ MAIN_RUN, MOST_PERCENT = 25, 50
 BLOCK = 4_096
 #: Bits of the table of repeated anchors, a power of two; a false hit there costs time and changes nothing.
 ANCHOR_BITS = 1 << 27
-#: Pages with repeated runs, and repeated runs, up to which these are broadcast; beyond that the joins shuffle.
-PAGES, RUNS = 50_000, 1_000_000
+#: Pages with repeated runs up to which these are broadcast; beyond that the join shuffles.
+PAGES = 50_000
 
 # Elements by role, and names in class, id or role that mark boilerplate.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title"}
@@ -284,31 +284,40 @@ def _repeated_in_main(mains: DataFrame, run: int, long: int, min_pages: int) ->
     suffixes = staged(mains.mapInArrow(_suffixes(held, run, long), "hosted long, version long, at int, head array<smallint>"), "suffixes")
     array = numbered(suffixes, ["hosted"], ["head", "version", "at"], "suffix-array")
     discard(suffixes)  # the array is a table of its own
-    rows = _intervals(array, long)
-    shared = rows.groupBy("hosted", "interval", "version").agg(F.lit(1).alias("one")).groupBy("hosted", "interval").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    shared = small_side(staged(shared.select("hosted", "interval"), "shared-intervals"), RUNS)
-    return staged(rows.join(shared, ["hosted", "interval"]).groupBy("version").agg(F.collect_list("at").alias("repeated")), "repeated-runs")
+    rows = _intervals(array, long).filter(F.col("texts") >= min_pages)
+    return staged(rows.groupBy("version").agg(F.collect_list("at").alias("repeated")), "repeated-runs")
 
 
 def _intervals(array: DataFrame, long: int) -> DataFrame:
-    """Rows of a suffix array (hosted, pos: place in it, head, version, at) with the place at which their interval begins.
+    """Rows of a suffix array (hosted, pos: place in it, head, version, at) with the place at which their interval begins and its texts.
 
     An interval holds the suffixes whose common prefix with the one before is `long` words at least. Neighbours are
     compared within blocks of the array, into which the last suffix of the block before is copied; an interval that runs
-    over several blocks has the start that the blocks before have left open.
+    over several blocks has the start that the blocks before have left open. Its suffixes lie in the order of their
+    versions, so its distinct texts are as many as its changes of version. They are counted within the block; for an
+    interval at the edge of a block the counts of its blocks are summed, so only a row for each block is joined.
     """
     block = F.floor(F.col("pos") / BLOCK)
     rows = array.withColumn("block", F.explode(F.when(F.col("pos") % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))))
     w = Window.partitionBy("hosted", "block").orderBy("pos")
-    before = F.lag("head").over(w)
     common = F.array_position(F.zip_with("head", "before", lambda x, y: x == y), False) - 1  # -1: they agree in all
-    rows = rows.withColumn("before", before).withColumn("common", F.when(F.col("before").isNull(), 0).when(common < 0, long).otherwise(common))
+    rows = rows.withColumn("before", F.lag("head").over(w)).withColumn("earlier", F.lag("version").over(w)).withColumn("common", F.when(F.col("before").isNull(), 0).when(common < 0, long).otherwise(common))
     rows = rows.filter(F.floor(F.col("pos") / BLOCK) == F.col("block")).withColumn("start", F.when(F.col("common") < long, F.col("pos")))
-    rows = staged(rows.select("hosted", "block", "version", "at", F.max("start").over(w).alias("start"), "pos"), "suffix-neighbours")
-    last = rows.groupBy("hosted", "block").agg(F.max("start").alias("start"))
-    earlier = F.max("start").over(Window.partitionBy("hosted").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    carried = staged(last.select("hosted", "block", earlier.alias("carried")), "open-intervals")
-    return rows.join(small_side(carried), ["hosted", "block"]).select("hosted", "version", "at", F.coalesce("start", "carried").alias("interval"))
+    new = F.col("start").isNotNull() | (F.col("version") != F.col("earlier"))
+    rows = rows.select("hosted", "block", "version", "at", F.max("start").over(w).alias("start"), new.cast("int").alias("new"))
+    texts = F.sum("new").over(Window.partitionBy("hosted", "block", "start"))
+    rows = staged(rows.withColumn("texts", texts).drop("new"), "suffix-neighbours")
+
+    last = rows.groupBy("hosted", "block").agg(F.max("start").alias("last"), F.max_by("texts", F.coalesce("start", F.lit(-1))).alias("ending"), F.max(F.when(F.col("start").isNull(), F.col("texts"))).alias("beginning"))
+    open_ = F.max("last").over(Window.partitionBy("hosted").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    last = staged(last.withColumn("carried", open_), "open-intervals")
+    pieces = last.select("hosted", F.coalesce("last", "carried").alias("interval"), F.col("ending").alias("n"))
+    pieces = pieces.unionByName(last.filter("last is not null and beginning is not null").select("hosted", F.col("carried").alias("interval"), F.col("beginning").alias("n")))
+    sums = pieces.groupBy("hosted", "interval").agg(F.sum("n").alias("n"))
+    whole = lambda start, name: sums.select("hosted", F.col("interval").alias(start), F.col("n").alias(name))
+    edges = last.select("hosted", "block", "last", "carried").join(whole("last", "last_texts"), ["hosted", "last"], "left").join(whole("carried", "carried_texts"), ["hosted", "carried"], "left")
+    total = F.when(F.col("start").isNull(), F.col("carried_texts")).when(F.col("start") == F.col("last"), F.col("last_texts")).otherwise(F.col("texts"))
+    return rows.join(small_side(staged(edges, "interval-texts")), ["hosted", "block"]).select("hosted", "version", "at", F.coalesce("start", "carried").alias("interval"), total.alias("texts"))
 
 
 def _unique_runs(run: int):
