@@ -150,34 +150,63 @@ def found(ordered: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def hashed(rows: int, *features: np.ndarray) -> np.ndarray:
+    """Row of each feature; `rows` is a power of two."""
     with np.errstate(over="ignore"):
-        return np.stack([(mix(f.astype(np.uint64)) % np.uint64(rows)).astype(np.int64) for f in features])
+        return np.stack([(mix(f.astype(np.uint64)) & np.uint64(rows - 1)).astype(np.int64) for f in features])
 
 
-def softmax(rows: np.ndarray, target: np.ndarray, table: np.ndarray, bias: np.ndarray):
-    """Softmax over the sum of table rows and bias: probabilities, and the log of the target's."""
-    z = table[rows[0]] + bias
+def _exponentials(rows: np.ndarray, table: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the sum of table rows and bias, less each row's largest where any might overflow or vanish, and its sums."""
+    z = table.take(rows[0], 0) + bias
     for r in rows[1:]:
-        z += table[r]
-    z -= z.max(1, keepdims=True)
+        z += table.take(r, 0)
+    if not -60 < z.min() <= z.max() < 60:
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    return z, z @ np.ones(z.shape[1], z.dtype)
+
+
+def log_share(rows: np.ndarray, target: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Log of the target's probability."""
+    z, total = _exponentials(rows, table, bias)
+    return np.log(np.maximum(z[np.arange(len(target)), target] / total, 1e-30))
+
+
+def softmax(rows: np.ndarray, target: np.ndarray, table: np.ndarray, bias: np.ndarray):
+    """Softmax over the sum of table rows and bias: probabilities, and the log of the target's."""
+    z, total = _exponentials(rows, table, bias)
+    z /= total[:, None]
     return z, np.log(np.maximum(z[np.arange(len(target)), target], 1e-30))
 
 
+def _summed(p: np.ndarray, order: np.ndarray, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of the runs of p's rows in that order; only runs of several rows are reduced, two columns at once."""
+    g = p.take(order[starts], 0)
+    several = times > 1
+    if several.any():
+        at = np.cumsum(times[several]) - times[several]
+        many = p.take(order[np.repeat(several, times)], 0)
+        pairs = many.view(np.result_type(p.dtype, np.complex64))
+        g[several] = np.add.reduceat(pairs, at, axis=0).view(p.dtype)
+    return g
+
+
 def _descend(rows, target, table, bias, used, squares) -> None:
     """One step of all weights that the tokens use, scaled by the sums of squares of their rows."""
-    p, _ = softmax(rows, target, table, bias)
+    p, total = _exponentials(rows, table, bias)
+    p /= total[:, None]
     p[np.arange(len(target)), target] -= 1
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.uint16) if len(table) <= 1 << 16 else flat, kind="stable")  # 16 bits are sorted by radix
     at = flat[order]
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    g = np.add.reduceat(p[order % len(target)], starts, axis=0)
+    times = np.diff(np.concatenate((starts, [len(at)])))
     mine = at[starts]
-    used[mine] += np.diff(np.concatenate((starts, [len(at)])))
-    squares[mine] += (g * g).mean(1)
-    table[mine] -= RATE * g / np.sqrt(squares[mine, None] + 1e-6)
+    g = _summed(p, order % len(target) if len(rows) > 1 else order, starts, times)
+    used[mine] += times
+    squares[mine] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+    g *= (RATE / np.sqrt(squares[mine] + 1e-6))[:, None]
+    table[mine] = table.take(mine, 0) - g
 
 
 BLOCK = 512
@@ -254,7 +283,7 @@ def _train(shared):
                 leaf = now[0] < CHILDREN**model.depth
                 if leaf.any():
                     rows, target, node = model.below(now[0][leaf], now[1][leaf])
-                    _descend(rows, target, model.d, model.bias[node], used[1], model.sd)
+                    _descend(rows, target, model.d, model.bias.take(node, 0), used[1], model.sd)
         moves = (np.column_stack([t - t0, s - s0]) for t, t0, s, s0 in ((model.a, start.a, model.sa, start.sa), (model.d, start.d, model.sd, start.sd)))
         yield from _sent([(n, m * n[:, None]) for n, m in zip(used, moves, strict=True)])
 
@@ -287,11 +316,11 @@ def model_log(model: Model, tokens: Tokens, symbols: np.ndarray) -> np.ndarray:
     log = np.zeros(len(symbols))
     for at in range(0, len(symbols), STEP):
         now = symbols[at : at + STEP], one[at : at + STEP], two[at : at + STEP]
-        log[at : at + STEP] = softmax(*model.top(*now), model.a, model.top_bias)[1]
+        log[at : at + STEP] = log_share(*model.top(*now), model.a, model.top_bias)
         leaf = np.flatnonzero(now[0] < CHILDREN**model.depth)
         if len(leaf):
             rows, target, node = model.below(now[0][leaf], now[1][leaf])
-            log[leaf + at] += softmax(rows, target, model.d, model.bias[node])[1].reshape(-1, len(leaf)).sum(0)
+            log[leaf + at] += log_share(rows, target, model.d, model.bias.take(node, 0)).reshape(-1, len(leaf)).sum(0)
     return log
 
 

@@ -547,6 +547,26 @@ def test_model_steps_against_differences():
     assert np.allclose(before - table, lm.RATE * want / np.sqrt(squares[:, None]), atol=1e-4)
 
 
+@pytest.mark.parametrize("width", [16, 32])
+def test_lm_sums_and_shares_against_plain_ones(width):
+    """Sums of runs of equal rows, and shares where exponentials overflow or vanish without a shift."""
+    rng = np.random.default_rng(width)
+    flat = np.concatenate([rng.integers(0, 40, 300), rng.integers(1000, 60_000, 100), [65_535]])
+    p = rng.normal(size=(len(flat), width)).astype(np.float32)
+    order = np.argsort(flat, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
+    want = np.stack([p[flat == k].astype(float).sum(0) for k in flat[order][starts]])
+    assert np.allclose(lm._summed(p, order, starts, np.diff(np.concatenate((starts, [len(flat)])))), want, atol=1e-4)
+    for scale in (1, 100, 3_000):
+        table, bias = (scale * rng.normal(size=(8, width))).astype(np.float32), rng.normal(size=width).astype(np.float32)
+        rows, target = rng.integers(0, 8, (3, 50)), rng.integers(0, width, 50)
+        z = table[rows[0]].astype(float) + table[rows[1]] + table[rows[2]] + bias
+        z -= z.max(1, keepdims=True)
+        plain = np.maximum(np.log(1e-30), z[np.arange(50), target] - np.log(np.exp(z).sum(1)))
+        assert np.allclose(lm.log_share(rows, target, table, bias), plain, atol=1e-2 * scale**0.5)
+        assert np.allclose(lm.softmax(rows, target, table, bias)[0].sum(1), 1, atol=1e-5)
+
+
 def test_model_tells_tongues_apart(spark, monkeypatch):
     """Untrained scores are shares of counts; trained ones know the tongue of a text by its words."""
     rng = random.Random(6)
