@@ -94,7 +94,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     groups = ranged.groupBy(*keys, "_p").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = staged(groups.withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), f"{name}-starts")
-    return ranged.join(small_side(starts), [*keys, "_p"]).withColumn("pos", F.col("_s") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_s", "_first")
+    out = ranged.join(small_side(starts), [*keys, "_p"]).withColumn("pos", F.col("_s") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_s", "_first")
+    out.staged_at = ranged.staged_at
+    return out
 
 
 def split_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], hot: str) -> DataFrame:

@@ -284,40 +284,85 @@ def _repeated_in_main(mains: DataFrame, run: int, long: int, min_pages: int) ->
     suffixes = staged(mains.mapInArrow(_suffixes(held, run, long), "hosted long, version long, at int, head array<smallint>"), "suffixes")
     array = numbered(suffixes, ["hosted"], ["head", "version", "at"], "suffix-array")
     discard(suffixes)  # the array is a table of its own
-    rows = _intervals(array, long).filter(F.col("texts") >= min_pages)
+    rows = _intervals(array, long, min_pages)
+    discard(array)
     return staged(rows.groupBy("version").agg(F.collect_list("at").alias("repeated")), "repeated-runs")
 
 
-def _intervals(array: DataFrame, long: int) -> DataFrame:
-    """Rows of a suffix array (hosted, pos: place in it, head, version, at) with the place at which their interval begins and its texts.
+def _neighbours(long: int):
+    """Task function: suffixes as they come, with the words that each has in common with the one before it in the array, where that came just before.
+
+    A head stays only beside a neighbour that did not; elsewhere it is null, so that it is not shuffled.
+    """
+
+    def task(batches):
+        import pyarrow as pa
+
+        def row(batch, common, alone):
+            keep = (common < 0) | alone
+            head = batch.column("head").take(pa.array(np.arange(len(batch)), mask=~keep))
+            return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int32(), mask=common < 0), head], names=["hosted", "pos", "version", "at", "common", "head"])
+
+        last, known = None, -1
+        for batch in batches:
+            if not len(batch):
+                continue
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            hosted, pos = (batch.column(c).to_numpy() for c in ("hosted", "pos"))
+            heads = batch.column("head").flatten().to_numpy().reshape(len(batch), long)
+            follows = (hosted[1:] == hosted[:-1]) & (pos[1:] == pos[:-1] + 1)
+            differ = heads[1:] != heads[:-1]
+            common = np.append(known, np.where(follows, np.where(differ.any(1), differ.argmax(1), long), -1))
+            yield row(batch.slice(0, len(batch) - 1), common[:-1], ~follows)
+            last, known = batch.slice(len(batch) - 1), common[-1]
+        if last is not None:
+            yield row(last, np.array([known]), np.array([True]))
+
+    return task
+
+
+def _intervals(array: DataFrame, long: int, least: int = 1) -> DataFrame:
+    """Rows of a suffix array (hosted, pos: place in it, head, version, at) in intervals of `least` texts or more, with the place at which their interval begins and its texts.
 
     An interval holds the suffixes whose common prefix with the one before is `long` words at least. Neighbours are
-    compared within blocks of the array, into which the last suffix of the block before is copied; an interval that runs
-    over several blocks has the start that the blocks before have left open. Its suffixes lie in the order of their
-    versions, so its distinct texts are as many as its changes of version. They are counted within the block; for an
-    interval at the edge of a block the counts of its blocks are summed, so only a row for each block is joined.
+    compared as they are read, or else within blocks of the array, into which the last suffix of the block before is
+    copied; an interval that runs over several blocks has the start that the blocks before have left open. Its suffixes lie in the order of their
+    versions, so its distinct texts are as many as its changes of version. An interval within a block is counted there,
+    and its rows are done. For one at the edge of a block the counts of its blocks are summed, and only its rows are
+    joined with them, by a row for each block.
     """
     block = F.floor(F.col("pos") / BLOCK)
-    rows = array.withColumn("block", F.explode(F.when(F.col("pos") % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))))
+    schema = f"hosted long, pos long, version long, at int, common int, head {array.schema['head'].dataType.simpleString()}"
+    rows = array.select("hosted", "pos", "version", "at", "head").mapInArrow(_neighbours(long), schema)
+    rows = rows.withColumn("block", F.explode(F.when(F.col("pos") % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))))
     w = Window.partitionBy("hosted", "block").orderBy("pos")
     common = F.array_position(F.zip_with("head", "before", lambda x, y: x == y), False) - 1  # -1: they agree in all
-    rows = rows.withColumn("before", F.lag("head").over(w)).withColumn("earlier", F.lag("version").over(w)).withColumn("common", F.when(F.col("before").isNull(), 0).when(common < 0, long).otherwise(common))
+    common = F.when(F.col("common").isNotNull(), F.col("common")).when(F.col("before").isNull(), 0).when(common < 0, long).otherwise(common)
+    rows = rows.withColumn("before", F.lag("head").over(w)).withColumn("earlier", F.lag("version").over(w)).withColumn("common", common)
     rows = rows.filter(F.floor(F.col("pos") / BLOCK) == F.col("block")).withColumn("start", F.when(F.col("common") < long, F.col("pos")))
     new = F.col("start").isNotNull() | (F.col("version") != F.col("earlier"))
     rows = rows.select("hosted", "block", "version", "at", F.max("start").over(w).alias("start"), new.cast("int").alias("new"))
     texts = F.sum("new").over(Window.partitionBy("hosted", "block", "start"))
-    rows = staged(rows.withColumn("texts", texts).drop("new"), "suffix-neighbours")
-
-    last = rows.groupBy("hosted", "block").agg(F.max("start").alias("last"), F.max_by("texts", F.coalesce("start", F.lit(-1))).alias("ending"), F.max(F.when(F.col("start").isNull(), F.col("texts"))).alias("beginning"))
+    whole = Window.partitionBy("hosted", "block")
+    # Only a full block can have one after it, into which its last interval runs on.
+    edge = F.col("start").isNull() | ((F.col("start") == F.max("start").over(whole)) & (F.count("*").over(whole) == BLOCK))
+    rows = rows.withColumn("texts", texts).withColumn("edge", edge).filter(F.col("edge") | (F.col("texts") >= least))
+    rows = staged(rows.drop("new"), "suffix-neighbours")
+    inner = rows.filter("not edge").select("hosted", "version", "at", F.col("start").alias("interval"), "texts")
+    outer = rows.filter("edge").drop("edge")
+
+    last = outer.groupBy("hosted", "block").agg(F.max("start").alias("last"), F.max_by("texts", F.coalesce("start", F.lit(-1))).alias("ending"), F.max(F.when(F.col("start").isNull(), F.col("texts"))).alias("beginning"))
     open_ = F.max("last").over(Window.partitionBy("hosted").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     last = staged(last.withColumn("carried", open_), "open-intervals")
     pieces = last.select("hosted", F.coalesce("last", "carried").alias("interval"), F.col("ending").alias("n"))
     pieces = pieces.unionByName(last.filter("last is not null and beginning is not null").select("hosted", F.col("carried").alias("interval"), F.col("beginning").alias("n")))
     sums = pieces.groupBy("hosted", "interval").agg(F.sum("n").alias("n"))
-    whole = lambda start, name: sums.select("hosted", F.col("interval").alias(start), F.col("n").alias(name))
-    edges = last.select("hosted", "block", "last", "carried").join(whole("last", "last_texts"), ["hosted", "last"], "left").join(whole("carried", "carried_texts"), ["hosted", "carried"], "left")
-    total = F.when(F.col("start").isNull(), F.col("carried_texts")).when(F.col("start") == F.col("last"), F.col("last_texts")).otherwise(F.col("texts"))
-    return rows.join(small_side(staged(edges, "interval-texts")), ["hosted", "block"]).select("hosted", "version", "at", F.coalesce("start", "carried").alias("interval"), total.alias("texts"))
+    summed = lambda start, name: sums.select("hosted", F.col("interval").alias(start), F.col("n").alias(name))
+    edges = last.select("hosted", "block", "last", "carried").join(summed("last", "last_texts"), ["hosted", "last"], "left").join(summed("carried", "carried_texts"), ["hosted", "carried"], "left")
+    total = F.when(F.col("start").isNull(), F.col("carried_texts")).otherwise(F.col("last_texts"))
+    outer = outer.join(small_side(staged(edges, "interval-texts")), ["hosted", "block"]).select("hosted", "version", "at", F.coalesce("start", "carried").alias("interval"), total.alias("texts"))
+    return inner.unionByName(outer.filter(F.col("texts") >= least))
 
 
 def _unique_runs(run: int):
