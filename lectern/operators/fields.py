@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import small_side, split_join, staged
+from ..sources.shared import by_key, dealt, small_side, split_join, staged
 from . import bounded
-from .index import HOT_SHARE
+from .index import frequent
 
 K1, B, MAX_EXPANSIONS = 1.2, 0.75, 50
 #: Letters of a term that its deletion neighbourhood looks at: a bound on the entries of a term of any length.
@@ -49,21 +49,55 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 def field_tokens(docs: DataFrame, fields: list[str], keep: list[str] | None = None) -> DataFrame:
     """document_id, field, pos, term of the text fields of docs; `keep` columns stay for filters."""
+    return _exploded(docs.withColumns({f: T.normal(f) for f in fields}), fields, keep)
+
+
+def _exploded(docs: DataFrame, fields: list[str], keep: list[str] | None = None) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields])
-    out = docs.withColumns({f: T.normal(f) for f in fields}).select("document_id", *(keep or []), F.explode(pairs).alias("f"))
+    out = docs.select("document_id", *(keep or []), F.explode(pairs).alias("f"))
     return out.select("document_id", *(keep or []), "f.field", F.posexplode("f.t").alias("pos", "term"))
 
 
+def field_postings(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """field, term, document_id, f of the text fields, dealt by document_id: for searches, instead of tokens. Only texts are shuffled."""
+    texts = by_key(docs.select("document_id", *(T.normal(f).alias(f) for f in fields)), "document_id")
+    return dealt(_counted(_exploded(texts, fields)), "field-postings", "document_id")
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("document_id", "field", "term").agg(F.count("*").alias("f"))
+
+
+def _postings(tokens: DataFrame) -> DataFrame:
+    """Field postings as they are; tokens are counted by document first."""
+    return tokens if "f" in tokens.columns else dealt(_counted(by_key(tokens.select("document_id", "field", "term"), "document_id")), "field-postings", "document_id")
+
+
+def _lengths(post: DataFrame) -> DataFrame:
+    """document_id, lens (a map by field)."""
+    own = post.groupBy("document_id", "field").agg(F.sum("f").alias("len"))
+    return dealt(own.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "len"))).alias("lens")), "field-lengths", "document_id")
+
+
+def _impacts(post: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """field, term, document_id, impact of the terms (term, each once; None: all): BM25 at boost 1, N and length by field."""
+    lengths = _lengths(post)
+    fields = lengths.select(F.explode("lens").alias("field", "len")).groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    asked = post if terms is None else post.join(small_side(terms), "term")
+    df = staged(asked.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(fields), "field"), "field-terms")  # a row for each field
+    found = split_join(post, df, ["field", "term"], frequent(df)) if terms is None else post.join(small_side(df), ["field", "term"])
+    found = found.join(lengths.hint("shuffle_hash"), "document_id").withColumn("len", F.col("lens")[F.col("field")])
+    return found.select("field", "term", "document_id", _bm25().alias("impact"))
+
+
 def scores(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, document_id, base, part: BM25 of each term (query_id, base, term, boost) in each field, N and length by field."""
-    lengths = tokens.groupBy("field", "document_id").agg(F.count("*").alias("len"))
-    fields = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    # Occurrences are counted once for all queries that ask a term; hits and df both read these counts.
-    found = tokens.join(terms.select("term").distinct(), "term").groupBy("field", "term", "document_id").agg(F.count("*").alias("f"))
-    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    weighed = found.join(df, ["field", "term"]).join(lengths, ["field", "document_id"]).join(F.broadcast(fields), "field")  # a row for each field
-    full = weighed.join(terms, "term")
-    return full.withColumn("part", F.col("boost") * _bm25())
+    """query_id, document_id, base, part: BM25 of each term (query_id, base, term, boost) in each field, N and length by field.
+
+    tokens: `field_postings` or `field_tokens`. The rows of a document stay in one task.
+    """
+    terms = staged(terms, "asked-terms")
+    found = _impacts(_postings(tokens), staged(terms.select("term").distinct(), "asked-words"))
+    return found.join(small_side(terms.select("query_id", "base", "term", "boost")), "term").withColumn("part", F.col("boost") * F.col("impact"))
 
 
 def _bm25() -> Column:
@@ -71,15 +105,15 @@ def _bm25() -> Column:
     return idf * F.col("f") / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
 
 
-def field_impacts(tokens: DataFrame) -> bounded.Impacts:
-    """BM25 of every term in every field at boost 1, by key `field:term`, with the bounds that `boolean_top` needs; made once."""
-    found = staged(tokens.groupBy("field", "term", "document_id").agg(F.count("*").alias("f")), "field-postings")
-    lengths = staged(found.groupBy("field", "document_id").agg(F.sum("f").alias("len")), "field-lengths")
-    fields = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = staged(found.groupBy("field", "term").agg(F.count("*").alias("df")), "field-lexicon")
-    hot = max(1, int((df.agg(F.sum("df")).first()[0] or 0) * HOT_SHARE))
-    weighed = split_join(found, df, ["field", "term"], f"df > {hot}").join(lengths, ["field", "document_id"]).join(F.broadcast(fields), "field")  # a row for each field
-    return bounded.impacts(staged(weighed.select(F.concat_ws(":", "field", "term").alias("key"), "document_id", _bm25().alias("impact")), "field-impacts"))
+def field_impacts(tokens: DataFrame, queries: DataFrame | None = None) -> bounded.Impacts:
+    """BM25 of every term in every field at boost 1, by key `field:term`, with the bounds that `boolean_top` needs; made once.
+
+    tokens: `field_postings` or `field_tokens`. queries: those that will be asked, if they are known: then only their
+    terms are scored.
+    """
+    post = _postings(tokens)
+    found = _impacts(post, None if queries is None else staged(query_terms(queries).select("term").distinct(), "field-words"))
+    return bounded.impacts(staged(found.select(F.concat_ws(":", "field", "term").alias("key"), "document_id", "impact"), "field-impacts"))
 
 
 def boolean_top(tables: bounded.Impacts, fields: list[str], queries: DataFrame, mode: str = "or", k: int = 10) -> bounded.Search:
@@ -92,8 +126,11 @@ def boolean_top(tables: bounded.Impacts, fields: list[str], queries: DataFrame,
 
 def top(parts: DataFrame, k: int, need: DataFrame | None = None) -> DataFrame:
     """Sum of parts by query and document, ranked; `need` (query_id, n_terms) asks for all terms."""
-    out = parts.groupBy("query_id", "document_id").agg(F.round(F.sum("part"), 6).alias("score"), F.countDistinct("base").alias("m"))
-    if need is not None:
+    sums = [F.round(F.sum("part"), 6).alias("score")]
+    if need is None:
+        out = parts.groupBy("query_id", "document_id").agg(*sums)
+    else:
+        out = parts.groupBy("query_id", "document_id").agg(*sums, F.countDistinct("base").alias("m"))
         out = out.join(need, "query_id").filter(F.col("m") == F.col("n_terms"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "document_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "document_id", "score")
@@ -110,13 +147,28 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def boolean(tokens: DataFrame, queries: DataFrame, mode: str = "or", k: int = 10) -> DataFrame:
     """Ranked documents with any (or) or all (and) terms of each query; a query without terms matches all, with score 1."""
-    terms = query_terms(queries)
-    need = terms.groupBy("query_id").agg(F.countDistinct("base").alias("n_terms")) if mode == "and" else None
+    post, terms = _postings(tokens), staged(query_terms(queries), "query-terms")
+    found = top(scores(post, terms), k) if mode != "and" else _all_terms(post, terms, k)
     bare = queries.filter(~F.coalesce(F.col("text"), F.lit("")).rlike("[A-Za-z0-9]")).select("query_id").distinct()
-    first = tokens.select("document_id").distinct().orderBy("document_id").limit(k)
+    if bare.isEmpty():
+        return found
+    first = post.select("document_id").distinct().orderBy("document_id").limit(k)
     first = first.select(F.row_number().over(Window.orderBy("document_id")).alias("rank"), "document_id")  # k rows
-    every = bare.crossJoin(F.broadcast(first)).select("query_id", "rank", "document_id", F.lit(1.0).alias("score"))
-    return top(scores(tokens, terms), k, need).unionByName(every)
+    return found.unionByName(bare.crossJoin(F.broadcast(first)).select("query_id", "rank", "document_id", F.lit(1.0).alias("score")))
+
+
+def _all_terms(post: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """Documents with all terms of a query: only those with its rarest term are scored."""
+    words = small_side(staged(terms.select("term").distinct(), "asked-words"))
+    counts = post.join(words, "term").groupBy("term").agg(F.count("*").alias("c"))
+    own = Window.partitionBy("query_id")
+    known = terms.join(counts, "term", "left").withColumn("_known", F.count("c").over(own)).withColumn("n_terms", F.count("*").over(own)).filter("_known = n_terms")
+    known = staged(known.withColumn("r", F.row_number().over(own.orderBy("c", "term"))).drop("_known"), "known-terms")
+    holders = by_key(post.join(small_side(known.filter("r = 1").select("query_id", "term")), "term").select("query_id", "document_id").distinct(), "document_id")
+    found = _impacts(post, staged(known.select("term").distinct(), "known-words"))
+    own_terms = small_side(known.select("query_id", "base", "term", "boost"))
+    parts = found.join(holders.hint("shuffle_hash"), "document_id").join(own_terms, ["query_id", "term"]).withColumn("part", F.col("boost") * F.col("impact"))
+    return top(parts, k, small_side(known.select("query_id", "n_terms").distinct()))
 
 
 def filtered(docs: DataFrame, exact: Mapping | None = None, ranges: Mapping | None = None) -> DataFrame:

@@ -37,6 +37,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """df shuffled once by key, so that grouping by the key and more columns needs no further shuffle, and `dealt` a file a task."""
+    return df.repartition(partitions(df.sparkSession), key)
+
+
+def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df, which `by_key` has shuffled, as a table of buckets in the shared folder: reads of it need no shuffle by key, however many."""
+    path = new_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.format("parquet").bucketBy(partitions(df.sparkSession), key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, else without. df should be staged: it is counted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
