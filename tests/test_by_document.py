@@ -4,7 +4,7 @@ import random
 import re
 
 
-from lectern.operators import fields
+from lectern.operators import fields, index
 
 WORDS = [f"w{i}" for i in range(60)]
 BY_PAIR = r"Exchange hashpartitioning\(query_id[^)]*document_id"
@@ -29,3 +29,15 @@ def test_overlap_sums_up_fields_without_a_shuffle_of_pairs(spark):
     for mode in ("or", "and"):
         tokens = fields.field_tokens(docs, ["title", "text"])
         assert not re.search(BY_PAIR, plan(fields.boolean(tokens, asked(spark), mode)))
+
+
+def test_search_sums_up_without_a_shuffle_of_pairs(spark):
+    found = index.search(index.build(corpus(spark)), asked(spark))
+    assert not re.search(r"hashpartitioning\(query_id[^)]*n_terms", plan(found)) and found.filter("query_id = 2").select("matched_terms").distinct().collect() == [("w1 w2",)]
+    assert found.filter("query_id = 2").first().total_hits == found.filter("query_id = 2").count() or found.filter("query_id = 2").count() == 10
+
+
+def test_ids_of_several_rows_are_one_document(spark):
+    i = index.build(corpus(spark))
+    tf = {(r.document_id, r.term): r.tf for r in i.postings.collect()}
+    assert len(tf) == i.postings.count() and tf[(3, "w1")] >= 2 and i.norms.count() == 200
