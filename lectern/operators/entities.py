@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import join_key
-from ..sources.shared import keyed_left_join
+from ..sources.shared import keyed_left_join, small_side, staged
 
 #: What links carry of a page, as far as the pages have it.
 LISTS = ["categories", "sections", "templates", "bold_terms"]
@@ -113,14 +113,15 @@ def search_documents(docs: DataFrame, mapping: DataFrame, links: DataFrame) -> D
 
     group = F.col("crawl_group")
     own = docs.select(*(pick(docs, c, None if c == "document_id" and c in docs.columns else k).alias(c) for c, k in DOCUMENT.items()))
-    titles = mapping.select(F.col("bible_book").alias("book"), join_key("wiki_title").alias("_book_key"))
+    # Texts are not shuffled for these joins as long as the other side can be broadcast.
+    titles = small_side(staged(mapping.select(F.col("bible_book").alias("book"), join_key("wiki_title").alias("_book_key")), "book-titles"))
     own = keyed_left_join(own, titles, ["book"])
     own = own.withColumn("_type", F.when(group == "bible", "book").when(group == "naves", "naves_entity").when(group == "atlas", "place"))
     own = own.withColumn("_key", F.when(group == "bible", F.col("_book_key")).when(group == "naves", join_key(F.regexp_extract("topic", "^([^:]+)", 1))).when(group == "atlas", join_key("place")))
     kinds = dict.fromkeys(LISTS, "array<string>") | {"infobox_type": "string"} | dict.fromkeys(NUMBERS, "int")
     page = [F.col("matched").alias("wiki_matched"), F.col("final_page_id").alias("wiki_page_id"), F.col("final_title").alias("wiki_title")]
-    wiki = links.select(F.col("entity_type").alias("_type"), F.col("join_key").alias("_key"), *page, *(pick(links, c, kinds[c]).alias("wiki_" + c) for c in ATTRIBUTES))
-    return keyed_left_join(own, wiki, ["_type", "_key"]).drop("_type", "_key", "_book_key").select(*DOCUMENT, "wiki_matched", "wiki_page_id", "wiki_title", *("wiki_" + c for c in ATTRIBUTES))
+    wiki = staged(links.select(F.col("entity_type").alias("_type"), F.col("join_key").alias("_key"), *page, *(pick(links, c, kinds[c]).alias("wiki_" + c) for c in ATTRIBUTES)), "linked-pages")
+    return keyed_left_join(own, small_side(wiki), ["_type", "_key"]).drop("_type", "_key", "_book_key").select(*DOCUMENT, "wiki_matched", "wiki_page_id", "wiki_title", *("wiki_" + c for c in ATTRIBUTES))
 
 
 def enrichment_rate(enriched: DataFrame) -> DataFrame:

@@ -85,3 +85,8 @@ def test_documents_without_words_have_no_place(spark, tmp_path):
     rows = lambda t: sorted(tuple(map(str, r)) for r in zip(*(t.column(n).to_pylist() for n in names), strict=True))
     assert rows(got) == rows(want)
     assert any(r["place"] is None and r["text"] == "" for r in got.to_pylist())
+
+
+def test_documents_are_tokenized_once_for_enrichment(spark, tmp_path):
+    tables(spark, tmp_path)
+    assert "regexp_extract_all" not in plan(registry._enriched(spark, str(tmp_path)))
