@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import BROADCAST_ROWS, by_key, dealt, small_side, split_join, staged
+from ..sources.shared import BROADCAST_ROWS, by_key, dealt, small_side, staged
 
 
 @dataclass
@@ -47,11 +47,6 @@ def frequent(lex: DataFrame) -> str:
     return "false" if least is None else f"df >= {least}"
 
 
-def with_df(post: DataFrame, lex: DataFrame) -> DataFrame:
-    """Postings with the df of their term; the most frequent terms are joined where their postings lie."""
-    return split_join(post, lex, ["term"], frequent(lex))
-
-
 def norms(post: DataFrame, lex: DataFrame, documents: int) -> DataFrame:
     """Vector norms for both IDF methods."""
     n, columns = F.lit(documents), ["document_id", "tf", "df"]
