@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import small_side, staged
+from ..sources.shared import by_key, small_side, staged
 
 #: Best postings kept of each key, and what rounding to six digits may hide.
 CHAMPIONS, SLACK = 64, 1e-6
@@ -87,7 +87,7 @@ def top_k(tables: Impacts, asked: DataFrame, k: int = 10) -> Search:
     terms = terms.withColumn("essential", F.when(F.col("mode") == "and", F.col("_rank") == 1).otherwise(F.col("_sum") >= F.col("floor") - SLACK))
     slack = F.coalesce(F.max(F.when(~F.col("essential"), F.col("_sum"))).over(Window.partitionBy("query_id")), F.lit(0.0))
     terms = staged(terms.withColumn("slack", slack).drop("_sum", "_base_df", "_rank"), "asked-bounds")
-    first = tables.postings.join(terms.filter("essential").select("query_id", "key", "weight"), "key").groupBy("query_id", "document_id", "block").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    first = tables.postings.join(small_side(terms.filter("essential").select("query_id", "key", "weight")), "key").groupBy("query_id", "document_id", "block").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
     first = staged(first, "candidates")
     of = terms.select("query_id", "mode", "slack", "floor").distinct()
     again = _kth(first, k, "_again")
@@ -99,8 +99,9 @@ def top_k(tables: Impacts, asked: DataFrame, k: int = 10) -> Search:
     rest = places.join(others, "query_id").join(tables.blocks.select("key", "block", "most"), ["key", "block"]).groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("_rest"))
     kept = bounded.join(rest, ["query_id", "block"], "left").filter(either(F.coalesce("_rest", F.lit(0.0)))).select("query_id", "document_id")
     kept = staged(kept, "kept-candidates")
-    pairs = kept.join(terms.select("query_id", "key", "base", "weight", "mode", "n_terms"), "query_id")
-    whole = tables.postings.select("key", "document_id", "impact").join(pairs, ["key", "document_id"])
+    # Postings stay where they are: candidates go to their documents, and the queries' keys are broadcast.
+    whole = tables.postings.select("key", "document_id", "impact").join(by_key(kept, "document_id").hint("shuffle_hash"), "document_id")
+    whole = whole.join(small_side(terms.select("query_id", "key", "base", "weight", "mode", "n_terms")), ["query_id", "key"])
     scored = whole.groupBy("query_id", "document_id", "mode", "n_terms").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score"), F.countDistinct("base").alias("_m"))
     scored = scored.filter((F.col("mode") == "or") | (F.col("_m") == F.col("n_terms"))).filter("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "document_id"))
